@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output
+from . import binary_output, media, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(spark, _table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents"))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.token_output(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_token_output": op10_token_output}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op4_source_mixing": op4_source_mixing, "op7_packing": op7_packing, "op8_media_columns": op8_media_columns, "op10_token_output": op10_token_output}
+ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.ORACLE_SQL}
