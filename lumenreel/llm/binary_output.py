@@ -7,7 +7,7 @@ so that shards in their order hold all documents in ascending order; a shard's b
 before it.
 
 Null and empty texts give a document of the end id alone. Null doc_ids come first. Repeated rows and equal doc_ids each
-keep an own entry, in the order of their texts. Extra columns are ignored. An empty table gives no shard.
+keep an own entry, in the order of a hash of their texts. Extra columns are ignored. An empty table gives no shard.
 
 A task writes below a name of its own and renames at the end, so a task run again after a lost executor replaces its
 files by the same bytes.
@@ -75,7 +75,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [docs_in], "n_tokens": [tokens], "width": pa.array([enc.dtype.itemsize], pa.int32())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    # Range bounds are sampled on the driver, so their key is two numbers and holds no text.
+    tie = F.xxhash64("text")
+    ordered = rows.repartitionByRange("id", tie).sortWithinPartitions("id", tie, "text")
     manifest = materialise(ordered.mapInArrow(write, MANIFEST), "shards")
     # A row for each shard, which are as many as partitions: one window task adds them up.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
