@@ -78,7 +78,22 @@ def _knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[flo
     return float(best[capacity]), taken
 
 
-def patterns(counts: dict[int, int], capacity: int, gap: float = 1e-3, most_rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
+def _first_fit(left: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[tuple, int]:
+    """Patterns by first fit, largest first, each as often as it goes; they use up left."""
+    found: dict[tuple, int] = {}
+    left = left.copy()
+    while left.any():
+        p, room = np.zeros(len(sizes), dtype=np.int64), capacity
+        for k in np.flatnonzero(left)[::-1]:
+            p[k] = min(left[k], room // sizes[k])
+            room -= p[k] * sizes[k]
+        times = int((left[p > 0] // p[p > 0]).min())
+        found[tuple(p.tolist())] = found.get(tuple(p.tolist()), 0) + times
+        left -= p * times
+    return found
+
+
+def patterns(counts: dict[int, int], capacity: int, gap: float = 1e-3, most_rounds: int = 1500) -> list[tuple[dict[int, int], int]]:
     """Patterns ({size: how many}, how often) that hold all pieces; counts: pieces by size, sizes up to capacity.
 
     The driver's work depends on the number of sizes alone, never on the number of pieces.
@@ -86,16 +101,34 @@ def patterns(counts: dict[int, int], capacity: int, gap: float = 1e-3, most_roun
     sizes = np.array(sorted(k for k, n in counts.items() if n), dtype=np.int64)
     if not len(sizes):
         return []
-    demand = np.array([counts[int(s)] for s in sizes], dtype=np.float64)
+    pieces = np.array([counts[int(s)] for s in sizes], dtype=np.int64)
+    demand = pieces.astype(np.float64)
+    plain = _first_fit(pieces, sizes, capacity)
+    pool = np.array(list(plain), dtype=np.float64)  # known patterns, tried before a knapsack is solved
     # Revised simplex from the patterns of a single size: columns of the basis, its inverse, and their use x.
     columns = np.diag(capacity // sizes).astype(np.float64)
     inverse = np.diag(1.0 / columns.diagonal())
     x = inverse @ demand
+    bound = demand @ sizes / capacity  # prices in proportion to sizes are feasible
+    centre = sizes / capacity
     for round_ in range(most_rounds):
-        price = inverse.sum(axis=0)  # duals: every pattern costs one sequence
-        value, taken = _knapsack(np.maximum(price, 0), sizes, capacity)
-        if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) <= gap * x.sum():
+        if x.sum() <= bound * (1 + gap):
             break
+        price = inverse.sum(axis=0)  # duals: every pattern costs one sequence
+        worth = pool @ price
+        if worth.max() > 1 + 1e-6:
+            taken = pool[worth.argmax()]
+        else:
+            # Prices between the duals and the best feasible ones settle faster; the duals decide at the end.
+            for mix in (0.3, 1.0):
+                value, taken = _knapsack(np.maximum(mix * price + (1 - mix) * centre, 0), sizes, capacity)
+                feasible = np.maximum(mix * price + (1 - mix) * centre, 0) / max(value, 1)
+                if demand @ feasible > bound:
+                    bound, centre = demand @ feasible, feasible
+                if taken @ price > 1 + 1e-9:
+                    break
+            else:
+                break
         step = inverse @ taken
         ratio = np.where(step > 1e-10, x / np.where(step > 1e-10, step, 1), np.inf)
         out = int(ratio.argmin())
@@ -107,26 +140,21 @@ def patterns(counts: dict[int, int], capacity: int, gap: float = 1e-3, most_roun
         row = inverse[out] / step[out]
         inverse = inverse - np.outer(step, row)
         inverse[out] = row
-        if round_ % 100 == 99:
+        if round_ % 200 == 199:
             inverse = np.linalg.inv(columns)
             x = np.maximum(inverse @ demand, 0)
-    left = demand.astype(np.int64)
-    found: dict[tuple, int] = {}
+    left, found = pieces.copy(), {}
     for k in range(len(sizes)):
         p = columns[:, k].round().astype(np.int64)
         times = int(min([x[k] + 1e-6, *(left[p > 0] // p[p > 0])]))
         if times > 0:
-            found[tuple(p)] = found.get(tuple(p), 0) + times
+            found[tuple(p.tolist())] = found.get(tuple(p.tolist()), 0) + times
             left -= p * times
-    # What rounding left: first fit, largest first. It has a few pieces for each pattern, not for each piece.
-    while left.any():
-        p, room = np.zeros(len(sizes), dtype=np.int64), capacity
-        for k in range(len(sizes) - 1, -1, -1):
-            p[k] = min(left[k], room // sizes[k])
-            room -= p[k] * sizes[k]
-        times = int((left[p > 0] // p[p > 0]).min())
-        found[tuple(p)] = found.get(tuple(p), 0) + times
-        left -= p * times
+    # What rounding left is a few pieces for each pattern, whatever the size of the corpus.
+    for p, times in _first_fit(left, sizes, capacity).items():
+        found[p] = found.get(p, 0) + times
+    if sum(plain.values()) < sum(found.values()):  # a handful of pieces
+        found = plain
     return [({int(sizes[k]): int(n) for k, n in enumerate(p) if n}, times) for p, times in sorted(found.items(), reverse=True)]
 
 
