@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, media, mixing, packing
+from . import binary_output, media, mixing, packing, simhash, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(spark, _table(spark, sf_dir, "pages"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"))
 
@@ -27,5 +39,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.token_output(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_source_mixing": op4_source_mixing, "op7_packing": op7_packing, "op8_media_columns": op8_media_columns, "op10_token_output": op10_token_output}
-ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op4_source_mixing, op5_simhash_dedup, op7_packing, op8_media_columns, op10_token_output)}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL}
