@@ -162,7 +162,8 @@ def assign(pieces: DataFrame, length: int = 2048, grain: int = 8, gap: float = 1
     """Adds sequence_id and offset to pieces (columns doc_id, start and length, and any others)."""
     spark = pieces.sparkSession
     order = ["type", "doc_id", "start", "ids_crc32"]
-    typed = pieces.withColumn("type", F.ceil(F.col("length") / F.lit(grain)).cast("int"))
+    # Written first: range bounds are sampled from this, which would run the encoding a second time.
+    typed = materialise(pieces.withColumn("type", F.ceil(F.col("length") / F.lit(grain)).cast("int")), "pieces")
     ranged = materialise(typed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
     per_part = ranged.groupBy("part", "type").agg(F.count("*").alias("n"))
     # Range partitions hold neighbouring types, so this has about as many rows as there are types and partitions.
