@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hashing import mix, runs_of, span_hashes
 from .shared import blocks, materialise, ship, utf8
 
 WIDTH = 13
@@ -36,37 +37,17 @@ FEW_BYTES = 12
 OVERFLOW = 64 << 20
 LAST = (1 << 63) - 1
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _FLOW = "key long, ord long, thash long, pos int, n int, packed binary"
 _FLAGS = "ord long, thash long, pos int, n int, `window` binary"
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = np.full(n, _BASE)
-    back = np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))
-    base[0] = back[0] = 1
-    return np.cumprod(base), np.cumprod(back)
-
-
-_cached = _powers(1 << 20)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def _word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in bytes where single spaces or newlines lie between words."""
-    dark = (buf != 32) & (buf != 10)
-    edge = np.diff(np.concatenate([[0], dark.view(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return runs_of((buf != 32) & (buf != 10))
 
 
 def super_kmers(texts: list[bytes], width: int = WIDTH) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Packed strings of all texts, with the text, the first window's position, the number of windows and the key of each."""
-    global _cached
     norms = [b" ".join(t.split()) for t in texts]
     joined = b"\n".join(norms)
     none = np.empty(0, np.int64)
@@ -74,12 +55,7 @@ def super_kmers(texts: list[bytes], width: int = WIDTH) -> tuple[list[bytes], np
         return [], none, none, none, none
     buf = np.frombuffer(joined, dtype=np.uint8)
     starts, ends = _word_bounds(buf)
-    if len(buf) + 1 > len(_cached[0]):
-        _cached = _powers(len(buf) + 1)
-    forth, back = _cached
-    prefix = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(buf * forth[: len(buf)], out=prefix[1:])
-    word = _mix((prefix[ends] - prefix[starts]) * back[starts])
+    (word,) = span_hashes(buf, (starts, ends))
     text_at = np.cumsum([0] + [len(x) + 1 for x in norms[:-1]])
     first_word = np.searchsorted(starts, text_at)
     counts = np.diff(np.append(first_word, len(starts)))
@@ -90,7 +66,7 @@ def super_kmers(texts: list[bytes], width: int = WIDTH) -> tuple[list[bytes], np
     run = word[:n].copy()
     for k in range(1, M):
         run = run * np.uint64(0x100000001B3) + word[k : n + k]
-    run = _mix(run) >> np.uint64(1)
+    run = mix(run) >> np.uint64(1)
     run |= ((ends[M - 1 :] - starts[:n]) < FEW_BYTES).astype(np.uint64) << np.uint64(63)
     span, least = 1, run
     want = width - M + 1
