@@ -64,10 +64,10 @@ def by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFram
     return left.join(right, F.col("source").eqNullSafe(F.col("r_source")), how).drop("r_source")
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: str = ":mix", boost: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken of every document."""
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: str = ":mix", boost: str | None = None, extra: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken of every document, and the columns extra as they are."""
     picked = {"doc_id": F.col(id_col), "source": F.col(source_col), "size": words(F.col(text_col))} | ({"boost": F.greatest(F.col(boost).cast("double"), F.lit(0.0))} if boost else {})
-    sizes = materialise(docs.select(*(c.alias(k) for k, c in picked.items())), "sizes")
+    sizes = materialise(docs.select(*(c.alias(k) for k, c in picked.items()), *extra), "sizes")
     goals = targets(sizes, share, cap, weights)
     own = by_source(sizes, goals)
     if boost:
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
     joined = by_source(ranked, second, "left")
     place = F.when(F.col("b_bin").isNull() | (F.col("bin") < F.col("b_bin")) | ((F.col("bin") == F.col("b_bin")) & (F.col("fine") < F.col("b_fine"))), F.lit(1)).when((F.col("bin") == F.col("b_bin")) & (F.col("fine") == F.col("b_fine")), F.lit(0)).otherwise(F.lit(-1))
     placed = joined.withColumn("place", F.when(F.col("drawn"), place).otherwise(F.lit(-1)))
-    result = ["doc_id", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken")]
+    result = ["doc_id", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken"), *extra]
     clear = placed.where("place <> 0").withColumn("copies", F.col("certain") + F.greatest("place", F.lit(0))).select(*result)
     # Of each source, the documents of one fine bin, about one in a million, meet in a task.
     order = Window.partitionBy("source").orderBy("q", "doc_id", "size")

@@ -1,15 +1,19 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the words of a text (runs of letters, digits and bytes beyond ASCII, A-Z lower-cased) and their first four
-bytes, as 64-bit hashes; a text is the set of its terms. The machine scores a set by a bias, a weight for each term and
-the inner product of the factors of each pair, so a pair such as an insult and the mention of a group counts beyond the
-sum of its terms. It learns from a bounded sample of labelled documents (``PER_CLASS`` expected of each label, by a hash of doc_id): terms
-that ``LEAST`` sample documents have get a weight (follow-the-regularised-leader, L1 and L2) and ``RANK`` factors
-(adaptive gradient steps); the model holds no others.
+Words are runs of letters, digits and bytes beyond ASCII, A-Z lower-cased. A word and its first 4 to 9 bytes (which
+stand for a stem under its inflections) are hashed to 64 bits; a term is such a hash with one of the levels "at least
+once", "twice" and "three times" in the text. A text is the set of its terms. The machine scores a set by a bias, a
+weight for each term and the inner product of the factors of each pair, so a pair such as an insult and the mention of
+a group counts beyond the sum of its terms.
+
+It learns from a bounded sample of labelled documents (``PER_CLASS`` expected of each label, by a hash of doc_id).
+Over the sample the cluster counts, for each term, the documents of either label; the ``MOST_TERMS`` terms that lean
+most to label 1 become the machine's terms. Weights follow the regularised leader (L1 and L2), ``RANK`` factors take
+adaptive gradient steps.
 
 Scoring reads whole texts and nothing else. Null and empty texts have the bias alone. A document with a null doc_id is
 scored and never learned from; of several labels of a document the largest counts, and null labels do not. Without
-both labels every score is 0. Rows that repeat score alike. Extra columns are ignored.
+both labels every score is near 0. Rows that repeat score alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,26 +29,44 @@ from .hashing import fold, runs_of, share, span_hashes
 from .shared import blocks, materialise, ship, utf8
 
 PER_CLASS = 4000
+MOST_TERMS = 20_000
 LEAST = 3
+RATIO = 3.0  # how much more frequent a term must be under label 1
 RANK = 4
-EPOCHS = 4
-PREFIX = 4
-_MARKS = 1 << 20
+EPOCHS = 5
+PREFIXES = range(4, 10)
+_MARKS = 1 << 22
 
 _LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _TERM = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
+_LEVELS = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], dtype=np.uint64)
 
 
-def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts and of their beginnings, and the text of each."""
     buf = np.frombuffer(b" ".join(texts).translate(_LOW), dtype=np.uint8)
     if not len(buf):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     starts, ends = runs_of(_TERM[buf])
-    whole, begin = span_hashes(buf, (starts, ends), (starts, np.minimum(starts + PREFIX, ends)))
-    at = np.cumsum([len(t) + 1 for t in texts])
-    owner = np.searchsorted(at, starts, side="right")
-    return np.concatenate([whole, begin ^ np.uint64(0x5851F42D4C957F2D)]), np.concatenate([owner, owner])
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    spans, owners = [(starts, ends)], [owner]
+    for n in PREFIXES:
+        long = ends - starts >= n
+        spans.append((starts[long], starts[long] + n))
+        owners.append(owner[long])
+    found = span_hashes(buf, *spans)
+    found[0] = found[0] ^ np.uint64(0xD1342543DE82EF95)  # a whole word is not the beginning of another
+    return np.concatenate(found), np.concatenate(owners)
+
+
+def leveled(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and their texts: each hash of a text once for every level its count reaches."""
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))) if len(h) else np.empty(0, np.int64)
+    n = np.diff(np.append(first, len(h)))
+    h, owner = h[first], owner[first]
+    return np.concatenate([h[n > k] ^ _LEVELS[k] for k in range(3)]), np.concatenate([owner[n > k] for k in range(3)])
 
 
 @dataclass
@@ -53,19 +75,18 @@ class Machine:
     weight: np.ndarray
     factor: np.ndarray
     bias: float
-    marks: np.ndarray  # by the low bits of a hash: whether a known term may have them
+    marks: np.ndarray  # by the low bits of a hash, its level aside: whether a known term may have them
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Probability of label 1 for each text."""
         if not len(self.keys):
             return np.full(len(texts), _sigmoid(self.bias))
-        h, owner = terms(texts)
+        h, owner = hashes(texts)
         some = self.marks[h & np.uint64(_MARKS - 1)]
-        h, owner = h[some], owner[some]
+        h, owner = leveled(h[some], owner[some])
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         known = self.keys[at] == h
-        pair = np.unique(owner[known] * len(self.keys) + at[known])  # a text is a set
-        owner, at = pair // len(self.keys), pair % len(self.keys)
+        owner, at = owner[known], at[known]
         n = len(texts)
         linear = np.bincount(owner, self.weight[at], minlength=n)
         cross = np.zeros(n)
@@ -79,19 +100,15 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, alpha: float = 0.3, l1: float = 0.3, l2: float = 0.1, rate: float = 0.05, decay: float = 1e-3) -> Machine:
-    """Learns from sets of term hashes and labels 0 or 1."""
-    empty = np.empty(0, np.uint64)
-    if len(np.unique(labels)) < 2:
-        return Machine(empty, np.empty(0), np.empty((0, RANK)), -30.0, np.zeros(_MARKS, bool))
-    keys, df = np.unique(np.concatenate(sets), return_counts=True)
-    keys = keys[df >= LEAST]
-    if not len(keys):
-        return Machine(empty, np.empty(0), np.empty((0, RANK)), float(np.log(labels.mean() / (1 - labels.mean()))), np.zeros(_MARKS, bool))
-    rows = []
-    for s in sets:
-        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-        rows.append(at[keys[at] == s])
+def _marks(keys: np.ndarray) -> np.ndarray:
+    marks = np.zeros(_MARKS, bool)
+    for level in _LEVELS:  # the level of a key is not kept: all that it may have come from are marked
+        marks[(keys ^ level) & np.uint64(_MARKS - 1)] = True
+    return marks
+
+
+def fit(sets: list[np.ndarray], labels: np.ndarray, keys: np.ndarray, alpha: float = 0.3, l1: float = 0.1, l2: float = 0.1, rate: float = 0.05, decay: float = 1e-3) -> Machine:
+    """Learns from sets of positions in keys (sorted term hashes) and labels 0 or 1."""
     rng = np.random.default_rng(0)
     z, n = np.zeros(len(keys)), np.zeros(len(keys))
     v, vn = rng.normal(0, 0.01, (len(keys), RANK)), np.ones((len(keys), RANK))
@@ -101,8 +118,8 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, alpha: float = 0.3, l1: floa
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((1 + np.sqrt(ni)) / alpha + l2))
 
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(rows)):
-            at = rows[i]
+        for i in rng.permutation(len(sets)):
+            at = sets[i]
             zi, ni, vi = z[at], n[at], v[at]
             w = weights(zi, ni)
             total = vi.sum(axis=0)
@@ -113,13 +130,8 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, alpha: float = 0.3, l1: floa
             vn[at] += step * step
             v[at] = vi - rate * step / np.sqrt(vn[at])
             bn += g * g
-            bias -= 0.1 * g / np.sqrt(bn)
-    w = weights(z, n)
-    # A term without a weight and with factors near their start adds noise to long texts alone.
-    use = (w != 0) | (np.abs(v).max(axis=1) > 0.05)
-    marks = np.zeros(_MARKS, bool)
-    marks[keys[use] & np.uint64(_MARKS - 1)] = True
-    return Machine(keys[use], w[use], v[use], float(bias), marks)
+            bias -= 0.5 * g / np.sqrt(bn)
+    return Machine(keys, weights(z, n), v, float(bias), _marks(keys))
 
 
 def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = PER_CLASS) -> Machine:
@@ -133,19 +145,48 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
 
     def sets(batches):
         for b in blocks(batches, 2 << 20):
-            h, owner = terms(utf8(b.column(0)))
-            order = np.lexsort((h, owner))
-            h, owner = h[order], owner[order]
-            new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.empty(0, bool)
-            h, owner = h[new], owner[new]
-            cuts = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([h[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["doc_id", "toxic", "terms"])
+            t, owner = leveled(*hashes(utf8(b.column(0))))
+            order = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[order], np.arange(b.num_rows + 1))
+            t = t[order]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([t[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["doc_id", "toxic", "terms"])
 
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = own.join(F.broadcast(drawn), "doc_id").select("text", "doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = joined.mapInArrow(sets, "doc_id long, toxic int, terms binary").collect()
+    sample = materialise(joined.mapInArrow(sets, "doc_id long, toxic int, terms binary"), "sample")
+    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    bad, fine = totals.get(1, 0), totals.get(0, 0)
+    if not bad or not fine:
+        none = np.empty(0, np.uint64)
+        return Machine(none, np.empty(0), np.empty((0, RANK)), -30.0, np.zeros(_MARKS, bool))
+
+    def count(batches):
+        for b in batches:
+            toxic = b.column(1).to_numpy(zero_copy_only=False) == 1
+            parts_ = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
+            terms, at = np.unique(np.concatenate(parts_), return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"term": terms.view(np.int64), "bad": np.bincount(at, np.repeat(toxic, [len(p) for p in parts_])).astype(np.int64), "n": np.bincount(at)})
+
+    counted = sample.mapInArrow(count, "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    odds = (F.col("bad") + 0.5) / F.lit(bad + 1.0) / ((F.col("n") - F.col("bad") + 0.5) / F.lit(fine + 1.0))
+    leaning = counted.where(F.col("bad") >= LEAST).withColumn("odds", odds).where(F.col("odds") >= RATIO)
+    top = leaning.orderBy(F.desc(F.col("bad") * F.log("odds")), "term").limit(MOST_TERMS).select("term").collect()
+    keys = np.sort(np.array([r["term"] for r in top], dtype=np.int64).view(np.uint64))
+    if not len(keys):
+        return Machine(keys, np.empty(0), np.empty((0, RANK)), float(np.log(bad / fine)), np.zeros(_MARKS, bool))
+
+    def narrow(batches):
+        for b in batches:
+            out = []
+            for x in b.column(2).to_pylist():
+                t = np.frombuffer(x, np.uint64)
+                at = np.minimum(np.searchsorted(keys, t), len(keys) - 1)
+                out.append(at[keys[at] == t].astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "toxic", "terms"])
+
+    rows = sample.mapInArrow(narrow, "doc_id long, toxic int, terms binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
-    return fit([np.frombuffer(r["terms"], np.uint64) for r in rows], np.array([r["toxic"] for r in rows], dtype=np.float64))
+    return fit([np.frombuffer(r["terms"], "<i4") for r in rows], np.array([r["toxic"] for r in rows], dtype=np.float64), keys)
 
 
 def score(spark: SparkSession, docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
