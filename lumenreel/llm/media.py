@@ -1,7 +1,7 @@
 """Telephony audio in media columns: G.711 mu-law and A-law, IMA ADPCM, WAV containers and resampled PCM.
 
 A media value is a complete WAV file in a binary column. mu-law and A-law codes expand by tables of 256 entries that a
-rule makes; ADPCM blocks are decoded with numpy for all blocks of a value at once, a sample of every block at each step.
+rule makes; ADPCM is decoded with numpy across the blocks of a whole batch, a sample of every block at each step.
 ``store`` writes a table with a payload's codes as the samples, ``load`` reads it back, checks the container and decodes.
 Decoded PCM is resampled by linear interpolation and kept as 16-bit PCM where the caller asks for it.
 
@@ -85,7 +85,7 @@ def adpcm_blocks(payload: bytes) -> bytes:
 
 
 def decode_adpcm(data: bytes) -> np.ndarray:
-    """16-bit samples of IMA ADPCM blocks; every step decodes one nibble of all blocks."""
+    """16-bit samples of IMA ADPCM blocks, of one or many files; every step decodes one nibble of all blocks."""
     rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, FRAME + 4)
     at = np.ascontiguousarray(rows[:, :2]).view("<i2")[:, 0].astype(np.int32)
     index = np.minimum(rows[:, 2], 88).astype(np.int32)
@@ -158,10 +158,18 @@ def load(table: DataFrame, to_rate: int = 16000, keep_pcm: bool = False) -> Data
     def read(batches):
         for b in blocks(batches, text="media"):
             out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm")}
-            for media in b.column(2).to_pylist():
-                tag, rate, data = parse_wav(media)
+            parsed = [(media, *parse_wav(media)) for media in b.column(2).to_pylist()]
+            # The ADPCM blocks of all files of the batch are decoded together.
+            samples = decode_adpcm(b"".join(data for _, tag, _, data in parsed if tag == ADPCM))
+            at = 0
+            for media, tag, rate, data in parsed:
                 payload = np.frombuffer(data, dtype=np.uint8).reshape(-1, FRAME + 4)[:, 4:].tobytes() if tag == ADPCM else data
-                pcm = resample(decode(tag, data), rate, to_rate)
+                if tag == ADPCM:
+                    n = len(data) // (FRAME + 4) * (FRAME * 2 + 1)
+                    raw, at = samples[at : at + n], at + n
+                else:
+                    raw = decode(tag, data)
+                pcm = resample(raw, rate, to_rate)
                 wide = pcm.astype(np.float32)
                 rms = float(np.sqrt(np.square(wide, dtype=np.float32).mean(dtype=np.float64)))
                 crossings = int(np.count_nonzero(np.signbit(pcm[1:]) != np.signbit(pcm[:-1])))
