@@ -5,12 +5,13 @@ document with a smaller doc_id; windows are judged on the input. Words are runs
 
 Each window has a minimiser, the smallest hash among its runs of ``M`` words; hashes of runs with few letters count as
 large, so that common function words seldom become minimisers. Consecutive windows that share the minimiser travel as
-one packed string (a super-k-mer) to its bucket, and equal windows always meet there. A bucket that one document fills
-alone is passed over; else windows are compared as whole strings and sorted by document, so counts are exact and hashes
-only say who meets.
+one packed string (a super-k-mer) to its bucket, and equal windows always meet there. A task sends its super-k-mers to
+one destination, which holds many buckets, as one compressed value. There, buckets that one document fills alone are
+passed over; else windows are compared as whole strings and sorted by document, so counts are exact and hashes only say
+who meets.
 
 Hot passages: within a batch a super-k-mer that a smaller document has word for word is decided on the spot and only
-the first travels, so a passage in a third of all documents reaches its bucket about once a batch. A bucket over
+the first travels, so a passage in a third of all documents reaches its bucket about once a batch. A destination over
 ``OVERFLOW`` bytes is not gathered either: its windows leave one by one and are compared by an aggregation.
 
 Null and empty texts have no words and stay; so do texts under width words. A null doc_id counts as the largest.
@@ -24,8 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashing import mix, runs_of, span_hashes
@@ -34,11 +34,13 @@ from .shared import blocks, materialise, ship, utf8
 WIDTH = 13
 M = 3
 FEW_BYTES = 12
-OVERFLOW = 64 << 20
+OVERFLOW = 96 << 20
 LAST = (1 << 63) - 1
 
-_FLOW = "key long, ord long, thash long, pos int, n int, packed binary"
-_FLAGS = "ord long, thash long, pos int, n int, `window` binary"
+FLUSH = 8 << 20  # bytes of text after which a task sends what it has packed
+_FLOW = "dest int, sure boolean, raw long, blob binary"
+_FLAGS = "ord long, variant int, pos int, n int, `window` binary"
+_PLANES = (("key", "<u4"), ("ord", "<i8"), ("variant", "<i4"), ("pos", "<i4"), ("n", "<i4"))
 
 
 def _word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,20 +88,59 @@ def super_kmers(texts: list[bytes], width: int = WIDTH) -> tuple[list[bytes], np
     return packed, owner[first], first - first_word[owner[first]], n_windows, key[at].view(np.int64)
 
 
-def _deal(batches, width: int):
+def _blob(planes: dict[str, np.ndarray], packed: list[bytes]) -> tuple[int, bytes]:
+    """Super-k-mers as one compressed value: their numbers by columns (documents as steps), then their strings."""
+    columns = [(np.diff(planes[k], prepend=0) if k == "ord" else planes[k]).astype(t).tobytes() for k, t in _PLANES]
+    raw = b"".join([len(planes["pos"]).to_bytes(8, "little"), *columns, b"\n".join(packed)])
+    return len(raw), pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unblob(size: int, blob: bytes) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    raw = pa.Codec("zstd").decompress(blob, size, asbytes=True)
+    n, at, planes = int.from_bytes(raw[:8], "little"), 8, {}
+    for k, t in _PLANES:
+        planes[k] = np.frombuffer(raw, t, n, at)
+        at += planes[k].nbytes
+    planes["ord"] = np.cumsum(planes["ord"])
+    return planes, raw[at:].split(b"\n") if len(raw) > at else []
+
+
+def _deal(batches, width: int, dests: int):
+    """Packs the super-k-mers of a task by destination. Those that a smaller document of the batch has need no trip."""
+    held: list[tuple[dict[str, np.ndarray], np.ndarray, list[bytes]]] = []
+    size = 0
+
+    def flush():
+        planes = {k: np.concatenate([h[0][k] for h in held]) for k, _ in _PLANES}
+        packed = [p for h in held for p in h[2]]
+        dest = np.concatenate([h[1] for h in held])
+        out = {"dest": [], "sure": [], "raw": [], "blob": []}
+        order = np.argsort(dest, kind="stable")
+        cuts = np.flatnonzero(np.append(True, dest[order][1:] != dest[order][:-1])) if len(order) else []
+        for rows in np.split(order, cuts[1:]) if len(order) else []:
+            to = int(dest[rows[0]])
+            raw, blob = _blob({k: v[rows] for k, v in planes.items()}, [packed[i] for i in rows.tolist()] if to < dests else [])
+            for k, v in (("dest", to if to < dests else int(planes["ord"][rows[0]] % dests)), ("sure", to >= dests), ("raw", raw), ("blob", blob)):
+                out[k].append(v)
+        return pa.RecordBatch.from_pydict({"dest": pa.array(out["dest"], pa.int32()), "sure": pa.array(out["sure"], pa.bool_()), "raw": pa.array(out["raw"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())})
+
     for b in blocks(batches, 2 << 20):
         ord_ = b.column(0).to_numpy(zero_copy_only=False)
         order = np.argsort(ord_, kind="stable")
         texts = utf8(b.column(2).take(pa.array(order)))
-        ord_, thash = ord_[order], b.column(1).to_numpy(zero_copy_only=False)[order]
+        ord_, variant = ord_[order], b.column(1).to_numpy(zero_copy_only=False)[order]
         packed, owner, pos, n, key = super_kmers(texts, width)
         seen: dict[bytes, int] = {}
-        docs = ord_[owner].tolist()
-        decided = np.fromiter((seen.setdefault(p, d) < d for p, d in zip(packed, docs, strict=True)), dtype=bool, count=len(packed))
-        yield pa.RecordBatch.from_pydict({
-            "key": np.where(decided, thash[owner], key), "ord": ord_[owner], "thash": thash[owner], "pos": pos.astype(np.int32), "n": n.astype(np.int32),
-            "packed": pa.array(packed, pa.binary(), mask=decided) if len(packed) else pa.array([], pa.binary()),
-        })
+        decided = np.fromiter((seen.setdefault(p, d) < d for p, d in zip(packed, ord_[owner].tolist(), strict=True)), dtype=bool, count=len(packed))
+        u = key.view(np.uint64)
+        dest = np.where(decided, dests, (u % np.uint64(dests)).astype(np.int64))
+        held.append(({"key": (u // np.uint64(dests)).astype(np.uint32), "ord": ord_[owner], "variant": variant[owner], "pos": pos, "n": n}, dest, packed))
+        size += sum(map(len, texts))
+        if size >= FLUSH:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
 
 
 def _runs(row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,92 +163,102 @@ def _windows(packed: list[bytes], width: int) -> tuple[pa.Array, np.ndarray, np.
     return pa.array([joined[s:e] for s, e in zip(starts[at].tolist(), ends[at + width - 1].tolist(), strict=True)], pa.binary()), row, place
 
 
-def _flags(ord_: np.ndarray, thash: np.ndarray, pos: np.ndarray, n: np.ndarray, window=None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"ord": ord_, "thash": thash, "pos": pos.astype(np.int32), "n": n.astype(np.int32), "window": pa.nulls(len(ord_), pa.binary()) if window is None else window})
+def _flags(planes: dict[str, np.ndarray], pos: np.ndarray, n: np.ndarray, window=None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"ord": planes["ord"], "variant": planes["variant"].astype(np.int32), "pos": pos.astype(np.int32), "n": n.astype(np.int32), "window": pa.nulls(len(pos), pa.binary()) if window is None else window})
 
 
-def _compare(rows: pa.Table, width: int):
+def _compare(planes: dict[str, np.ndarray], packed: list[bytes], width: int):
     """Windows of complete buckets that a smaller document has too."""
-    ord_, thash, pos, n = (rows.column(c).to_numpy() for c in ("ord", "thash", "pos", "n"))
-    windows, row, place = _windows(rows.column("packed").to_pylist(), width)
-    code = windows.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    doc = ord_[row]
-    order = np.lexsort((doc, code))
-    head = np.append(True, code[order][1:] != code[order][:-1]) if len(order) else np.empty(0, bool)
-    least = np.empty(code.max() + 1 if len(code) else 0, dtype=np.int64)
-    least[code[order][head]] = doc[order][head]
-    hit = doc > least[code]
-    r, p, many = _runs(row[hit], place[hit])
-    return _flags(ord_[r], thash[r], pos[r] + p, many)
-
-
-def _singly(rows: pa.Table, width: int):
-    ord_, thash, pos = (rows.column(c).to_numpy() for c in ("ord", "thash", "pos"))
-    for at in range(0, rows.num_rows, 20_000):
-        windows, row, place = _windows(rows.column("packed").slice(at, 20_000).to_pylist(), width)
-        row = row + at
-        yield _flags(ord_[row], thash[row], pos[row] + place, np.ones(len(row), dtype=np.int32), windows)
+    order = np.lexsort((planes["ord"], planes["key"]))
+    key, ord_ = planes["key"][order], planes["ord"][order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(starts, len(key)))
+    rows = order[np.repeat(ord_[starts] != ord_[starts + sizes - 1], sizes)]  # buckets that documents share
+    for part in _whole_buckets(rows, planes["key"], [len(packed[i]) for i in rows.tolist()]):
+        some = {k: v[part] for k, v in planes.items()}
+        windows, row, place = _windows([packed[i] for i in part.tolist()], width)
+        code = windows.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        doc = some["ord"][row]
+        by = np.lexsort((doc, code))
+        head = np.append(True, code[by][1:] != code[by][:-1]) if len(by) else np.empty(0, bool)
+        least = np.empty(code.max() + 1 if len(code) else 0, dtype=np.int64)
+        least[code[by][head]] = doc[by][head]
+        hit = doc > least[code]
+        r, p, many = _runs(row[hit], place[hit])
+        yield _flags({k: v[r] for k, v in some.items()}, some["pos"][r] + p, many)
+
+
+def _whole_buckets(rows: np.ndarray, key: np.ndarray, sizes: list[int], most: int = 4 << 20):
+    """Cuts rows, sorted by key, into parts of about most bytes that hold whole buckets."""
+    if not len(rows):
+        return
+    step = np.cumsum(sizes) // most
+    change = np.flatnonzero(key[rows][1:] != key[rows][:-1]) + 1
+    cuts = change[np.append(True, step[change][1:] != step[change][:-1])] if len(change) else change
+    yield from np.split(rows, cuts)
+
+
+def _singly(planes: dict[str, np.ndarray], packed: list[bytes], width: int):
+    for at in range(0, len(packed), 20_000):
+        part = slice(at, at + 20_000)
+        windows, row, place = _windows(packed[part], width)
+        some = {k: v[part][row] for k, v in planes.items()}
+        yield _flags(some, some["pos"] + place, np.ones(len(row), dtype=np.int32), windows)
 
 
 def _meet(batches, width: int, overflow: int):
-    """Buckets arrive sorted by key and document, with rows that are decided already among them."""
-    waiting: list[pa.Table] = []  # of the bucket that is still open
-    held, spilled = 0, None  # its bytes; the key of a bucket that is too large to gather
+    """Blobs arrive sorted by destination; one destination is in memory at a time, if it is not too large."""
+    here, size, large = None, 0, False
+    waiting: list[tuple[dict[str, np.ndarray], list[bytes]]] = []
+
+    def settle():
+        if waiting:
+            yield from _compare({k: np.concatenate([w[0][k] for w in waiting]) for k, _ in _PLANES}, [p for w in waiting for p in w[1]], width)
+
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        sure = pc.is_null(table.column("packed"))
-        done = table.filter(sure)
-        if done.num_rows:
-            yield _flags(*(done.column(c).to_numpy() for c in ("ord", "thash", "pos", "n")))
-        table = table.filter(pc.invert(sure))
-        if not table.num_rows:
-            continue
-        keys = table.column("key").to_numpy()
-        if spilled is not None:
-            cut = int(np.searchsorted(keys, spilled, side="right"))
-            yield from _singly(table.slice(0, cut), width)
-            table, keys = table.slice(cut), keys[cut:]
-            if not len(keys):
+        for dest, sure, raw, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            planes, packed = _unblob(raw, blob)
+            if sure:
+                yield _flags(planes, planes["pos"], planes["n"])
                 continue
-            spilled = None
-        last = int(np.searchsorted(keys, keys[-1]))  # where the open bucket begins
-        if not (waiting and last == 0 and waiting[0].column("key")[0].as_py() == keys[0]):
-            whole = pa.concat_tables([*waiting, table.slice(0, last)]).combine_chunks() if last or waiting else table.slice(0, 0)
-            k = whole.column("key").to_numpy() if whole.num_rows else np.empty(0, np.int64)
-            if len(k):
-                starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-                sizes = np.diff(np.append(starts, len(k)))
-                ord_ = whole.column("ord").to_numpy()
-                shared = np.repeat(ord_[starts] != ord_[starts + sizes - 1], sizes)
-                if shared.any():
-                    yield _compare(whole.filter(pa.array(shared)), width)
-            waiting, held = [], 0
-        tail = table.slice(last)
-        waiting.append(tail.combine_chunks())
-        held += sum(len(x) for x in tail.column("packed").to_pylist())
-        if held > overflow:
-            for t in waiting:
-                yield from _singly(t, width)
-            spilled, waiting, held = keys[-1], [], 0
-    if waiting:
-        whole = pa.concat_tables(waiting).combine_chunks()
-        ord_ = whole.column("ord").to_numpy()
-        if ord_[0] != ord_[-1]:
-            yield _compare(whole, width)
+            if dest != here:
+                yield from settle()
+                here, size, large, waiting = dest, 0, False, []
+            size += raw
+            if large or size > overflow:
+                for w in [*waiting, (planes, packed)]:
+                    yield from _singly(*w, width)
+                waiting, large = [], True
+            else:
+                waiting.append((planes, packed))
+    yield from settle()
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, overflow: int = OVERFLOW) -> DataFrame:
-    """ord, thash and the runs (pos, n) of windows to remove; docs: ord, thash, text."""
+    """ord, variant and the runs (pos, n) of windows to remove; docs: ord, variant, text."""
     if width < M + 1:
         raise ValueError(f"a window needs more than {M} words")
-    dealt = docs.select("ord", "thash", "text").mapInArrow(lambda it: _deal(it, width), _FLOW)
-    met = dealt.repartition("key").sortWithinPartitions("key", "ord").mapInArrow(lambda it: _meet(it, width, overflow), _FLAGS)
+    dests = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("ord", "variant", "text").mapInArrow(lambda it: _deal(it, width, dests), _FLOW)
+    met = dealt.repartition("dest").sortWithinPartitions("dest").mapInArrow(lambda it: _meet(it, width, overflow), _FLAGS)
     flags = materialise(met, "windows")
     sure, single = flags.where("`window` IS NULL").drop("window"), flags.where("`window` IS NOT NULL")
     if single.isEmpty():
         return sure
     least = single.groupBy("window").agg(F.min("ord").alias("least"))
-    return sure.unionByName(single.join(least, "window").where("ord > least").select("ord", "thash", "pos", "n"))
+    return sure.unionByName(single.join(least, "window").where("ord > least").select("ord", "variant", "pos", "n"))
+
+
+def _with_variants(docs: DataFrame, id_col: str, text: F.Column) -> DataFrame:
+    """Adds ord, and variant: 0, but where texts share a doc_id a number that tells them apart."""
+    keyed = docs.withColumns({"ord": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "thash": F.coalesce(F.xxhash64(text), F.lit(0))})
+    shared = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord")).groupBy("ord").count().where("count > 1").select("ord")
+    shared = materialise(shared, "shared")
+    if shared.isEmpty():
+        return keyed.withColumn("variant", F.lit(0))
+    number = F.row_number().over(Window.partitionBy("ord").orderBy("thash"))
+    names = materialise(keyed.join(shared, "ord", "left_semi").select("ord", "thash").distinct().withColumn("variant", number), "variants")
+    return keyed.join(names, ["ord", "thash"], "left").withColumn("variant", F.coalesce("variant", F.lit(0)))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", overflow: int = OVERFLOW) -> DataFrame:
@@ -216,13 +267,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, kee
     keep_text puts the kept words (joined by a space) into text instead, and keeps all columns of docs.
     """
     ship(spark)
-    text = F.col(text_col).cast("string")
-    known = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("thash"), text.alias("text"))
-    runs = repeated_windows(known, width, overflow)
-    marks = runs.groupBy("ord", "thash").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))  # of one document
-    rest = [F.struct(*docs.columns).alias("row")] if keep_text else [F.col(id_col).cast("long").alias("doc_id"), text.alias("text")]
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("thash"), *rest)
-    joined = keyed.join(marks, ["ord", "thash"], "left")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = _with_variants(whole, "doc_id", F.col("text"))
+    runs = repeated_windows(keyed, width, overflow)
+    marks = runs.groupBy("ord", "variant").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))  # of one document
+    rest = ["row"] if keep_text else ["doc_id", "text"]
+    joined = keyed.select("ord", "variant", *rest).join(marks, ["ord", "variant"], "left")
 
     def kept(t: bytes, pos: list | None, n: list | None) -> tuple[int, int, bytes]:
         words = t.split()
