@@ -48,8 +48,6 @@ class Encoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[bytes]) -> None:
-        if len(self.known) + len(pieces) > CACHE_PIECES:
-            self.known.clear()
         other = []
         for p in pieces:
             if p.isalpha():  # bytes: ASCII letters only, which the normaliser and splitter leave as they are
@@ -78,7 +76,11 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(buf[kept])])
         coded = pieces.dictionary_encode()
         unique = coded.dictionary.to_pylist()
-        self._learn([p for p in unique if p not in self.known])
+        new = [p for p in unique if p not in self.known]
+        if len(self.known) + len(new) > CACHE_PIECES:
+            self.known.clear()
+            new = unique
+        self._learn(new)
         ids = [self.known[p] for p in unique]
         width = self.dtype.itemsize
         ends = np.zeros(len(ids) + 1, dtype=np.int64)
