@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
+__all__ = ["WORD", "blocks", "discard", "materialise", "new_folder", "ship", "take_ragged", "utf8", "work_root"]
+
 #: ASCII white space, the separators of every "word" in the contracts (space and 0x09-0x0D).
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -61,22 +62,6 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable on executors that do not share the driver's module path."""
-    context = spark.sparkContext
-    if getattr(context, "_lumenreel_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="ship-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = os.path.join(folder, "lumenreel_package.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    context.addPyFile(archive)
-    context._lumenreel_shipped = True
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
