@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, langid, media, mixing, packing, simhash, substrings, toxicity, urls
+from . import binary_output, langid, media, mixing, packing, search, simhash, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_documents(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.token_output(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_source_mixing, op5_simhash_dedup, op7_packing, op8_media_columns, op9_language_id, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_source_mixing, op5_simhash_dedup, op6_topk_search, op7_packing, op8_media_columns, op9_language_id, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL}
