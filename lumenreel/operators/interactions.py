@@ -12,8 +12,8 @@ def binary_matrix(positives: DataFrame) -> DataFrame:
 
 
 def last_rating_matrix(ratings: DataFrame) -> DataFrame:
-    """Of each user and movie the rating that comes last in the file."""
-    return ratings.groupBy("user_id", "movie_id").agg(F.max_by("rating", "pos").alias("rating"))
+    """Of each user and movie the rating that comes last in the file; of rows at one place the larger."""
+    return ratings.groupBy("user_id", "movie_id").agg(F.max_by("rating", F.struct("pos", "rating")).alias("rating"))
 
 
 def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:

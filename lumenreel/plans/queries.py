@@ -50,7 +50,7 @@ def dense_user_ids(spark, d):
     return I.dense_ids(A.positives(spark, d), "user_id", "row_id")
 
 
-@query("SELECT user_id, movie_id, arg_max(rating, pos) AS rating FROM ratings GROUP BY ALL")
+@query("SELECT user_id, movie_id, arg_max(rating, (pos, rating)) AS rating FROM ratings GROUP BY ALL")
 def last_rating_matrix(spark, d):
     return I.last_rating_matrix(A.ratings(spark, d))
 
@@ -396,7 +396,7 @@ def many_positive_metrics(spark, d):
     return M.many_positive_metrics(ranked, new, 20).select("user_id", *[r6(c).alias(c) for c in ("recall", "ndcg", "mrr")])
 
 
-_SWAPS = f"""{_LATE}, g AS (SELECT user_id, unnest(genres) AS genre FROM old JOIN catalog USING (item_index)), f AS (SELECT user_id, genre, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, genre) AS k FROM g GROUP BY ALL),
+_SWAPS = f"""{_LATE}, g AS (SELECT user_id, unnest(genres) AS genre FROM old JOIN catalog USING (item_index)), f AS (SELECT user_id, genre, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, genre) AS k FROM g GROUP BY user_id, genre),
 swaps AS (SELECT a.user_id, a.genre AS down_genre, b.genre AS up_genre FROM f a JOIN f b ON a.user_id = b.user_id AND a.k = 1 AND b.k = 3),
 after AS (SELECT s.user_id, r.item_index, row_number() OVER (PARTITION BY s.user_id ORDER BY list_contains(genres, up_genre) DESC, rank) AS rank FROM ranked r JOIN swaps s USING (user_id) JOIN catalog USING (item_index)),
 score AS (SELECT 'was' AS k, l.user_id, sum(CASE WHEN list_contains(genres, down_genre) THEN 1 / log2(rank + 1) ELSE 0 END) / sum(1 / log2(rank + 1)) AS dn, sum(CASE WHEN list_contains(genres, up_genre) THEN 1 / log2(rank + 1) ELSE 0 END) / sum(1 / log2(rank + 1)) AS up
@@ -414,7 +414,7 @@ def _changes(spark, d) -> DataFrame:
     swaps = ranked.where("k = 1").select("user_id", F.col("genre").alias("down_genre")).join(ranked.where("k = 3").select("user_id", F.col("genre").alias("up_genre")), "user_id")
     moved = before.join(swaps, "user_id").join(catalog.select("item_index", "genres"), "item_index")
     order = Window.partitionBy("user_id").orderBy(F.desc(F.array_contains("genres", F.col("up_genre"))), "rank")
-    return M.controllability(before, moved.withColumn("rank", F.row_number().over(order)), catalog, swaps)
+    return M.controllability(before, moved.withColumn("rank", F.row_number().over(order)).select("user_id", "item_index", "rank"), catalog, swaps)
 
 
 @query(f"{_SWAPS} SELECT user_id, down_genre, up_genre, round(change_down, 6) + 0.0 AS change_down, round(most_down, 6) AS most_down, round(change_up, 6) + 0.0 AS change_up, round(most_up, 6) + 0.0 AS most_up FROM changes")
@@ -488,14 +488,14 @@ def summaries(spark, d):
     )
 
 
-@query("""x AS (SELECT user_id, pos, unnest(genres) AS genre, generate_subscripts(genres, 1) AS at FROM ratings JOIN catalog USING (movie_id)), c AS (SELECT user_id, genre, count(*) AS n, min(pos * 10 + at) AS first FROM x GROUP BY ALL),
+@query("""x AS (SELECT user_id, pos, unnest(genres) AS genre, generate_subscripts(genres, 1) AS place FROM ratings JOIN catalog USING (movie_id)), c AS (SELECT user_id, genre, count(*) AS n, min(pos * 100 + place) AS first FROM x GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) AS k FROM c) SELECT user_id, 'User seems to enjoy ' || string_agg(genre, ', ' ORDER BY k) || ' movies.' AS summary FROM r WHERE k <= 3 GROUP BY 1""")
 def top_genre_summary(spark, d):
     rows = A.ratings(spark, d).select("user_id", "pos", "movie_id").join(A.catalog(spark, d).select("movie_id", "genres"), "movie_id")
     return M.top_genres(rows).select("user_id", F.concat(F.lit("User seems to enjoy "), F.array_join("genres", ", "), F.lit(" movies.")).alias("summary"))
 
 
-@query(f"""{_SPLIT}, g AS (SELECT user_id, unnest(genres) AS genre FROM history JOIN catalog USING (item_index)), c AS (SELECT user_id, genre, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, genre) AS k FROM g GROUP BY ALL),
+@query(f"""{_SPLIT}, g AS (SELECT user_id, unnest(genres) AS genre FROM history JOIN catalog USING (item_index)), c AS (SELECT user_id, genre, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, genre) AS k FROM g GROUP BY user_id, genre),
 gs AS (SELECT user_id, string_agg(genre, ', ' ORDER BY k) AS genres FROM c WHERE k <= 5 GROUP BY 1), h AS (SELECT user_id, item_index, row_number() OVER (PARTITION BY user_id ORDER BY item_index) - 1 AS p, count(*) OVER (PARTITION BY user_id) AS n FROM history),
 s AS (SELECT h.user_id, string_agg(title, '; ' ORDER BY p) AS titles FROM h JOIN catalog USING (item_index) WHERE n <= 12 OR list_contains(list_transform(range(12), lambda i: (i * (n - 1)) // 11), p) GROUP BY 1)
 SELECT user_id, 'The user enjoys ' || genres || ' movies. Movies they liked include: ' || titles || '.' AS description FROM gs JOIN s USING (user_id)""")

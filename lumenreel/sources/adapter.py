@@ -18,7 +18,7 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return line.join(order, line.l_orderkey == order.o_orderkey).select(
         F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("movie_id"), (F.floor((F.col("l_quantity") - 1) / 10) + 1).cast("int").alias("rating"),
-        F.col("o_orderdate").alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        F.col("o_orderdate").alias("ts"), ((F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("pos"),
     )
 
 
@@ -40,7 +40,7 @@ def positives(spark: SparkSession, sf_dir: str, least: int = 4) -> DataFrame:
 
 #: The same three as SQL, for the checks.
 SQL = """
-ratings AS (SELECT o_custkey AS user_id, l_partkey AS movie_id, (floor((l_quantity - 1) / 10) + 1)::INT AS rating, o_orderdate AS ts, l_orderkey * 10 + l_linenumber AS pos
+ratings AS (SELECT o_custkey AS user_id, l_partkey AS movie_id, (floor((l_quantity - 1) / 10) + 1)::INT AS rating, o_orderdate AS ts, (l_orderkey * 100 + l_linenumber) * 10000000 + l_partkey AS pos
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 catalog AS (SELECT p_partkey AS item_index, p_partkey AS movie_id, p_name || ' (' || p_partkey::VARCHAR || ')' AS title,
   trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS norm_title, list_filter([p_type, string_split(p_name, ' ')[1], string_split(p_name, ' ')[2]], lambda x: x IS NOT NULL) AS genres FROM part),
