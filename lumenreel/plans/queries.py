@@ -11,10 +11,12 @@ from ..functions import vectors as V
 from ..operators import interactions as I
 from ..operators import metrics as M
 from ..operators import models as S
+from ..operators import neural
 from ..operators import ranking as R
 from ..operators import requests as Q
 from ..sources import adapter as A
 from ..sources import readers
+from ..streaming.counts import windowed_counts
 from .evaluate import Protocol
 
 QUERIES: dict = {}
@@ -578,3 +580,20 @@ def genre_steering(spark, d):
     v, g = F.col("v"), F.lit("PROMO")
     rounded = lambda x: F.transform(x, lambda y: F.round(y, 6))
     return own.select("user_id", rounded(v).alias("shares"), *[rounded(V.steer(v, names, g, m)).alias(m) for m in ("small", "one_hot", "negative")], rounded(V.steer(v, names, g, "proportional", F.lit("ECONOMY"))).alias("proportional"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL", base=False)
+def hourly_events(spark, d):
+    """The streaming plan over a table."""
+    rows = windowed_counts(A.table(spark, d, "events"))
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+@query()
+def autoencoder_recommendations(spark, d):
+    """A dense encoder-decoder over all users; its weights are fixed by a seed, as training is not the engine's."""
+    own, catalog, items = _ease_items(spark, d, 2000)
+    rng = np.random.default_rng(0)
+    layer = lambda a, b: (rng.normal(0, a**-0.5, (a, b)), np.zeros(b))
+    model = neural.make("vae", encoder=[layer(len(items), 32), layer(32, 16)], decoder=[layer(8, 32), layer(32, len(items))], latent=8)
+    return neural.score_users(I.binary_matrix(own), model, items)
