@@ -170,11 +170,12 @@ def near_links(distinct: DataFrame, most: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"key": keys, "fp": fps})
 
     def meet(batches):
-        keys = fps = np.empty(0, np.int64)
         done = lambda x, y: pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
         waiting: list = []
         for b in batches:
             k, f = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if not len(k):
+                continue
             waiting.append((k, f))
             if k[0] == k[-1] and len(waiting) > 1 and waiting[0][0][0] == k[0]:
                 continue  # still in the bucket that began before
