@@ -243,7 +243,10 @@ def embedding_top_k(queries: DataFrame, items: DataFrame, k: int = 10, boost: Da
     ids = sent.query_id.to_numpy()
     q = np.nan_to_num(q)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    extra = {} if boost is None else {(r[0], r[1]): r[2] for r in boost.groupBy("query_id", "item_id").count().collect()}
+    extra: dict[int, list[tuple[int, int]]] = {}
+    if boost is not None:  # liked titles of the queries at hand
+        for r in boost.groupBy("query_id", "item_id").count().collect():
+            extra.setdefault(r[0], []).append((r[1], r[2]))
     shared = items.sparkSession.sparkContext.broadcast((q, ids, extra))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,8 +264,8 @@ def embedding_top_k(queries: DataFrame, items: DataFrame, k: int = 10, boost: Da
                 scores = q[at : at + 256] @ v.T
                 for row, query in enumerate(ids[at : at + 256]):
                     line = scores[row]
-                    for (one, item), n in extra.items() if len(extra) < 64 else ():
-                        if one == query and item in where:
+                    for item, n in extra.get(int(query), ()):
+                        if item in where:
                             line[where[item]] += amount * n
                     cols, best = _best(np.round(line, DIGITS), k)
                     yield pd.DataFrame({"query_id": query, "item_id": names[cols], "score": best})

@@ -207,6 +207,14 @@ def test_vectors(spark):
     assert abs(value(V.temperature_kl(arr(1, 2), arr(1, 2), 2.0))) < 1e-12
 
 
+def test_boosted_neighbours(spark, catalog):
+    items = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0])], "item_id long, embedding array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<double>")
+    liked = R.liked_boost(catalog, spark.createDataFrame([(7, "Space Two (2001)"), (7, "space two"), (7, "?")], "query_id long, title string"))
+    got = [(r.item_id, round(r.score, 3)) for r in S.embedding_top_k(queries, items, 2, liked).orderBy("rank").collect()]
+    assert got == [(1, 1.294), (0, 1.0)]
+
+
 def test_weights():
     assert S.Weights(2, 1, 1).normalized() == S.Weights(0.5, 0.25, 0.25)
     assert len(S.GRID) == 27
