@@ -94,7 +94,8 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
     def border(rows: DataFrame, level: str, room: DataFrame) -> DataFrame:
         """By source: the first bin in which the words pass the room, and the words before it."""
         add = Window.partitionBy("source").orderBy(level)
-        sums = rows.groupBy("source", level).agg(F.sum("size").alias("words"))  # BINS rows a source at most
+        # Written, so that bins are added up by source and bin: else all that tasks have of a source would meet first.
+        sums = materialise(rows.groupBy("source", level).agg(F.sum("size").alias("words")), "bins")  # BINS rows a source at most
         sums = by_source(sums.withColumn("through", F.sum("words").over(add)), room)
         passed = sums.where(F.col("through") > F.col("room")).groupBy("source").agg(F.min(F.struct(F.col(level), (F.col("room") - F.col("through") + F.col("words")).alias("left"))).alias("b"))
         return passed.select("source", F.col(f"b.{level}").alias(f"b_{level}"), F.col("b.left").alias("room"))
