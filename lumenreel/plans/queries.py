@@ -543,8 +543,8 @@ def _next(spark, d) -> DataFrame:
 
 
 @query(f"""{_NEXT}, f AS (SELECT *, list_transform(range(1, len(x) + 1), lambda i: 0.75::DOUBLE * x[i] + 0.25::DOUBLE * y[i]) AS f FROM v)
-SELECT vec_id, list_transform(f, lambda z: round(z / sqrt(list_sum(list_transform(f, lambda w: w * w))), 6)) AS fused, list_transform(range(1, len(x) + 1), lambda i: round(0.75::DOUBLE * x[i] + 0.25::DOUBLE * y[i], 6)) AS merged,
-  list_transform(range(1, len(x) + 1), lambda i: round((y[i] - x[i]) / 2, 6)) AS negative, round(list_cosine_similarity(x, y), 6) AS cosine FROM f""")
+SELECT vec_id, list_transform(f, lambda z: round(z / sqrt(list_sum(list_transform(f, lambda w: w * w))), 6) + 0.0) AS fused, list_transform(range(1, len(x) + 1), lambda i: round(0.75::DOUBLE * x[i] + 0.25::DOUBLE * y[i], 6) + 0.0) AS merged,
+  list_transform(range(1, len(x) + 1), lambda i: round((y[i] - x[i]) / 2, 6) + 0.0) AS negative, round(list_cosine_similarity(x, y), 6) + 0.0 AS cosine FROM f""")
 def vector_fusion(spark, d):
     rounded = lambda v: F.transform(v, lambda x: F.round(x, 6))
     x, y = F.col("x"), F.col("y")
