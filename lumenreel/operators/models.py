@@ -190,15 +190,19 @@ def recommend_users(history: DataFrame, side: ItemSide, models: dict[str, Weight
                 users = batch.user_id.to_numpy()[at : at + 128]
                 profiles = [s.locate(np.asarray(x)) for x in batch["items"].iloc[at : at + 128]]
                 parts = (rows_min_max(s.collaborative(profiles)), rows_min_max(s.content(profiles))) if hybrid else None
-                out = []
+                out: list[tuple[str, int, np.ndarray, np.ndarray]] = []
                 for name, w in wanted.items():
                     total = s.linear(profiles) if isinstance(w, str) else w.collaborative * parts[0] + w.content * parts[1] + w.popularity * s.popularity
                     total = np.round(total, DIGITS)
                     for row, own in enumerate(profiles):
                         total[row, own] = -np.inf
                         cols, best = _best(total[row], k)
-                        out.append(pd.DataFrame({"model": name, "user_id": users[row], "rank": np.arange(1, len(cols) + 1, dtype=np.int32), "item_index": s.items[cols], "score": best + 0.0}))
-                yield pd.concat(out)
+                        out.append((name, users[row], cols, best))
+                n = [len(o[2]) for o in out]
+                yield pd.DataFrame({
+                    "model": np.repeat(np.array([o[0] for o in out], dtype=object), n), "user_id": np.repeat(np.array([o[1] for o in out]), n), "rank": np.concatenate([np.arange(1, k + 1, dtype=np.int32) for k in n]),
+                    "item_index": s.items[np.concatenate([o[2] for o in out])], "score": np.concatenate([o[3] for o in out]) + 0.0,
+                })
 
     profiles = history.groupBy("user_id").agg(F.collect_list("item_index").alias("items"))  # of one user
     return profiles.mapInPandas(run, "model string, user_id long, rank int, item_index long, score double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,18 +73,43 @@ def diversify(candidates: DataFrame, k: int = 10, penalty: float = 0.1, candidat
     similarity to those taken; the first of equals wins.
     """
     few = top_k(candidates, candidate_k, by)
-    whole = Window.partitionBy(by)
-    span = F.max("score").over(whole) - F.min("score").over(whole)
-    rel = F.when(span > 1e-12, (F.col("score") - F.min("score").over(whole)) / span).otherwise(F.lit(0.0))
-    rows = few.withColumn("rel", rel).groupBy(by).agg(F.array_sort(F.collect_list(F.struct((F.col("rank") - 1).alias("pos"), "rel", F.array_distinct("genres").alias("g"), "item_index"))).alias("c"))
-    kind = "array<struct<pos:int,rel:double,g:array<string>,item_index:bigint>>"
-    picked = f"""
-      aggregate(sequence(1, least({k}, size(c))), cast(array() as {kind}), (acc, i) -> concat(acc, array(
-        array_max(transform(filter(c, x -> not exists(acc, y -> y.pos = x.pos)), x -> struct(
-          x.rel - {penalty}D * coalesce(array_max(transform(acc, y ->
-            case when size(array_union(x.g, y.g)) > 0 then size(array_intersect(x.g, y.g)) / cast(size(array_union(x.g, y.g)) as double) else 0D end)), 0D) as obj,
-          -x.pos as np, x as it))).it)))"""
-    return rows.withColumn("c", F.col("c").cast(kind)).select(by, F.posexplode(F.expr(picked)).alias("p", "it")).select(by, (F.col("p") + 1).alias("rank"), "it.item_index")
+    rows = few.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "score", "item_index", F.coalesce("genres", F.array().cast("array<string>")).alias("genres")))).alias("c"))
+    flat = rows.select(by, F.col("c.score").alias("scores"), F.col("c.item_index").alias("items"), F.col("c.genres").alias("genres"))
+    ship(flat.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                n = np.array([len(x) for x in part["items"]])
+                wide = int(n.max())
+                names = {g: i for i, g in enumerate(sorted({g for lists in part["genres"] for own in lists for g in own}))}
+                has = np.zeros((len(part), wide, len(names)), dtype=np.float32)
+                rel = np.full((len(part), wide), -np.inf)
+                for u, (scores, lists) in enumerate(zip(part["scores"], part["genres"], strict=True)):
+                    x = np.asarray(scores, dtype=np.float64)
+                    span = x.max() - x.min()
+                    rel[u, : n[u]] = (x - x.min()) / span if span > 1e-12 else 0.0
+                    for i, own in enumerate(lists):
+                        has[u, i, [names[g] for g in own]] = 1
+                both = (has @ has.transpose(0, 2, 1)).astype(np.float64)  # counts, exact in either type
+                sizes = has.sum(axis=2, dtype=np.float64)
+                union = sizes[:, :, None] + sizes[:, None, :] - both
+                near = np.divide(both, union, out=np.zeros(both.shape), where=union > 0)
+                most, taken = np.zeros((len(part), wide)), []
+                users = np.arange(len(part))
+                for _ in range(min(k, wide)):  # one more item of every user at each step
+                    pick = np.argmax(rel - penalty * most, axis=1)
+                    taken.append(np.where(np.isfinite(rel[users, pick]), pick, -1))
+                    rel[users, pick] = -np.inf
+                    most = np.maximum(most, near[users, pick])
+                order = np.stack(taken, axis=1)
+                u, r = np.nonzero(order >= 0)
+                items = part["items"].tolist()
+                yield pd.DataFrame({by: part[by].to_numpy()[u], "rank": (r + 1).astype(np.int32), "item_index": np.array([items[x][y] for x, y in zip(u.tolist(), order[u, r].tolist(), strict=True)], dtype=np.int64)})
+
+    kind = candidates.schema[by].dataType.simpleString()
+    return flat.mapInPandas(run, f"`{by}` {kind}, rank int, item_index long")
 
 
 def quota_selection(items: DataFrame, most: int = 10, wanted: int = 50) -> DataFrame:
