@@ -1,6 +1,6 @@
 """Exact top-k search: BM25 over an inverted index, with block-max WAND pruning per shard and an exact merge.
 
-Documents are dealt to shards by ranges of doc_id. A shard's index has the postings of each term in document order, cut
+Documents are dealt to shards by a hash of doc_id. A shard's index has the postings of each term in document order, cut
 into blocks of ``BLOCK`` documents, each with the largest score of the term in it. Document frequencies, the number of
 documents and their mean length are counted over all documents, so a score does not depend on the shards, and the best
 ``k`` of the shards' best are the best of all.
@@ -138,10 +138,10 @@ def search(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: int = 10
     weighed = words.join(df, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"))  # of one text
     groups = max(1, -(-asked.count() // GROUP))
     packed = materialise(weighed.select("doc_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp")), "weighed")
-    # A shard is a range of doc_id, so that copies and texts of one origin are near each other and block bounds are tight.
-    ranged = counted.repartitionByRange(shards, "doc_id").withColumn("shard", F.spark_partition_id())
+    # A shard is known from the doc_id alone, so documents are dealt once, together with the queries.
+    dealt = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    documents = ranged.select("shard", F.lit(-1).alias("grp"), "doc_id", "length", "terms", "counts", none("array<double>", "idf"))
+    documents = dealt.select("shard", F.lit(-1).alias("grp"), "doc_id", "length", "terms", "counts", none("array<double>", "idf"))
     # Every group of queries meets every shard; a query's row is copied once for each shard, not for each document.
     requests = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "grp", "doc_id", none("long", "length"), "terms", none("array<int>", "counts"), "idf")
 
