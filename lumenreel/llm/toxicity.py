@@ -7,9 +7,11 @@ weight for each term and the inner product of the factors of each pair, so a pai
 a group counts beyond the sum of its terms.
 
 It learns from a bounded sample of labelled documents (``PER_CLASS`` expected of each label, by a hash of doc_id).
-Over the sample the cluster counts, for each term, the documents of either label; the ``MOST_TERMS`` terms that lean
-most to label 1 become the machine's terms. Weights follow the regularised leader (L1 and L2), ``RANK`` factors take
-adaptive gradient steps.
+Over the sample the cluster counts, for each term, the documents of either label. The machine's terms are, of those in
+``LEAST`` documents, the ``MOST_TERMS`` that lean most to label 1, as many that lean most to label 0, and the as many
+most frequent under any label: a term may say nothing alone and much in a pair. Leaning terms have weights, which follow
+the regularised leader (L1 and L2); all terms have ``RANK`` factors, which take adaptive gradient steps. Leaning terms
+are learned first and then all together, so that neutral terms learn what is left to explain.
 
 Scoring reads whole texts and nothing else. Null and empty texts have the bias alone. A document with a null doc_id is
 scored and never learned from; of several labels of a document the largest counts, and null labels do not. Without
@@ -31,8 +33,9 @@ from .shared import blocks, materialise, ship, utf8
 PER_CLASS = 4000
 MOST_TERMS = 20_000
 LEAST = 3
-RATIO = 3.0  # how much more frequent a term must be under label 1
+RATIO = 3.0  # how much more frequent a leaning term must be under its label
 RANK = 4
+NEUTRAL_PACE = 0.2  # of the factors' steps; the many neutral terms of a long text would else overshoot together
 EPOCHS = 5
 PREFIXES = range(4, 10)
 _MARKS = 1 << 22
@@ -107,8 +110,11 @@ def _marks(keys: np.ndarray) -> np.ndarray:
     return marks
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, keys: np.ndarray, alpha: float = 0.3, l1: float = 0.1, l2: float = 0.1, rate: float = 0.05, decay: float = 1e-3) -> Machine:
-    """Learns from sets of positions in keys (sorted term hashes) and labels 0 or 1."""
+def fit(sets: list[np.ndarray], labels: np.ndarray, keys: np.ndarray, leaning: np.ndarray | None = None, alpha: float = 0.3, l1: float = 0.1, l2: float = 0.1, rate: float = 0.05, decay: float = 1e-3) -> Machine:
+    """Learns from sets of positions in keys (sorted term hashes) and labels 0 or 1.
+
+    leaning marks the keys that have a weight and are learned first; the others have factors alone.
+    """
     rng = np.random.default_rng(0)
     z, n = np.zeros(len(keys)), np.zeros(len(keys))
     v, vn = rng.normal(0, 0.01, (len(keys), RANK)), np.ones((len(keys), RANK))
@@ -117,20 +123,27 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, keys: np.ndarray, alpha: flo
     def weights(zi, ni):
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((1 + np.sqrt(ni)) / alpha + l2))
 
-    for _ in range(EPOCHS):
-        for i in rng.permutation(len(sets)):
-            at = sets[i]
-            zi, ni, vi = z[at], n[at], v[at]
-            w = weights(zi, ni)
-            total = vi.sum(axis=0)
-            g = _sigmoid(bias + w.sum() + (total @ total - (vi * vi).sum()) / 2) - labels[i]
-            z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
-            n[at] = ni + g * g
-            step = g * (total - vi) + decay * vi
-            vn[at] += step * step
-            v[at] = vi - rate * step / np.sqrt(vn[at])
-            bn += g * g
-            bias -= 0.5 * g / np.sqrt(bn)
+    if leaning is None:
+        leaning, rounds = np.ones(len(keys), bool), [sets]
+    else:
+        rounds = [[s[leaning[s]] for s in sets], sets]
+    pace = np.where(leaning, rate, rate * NEUTRAL_PACE)[:, None]
+    for rows in rounds:
+        for _ in range(EPOCHS):
+            for i in rng.permutation(len(rows)):
+                at = rows[i]
+                own = at[leaning[at]]
+                zi, ni, vi = z[own], n[own], v[at]
+                w = weights(zi, ni)
+                total = vi.sum(axis=0)
+                g = _sigmoid(bias + w.sum() + (total @ total - (vi * vi).sum()) / 2) - labels[i]
+                z[own] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
+                n[own] = ni + g * g
+                step = g * (total - vi) + decay * vi
+                vn[at] += step * step
+                v[at] = vi - pace[at] * step / np.sqrt(vn[at])
+                bn += g * g
+                bias -= 0.5 * g / np.sqrt(bn)
     return Machine(keys, weights(z, n), v, float(bias), _marks(keys))
 
 
@@ -169,9 +182,14 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
 
     counted = sample.mapInArrow(count, "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     odds = (F.col("bad") + 0.5) / F.lit(bad + 1.0) / ((F.col("n") - F.col("bad") + 0.5) / F.lit(fine + 1.0))
-    leaning = counted.where(F.col("bad") >= LEAST).withColumn("odds", odds).where(F.col("odds") >= RATIO)
-    top = leaning.orderBy(F.desc(F.col("bad") * F.log("odds")), "term").limit(MOST_TERMS).select("term").collect()
-    keys = np.sort(np.array([r["term"] for r in top], dtype=np.int64).view(np.uint64))
+    counted = materialise(counted.where(F.col("n") >= LEAST).select("term", "bad", "n", (F.col("n") - F.col("bad")).alias("fine"), F.log(odds).alias("lean")), "terms")
+
+    def first(rows: DataFrame, *order) -> np.ndarray:
+        return np.array([r["term"] for r in rows.orderBy(*order, "term").limit(MOST_TERMS).select("term").collect()], dtype=np.int64).view(np.uint64)
+
+    toxic = first(counted.where((F.col("bad") >= LEAST) & (F.col("lean") >= float(np.log(RATIO)))), F.desc(F.col("bad") * F.col("lean")))
+    benign = first(counted.where((F.col("fine") >= LEAST) & (F.col("lean") <= -float(np.log(RATIO)))), F.col("fine") * F.col("lean"))
+    keys = np.unique(np.concatenate([toxic, benign, first(counted, F.desc("n"))]))
     if not len(keys):
         return Machine(keys, np.empty(0), np.empty((0, RANK)), float(np.log(bad / fine)), np.zeros(_MARKS, bool))
 
@@ -186,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
 
     rows = sample.mapInArrow(narrow, "doc_id long, toxic int, terms binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
-    return fit([np.frombuffer(r["terms"], "<i4") for r in rows], np.array([r["toxic"] for r in rows], dtype=np.float64), keys)
+    return fit([np.frombuffer(r["terms"], "<i4") for r in rows], np.array([r["toxic"] for r in rows], dtype=np.float64), keys, np.isin(keys, np.concatenate([toxic, benign])))
 
 
 def score(spark: SparkSession, docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:

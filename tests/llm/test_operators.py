@@ -435,6 +435,21 @@ def test_pairs_count_beyond_their_terms():
     assert pair(0, 1) > 5 * abs(pair(0, 5))
 
 
+def test_pair_of_neutral_terms_is_learned_from_documents(spark):
+    """Neither word is three times as frequent under label 1, so that only their factors can tell."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(3000):
+        a, b = rng.random() < 0.6, rng.random() < 0.6
+        words = [f"w{k:03d}" for k in rng.integers(0, 300, 20)] + ["gizmo"] * a + ["folks"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a and b)))
+    own = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = toxicity.toxic_documents(spark, own.select("doc_id", "text"), own.select("doc_id", "toxic")).join(own, "doc_id").where("held_out").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    by = {r.toxic: r.p for r in out}
+    assert by[1] > 0.95 and by[0] < 0.01
+
+
 def test_toxicity_edges(spark, docs, empty):
     labels = spark.createDataFrame([(0, 0, 1), (6, 1, 0), (7, 1, None), (None, 0, 1), (6, 1, 1)], "doc_id long, quality int, toxic int")
     out = toxicity.toxic_documents(spark, docs, labels).collect()
