@@ -20,6 +20,7 @@ from ..shipping import ship
 DIGITS = 9  # scores are rounded to so many places before they are ranked, so that ties are ties on every machine
 MOST_ITEMS = 50_000
 MOST_PAIRS = 40_000_000
+MOST_DENSE = 4500  # items of a dense inverse on the driver
 
 
 def min_max(column: str, window: Window) -> F.Column:
@@ -109,7 +110,8 @@ class ItemSide:
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of the similar items of each item
     others: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     sims: np.ndarray = field(default_factory=lambda: np.empty(0))
-    weights: np.ndarray | None = None  # items x items of the linear autoencoder
+    weights: np.ndarray | None = None  # of the linear autoencoder, fitted x fitted
+    fitted: np.ndarray | None = None  # places of the items that weights cover; all items if None
 
     def locate(self, ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.items, ids)
@@ -127,7 +129,13 @@ class ItemSide:
         return own @ self.genres.T / np.maximum(own.sum(axis=1, keepdims=True), 1)
 
     def linear(self, profiles: list[np.ndarray]) -> np.ndarray:
-        return np.stack([self.weights[p].sum(axis=0) for p in profiles])
+        """Scores of the linear autoencoder; an item without weights neither gives nor gets any."""
+        if self.fitted is None:
+            return np.stack([self.weights[p].sum(axis=0) for p in profiles])
+        out = np.zeros((len(profiles), len(self.items)))
+        for row, own in enumerate(profiles):
+            out[row, self.fitted] = self.weights[np.flatnonzero(np.isin(self.fitted, own))].sum(axis=0)
+        return out
 
 
 def rows_min_max(x: np.ndarray) -> np.ndarray:
@@ -135,8 +143,11 @@ def rows_min_max(x: np.ndarray) -> np.ndarray:
     return np.divide(x - low, span, out=np.zeros_like(x), where=span > 1e-12)
 
 
-def item_side(catalog: DataFrame, popular: DataFrame | None = None, similarity: DataFrame | None = None, weights: np.ndarray | None = None) -> ItemSide:
-    """Gathers the item side; raises where it is too large to send to every task."""
+def item_side(catalog: DataFrame, popular: DataFrame | None = None, similarity: DataFrame | None = None, weights: np.ndarray | None = None, fitted: np.ndarray | None = None) -> ItemSide:
+    """Gathers the item side; raises where it is too large to send to every task.
+
+    fitted: the sorted items that weights cover, if not the whole catalog.
+    """
     rows = catalog.select("item_index", "genres")
     if popular is not None:
         rows = rows.join(popular.select("item_index", "popularity"), "item_index")
@@ -150,6 +161,8 @@ def item_side(catalog: DataFrame, popular: DataFrame | None = None, similarity:
     for i, gs in enumerate(table.genres):
         genres[i, [at[g] for g in gs]] = 1
     side = ItemSide(table.item_index.to_numpy(), table.popularity.to_numpy(float) if popular is not None else np.zeros(n), genres, weights=weights)
+    if fitted is not None:
+        side.fitted = side.locate(fitted)
     if similarity is not None:
         if (pairs := similarity.count()) > MOST_PAIRS:
             raise ValueError(f"{pairs} similar pairs are too many to send; use collaborative()")
@@ -215,7 +228,7 @@ def gram(history: DataFrame) -> DataFrame:
     return half.unionByName(half.select(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), "n")).unionByName(own)
 
 
-def fit_ease(history: DataFrame, items: np.ndarray, regularization: float = 500.0, most_items: int = 4500) -> np.ndarray:
+def fit_ease(history: DataFrame, items: np.ndarray, regularization: float = 500.0, most_items: int = MOST_DENSE) -> np.ndarray:
     """Weights B = P / -diag(P), diagonal 0, with P the inverse of the Gram matrix plus regularization.
 
     The Gram matrix is made in the cluster; its inverse is dense and made on the driver, for most_items at most.

@@ -260,11 +260,19 @@ def ease_identity(spark, d):
     return spark.createDataFrame(table, "item_i long, item_j long, product double, weight double")
 
 
+def _ease_side(history: DataFrame, catalog: DataFrame) -> S.ItemSide:
+    """The whole catalog, with weights of the linear autoencoder for its MOST_DENSE most rated items."""
+    counts = catalog.select("item_index").join(history.groupBy("item_index").agg(F.count("*").alias("n")), "item_index", "left")
+    items = np.sort(np.array([r[0] for r in counts.orderBy(F.desc_nulls_last("n"), "item_index").limit(S.MOST_DENSE).select("item_index").collect()]))
+    within = history.join(catalog.sparkSession.createDataFrame([(int(i),) for i in items], "item_index long"), "item_index", "left_semi")
+    return S.item_side(catalog, S.popularity(history, catalog), weights=S.fit_ease(within, items, 500.0), fitted=items)
+
+
 @query()
 def ease_recommendations(spark, d):
-    own, catalog, items = _ease_items(spark, d, 2000)
-    history = I.history_of(I.leave_one_out(own))
-    side = S.item_side(catalog, S.popularity(history, catalog), weights=S.fit_ease(history, items, 500.0))
+    catalog = A.catalog(spark, d)
+    history = I.history_of(I.leave_one_out(A.positives(spark, d)))
+    side = _ease_side(history, catalog)
     return S.recommend_users(history, side, {"ease": "ease"})
 
 
@@ -313,9 +321,9 @@ def cold_start_requests(spark, d):
 @query()
 def recommend_requests(spark, d):
     """The flagship: requests with liked titles, answered by the linear autoencoder with genres and popularity."""
-    own, catalog, items = _ease_items(spark, d, 2000)
-    history = I.binary_matrix(own)
-    side = S.item_side(catalog, S.popularity(history, catalog), weights=S.fit_ease(history, items, 500.0))
+    catalog = A.catalog(spark, d)
+    history = I.binary_matrix(A.positives(spark, d))
+    side = _ease_side(history, catalog)
     vocabulary = _vocabulary(catalog)
     titles = {r[0]: r[1] for r in catalog.select("item_index", "norm_title").collect()}
     asked = _requests(spark, d).withColumn("liked", F.when(F.col("request_id") % 4 != 0, F.array(F.lit("small ring (0)"), F.lit("blue bolt"))).otherwise(F.col("liked")))
@@ -592,8 +600,8 @@ def hourly_events(spark, d):
 @query()
 def autoencoder_recommendations(spark, d):
     """A dense encoder-decoder over all users; its weights are fixed by a seed, as training is not the engine's."""
-    own, catalog, items = _ease_items(spark, d, 2000)
+    items = np.sort(np.array([r[0] for r in A.catalog(spark, d).select("item_index").collect()]))
     rng = np.random.default_rng(0)
     layer = lambda a, b: (rng.normal(0, a**-0.5, (a, b)), np.zeros(b))
     model = neural.make("vae", encoder=[layer(len(items), 32), layer(32, 16)], decoder=[layer(8, 32), layer(32, len(items))], latent=8)
-    return neural.score_users(I.binary_matrix(own), model, items)
+    return neural.score_users(I.binary_matrix(A.positives(spark, d)), model, items)
