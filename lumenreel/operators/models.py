@@ -20,9 +20,14 @@ from ..shipping import ship
 DIGITS = 9  # scores are rounded to so many places before they are ranked, so that ties are ties on every machine
 MOST_ITEMS = 50_000
 MOST_PAIRS = 40_000_000
+MOST_QUERIES = 20_000  # embedding queries sent at once, about
 MOST_DENSE = 4500  # items of a dense inverse on the driver
 
 
+class TooLarge(ValueError):
+    """The item side is too large to send to every task."""
+
+
 def min_max(column: str, window: Window) -> F.Column:
     low, high = F.min(column).over(window), F.max(column).over(window)
     return F.when(high - low > 1e-12, (F.col(column) - low) / (high - low)).otherwise(F.lit(0.0))
@@ -153,7 +158,7 @@ def item_side(catalog: DataFrame, popular: DataFrame | None = None, similarity:
         rows = rows.join(popular.select("item_index", "popularity"), "item_index")
     n = rows.count()
     if n > MOST_ITEMS:
-        raise ValueError(f"{n} items are too many to send; use the relational operators, or frequent_items() first")
+        raise TooLarge(f"{n} items are too many to send; use recommend_relational(), or frequent_items() first")
     table = rows.toPandas().sort_values("item_index", ignore_index=True)
     names = sorted({g for gs in table.genres for g in gs})
     at = {g: k for k, g in enumerate(names)}
@@ -165,7 +170,7 @@ def item_side(catalog: DataFrame, popular: DataFrame | None = None, similarity:
         side.fitted = side.locate(fitted)
     if similarity is not None:
         if (pairs := similarity.count()) > MOST_PAIRS:
-            raise ValueError(f"{pairs} similar pairs are too many to send; use collaborative()")
+            raise TooLarge(f"{pairs} similar pairs are too many to send; use recommend_relational()")
         sims = similarity.toPandas()
         i, j = side.locate(sims.item_i.to_numpy()), side.locate(sims.item_j.to_numpy())
         order = np.lexsort((j, i))
@@ -221,6 +226,25 @@ def recommend_users(history: DataFrame, side: ItemSide, models: dict[str, Weight
     return profiles.mapInPandas(run, "model string, user_id long, rank int, item_index long, score double")
 
 
+def recommend_relational(history: DataFrame, catalog: DataFrame, popular: DataFrame, similarity: DataFrame, models: dict[str, Weights], k: int = 10) -> DataFrame:
+    """recommend_users() for hybrid weights as joins alone: every user meets every item, and nothing is gathered."""
+    if any(isinstance(w, str) for w in models.values()):
+        raise ValueError("the relational form has the hybrid's components only")
+    both = ["user_id", "item_index"]
+    pairs = history.select("user_id").distinct().crossJoin(popular.select("item_index", "popularity"))
+    pairs = pairs.join(collaborative(history, similarity).withColumnRenamed("score", "cf"), both, "left").join(content_scores(history, catalog), both, "left")
+    pairs = pairs.select(*both, "popularity", F.coalesce("cf", F.lit(0.0)).alias("cf"), F.coalesce("content", F.lit(0.0)).alias("content"))
+    own = Window.partitionBy("user_id")
+    parts = pairs.select(*both, "popularity", min_max("cf", own).alias("cf"), min_max("content", own).alias("content")).join(history.select(*both), both, "left_anti")
+    scores = []
+    for name, w in ((name, w.normalized()) for name, w in models.items()):
+        total = F.lit(w.collaborative) * F.col("cf") + F.lit(w.content) * F.col("content") + F.lit(w.popularity) * F.col("popularity")
+        scores.append(F.struct(F.lit(name).alias("model"), (F.round(total, DIGITS) + 0.0).alias("score")))
+    scored = parts.select(*both, F.explode(F.array(*scores)).alias("s")).select("s.model", *both, "s.score")
+    rank = F.row_number().over(Window.partitionBy("model", "user_id").orderBy(F.desc("score"), "item_index"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("model", "user_id", "rank", "item_index", "score")
+
+
 def gram(history: DataFrame) -> DataFrame:
     """item_i, item_j and shared users, both orders and the diagonal."""
     half = cooccurrence(history)
@@ -253,9 +277,19 @@ def embedding_top_k(queries: DataFrame, items: DataFrame, k: int = 10, boost: Da
     Queries (query_id, embedding) are sent to the item side in blocks, and a task keeps the k best of its items.
     """
     ship(items.sparkSession)
-    sent = queries.select("query_id", "embedding").toPandas() if queries.count() <= 20_000 else None
-    if sent is None:
-        raise ValueError("too many queries for one pass; call this for blocks of queries")
+    parts = max(1, -(-queries.count() // MOST_QUERIES))
+    near = None
+    for part in range(parts):
+        own = (lambda rows: rows.where(F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(parts)) == part)) if parts > 1 else (lambda rows: rows)  # noqa: B023
+        one = _near(own(queries), items, k, None if boost is None else own(boost), amount)
+        near = one if near is None else near.unionByName(one)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _near(queries: DataFrame, items: DataFrame, k: int, boost: DataFrame | None, amount: float) -> DataFrame:
+    """The k best items of each task for a block of queries, which is sent to all."""
+    sent = queries.select("query_id", "embedding").toPandas()
     q = np.array(sent.embedding.tolist(), dtype=np.float64).reshape(len(sent), -1)
     ids = sent.query_id.to_numpy()
     q = np.nan_to_num(q)
@@ -287,6 +321,4 @@ def embedding_top_k(queries: DataFrame, items: DataFrame, k: int = 10, boost: Da
                     cols, best = _best(np.round(line, DIGITS), k)
                     yield pd.DataFrame({"query_id": query, "item_id": names[cols], "score": best})
 
-    near = items.select("item_id", "embedding").mapInPandas(run, "query_id long, item_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return items.select("item_id", "embedding").mapInPandas(run, "query_id long, item_id long, score double")

@@ -238,3 +238,34 @@ def test_linear_scores_of_part_of_the_items():
     b = np.array([[0.0, 2.0], [3.0, 0.0]])
     side = S.ItemSide(np.array([5, 6, 7, 8]), np.zeros(4), np.zeros((4, 1)), weights=b, fitted=np.array([1, 3]))
     assert side.linear([np.array([1]), np.array([0, 3]), np.array([0, 2])]).tolist() == [[0, 0, 0, 2], [0, 3, 0, 0], [0, 0, 0, 0]]
+
+
+@pytest.mark.parametrize("bound", ["MOST_ITEMS", "MOST_PAIRS"])
+def test_protocol_lists_agree_on_both_sides_of_the_bound(bound, spark, sf_dir, monkeypatch):
+    from lumenreel.plans import evaluate
+    from lumenreel.sources import adapter as A
+
+    def rows():
+        lists = evaluate.Protocol(A.positives(spark, sf_dir), A.catalog(spark, sf_dir)).lists(evaluate.BASE, None, 10)
+        return sorted((r.model, r.user_id, r["rank"], r.item_index, round(r.score, 6)) for r in lists.collect())
+
+    sent = rows()
+    monkeypatch.setattr(S, bound, 10)
+    assert rows() == sent != []
+
+
+def test_embedding_queries_in_blocks(spark, sf_dir, monkeypatch):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(200)
+    q = v.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    boost = q.select("query_id", (F.col("query_id") + 1).alias("item_id"))
+    rows = lambda: sorted((r.query_id, r["rank"], r.item_id, r.score) for r in S.embedding_top_k(q, v.withColumnRenamed("vec_id", "item_id"), 5, boost).collect())
+    whole = rows()
+    monkeypatch.setattr(S, "MOST_QUERIES", 7)
+    assert rows() == whole != []
+
+
+def test_more_embedding_queries_than_a_block(spark):
+    q = spark.range(20_001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id") % 2 + 0.0).alias("embedding"))
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "item_id long, embedding array<double>").coalesce(1)
+    best = {(r.query_id % 2, r.item_id) for r in S.embedding_top_k(q, items, 1).collect()}
+    assert best == {(0, 1), (1, 2)}
