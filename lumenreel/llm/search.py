@@ -1,4 +1,4 @@
-"""Exact top-k search: BM25 over an inverted index, with block-max WAND pruning per shard and an exact merge.
+"""Exact top-k search: BM25 over an inverted index, with block-max pruning per shard and an exact merge.
 
 Documents are dealt to shards by a hash of doc_id. A shard's index has the postings of each term in document order, cut
 into blocks of ``BLOCK`` documents, each with the largest score of the term in it. Document frequencies, the number of
@@ -6,8 +6,9 @@ documents and their mean length are counted over all documents, so a score does
 ``k`` of the shards' best are the best of all.
 
 A query is the set of terms of its whole text. In a shard, the blocks are taken in the order of their upper bounds (the
-sum of the block maxima of the query's terms); a block whose bound is below the k-th score so far is skipped, and with
-it all that follow. The documents of a block are scored in full from its postings. Queries travel in groups to every
+sum of the block maxima of the query's terms); a block whose bound is below the k-th score so far, less what rounding
+and the order of sums can add, is skipped, and with it all that follow. This takes the place of WAND's pivots and
+cursors: bounds of all blocks of the query's terms are made first, and skipping is by block. The documents of a block are scored in full from its postings. Queries travel in groups to every
 shard; a shard's index is built once a task and its terms are numbers of a dictionary of the shard.
 
 Terms are runs of anything but ASCII white space, A-Z lower-cased, without the ASCII punctuation around them. Null and
@@ -27,6 +28,7 @@ from .shared import blocks, materialise, ship, utf8
 
 K1, B = 1.2, 0.75
 BLOCK = 64
+SLACK = 1e-9  # scores are rounded to 9 digits, so a rounded k-th score is up to 5e-10 above its own
 SHARD_DOCS = 16_384
 GROUP = 256
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -103,7 +105,7 @@ class Index:
         while at < len(turn):
             floor = best[-1] if len(best) >= k else -np.inf
             some = turn[at : at + step]
-            some = some[bound[some] * (1 + 1e-12) >= floor]  # an equal score can still win by its doc_id
+            some = some[bound[some] * (1 + 1e-12) >= floor - SLACK]  # an equal score can still win by its doc_id
             if not len(some):
                 break
             parts = np.concatenate([np.arange(cuts[b], cuts[b + 1]) for b in some.tolist()])

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import same
 from pyspark.sql import functions as F
@@ -397,6 +398,19 @@ def test_search_is_exact(spark, docs, empty, monkeypatch):
     assert search.search_documents(spark, empty).count() == 0
 
 
+def test_search_keeps_smaller_ids_among_many_short_copies(monkeypatch):
+    """Blocks of higher bounds hold copies too and come first; the bound of the others equals the copies' score."""
+    monkeypatch.setattr(search, "BLOCK", 4)
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        bags = [{b"t0": 2, b"z": 6} if i >= 600 and i % 4 == 0 else {b"t0": 1, b"t1": 1, b"t2": 1} for i in range(1200)]
+        counts = np.array([b[t] for b in bags for t in sorted(b)], np.int32)
+        lengths = np.array([sum(b.values()) for b in bags])
+        index = search.Index(np.arange(1200), lengths, pa.array([sorted(b) for b in bags], pa.list_(pa.binary())), counts, float(lengths.mean()) * (1 + rng.random()))
+        found = index.search([b"t0", b"t1", b"t2"], rng.random(3) * 5 + 1, 5)
+        assert [i for i, _ in found] == [0, 1, 2, 3, 4], seed
+
+
 # Models
 
 
