@@ -3,7 +3,8 @@
 A media value is a complete WAV file in a binary column. mu-law and A-law codes expand by tables of 256 entries that a
 rule makes; ADPCM is decoded with numpy across the blocks of a whole batch, a sample of every block at each step.
 ``store`` writes a table with a payload's codes as the samples, ``load`` reads it back, checks the container and decodes.
-Decoded PCM is resampled by linear interpolation and kept as 16-bit PCM where the caller asks for it.
+Decoded PCM is resampled by linear interpolation and kept as 16-bit PCM where the caller asks for it; ``media_columns``
+stores it beside the features, which are made as it is written.
 
 Null texts are empty; payloads are padded with spaces to a positive multiple of the frame. Other columns are ignored;
 every row gives a row, so repeated rows repeat.
@@ -190,4 +191,8 @@ def load(table: DataFrame, to_rate: int = 16000, keep_pcm: bool = False) -> Data
 
 
 def media_columns(spark: SparkSession, docs: DataFrame, codec: int | None = None) -> DataFrame:
-    return load(store(docs, new_folder(spark, "media"), codec))
+    """Stores media, decodes them, stores them with their resampled PCM and returns all but the PCM of that table."""
+    decoded = load(store(docs, new_folder(spark, "media"), codec), keep_pcm=True)
+    path = new_folder(spark, "pcm")
+    decoded.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(decoded.schema).parquet(path).drop("pcm")

@@ -411,6 +411,18 @@ def test_search_keeps_smaller_ids_among_many_short_copies(monkeypatch):
         assert [i for i, _ in found] == [0, 1, 2, 3, 4], seed
 
 
+def test_media_columns_store_pcm(spark, docs, monkeypatch):
+    made = []
+    real = media.new_folder
+    monkeypatch.setattr(media, "new_folder", lambda s, name: made.append(real(s, name)) or made[-1])
+    shown = media.media_columns(spark, docs)
+    stored = [t for t in map(spark.read.parquet, made) if "pcm" in t.columns]
+    assert len(stored) == 1 and "pcm" not in shown.columns and stored[0].count() == shown.count() == docs.count()
+    for r in stored[0].collect():
+        tag, rate, data = media.parse_wav(r.pcm)
+        assert (tag, rate) == (1, 16000) and r.feature.endswith(f"pcm={zlib.crc32(data):08x}")
+
+
 # Models
 
 
