@@ -25,19 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import blocks, materialise, new_folder, ship, utf8
+from .shared import blocks, file_system, materialise, new_folder, ship, utf8
 from .tokens import default_tokenizer, encoder
 
 NULL_ID = -(1 << 63)
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, width int"
 
 
-def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in uri or uri.startswith("file:"):
-        return pafs.FileSystem.from_uri(uri)
-    return pafs.LocalFileSystem(), uri
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards of docs into folder; returns their manifest (shard, path, n_docs, n_tokens, width, base)."""
     spark = docs.sparkSession
@@ -47,7 +41,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     def write(batches):
         task = TaskContext.get()
         shard, name, unique = task.partitionId(), f"part-{task.partitionId():06d}", uuid.uuid4().hex
-        fs, root = _fs(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         enc = encoder(path)
         files = {k: fs.open_output_stream(f"{root}/_{unique}-{name}.{k}") for k in ("bin", "idx", "ids")}
@@ -86,7 +80,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
 def open_shard(path: str, width: int):
     """ids, offsets and doc ids of a shard; memory-mapped where the file system is local."""
-    fs, root = _fs(path)
+    fs, root = file_system(path)
     if isinstance(fs, pafs.LocalFileSystem):
         load = lambda k, t: np.memmap(f"{root}.{k}", dtype=t, mode="r")
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import binary_output, langid, media, mixing, packing, search, simhash, substrings, toxicity, urls
 
@@ -32,7 +33,7 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_documents(spark, _table(spark, sf_dir, "documents"))
+    return search.search_documents(spark, _table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,4 +53,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_source_mixing, op5_simhash_dedup, op6_topk_search, op7_packing, op8_media_columns, op9_language_id, op10_token_output)}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op6_topk_search": search.ORACLE_SQL}

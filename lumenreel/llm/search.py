@@ -1,179 +1,330 @@
-"""Exact top-k search: BM25 over an inverted index, with block-max pruning per shard and an exact merge.
-
-Documents are dealt to shards by a hash of doc_id. A shard's index has the postings of each term in document order, cut
-into blocks of ``BLOCK`` documents, each with the largest score of the term in it. Document frequencies, the number of
-documents and their mean length are counted over all documents, so a score does not depend on the shards, and the best
-``k`` of the shards' best are the best of all.
-
-A query is the set of terms of its whole text. In a shard, the blocks are taken in the order of their upper bounds (the
-sum of the block maxima of the query's terms); a block whose bound is below the k-th score so far, less what rounding
-and the order of sums can add, is skipped, and with it all that follow. This takes the place of WAND's pivots and
-cursors: bounds of all blocks of the query's terms are made first, and skipping is by block. The documents of a block are scored in full from its postings. Queries travel in groups to every
-shard; a shard's index is built once a task and its terms are numbers of a dictionary of the shard.
-
-Terms are runs of anything but ASCII white space, A-Z lower-cased, without the ASCII punctuation around them. Null and
-empty texts are documents without terms: they match nothing and a query without terms has no answers. A document
-answers its own query. Documents without a term of the query are no answers. Ties go to the smaller doc_id. Rows without
-doc_id are left out of both sides; rows that share a doc_id are one document each, and each can answer.
+"""Exact top-k search: BM25 over an inverted index, with block-max WAND per shard and an exact merge.
+
+Documents stay where they are read. A task cuts its documents into chunks of about ``CHUNK`` postings (a posting is a
+term of a document) and writes each as one file of the shared folder: a dictionary of term hashes, and each document's
+places in it with their counts. Chunks meet in shards of about ``SHARD`` postings, so a shard's memory is bounded by
+postings, whatever documents' sizes are. Document frequencies, the number of documents and their mean length are counted
+over all documents, so a score does not depend on the shards, and the best ``k`` of the shards' best are the best of all.
+
+A shard orders its documents by their most frequent common term and their length, which brings texts of a language
+together, and holds each term's postings in this order, cut into blocks of ``BLOCK`` documents with the largest score of
+the term in each. A query is the set of terms of its text. Its search is document at a time: a cursor for each term;
+the pivot, the first block at which the largest scores of the lists that reach it add up to the k-th score so far;
+a shallow move of all cursors to the pivot; the sums of block maxima in a window of blocks from there; blocks whose sum
+is below the k-th score are skipped, and only in the others postings are read and scored. Scores are compared after
+rounding to ``DIGITS`` and ties go to the smaller doc_id, so a bound must miss by more than ``SLACK`` to be passed over.
+Queries are written once and read by each shard in groups of ``GROUP``, so neither side is gathered or copied by a
+shuffle; a task that is run again reads the same files.
+
+Terms are runs of anything but ASCII white space, A-Z lower-cased, without the ASCII punctuation around them, known by a
+64-bit hash. Null and empty texts are documents without terms: they match nothing, and a query without terms has no
+answers. Very long texts are whole; a document is never cut. A document answers its own query. Documents without a term
+of the query are no answers. Rows without doc_id are left out of both sides. Rows that share a doc_id are one document
+each, and each can answer; as queries they are one query of all their terms. Extra columns are ignored, whatever their
+names. An empty table, of documents or of queries, gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import blocks, materialise, ship, utf8
+from .hashing import runs_of, span_hashes
+from .shared import blocks, discard, file_system, materialise, new_folder, remove_folder, ship, utf8
 
 K1, B = 1.2, 0.75
-BLOCK = 64
-SLACK = 1e-9  # scores are rounded to 9 digits, so a rounded k-th score is up to 5e-10 above its own
-SHARD_DOCS = 16_384
+BLOCK = 128
+WINDOW = 64  # blocks looked at from a pivot, at most; it begins with FIRST and doubles
+FIRST = 2
+LONG = 192  # postings of a term in a window from which they are added by themselves
+DIGITS = 9
+SLACK = 1e-9  # a rounded k-th score is up to 5e-10 above its own
+CHUNK, SHARD = 2_000_000, 4_000_000
 GROUP = 256
-_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
+_LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_WHITE = np.array([b in b" \t\n\x0b\x0c\r" for b in range(256)])
+_SOLID = np.array([not (b in b" \t\n\x0b\x0c\r" or 33 <= b < 127 and not chr(b).isalnum()) for b in range(256)])
+
+
+def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Term hashes (in order, by text), their counts and their text, and the number of words of each text."""
+    none = np.empty(0, np.int64)
+    buf = np.frombuffer(b" ".join(texts).translate(_LOW), dtype=np.uint8)
+    if not len(buf):
+        return np.empty(0, np.uint64), none, none, np.zeros(len(texts), np.int64)
+    starts, ends = runs_of(~_WHITE[buf])
+    solid = np.flatnonzero(_SOLID[buf])
+    first, last = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    some = last > first
+    starts, ends = solid[first[some]], solid[last[some] - 1] + 1
+    (h,) = span_hashes(buf, (starts, ends))
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    order = np.lexsort((h, owner))
+    h, at = h[order], owner[order]
+    new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (at[1:] != at[:-1]))) if len(h) else none
+    return h[new], np.diff(np.append(new, len(h))), at[new], np.bincount(owner, minlength=len(texts))
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] places, then the same from starts[1], and so on."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    return [t for t in (w.strip(_PUNCTUATION) for w in text.lower().split()) if t]
+def _write_chunk(folder: str, ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """Writes a chunk; returns its path, its different terms and how many documents have each."""
+    names, code, df = np.unique(terms, return_inverse=True, return_counts=True)
+    planes = {"ids": ids.astype("<i8"), "lengths": lengths.astype("<i8"), "sizes": sizes.astype("<i4"), "names": names.astype("<u8"), "code": np.diff(code, prepend=0).astype("<i4"), "counts": counts.astype("<i4")}
+    row = pa.RecordBatch.from_pydict({k: pa.array([v.tobytes()], pa.large_binary()) for k, v in planes.items()})
+    path = f"{folder}/{uuid.uuid4().hex}.chunk"
+    fs, root = file_system(path)
+    with fs.open_output_stream(root) as out, pa.ipc.new_file(out, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(row)
+    return path, names, df
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, length, terms and counts (aligned arrays, terms in order) of each document with a doc_id."""
+def _read_chunk(path: str) -> dict[str, np.ndarray]:
+    fs, root = file_system(path)
+    with fs.open_input_file(root) as f:
+        row = pa.ipc.open_file(f).get_batch(0)
+    kinds = {"ids": "<i8", "lengths": "<i8", "sizes": "<i4", "names": "<u8", "code": "<i4", "counts": "<i4"}
+    planes = {k: np.frombuffer(row.column(k)[0].as_buffer(), t) for k, t in kinds.items()}
+    planes["code"] = np.cumsum(planes["code"], dtype=np.int32)
+    return planes
+
+
+_CHUNKS = "path string, docs long, words long, postings long, term long, df long"
+
+
+def write_chunks(docs: DataFrame, folder: str) -> DataFrame:
+    """Writes the documents' terms into folder; returns a row for each chunk (path, docs, words, postings) and for each term of it (term, df)."""
     ship(docs.sparkSession)
 
     def run(batches):
+        fs, root = file_system(folder)
+        fs.create_dir(root, recursive=True)
+        held, size = [], 0
+
+        def flush():
+            ids, lengths, sizes, terms, counts = (np.concatenate([h[i] for h in held]) for i in range(5))
+            path, names, df = _write_chunk(folder, ids, lengths, sizes, terms, counts)
+            n = len(names)
+            none = lambda k: pa.nulls(n, k)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), *[pa.array([x], pa.int64()) for x in (len(ids), int(lengths.sum()), len(terms))], *[pa.nulls(1, pa.int64())] * 2], shape.names)
+            yield pa.RecordBatch.from_arrays([none(pa.string()), *[none(pa.int64())] * 3, pa.array(names.view(np.int64)), pa.array(df)], shape.names)
+
         for b in blocks(batches, 2 << 20):
-            out = {"length": [], "terms": [], "counts": []}
-            for text in utf8(b.column(1)):
-                words = terms_of(text)
-                own, n = np.unique(np.array(words, dtype=object), return_counts=True) if words else (np.empty(0, object), np.empty(0, np.int64))
-                out["length"].append(len(words))
-                out["terms"].append(own.tolist())
-                out["counts"].append(n.tolist())
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "length": pa.array(out["length"], pa.int64()), "terms": pa.array(out["terms"], pa.list_(pa.binary())), "counts": pa.array(out["counts"], pa.list_(pa.int32()))})
+            h, n, at, words = terms_of(utf8(b.column(1)))
+            held.append((b.column(0).to_numpy(zero_copy_only=False), words, np.bincount(at, minlength=b.num_rows), h, n))
+            size += len(h)
+            if size >= CHUNK:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
 
+    shape = pa.schema([("path", pa.string()), *[(k, pa.int64()) for k in ("docs", "words", "postings", "term", "df")]])
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, length long, terms array<binary>, counts array<int>")
+    return rows.mapInArrow(run, _CHUNKS)
 
 
 class Index:
-    """The inverted index of a shard."""
+    """The inverted index of a shard, made of chunks."""
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, terms: pa.ListArray, counts: np.ndarray, mean_length: float):
-        order = np.argsort(ids, kind="stable")
+    def __init__(self, chunks: list[dict[str, np.ndarray]], mean_length: float):
+        names, code = np.unique(np.concatenate([c["names"] for c in chunks]), return_inverse=True)
+        ends = np.cumsum([0] + [len(c["names"]) for c in chunks])
+        code = np.concatenate([code[ends[i] : ends[i + 1]].astype(np.int32)[c["code"]] for i, c in enumerate(chunks)])
+        ids, lengths, sizes, counts = (np.concatenate([c[k] for c in chunks]) for k in ("ids", "lengths", "sizes", "counts"))
+        chunks.clear()
+        some = sizes > 0  # texts without terms match nothing
+        ids, lengths, sizes = ids[some], lengths[some], sizes[some].astype(np.int64)
+        self.names, n = names, len(ids)
+        df = np.bincount(code, minlength=len(names))
+        # Documents in the order of their most frequent common term, then of their length.
+        common = np.where(df[code] * 50 >= n, counts.astype(np.int64) << 32 | code, 0)
+        theme = np.maximum.reduceat(common, np.cumsum(sizes) - sizes) & 0xFFFFFFFF if n else np.empty(0, np.int64)
+        order = np.lexsort((ids, lengths, theme))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
         self.ids = ids[order]
-        place = np.empty(len(ids), dtype=np.int64)
-        place[order] = np.arange(len(ids))
-        self.blocks = -(-len(ids) // BLOCK)
-        per_doc = np.diff(terms.offsets.to_numpy())
-        doc = np.repeat(place, per_doc)
-        coded = terms.flatten().dictionary_encode()
-        self.names = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        tf = counts.astype(np.float64)
+        self.blocks = -(-n // BLOCK)
         norm = K1 * (1 - B + B * lengths / mean_length)
-        impact = tf * (K1 + 1) / (tf + np.repeat(norm, per_doc))
-        by = np.lexsort((doc, code))
-        self.doc, self.impact, code = doc[by].astype(np.int32), impact[by], code[by]
-        self.starts = np.searchsorted(code, np.arange(len(self.names) + 1))
-        # Block maxima, term by term.
+        impact = counts * (K1 + 1) / (counts + np.repeat(norm, sizes))
+        key = code.astype(np.int64) * n + np.repeat(place, sizes)
+        by = np.argsort(key, kind="stable")
+        self.impact, key = impact[by], key[by]
+        self.doc = (key % max(n, 1)).astype(np.int32)
+        code = (key // max(n, 1)).astype(np.int32)
+        del impact, key, by
+        # A cell is a term in a block: its first posting and its largest score.
         block = self.doc // BLOCK
         new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1]))) if len(code) else np.empty(0, np.int64)
-        self.block, self.top = block[new], np.maximum.reduceat(self.impact, new) if len(new) else np.empty(0)
-        self.first = np.append(new, len(code))
-        self.block_starts = np.searchsorted(code[new], np.arange(len(self.names) + 1))
-
-    def search(self, terms: list[bytes], idf: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k best documents, by score and then doc_id."""
-        known = [(self.names[t], w) for t, w in zip(terms, idf.tolist(), strict=True) if t in self.names]
-        if not known:
-            return []
-        code = np.array([c for c, _ in known])
-        weight = np.array([w for _, w in known])
-        n = self.block_starts[code + 1] - self.block_starts[code]
-        rows = np.repeat(self.block_starts[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        each = np.repeat(weight, n)
-        bound = np.bincount(self.block[rows], each * self.top[rows], minlength=self.blocks)
-        order = np.argsort(self.block[rows], kind="stable")  # postings' blocks by document block
-        rows, each = rows[order], each[order]
-        cuts = np.searchsorted(self.block[rows], np.arange(self.blocks + 1))
+        self.block, self.first = block[new], np.append(new, len(code))
+        self.cell = code[new].astype(np.int64) * self.blocks + self.block
+        self.top = np.maximum.reduceat(self.impact, new) if len(new) else np.empty(0)
+        self.cells = np.searchsorted(code[new], np.arange(len(names) + 1))
+        self.most = np.maximum.reduceat(self.top, self.cells[:-1]) if len(new) else np.empty(0)
+        self.weighed = np.zeros(len(names), bool)
+
+    def codes(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the terms, and whether the shard has them. Postings of a term are multiplied by its idf when it is first asked for."""
+        if not len(self.names):
+            return np.zeros(len(terms), np.int64), np.zeros(len(terms), bool)
+        at = np.minimum(np.searchsorted(self.names, terms), len(self.names) - 1)
+        known = self.names[at] == terms
+        new, of = np.unique(at[known], return_index=True)
+        idf, of = idf[known][of], of[~self.weighed[new]]
+        new, idf = new[~self.weighed[new]], idf[~self.weighed[new]]
+        if len(new):
+            start, n = self.cells[new], self.cells[new + 1] - self.cells[new]
+            self.top[_ragged(start, n)] *= np.repeat(idf, n)
+            start, n = self.first[start], self.first[self.cells[new + 1]] - self.first[start]
+            self.impact[_ragged(start, n)] *= np.repeat(idf, n)
+            self.most[new] *= idf
+            self.weighed[new] = True
+        return at, known
+
+    def _scores(self, code: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """Scores of all documents of the blocks from begin to end."""
+        low, high = (self.first[np.searchsorted(self.cell, code * self.blocks + b)] for b in (begin, end))
+        n = high - low
+        base, size = begin * BLOCK, (end - begin) * BLOCK
+        long = n > LONG
+        rows = _ragged(low[~long], n[~long])
+        out = np.bincount(self.doc[rows] - base, self.impact[rows], minlength=size).astype(np.float64, copy=False)
+        for s, e in zip(low[long].tolist(), high[long].tolist(), strict=True):
+            out[self.doc[s:e] - base] += self.impact[s:e]  # a term has a document once
+        return out
+
+    def search(self, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """doc_ids and scores of the k best documents, by score and then doc_id. code: places of weighed terms."""
         best_ids, best = np.empty(0, np.int64), np.empty(0)
-        turn = np.argsort(-bound, kind="stable")
-        turn = turn[bound[turn] > 0]
-        at, step = 0, 8
-        while at < len(turn):
-            floor = best[-1] if len(best) >= k else -np.inf
-            some = turn[at : at + step]
-            some = some[bound[some] * (1 + 1e-12) >= floor - SLACK]  # an equal score can still win by its doc_id
-            if not len(some):
-                break
-            parts = np.concatenate([np.arange(cuts[b], cuts[b + 1]) for b in some.tolist()])
-            r, w = rows[parts], each[parts]
-            m = self.first[r + 1] - self.first[r]
-            post = np.repeat(self.first[r] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            # Each posting adds to the place of its document among the blocks at hand.
-            slot = np.full(self.blocks, -1)
-            slot[some] = np.arange(len(some))
-            doc = self.doc[post]
-            score = np.bincount(slot[doc // BLOCK] * BLOCK + doc % BLOCK, np.repeat(w, m) * self.impact[post], minlength=len(some) * BLOCK)
-            hit = np.flatnonzero(score)
-            found = some[hit // BLOCK] * BLOCK + hit % BLOCK
-            best_ids, best = np.append(best_ids, found), np.append(best, np.round(score[hit], 9))
-            top = np.lexsort((self.ids[best_ids], -best))[:k]
-            best_ids, best = best_ids[top], best[top]
-            at, step = at + step, min(step * 2, 256)
-        return list(zip(self.ids[best_ids].tolist(), best.tolist(), strict=True))
+        most, cursor, end = self.most[code], self.cells[code], self.cells[code + 1]
+        window = FIRST
+        while True:
+            need = max(best[-1] - SLACK, 0.0) if len(best) >= k else 0.0
+            here = np.where(cursor < end, self.block[np.minimum(cursor, len(self.block) - 1)], self.blocks)
+            order = np.argsort(here, kind="stable")
+            reach = np.cumsum(most[order])
+            turn = int(np.searchsorted(reach, need * (1 - 1e-12)))
+            if turn == len(order) or (pivot := int(here[order[turn]])) == self.blocks:
+                return best_ids, best  # what is left cannot add up to the k-th score
+            past = min(pivot + window, self.blocks)
+            # The shallow move: cells of the window, by search in the order of terms and blocks.
+            low, cursor = np.searchsorted(self.cell, code * self.blocks + pivot), np.searchsorted(self.cell, code * self.blocks + past)
+            cells = _ragged(low, cursor - low)
+            bound = np.bincount(self.block[cells] - pivot, self.top[cells], minlength=past - pivot)
+            live = (bound > 0) & (bound * (1 + 1e-12) >= need)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], live.view(np.int8), [0]])))
+            for s, e in zip((edge[::2] + pivot).tolist(), (edge[1::2] + pivot).tolist(), strict=True):
+                score = self._scores(code, s, e)
+                need = max(best[-1] - SLACK, 0.0) if len(best) >= k else 0.0
+                hit = np.flatnonzero((score > 0) & (score >= need))
+                if not len(hit):
+                    continue
+                if len(hit) > 4 * k:  # what ties with the k-th of them stays
+                    hit = hit[score[hit] >= np.partition(score[hit], -k)[-k] - SLACK]
+                best_ids, best = np.append(best_ids, self.ids[hit + s * BLOCK]), np.append(best, np.round(score[hit], DIGITS))
+                top = np.lexsort((best_ids, -best))[:k]
+                best_ids, best = best_ids[top], best[top]
+            window = min(window * 2, WINDOW)
+
+
+def ask(queries: DataFrame) -> DataFrame:
+    """query_id and term of each query (query_id, text), each pair once."""
+    ship(queries.sparkSession)
+
+    def run(batches):
+        for b in blocks(batches, 2 << 20):
+            h, _, at, _ = terms_of(utf8(b.column(1)))
+            yield pa.RecordBatch.from_pydict({"query_id": b.column(0).take(pa.array(at)), "term": h.view(np.int64)})
+
+    rows = queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "query_id long, term long").distinct()
+
+
+def _groups(folder: str):
+    """The queries of a folder of Parquet files, a group at a time: ids, terms, idf and the offsets of each query."""
+    import pyarrow.fs as pafs
+
+    fs, root = file_system(folder)
+    for info in sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                for b in pq.ParquetFile(f).iter_batches(batch_size=GROUP, columns=["query_id", "terms", "idf"]):
+                    if b.num_rows:
+                        terms = b.column("terms")
+                        at = terms.offsets.to_numpy()
+                        yield b.column("query_id").to_pylist(), terms.flatten().to_numpy().view(np.uint64), b.column("idf").flatten().to_numpy(), at - at[0]
 
 
 def search(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, doc_id and score: the k best documents (doc_id, text) of each query (query_id, text)."""
     ship(spark)
-    counted = materialise(term_counts(docs), "terms")
-    totals = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n_docs, mean_length = totals["n"], max(totals["mean"] or 0.0, 1e-9)
-    shards = max(1, -(-n_docs // SHARD_DOCS))
-    asked = materialise(term_counts(queries.select(F.col("query_id").alias("doc_id"), "text")), "asked")
-    words = asked.select("doc_id", F.explode("terms").alias("term"))
-    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    folder = new_folder(spark, "chunks")
+    written = materialise(write_chunks(docs, folder), "chunks")
+    chunks = written.where("path IS NOT NULL")
+    totals = chunks.agg(F.sum("docs").alias("n"), F.sum("words").alias("words")).first()
+    n_docs = totals["n"] or 0
+    mean_length = max((totals["words"] or 0) / max(n_docs, 1), 1e-9)
+    df = written.where("path IS NULL").groupBy("term").agg(F.sum("df").cast("double").alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = words.join(df, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"))  # of one text
-    groups = max(1, -(-asked.count() // GROUP))
-    packed = materialise(weighed.select("doc_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp")), "weighed")
-    # A shard is known from the doc_id alone, so documents are dealt once, together with the queries.
-    dealt = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    documents = dealt.select("shard", F.lit(-1).alias("grp"), "doc_id", "length", "terms", "counts", none("array<double>", "idf"))
-    # Every group of queries meets every shard; a query's row is copied once for each shard, not for each document.
-    requests = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "grp", "doc_id", none("long", "length"), "terms", none("array<int>", "counts"), "idf")
+    pairs = F.array_sort(F.collect_list(F.struct("term", idf.alias("idf"))))  # of one query
+    weighed = ask(queries).join(df, "term").groupBy("query_id").agg(pairs.alias("t"))
+    asked = materialise(weighed.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")), "asked")
+    asked_at = asked.stored_at
+    # A row for each chunk passes through one task, which lays chunks together into shards.
+    before = F.coalesce(F.sum("postings").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = materialise(chunks.select("path", F.floor(before / F.lit(float(SHARD))).cast("int").alias("shard")).groupBy("shard").agg(F.sort_array(F.collect_list("path")).alias("paths")), "shards")
 
     def answer(batches):
-        shard, parts, index = None, [], None
         for b in batches:
-            which, grp = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | ((grp[1:] < 0) != (grp[:-1] < 0))))
-            for s, e in zip(cuts, np.append(cuts[1:], b.num_rows), strict=True):
-                part = b.slice(s, e - s)
-                if which[s] != shard:
-                    shard, parts, index = which[s], [], None
-                if grp[s] < 0:
-                    parts.append(part)
-                    continue
-                if index is None:
-                    if not parts:
-                        continue
-                    t = pa.Table.from_batches(parts).combine_chunks()
-                    index = Index(t.column("doc_id").to_numpy(), t.column("length").to_numpy(), t.column("terms").chunk(0), t.column("counts").chunk(0).flatten().to_numpy(), mean_length)
-                    parts = []
-                out = [(q, d, x) for q, names, w in zip(part.column(2).to_pylist(), part.column(4).to_pylist(), part.column(6).to_pylist(), strict=True) for d, x in index.search(names, np.array(w), k)]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array([o[0] for o in out], pa.int64()), "doc_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
-
-    met = documents.unionByName(requests).repartition("shard").sortWithinPartitions("shard", "grp").mapInArrow(answer, "query_id long, doc_id long, score double")
+            for paths in b.column(0).to_pylist():
+                index = Index([_read_chunk(p) for p in paths], mean_length)
+                for ids, terms, weights, at in _groups(asked_at):
+                    code, known = index.codes(terms, weights)
+                    out = []
+                    for i, q in enumerate(ids):
+                        own = code[at[i] : at[i + 1]][known[at[i] : at[i + 1]]]
+                        if len(own):
+                            out.append((q, *index.search(own, k)))
+                    n = [len(o[1]) for o in out]
+                    if sum(n):
+                        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array([o[0] for o in out], np.int64), n), "doc_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+
+    parts = max(1, shards.count())
+    found = materialise(shards.select("paths").coalesce(1).repartition(parts).mapInArrow(answer, "query_id long, doc_id long, score double"), "found")
+    for table in (written, asked, shards):
+        discard(table)
+    remove_folder(spark, folder)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 def search_documents(spark: SparkSession, docs: DataFrame, every: int = 50, k: int = 10) -> DataFrame:
     """Takes each document whose doc_id is divisible by every as a query against all documents."""
-    queries = docs.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), "text").dropDuplicates(["query_id"])
+    queries = docs.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), "text")
     return search(spark, docs, queries, k)
+
+
+_PUNCTUATION = r"[!-/:-@\[-`{-~]+"
+#: Plain BM25 of the same queries over all documents.
+ORACLE_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, unnest(list_filter(list_transform(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'),
+  lambda x: regexp_replace(regexp_replace(x, '^{_PUNCTUATION}', ''), '{_PUNCTUATION}$', '')), lambda x: x <> '')) AS term FROM (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL)),
+l AS (SELECT r, count(*) AS length FROM w GROUP BY 1),
+n AS (SELECT count(*)::DOUBLE AS n, (SELECT sum(length) FROM l)::DOUBLE / count(*) AS mean FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT r, doc_id, term, count(*)::DOUBLE AS tf FROM w GROUP BY ALL),
+f AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY 1),
+q AS (SELECT DISTINCT doc_id AS query_id, term FROM p WHERE doc_id % 50 = 0),
+s AS (SELECT q.query_id, p.r, p.doc_id, round(sum(ln(1 + (n.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)))), 9) AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN l ON l.r = p.r CROSS JOIN n GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10
+"""

@@ -9,11 +9,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
-__all__ = ["WORD", "blocks", "discard", "materialise", "new_folder", "ship", "take_ragged", "utf8", "work_root"]
+__all__ = ["WORD", "blocks", "discard", "file_system", "materialise", "new_folder", "remove_folder", "ship", "take_ragged", "utf8", "work_root"]
 
 #: ASCII white space, the separators of every "word" in the contracts (space and 0x09-0x0D).
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -24,15 +25,15 @@ _local_root: dict[str, str] = {}
 def work_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it. Where it is unset, a local session gets a temporary folder that goes at exit,
-    and any other session a folder below its warehouse.
+    ``spark.checkpoint.dir`` names it. Where it is unset, a local session gets a temporary folder that goes at exit; any
+    other session is refused, since no folder of the driver's machine is known to be shared.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context.master.startswith("local[") and context.master != "local":
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if context.applicationId not in _local_root:
         folder = tempfile.mkdtemp(prefix="work-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -53,13 +54,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a materialised table that no later plan reads."""
     path = getattr(df, "stored_at", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        remove_folder(df.sparkSession, path)
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path in it, for tasks that write or read files by themselves."""
+    if "://" in uri or uri.startswith("file:"):
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), uri
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -7,7 +7,6 @@ import random
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from conftest import same
 from pyspark.sql import functions as F
@@ -374,28 +373,108 @@ def test_super_kmers_cover_every_window_once():
 # Search
 
 
-def test_search_is_exact(spark, docs, empty, monkeypatch):
-    monkeypatch.setattr(search, "SHARD_DOCS", 40)
+def plain_terms(text):
+    edge = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+    return [t for t in (w.strip(edge) for w in (text or "").encode().lower().split()) if t]
+
+
+def test_terms_equal_plain_splitting():
+    texts = [t or "" for t in TEXTS] + ["(a) a's, 'A' -- ... «é» x-y_z", "!", "a" * 300 + " b", "", " ."]
+    h, n, at, words = search.terms_of([t.encode() for t in texts])
+    bags = [collections.Counter(plain_terms(t)) for t in texts]
+    assert words.tolist() == [sum(b.values()) for b in bags]
+    names = {}
+    for i, bag in enumerate(bags):
+        assert sorted(n[at == i].tolist()) == sorted(bag.values())
+        for term in bag:
+            names.setdefault(term, search.terms_of([term])[0][0])
+        assert sorted(h[at == i].tolist()) == sorted(int(names[t]) for t in bag)
+    assert len(set(names.values())) == len(names)
+
+
+def index_of(bags, mean=None):
+    """An index of plain bags (name: count) with doc_ids 0, 1, ..., made of two chunks."""
+    parts, cut = [], len(bags) // 2
+    for first, some in ((0, bags[:cut]), (cut, bags[cut:])):
+        names = sorted({t for b in some for t in b})
+        at = {t: i for i, t in enumerate(names)}
+        parts.append({
+            "ids": np.arange(first, first + len(some)), "lengths": np.array([sum(b.values()) for b in some]), "sizes": np.array([len(b) for b in some], np.int32), "names": np.array(names, np.uint64),
+            "code": np.array([at[t] for b in some for t in sorted(b)], np.int32), "counts": np.array([b[t] for b in some for t in sorted(b)], np.int32),
+        })
+    return search.Index(parts, mean or max(np.mean([sum(b.values()) for b in bags]), 1e-9))
+
+
+def plain_best(bags, terms, idf, mean, k):
+    scores = []
+    for i, b in enumerate(bags):
+        s = sum(w * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for t, w in zip(terms, idf, strict=True) if t in b)
+        if s > 0:
+            scores.append((i, round(s, 9)))
+    return sorted(scores, key=lambda x: (-x[1], x[0]))[:k]
+
+
+@pytest.mark.parametrize("block", [2, 8, 128])
+def test_block_max_wand_is_exact(block, monkeypatch):
+    """Against plain scoring, with and without rare terms, on documents of two vocabularies."""
+    monkeypatch.setattr(search, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    for turn in range(12):
+        bags = []
+        for _ in range(300):
+            base = 100 * int(rng.integers(2))
+            words = [base + int(x) for x in rng.zipf(1.3, int(rng.integers(0, 40))) % 90] + ([1000 + int(rng.integers(30))] if rng.random() < 0.2 else [])
+            bags.append(dict(collections.Counter(words)))
+        bags += [dict(bags[0]) for _ in range(40)]
+        mean = max(np.mean([sum(b.values()) for b in bags]), 1e-9)
+        index = index_of(bags, mean)
+        weight = {t: float(w) for t, w in zip(range(1100), rng.random(1100) * 6 + 0.01, strict=True)}
+        for q in [*range(0, 300, 23), 300]:
+            terms = np.array(sorted(bags[q]), np.uint64)
+            idf = np.array([weight[int(t)] for t in terms])
+            code, known = index.codes(terms, idf)
+            assert known.all()
+            ids, scores = index.search(code, 7)
+            assert list(zip(ids.tolist(), scores.tolist(), strict=True)) == [(i, pytest.approx(s, abs=2e-9)) for i, s in plain_best(bags, terms.tolist(), idf.tolist(), mean, 7)]
+
+
+def test_blocks_are_skipped(monkeypatch):
+    """Postings of blocks that cannot win are not read."""
     monkeypatch.setattr(search, "BLOCK", 4)
-    more = spark.createDataFrame([(200 + i, prose(RNG.randrange(1, 40))) for i in range(150)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    monkeypatch.setattr(search, "WINDOW", 4)
+    bags = [{1: 5, 2: 1, 3: 1} if i < 40 else {1: 1, 4: 2, 5: 2} for i in range(4000)]
+    index = index_of(bags)
+    read = []
+    plain = search.Index._scores
+    monkeypatch.setattr(search.Index, "_scores", lambda self, code, s, e: read.append(e - s) or plain(self, code, s, e))
+    code, _ = index.codes(np.array([1, 2, 3], np.uint64), np.array([0.1, 4.0, 4.0]))
+    ids, _ = index.search(code, 5)
+    assert ids.tolist() == [0, 1, 2, 3, 4] and sum(read) < index.blocks / 4
+
+
+def test_search_is_exact(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(search, "CHUNK", 300)
+    monkeypatch.setattr(search, "SHARD", 900)
+    more = spark.createDataFrame([(200 + i, prose(RNG.randrange(1, 40))) for i in range(150)] + [(300, "rare twin words")], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     rows = [r for r in rows_of(more) if r[0] is not None]
-    bags = [collections.Counter(search.terms_of((t or "").encode())) for _, t in rows]
+    bags = [collections.Counter(plain_terms(t)) for _, t in rows]
     n, mean = len(rows), sum(sum(b.values()) for b in bags) / len(rows)
     df = collections.Counter(w for b in bags for w in b)
+    clash = more.withColumns({c: F.lit("x") for c in ("score", "rank", "term", "path", "query_id")})
     got = collections.defaultdict(list)
-    for r in search.search_documents(spark, more, 25, 7).orderBy("query_id", "rank").collect():
+    for r in search.search_documents(spark, clash, 25, 7).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.doc_id, round(r.score, 6)))
-    asked = {i: b for (i, _), b in zip(rows, bags, strict=True) if i % 25 == 0 and b}
-    assert set(got) == set(asked)
-    for q, bag in asked.items():
-        scores = []
-        for (i, _), b in zip(rows, bags, strict=True):
-            s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w in bag if w in b)
-            if s > 0:
-                scores.append((i, round(s, 9)))
-        want = sorted(scores, key=lambda x: (-x[1], x[0]))[:7]
-        assert got[q] == [(i, round(s, 6)) for i, s in want]
+    asked = collections.defaultdict(set)
+    for (i, _), b in zip(rows, bags, strict=True):
+        if i % 25 == 0:
+            asked[i] |= set(b)  # rows that share a doc_id ask together
+    assert {300, 0} <= set(asked) and set(got) == {i for i, terms in asked.items() if terms}
+    for q, found in got.items():
+        terms = sorted(asked[q])
+        idf = [math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in terms]
+        assert found == [(rows[i][0], round(s, 6)) for i, s in sorted(plain_best(bags, terms, idf, mean, len(rows)), key=lambda x: (-x[1], rows[x[0]][0]))[:7]]
     assert search.search_documents(spark, empty).count() == 0
+    assert search.search(spark, more, more.limit(0).withColumnRenamed("doc_id", "query_id")).count() == 0
 
 
 def test_search_keeps_smaller_ids_among_many_short_copies(monkeypatch):
@@ -403,12 +482,18 @@ def test_search_keeps_smaller_ids_among_many_short_copies(monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 4)
     for seed in range(60):
         rng = np.random.default_rng(seed)
-        bags = [{b"t0": 2, b"z": 6} if i >= 600 and i % 4 == 0 else {b"t0": 1, b"t1": 1, b"t2": 1} for i in range(1200)]
-        counts = np.array([b[t] for b in bags for t in sorted(b)], np.int32)
-        lengths = np.array([sum(b.values()) for b in bags])
-        index = search.Index(np.arange(1200), lengths, pa.array([sorted(b) for b in bags], pa.list_(pa.binary())), counts, float(lengths.mean()) * (1 + rng.random()))
-        found = index.search([b"t0", b"t1", b"t2"], rng.random(3) * 5 + 1, 5)
-        assert [i for i, _ in found] == [0, 1, 2, 3, 4], seed
+        bags = [{0: 2, 9: 6} if i >= 600 and i % 4 == 0 else {0: 1, 1: 1, 2: 1} for i in range(1200)]
+        index = index_of(bags, float(np.mean([sum(b.values()) for b in bags])) * (1 + rng.random()))
+        code, _ = index.codes(np.array([0, 1, 2], np.uint64), rng.random(3) * 5 + 1)
+        assert index.search(code, 5)[0].tolist() == [0, 1, 2, 3, 4], seed
+
+
+def test_scores_that_round_alike_go_to_the_smaller_id(monkeypatch):
+    """Two documents whose scores agree to nine digits, the larger of which comes first in order and in bound."""
+    monkeypatch.setattr(search, "BLOCK", 1)
+    index = index_of([{1: 1}, {2: 1}])
+    code, _ = index.codes(np.array([1, 2], np.uint64), np.array([1.0 + 1e-11, 1.0 + 4e-11]))
+    assert index.search(code, 1)[0].tolist() == [0]
 
 
 def test_media_columns_store_pcm(spark, docs, monkeypatch):
