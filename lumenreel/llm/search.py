@@ -6,13 +6,16 @@ places in it with their counts. Chunks meet in shards of about ``SHARD`` posting
 postings, whatever documents' sizes are. Document frequencies, the number of documents and their mean length are counted
 over all documents, so a score does not depend on the shards, and the best ``k`` of the shards' best are the best of all.
 
-A shard orders its documents by their most frequent common term and their length, which brings texts of a language
-together, and holds each term's postings in this order, cut into blocks of ``BLOCK`` documents with the largest score of
-the term in each. A query is the set of terms of its text. Its search is document at a time: a cursor for each term;
-the pivot, the first block at which the largest scores of the lists that reach it add up to the k-th score so far;
-a shallow move of all cursors to the pivot; the sums of block maxima in a window of blocks from there; blocks whose sum
-is below the k-th score are skipped, and only in the others postings are read and scored. Scores are compared after
-rounding to ``DIGITS`` and ties go to the smaller doc_id, so a bound must miss by more than ``SLACK`` to be passed over.
+A shard orders its documents by their most frequent term (of those in a ``THEME``-th of the shard's documents) and their
+length, which brings texts of a language together, and cuts them into blocks of ``BLOCK`` documents and windows of ``WINDOW`` blocks. Lists of common terms (in a
+``COMMON``-th of the shard's documents or more) are dense, one score for each document, with the largest of each block;
+the others are sparse, with the largest score in each window. The search of a query (the set of terms of its text) is
+block-max WAND with cursors that move by windows. At a window all lists' cursors are moved shallowly: if the largest
+scores of the lists that reach it do not add up to the k-th score so far, the window is skipped and nothing in it is
+read. Else the sparse lists, which stand behind the pivot, are read up to the window's end; a document is a pivot
+if what they give it and the block maxima of the dense lists add up to the k-th score, and only for pivots the dense lists
+are asked. Scores are compared after rounding to ``DIGITS`` and ties go to the smaller doc_id, so a bound must miss by
+more than ``SLACK`` to be passed over. A shard answers a query with one row, and rows of a query meet in two steps.
 Queries are written once and read by each shard in groups of ``GROUP``, so neither side is gathered or copied by a
 shuffle; a task that is run again reads the same files.
 
@@ -38,14 +41,15 @@ from .hashing import runs_of, span_hashes
 from .shared import blocks, discard, file_system, materialise, new_folder, remove_folder, ship, utf8
 
 K1, B = 1.2, 0.75
-BLOCK = 128
-WINDOW = 64  # blocks looked at from a pivot, at most; it begins with FIRST and doubles
-FIRST = 2
-LONG = 192  # postings of a term in a window from which they are added by themselves
+BLOCK, WINDOW = 16, 1024
+COMMON, THEME = 4, 50
+LONG = 400  # postings from which a list is added by itself
+DENSE = 8_000_000  # scores in the dense lists of a shard, at most; lists beyond are sparse
 DIGITS = 9
 SLACK = 1e-9  # a rounded k-th score is up to 5e-10 above its own
 CHUNK, SHARD = 2_000_000, 4_000_000
 GROUP = 256
+MEET = 1000  # shards whose answers to a query meet at once
 
 _LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WHITE = np.array([b in b" \t\n\x0b\x0c\r" for b in range(256)])
@@ -147,93 +151,104 @@ class Index:
         self.names, n = names, len(ids)
         df = np.bincount(code, minlength=len(names))
         # Documents in the order of their most frequent common term, then of their length.
-        common = np.where(df[code] * 50 >= n, counts.astype(np.int64) << 32 | code, 0)
-        theme = np.maximum.reduceat(common, np.cumsum(sizes) - sizes) & 0xFFFFFFFF if n else np.empty(0, np.int64)
+        shown = np.where(df[code] * THEME >= n, counts.astype(np.int64) << 32 | code, 0)
+        theme = np.maximum.reduceat(shown, np.cumsum(sizes) - sizes) & 0xFFFFFFFF if n else np.empty(0, np.int64)
         order = np.lexsort((ids, lengths, theme))
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         self.ids = ids[order]
-        self.blocks = -(-n // BLOCK)
+        self.width = BLOCK * WINDOW
+        self.windows = -(-n // self.width)
         norm = K1 * (1 - B + B * lengths / mean_length)
         impact = counts * (K1 + 1) / (counts + np.repeat(norm, sizes))
-        key = code.astype(np.int64) * n + np.repeat(place, sizes)
+        doc = np.repeat(place, sizes)
+        # Dense lists: the most frequent terms, as many as DENSE scores hold.
+        most = np.argsort(-df, kind="stable")[: DENSE // max(n, 1)]
+        most = most[df[most] * COMMON >= n]
+        self.row = np.full(len(names), -1, np.int64)
+        self.row[most] = np.arange(len(most))
+        self.dense = np.zeros((len(most), self.windows * self.width))
+        row = self.row[code]
+        dense = row >= 0
+        self.dense[row[dense], doc[dense]] = impact[dense]
+        self.dense_top = self.dense.reshape(len(most), self.windows * WINDOW, BLOCK).max(axis=2)
+        # Sparse lists, by term and document.
+        code, doc, impact = code[~dense], doc[~dense], impact[~dense]
+        key = code.astype(np.int64) * max(n, 1) + doc
         by = np.argsort(key, kind="stable")
-        self.impact, key = impact[by], key[by]
-        self.doc = (key % max(n, 1)).astype(np.int32)
-        code = (key // max(n, 1)).astype(np.int32)
-        del impact, key, by
-        # A cell is a term in a block: its first posting and its largest score.
-        block = self.doc // BLOCK
-        new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1]))) if len(code) else np.empty(0, np.int64)
-        self.block, self.first = block[new], np.append(new, len(code))
-        self.cell = code[new].astype(np.int64) * self.blocks + self.block
-        self.top = np.maximum.reduceat(self.impact, new) if len(new) else np.empty(0)
-        self.cells = np.searchsorted(code[new], np.arange(len(names) + 1))
-        self.most = np.maximum.reduceat(self.top, self.cells[:-1]) if len(new) else np.empty(0)
+        key, self.impact = key[by], impact[by]
+        del code, doc, impact, by
+        doc, code = key % max(n, 1), key // max(n, 1)
+        self.place = doc % self.width  # in its window
+        slot = code * self.windows + doc // self.width
+        self.edge = np.append(0, np.cumsum(np.bincount(slot, minlength=len(names) * self.windows))).astype(np.int32)  # by term and window
+        new = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.empty(0, np.int64)
+        self.top = np.zeros(len(names) * self.windows)
+        self.top[slot[new]] = np.maximum.reduceat(self.impact, new) if len(new) else 0
         self.weighed = np.zeros(len(names), bool)
 
     def codes(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the terms, and whether the shard has them. Postings of a term are multiplied by its idf when it is first asked for."""
+        """Places of the terms, and whether the shard has them. Scores of a term are multiplied by its idf when it is first asked for."""
         if not len(self.names):
             return np.zeros(len(terms), np.int64), np.zeros(len(terms), bool)
         at = np.minimum(np.searchsorted(self.names, terms), len(self.names) - 1)
         known = self.names[at] == terms
         new, of = np.unique(at[known], return_index=True)
-        idf, of = idf[known][of], of[~self.weighed[new]]
-        new, idf = new[~self.weighed[new]], idf[~self.weighed[new]]
+        idf = idf[known][of][~self.weighed[new]]
+        new = new[~self.weighed[new]]
         if len(new):
-            start, n = self.cells[new], self.cells[new + 1] - self.cells[new]
-            self.top[_ragged(start, n)] *= np.repeat(idf, n)
-            start, n = self.first[start], self.first[self.cells[new + 1]] - self.first[start]
+            start = self.edge[new * self.windows].astype(np.int64)
+            n = self.edge[(new + 1) * self.windows] - start
             self.impact[_ragged(start, n)] *= np.repeat(idf, n)
-            self.most[new] *= idf
+            for w in range(self.windows):
+                self.top[new * self.windows + w] *= idf
+            rows = self.row[new]
+            self.dense[rows[rows >= 0]] *= idf[rows >= 0, None]
+            self.dense_top[rows[rows >= 0]] *= idf[rows >= 0, None]
             self.weighed[new] = True
         return at, known
 
-    def _scores(self, code: np.ndarray, begin: int, end: int) -> np.ndarray:
-        """Scores of all documents of the blocks from begin to end."""
-        low, high = (self.first[np.searchsorted(self.cell, code * self.blocks + b)] for b in (begin, end))
-        n = high - low
-        base, size = begin * BLOCK, (end - begin) * BLOCK
+    def _sparse(self, slot: np.ndarray) -> np.ndarray:
+        """What the sparse lists give to the documents of a window; slot: the lists' places in it."""
+        low = self.edge[slot].astype(np.int64)
+        n = self.edge[slot + 1] - low
         long = n > LONG
         rows = _ragged(low[~long], n[~long])
-        out = np.bincount(self.doc[rows] - base, self.impact[rows], minlength=size).astype(np.float64, copy=False)
-        for s, e in zip(low[long].tolist(), high[long].tolist(), strict=True):
-            out[self.doc[s:e] - base] += self.impact[s:e]  # a term has a document once
+        out = np.bincount(self.place[rows], self.impact[rows], minlength=self.width).astype(np.float64, copy=False)
+        for s, e in zip(low[long].tolist(), (low + n)[long].tolist(), strict=True):
+            out[self.place[s:e]] += self.impact[s:e]  # a list has a document once
         return out
 
     def search(self, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """doc_ids and scores of the k best documents, by score and then doc_id. code: places of weighed terms."""
-        best_ids, best = np.empty(0, np.int64), np.empty(0)
-        most, cursor, end = self.most[code], self.cells[code], self.cells[code + 1]
-        window = FIRST
-        while True:
-            need = max(best[-1] - SLACK, 0.0) if len(best) >= k else 0.0
-            here = np.where(cursor < end, self.block[np.minimum(cursor, len(self.block) - 1)], self.blocks)
-            order = np.argsort(here, kind="stable")
-            reach = np.cumsum(most[order])
-            turn = int(np.searchsorted(reach, need * (1 - 1e-12)))
-            if turn == len(order) or (pivot := int(here[order[turn]])) == self.blocks:
-                return best_ids, best  # what is left cannot add up to the k-th score
-            past = min(pivot + window, self.blocks)
-            # The shallow move: cells of the window, by search in the order of terms and blocks.
-            low, cursor = np.searchsorted(self.cell, code * self.blocks + pivot), np.searchsorted(self.cell, code * self.blocks + past)
-            cells = _ragged(low, cursor - low)
-            bound = np.bincount(self.block[cells] - pivot, self.top[cells], minlength=past - pivot)
-            live = (bound > 0) & (bound * (1 + 1e-12) >= need)
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], live.view(np.int8), [0]])))
-            for s, e in zip((edge[::2] + pivot).tolist(), (edge[1::2] + pivot).tolist(), strict=True):
-                score = self._scores(code, s, e)
-                need = max(best[-1] - SLACK, 0.0) if len(best) >= k else 0.0
-                hit = np.flatnonzero((score > 0) & (score >= need))
-                if not len(hit):
-                    continue
-                if len(hit) > 4 * k:  # what ties with the k-th of them stays
-                    hit = hit[score[hit] >= np.partition(score[hit], -k)[-k] - SLACK]
-                best_ids, best = np.append(best_ids, self.ids[hit + s * BLOCK]), np.append(best, np.round(score[hit], DIGITS))
-                top = np.lexsort((best_ids, -best))[:k]
-                best_ids, best = best_ids[top], best[top]
-            window = min(window * 2, WINDOW)
+        best_ids, best, need = np.empty(0, np.int64), np.empty(0), 0.0
+        rows = self.row[code]
+        sparse, dense = code[rows < 0] * self.windows, rows[rows >= 0]
+        for w in range(self.windows):
+            slot, from_ = sparse + w, w * self.width
+            heads = self.dense_top[dense, w * WINDOW : (w + 1) * WINDOW].sum(axis=0)
+            if (heads.max(initial=0.0) + self.top[slot].sum()) * (1 + 1e-12) < need:
+                continue
+            score = self._sparse(slot)
+            if not need:  # documents that lead k blocks set a first k-th score
+                first = score.reshape(-1, BLOCK)
+                lead = np.argpartition(first.max(axis=1), -k)[-k:] if len(first) > k else np.arange(len(first))
+                some = lead * BLOCK + first[lead].argmax(axis=1)
+                first = score[some] + self.dense[dense[:, None], from_ + some].sum(axis=0)
+                need = max(float(first.min()) - SLACK, 0.0) if len(first) == k else 0.0
+            reach = (score.reshape(-1, BLOCK) + heads[:, None]) * (1 + 1e-12)
+            pivots = np.flatnonzero((reach >= need) & (reach > 0))
+            total = score[pivots] + self.dense[dense[:, None], from_ + pivots].sum(axis=0)
+            hit = np.flatnonzero((total >= need) & (total > 0))
+            if len(hit) > 4 * k:  # what ties with the k-th of them stays
+                hit = hit[total[hit] >= np.partition(total[hit], -k)[-k] - SLACK]
+            if len(hit):
+                best_ids, best = np.append(best_ids, self.ids[from_ + pivots[hit]]), np.append(best, np.round(total[hit], DIGITS))
+                turn = np.lexsort((best_ids, -best))[:k]
+                best_ids, best = best_ids[turn], best[turn]
+                if len(best) == k:
+                    need = max(need, float(best[-1]) - SLACK)
+        return best_ids, best
 
 
 def ask(queries: DataFrame) -> DataFrame:
@@ -285,26 +300,29 @@ def search(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: int = 10
 
     def answer(batches):
         for b in batches:
-            for paths in b.column(0).to_pylist():
+            for shard, paths in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 index = Index([_read_chunk(p) for p in paths], mean_length)
                 for ids, terms, weights, at in _groups(asked_at):
                     code, known = index.codes(terms, weights)
                     out = []
                     for i, q in enumerate(ids):
                         own = code[at[i] : at[i + 1]][known[at[i] : at[i + 1]]]
-                        if len(own):
-                            out.append((q, *index.search(own, k)))
-                    n = [len(o[1]) for o in out]
-                    if sum(n):
-                        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array([o[0] for o in out], np.int64), n), "doc_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+                        found_ids, scores = index.search(own, k) if len(own) else ((), ())
+                        if len(found_ids):
+                            out.append({"query_id": q, "part": shard // MEET, "best": [{"less": -s, "doc_id": d} for d, s in zip(found_ids.tolist(), scores.tolist(), strict=True)]})
+                    if out:
+                        yield pa.RecordBatch.from_pylist(out, schema=answers)
 
+    answers = pa.schema([("query_id", pa.int64()), ("part", pa.int32()), ("best", pa.list_(pa.struct([("less", pa.float64()), ("doc_id", pa.int64())])))])
     parts = max(1, shards.count())
-    found = materialise(shards.select("paths").coalesce(1).repartition(parts).mapInArrow(answer, "query_id long, doc_id long, score double"), "found")
+    rows = shards.coalesce(1).repartition(parts).mapInArrow(answer, "query_id long, part int, best array<struct<less: double, doc_id: long>>")
+    found = materialise(rows, "found")
     for table in (written, asked, shards):
         discard(table)
     remove_folder(spark, folder)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    met = lambda: F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
+    best = found.groupBy("query_id", "part").agg(met()).groupBy("query_id").agg(met())  # k of each of MEET shards, then k of each part
+    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), "b.doc_id", (-F.col("b.less")).alias("score"))
 
 
 def search_documents(spark: SparkSession, docs: DataFrame, every: int = 50, k: int = 10) -> DataFrame:

@@ -414,10 +414,11 @@ def plain_best(bags, terms, idf, mean, k):
     return sorted(scores, key=lambda x: (-x[1], x[0]))[:k]
 
 
-@pytest.mark.parametrize("block", [2, 8, 128])
-def test_block_max_wand_is_exact(block, monkeypatch):
+@pytest.mark.parametrize(("block", "window", "common", "dense", "long"), [(2, 3, 4, 10**6, 1), (8, 2, 50, 10**6, 400), (16, 1024, 4, 1500, 5), (16, 1024, 1, 0, 400)])
+def test_block_max_wand_is_exact(block, window, common, dense, long, monkeypatch):
     """Against plain scoring, with and without rare terms, on documents of two vocabularies."""
-    monkeypatch.setattr(search, "BLOCK", block)
+    for name, value in zip(("BLOCK", "WINDOW", "COMMON", "DENSE", "LONG"), (block, window, common, dense, long), strict=True):
+        monkeypatch.setattr(search, name, value)
     rng = np.random.default_rng(block)
     for turn in range(12):
         bags = []
@@ -438,18 +439,26 @@ def test_block_max_wand_is_exact(block, monkeypatch):
             assert list(zip(ids.tolist(), scores.tolist(), strict=True)) == [(i, pytest.approx(s, abs=2e-9)) for i, s in plain_best(bags, terms.tolist(), idf.tolist(), mean, 7)]
 
 
-def test_blocks_are_skipped(monkeypatch):
-    """Postings of blocks that cannot win are not read."""
+def test_windows_and_documents_are_skipped(monkeypatch):
+    """Windows that cannot win are not read, and dense lists are asked for few documents."""
     monkeypatch.setattr(search, "BLOCK", 4)
     monkeypatch.setattr(search, "WINDOW", 4)
     bags = [{1: 5, 2: 1, 3: 1} if i < 40 else {1: 1, 4: 2, 5: 2} for i in range(4000)]
     index = index_of(bags)
-    read = []
-    plain = search.Index._scores
-    monkeypatch.setattr(search.Index, "_scores", lambda self, code, s, e: read.append(e - s) or plain(self, code, s, e))
+    read, asked = [], []
+    plain = search.Index._sparse
+    monkeypatch.setattr(search.Index, "_sparse", lambda self, slot: read.append(1) or plain(self, slot))
+
+    class Dense(np.ndarray):
+        def __getitem__(self, at):
+            asked.append(at[1].size)
+            return np.asarray(self)[at]
+
     code, _ = index.codes(np.array([1, 2, 3], np.uint64), np.array([0.1, 4.0, 4.0]))
+    assert index.row[code].tolist()[0] >= 0 and index.row[code].tolist()[1] < 0
+    index.dense = index.dense.view(Dense)
     ids, _ = index.search(code, 5)
-    assert ids.tolist() == [0, 1, 2, 3, 4] and sum(read) < index.blocks / 4
+    assert ids.tolist() == [0, 1, 2, 3, 4] and len(read) < index.windows / 4 and 0 < sum(asked) < 400
 
 
 def test_search_is_exact(spark, docs, empty, monkeypatch):
