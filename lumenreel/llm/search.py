@@ -47,7 +47,7 @@ LONG = 400  # postings from which a list is added by itself
 DENSE = 8_000_000  # scores in the dense lists of a shard, at most; lists beyond are sparse
 DIGITS = 9
 SLACK = 1e-9  # a rounded k-th score is up to 5e-10 above its own
-CHUNK, SHARD = 2_000_000, 4_000_000
+CHUNK, SHARD = 1_000_000, 3_000_000
 GROUP = 256
 MEET = 1000  # shards whose answers to a query meet at once
 
