@@ -3,11 +3,13 @@
 A media value is a complete WAV file in a binary column. mu-law and A-law codes expand by tables of 256 entries that a
 rule makes; ADPCM is decoded with numpy across the blocks of a whole batch, a sample of every block at each step.
 ``store`` writes a table with a payload's codes as the samples, ``load`` reads it back, checks the container and decodes.
-Decoded PCM is resampled by linear interpolation and kept as 16-bit PCM where the caller asks for it; ``media_columns``
-stores it beside the features, which are made as it is written.
+Decoded PCM is resampled by linear interpolation and is a column of the result, a WAV file of 16-bit samples, so that
+whoever writes the result stores it; the features are made of it.
 
-Null texts are empty; payloads are padded with spaces to a positive multiple of the frame. Other columns are ignored;
-every row gives a row, so repeated rows repeat.
+Null and empty texts are a payload of one frame of spaces; payloads are padded with spaces to a positive multiple of the
+frame. Very long texts are whole; batches are cut by bytes, so one text at least and not much more than 8 MB are decoded
+at a time. Other columns are ignored, whatever their names. Every row gives a row, so repeated rows repeat, and rows of
+a null doc_id are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -190,9 +192,6 @@ def load(table: DataFrame, to_rate: int = 16000, keep_pcm: bool = False) -> Data
     return table.select("doc_id", "n_bytes", "media").mapInArrow(read, schema + (", pcm binary" if keep_pcm else ""))
 
 
-def media_columns(spark: SparkSession, docs: DataFrame, codec: int | None = None) -> DataFrame:
-    """Stores media, decodes them, stores them with their resampled PCM and returns all but the PCM of that table."""
-    decoded = load(store(docs, new_folder(spark, "media"), codec), keep_pcm=True)
-    path = new_folder(spark, "pcm")
-    decoded.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(decoded.schema).parquet(path).drop("pcm")
+def media_columns(spark: SparkSession, docs: DataFrame, codec: int | None = None, to_rate: int = 16000) -> DataFrame:
+    """Stores media, reads them back and returns their digests, a feature and the resampled PCM of each document."""
+    return load(store(docs, new_folder(spark, "media"), codec), to_rate, keep_pcm=True)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -505,16 +506,47 @@ def test_scores_that_round_alike_go_to_the_smaller_id(monkeypatch):
     assert index.search(code, 1)[0].tolist() == [0]
 
 
-def test_media_columns_store_pcm(spark, docs, monkeypatch):
-    made = []
-    real = media.new_folder
-    monkeypatch.setattr(media, "new_folder", lambda s, name: made.append(real(s, name)) or made[-1])
-    shown = media.media_columns(spark, docs)
-    stored = [t for t in map(spark.read.parquet, made) if "pcm" in t.columns]
-    assert len(stored) == 1 and "pcm" not in shown.columns and stored[0].count() == shown.count() == docs.count()
-    for r in stored[0].collect():
-        tag, rate, data = media.parse_wav(r.pcm)
-        assert (tag, rate) == (1, 16000) and r.feature.endswith(f"pcm={zlib.crc32(data):08x}")
+def plain_media(text):
+    """Payload, media file and PCM at 16 kHz of a text, sample by sample."""
+    raw = (text or "").encode()
+    payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+    kind = zlib.crc32(payload) % 3
+    if kind == 2:
+        data = b"".join(bytes(4) + payload[k : k + 192] for k in range(0, len(payload), 192))
+        pcm = [x for k in range(0, len(data), 196) for x in plain_adpcm(data[k : k + 196])]
+        head = struct.pack("<HHIIHH", 17, 1, 8000, 8000 * 196 // 385, 196, 4) + struct.pack("<HH", 2, 385)
+    else:
+        data, pcm = payload, []
+        for byte in payload:
+            if kind == 0:
+                c = ~byte & 255
+                size = ((((c & 15) << 3) + 132) << (c >> 4 & 7)) - 132
+                pcm.append(-size if c & 128 else size)
+            else:
+                c = byte ^ 85
+                size = ((c & 15) << 4) + 8 + (256 if c >> 4 & 7 else 0) << max((c >> 4 & 7) - 1, 0)
+                pcm.append(size if c & 128 else -size)
+        head = struct.pack("<HHIIHH", (7, 6)[kind], 1, 8000, 8000, 1, 8) + struct.pack("<H", 0)
+    body = b"WAVEfmt " + struct.pack("<I", len(head)) + head + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+    twice = [x for a, b in zip(pcm, pcm[1:] + pcm[-1:], strict=True) for x in (a, int(np.rint((a + b) / 2)))]
+    return payload, b"RIFF" + struct.pack("<I", len(body)) + body, twice
+
+
+def test_media_columns_equal_plain_decoding(spark, docs, empty):
+    own = docs.unionByName(docs.where("doc_id = 6"))
+    clash = own.withColumns({c: F.lit("x") for c in ("media", "feature", "n_bytes", "id")})
+    got = collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature, bytes(r.pcm)) for r in media.media_columns(spark, clash).collect())
+    want = collections.Counter()
+    for i, t in rows_of(own):
+        payload, file, pcm = plain_media(t)
+        wide = np.array(pcm, np.float64)
+        raw = np.array(pcm, "<i2").tobytes()
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))
+        rms = float(np.sqrt(np.square(wide.astype(np.float32), dtype=np.float32).mean(dtype=np.float64)))
+        feature = f"{('ulaw', 'alaw', 'adpcm')[zlib.crc32(payload) % 3]} 16000 Hz samples={len(pcm)} rms={rms:.2f} peak={max(map(abs, pcm))} crossings={crossings} pcm={zlib.crc32(raw):08x}"
+        want[i, len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature, media.wav(1, raw, 16000)] += 1
+    assert got == want
+    assert media.media_columns(spark, empty).count() == 0
 
 
 # Models
