@@ -25,7 +25,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(spark, _table(spark, sf_dir, "documents"))
+    return mixing.mix_documents(spark, _table(spark, sf_dir, "documents")).withColumn("wanted", F.round("wanted", 9))
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,23 +174,35 @@ def test_resampling():
 
 
 def test_mixing_equals_plain_windows(spark, docs, duck):
-    docs.toPandas()
     con = duck.cursor()
+    own = docs.withColumns({c: F.lit("x") for c in ("copies", "wanted", "size", "boost", "u", "target")})
     con.register("documents", docs.select("doc_id", "text", "source").toArrow())
-    same(mixing.mix(docs), con.sql(mixing.ORACLE_SQL))
+    same(mixing.mix(own, boost=mixing.by_length).withColumn("wanted", F.round("wanted", 9)), con.sql(mixing.ORACLE_SQL))
 
 
-def test_mixing_large_sources_and_boost(spark, empty, monkeypatch):
+@pytest.mark.parametrize("most", [mixing.MOST_ROWS, 0])
+def test_mixing_large_sources_and_boost(most, spark, empty, monkeypatch):
     monkeypatch.setattr(mixing, "BINS", 8)
-    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 40).cast("int") + 1).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))).alias("source"), (F.col("id") % 4 + 1).alias("quality"))
-    for boost in (None, "quality"):
-        out = mixing.mix(rows, boost=boost).groupBy("target", "source_size").agg(F.sum("taken").alias("taken"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    monkeypatch.setattr(mixing, "MOST_ROWS", most)
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 40).cast("int") + 1).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"), (F.col("id") % 5 / 2.0).alias("quality"))
+    for boost in (None, mixing.by_length, lambda size: F.col("quality") + 0.5):
+        whole = mixing.mix(rows, boost=boost, extra=("quality",))
+        out = whole.groupBy("target", "source_size").agg(F.sum("taken").alias("taken"), F.max(F.col("taken") / F.col("size")).alias("most"), F.sum(F.col("wanted") * F.col("size")).alias("wanted")).collect()
         assert sum(r.target for r in out) == pytest.approx(1.5 * sum(r.source_size for r in out))
         for r in out:
-            assert r.most <= 2 and r.target <= 2 * r.source_size + 1e-6
-            assert abs(r.taken - r.target) <= (40 if boost is None else 0.2 * r.target + 40)
+            assert r.most <= 2 and r.target <= 2 * r.source_size + 1e-6 and r.wanted == pytest.approx(r.target)
+            assert abs(r.taken - r.target) <= 40
+    odds = {r.quality: r.n for r in whole.where("wanted < 2 AND target < 2 * source_size").groupBy("quality").agg(F.avg("copies").alias("n")).collect()}
+    assert odds[0.0] < odds[0.5] < odds[1.0]
+    assert mixing.mix(rows, boost=lambda size: F.col("quality"), extra=("quality",)).where("quality = 0").agg(F.sum("copies")).first()[0] == 0
     assert mixing.mix(empty).count() == 0
-    assert mixing.mix(rows.limit(5).withColumn("text", F.lit(" "))).agg(F.sum("taken")).first()[0] == 0
+    assert mixing.mix(rows.limit(5).withColumn("text", F.lit(" "))).agg(F.sum("taken"), F.sum("copies")).first() == (0, 0)
+
+
+def test_null_ids_draw_by_text(spark):
+    rows = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("x"), F.col("id"), F.repeat(F.lit(" w"), (F.col("id") % 40).cast("int"))).alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
+    out = mixing.mix(rows).where("copies > floor(wanted)").agg(F.min("size"), F.max("size"), F.count("*")).first()
+    assert out[0] < 5 and out[1] > 35
 
 
 # Urls
