@@ -1,13 +1,14 @@
 """Exact, cached encoding with a word-level BPE of the tokenizers library.
 
-The tokenizer lower-cases and never joins anything across white space, nor across the border between an ASCII letter
-and an ASCII punctuation mark other than the apostrophe. So whole texts are cut there with numpy, each different piece
-is encoded once per batch and worker, and ids are gathered by piece. ``tests/llm`` holds the result against the plain
-encoding of whole texts.
+A tokenizer whose file has the normaliser and splitter below lower-cases and never joins anything across white space, nor
+across the border between an ASCII letter and an ASCII punctuation mark other than the apostrophe. So whole texts are cut
+there with numpy, each different piece is encoded once per batch and worker, and ids are gathered by piece. Any other
+tokenizer encodes whole texts plainly. ``tests/llm`` holds the result against the plain encoding of whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -27,6 +28,18 @@ for _b in range(33, 127):
     _KIND[_b] = 1 if chr(_b).isalpha() else 0 if chr(_b).isdigit() or _b == 39 else 2
 
 
+#: Normaliser and splitter for which texts may be cut, fixed values of that tokenizer.
+_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def may_cut(description: dict) -> bool:
+    """Whether a tokenizer's description (its file's JSON) is one whose texts may be cut into pieces."""
+    normaliser, splitters = description.get("normalizer") or {}, (description.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    named = all(t["content"].startswith("<|") for t in description.get("added_tokens") or [])
+    return named and normaliser.get("normalizers") == _NORMALISER and splitters[0].get("pattern") == {"Regex": _SPLITTER} and description["model"].get("type", "BPE") == "BPE" and not description.get("truncation") and not description.get("padding")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -43,6 +56,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
+        self.cuts = may_cut(json.loads(self.tokenizer.to_str()))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,6 +74,8 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the offset of each text in it."""
+        if not self.cuts:
+            return self._with_special(texts, set(range(len(texts))))
         special = [i for i, t in enumerate(texts) if b"<|" in t]  # might name a special token: encoded whole
         if special:
             return self._with_special(texts, set(special))
@@ -91,11 +107,11 @@ class Encoder:
         return values, at[np.searchsorted(begins, text_at)]
 
     def _with_special(self, texts: list[bytes], special: set[int]) -> tuple[np.ndarray, np.ndarray]:
-        rest, at = self.encode([b"" if i in special else t for i, t in enumerate(texts)])
+        rest, at = self.encode([b"" if i in special else t for i, t in enumerate(texts)]) if len(special) < len(texts) else (np.empty(0, self.dtype), None)
         parts = [np.frombuffer(self._plain([t.decode()])[0], dtype=self.dtype) if i in special else rest[at[i] : at[i + 1]] for i, t in enumerate(texts)]
         offsets = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(x) for x in parts], out=offsets[1:])
-        return np.concatenate(parts), offsets
+        return np.concatenate([rest[:0], *parts]), offsets
 
 
 _encoders: dict[str, Encoder] = {}
