@@ -4,16 +4,16 @@ Fingerprints have 64 bits, by majority over the XXH64 of word shingles. They are
 bits. Two fingerprints that differ in at most three bits have a place in the ring from which every chain of consecutive
 segments stays within its share of the budget: no difference in the first segment, at most one in the first two, two in
 the first three, three in all. So each different fingerprint is dealt, for each of the four places, by the first two
-segments as they are and with one zero bit of the second raised: pairs that pass the chain of two meet in a bucket, and
-there the rest of the chain and the full distance are checked by bit counts.
+segments as they are and with one zero bit of the second raised: pairs that pass the chain of two meet in a bucket. There
+the chain of three is checked where buckets are large, and the full distance always, by bit counts.
 
 Equal fingerprints meet before this, in an aggregation, so a group of copies is one fingerprint. Inside a bucket only
 the links of a spanning forest leave the task, never all pairs. A bucket has different fingerprints with 32 bits in
 common; a large one is cut further by the other two segments, of which one differs in one bit at most.
 
 Null and empty texts, and texts without words, have fingerprint zero and are linked like any other. Null doc_ids take
-part and never name a component, unless all of its are null. Repeated rows repeat in the result. Extra columns are
-ignored; an empty table gives no rows.
+part and never name a component, unless all of its are null. Repeated rows repeat in the result. Very long texts are
+whole; their shingles are hashed in parts. Extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import blocks, materialise, ship, utf8
+from .shared import blocks, discard, materialise, ship, utf8
 
 SEED = 42
 SHINGLE = 3
 PLAIN_RUN = 12  # up to so many fingerprints, a bucket's pairs are compared by shifts
 LARGE_RUN = 8192
+TILE = 16_384  # fingerprints that 256 others are compared with at once
 
 
 def fingerprint(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -72,13 +73,15 @@ def fingerprint(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp and a hash of the text, thash, of every row."""
     ship(docs.sparkSession)
 
     def run(batches):
         for b in blocks(batches, 2 << 20):
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "fp": fingerprint(utf8(b.column(1)), shingle)})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "fp": fingerprint(utf8(b.column(1)), shingle), "thash": b.column(2)})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("thash")).mapInArrow(run, "doc_id long, fp long, thash long")
 
 
 def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +109,12 @@ def forest(fps: np.ndarray, most: int = 3) -> list[tuple[np.ndarray, np.ndarray]
         while len(front) and len(rest):
             parent = np.full(len(rest), -1)
             for at in range(0, len(front), 256):
-                left = np.flatnonzero(parent < 0)
-                near = np.bitwise_count((front[at : at + 256, None] ^ rest[None, left]).view(np.uint64)) <= most
-                hit = near.any(axis=0)
-                parent[left[hit]] = near[:, hit].argmax(axis=0) + at
+                open_ = np.flatnonzero(parent < 0)
+                for some in range(0, len(open_), TILE):
+                    left = open_[some : some + TILE]
+                    near = np.bitwise_count((front[at : at + 256, None] ^ rest[None, left]).view(np.uint64)) <= most
+                    hit = near.any(axis=0)
+                    parent[left[hit]] = near[:, hit].argmax(axis=0) + at
             found = parent >= 0
             out.append((front[parent[found]], rest[found]))
             front, rest = rest[found], rest[~found]
@@ -191,12 +196,36 @@ def near_links(distinct: DataFrame, most: int = 3) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a long, b long")
 
 
+def _rooted(distinct: DataFrame, most: int) -> DataFrame:
+    """Adds to the rows of distinct, one for each fingerprint fp, the root of its component."""
+    roots = components(near_links(distinct, most)).withColumnRenamed("node", "fp")
+    return materialise(distinct.join(roots, "fp", "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, most: int = 3, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    own = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    own = materialise(fingerprints(docs, shingle, id_col, text_col).select("doc_id", "fp"), "fingerprints")
     distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(near_links(distinct, most)).withColumnRenamed("node", "fp")
-    rooted = materialise(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = _rooted(distinct, most)
+    discard(distinct)
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = rooted.join(names, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, most: int = 3, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with all their columns, one of each component.
+
+    The row with the smallest doc_id stays (a null one counts as the largest), of those the one with the smallest hash
+    of its text, and of rows equal in both any one. So different texts that share a doc_id stay, and copies without
+    doc_id go. Rows equal in doc_id and text meet in an aggregation, before they are held against the components.
+    """
+    own = fingerprints(docs, shingle, id_col, text_col)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash"))
+    distinct = materialise(own.groupBy("fp").agg(least.alias("first")), "distinct")
+    winners = _rooted(distinct, most).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.thash")
+    key = lambda id_, h: [F.xxhash64(id_, h).alias("k1"), F.xxhash64(h, F.lit("second"), id_).alias("k2")]
+    thash = F.xxhash64(F.col(text_col).cast("string"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *key(F.col(id_col).cast("long"), thash))
+    rows = keyed.groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    return rows.join(winners.select(*key(F.col("doc_id"), F.col("thash"))), ["k1", "k2"], "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
