@@ -4,11 +4,13 @@ Texts are lower-cased, anything but letters becomes a space, and runs of 2 and 3
 buckets. A feature is the bucket's share of the text's n-grams times its inverse document frequency, which is counted
 over all documents that may be learned from. Weights are learned with follow-the-regularised-leader (per-coordinate
 rates, L1 and L2 penalties) on a bounded sample, ``PER_LANG`` expected documents of each language by a hash of doc_id;
-a fifth of the sample is held back to fit one temperature, which calibrates the scores.
+a fifth of the sample is held back to fit one temperature, which calibrates the scores. The ``MOST_LANGS`` most frequent
+values of lang are learned; a table with more has labels that are no languages.
 
 Prediction reads whole texts and nothing else. A text that is null or has no letter is ``und`` with score 0, and so is
 every text if there is nothing to learn from. Equal scores go to the first language in order. Documents with a null
-doc_id or lang are not learned from. Rows that repeat are predicted alike. Extra columns are ignored.
+doc_id or lang are not learned from. Rows that repeat are predicted alike. Very long texts are whole. Extra columns are
+kept by ``predict``, but for columns named lang_pred or score, which it makes anew. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .shared import blocks, materialise, ship
 
 DIM = 1 << 16
 PER_LANG = 600
+MOST_LANGS = 256
 EPOCHS = 3
 GRAMS = (2, 3)
 NONE = "und"
@@ -137,7 +140,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, where: Column | None = None
     """Fits a model on the documents (doc_id, text, lang) that where holds for."""
     ship(docs.sparkSession)
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang", F.coalesce(where, F.lit(False)).alias("use") if where is not None else F.lit(True).alias("use")).where("use")
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     rates = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_lang / n))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     picked = usable.select("text", "lang", (share(F.col("doc_id"), "langid") < F.coalesce(rates[F.col("lang")], F.lit(0.0))).alias("drawn"), share(F.col("doc_id"), "held").alias("u"))
 
@@ -171,7 +174,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, where: Column | None = None
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to docs, whatever its columns."""
+    """Adds lang_pred and score to docs, in place of columns of these names."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIM numbers for each language
 
@@ -181,9 +184,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             best, p = m.scores(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([NONE if k < 0 else m.langs[k] for k in best.tolist()], pa.string()), pa.array(p, pa.float64())], ["row", "lang_pred", "score"])
 
-    packed = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    packed = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*kept).alias("row"))
     out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], "lang_pred", "score")
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], "lang_pred", "score")
 
 
 def identify(spark: SparkSession, docs: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:
