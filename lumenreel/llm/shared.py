@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
-__all__ = ["WORD", "blocks", "discard", "file_system", "materialise", "new_folder", "remove_folder", "ship", "take_ragged", "utf8", "work_root"]
+__all__ = ["WORD", "blocks", "discard", "file_system", "materialise", "new_folder", "remove_folder", "ship", "stored_bytes", "take_ragged", "utf8", "work_root"]
 
 #: ASCII white space, the separators of every "word" in the contracts (space and 0x09-0x0D).
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -73,6 +73,12 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), uri
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """The size of a plan's result as Spark's statistics estimate it (of a scan, that of the files read), 0 if unknown."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 56 else 0
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -16,7 +16,11 @@ the first travels, so a passage in a third of all documents reaches its bucket a
 
 Null and empty texts have no words and stay; so do texts under width words. A null doc_id counts as the largest.
 Repeated rows (equal doc_id and text) are the same document and are treated alike; rows that share a doc_id do not
-remove each other's words. Very long texts are whole. Extra columns are ignored; an empty table gives no rows.
+remove each other's words, and neither do rows without one. Very long texts are whole. Extra columns are ignored, or kept
+with ``keep_text``, but for one named n_removed, which is made anew; an empty table gives no rows.
+
+A destination is meant to hold ``SHARE`` bytes of packed strings: their number follows from the size of the input that
+Spark's statistics give, and a wrong estimate costs time only.
 """
 
 from __future__ import annotations
@@ -25,22 +29,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import mix, runs_of, span_hashes
-from .shared import blocks, materialise, ship, utf8
+from .shared import blocks, materialise, ship, stored_bytes, utf8
 
 WIDTH = 13
 M = 3
 FEW_BYTES = 12
 OVERFLOW = 96 << 20
+SHARE = 48 << 20
+PACKED = 4  # bytes of packed strings for a byte of the stored table, about
+MOST_SHARED = 100_000  # repeated doc_ids that are sent to every task
 LAST = (1 << 63) - 1
 
 FLUSH = 8 << 20  # bytes of text after which a task sends what it has packed
 _FLOW = "dest int, sure boolean, raw long, blob binary"
-_FLAGS = "ord long, variant int, pos int, n int, `window` binary"
-_PLANES = (("key", "<u4"), ("ord", "<i8"), ("variant", "<i4"), ("pos", "<i4"), ("n", "<i4"))
+_FLAGS = "ord long, variant long, pos int, n int, `window` binary"
+_PLANES = (("key", "<u4"), ("ord", "<i8"), ("variant", "<i8"), ("pos", "<i4"), ("n", "<i4"))
 
 
 def _word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +171,7 @@ def _windows(packed: list[bytes], width: int) -> tuple[pa.Array, np.ndarray, np.
 
 
 def _flags(planes: dict[str, np.ndarray], pos: np.ndarray, n: np.ndarray, window=None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"ord": planes["ord"], "variant": planes["variant"].astype(np.int32), "pos": pos.astype(np.int32), "n": n.astype(np.int32), "window": pa.nulls(len(pos), pa.binary()) if window is None else window})
+    return pa.RecordBatch.from_pydict({"ord": planes["ord"], "variant": planes["variant"].astype(np.int64), "pos": pos.astype(np.int32), "n": n.astype(np.int32), "window": pa.nulls(len(pos), pa.binary()) if window is None else window})
 
 
 def _compare(planes: dict[str, np.ndarray], packed: list[bytes], width: int):
@@ -238,7 +245,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, overflow: int = OVERFL
     """ord, variant and the runs (pos, n) of windows to remove; docs: ord, variant, text."""
     if width < M + 1:
         raise ValueError(f"a window needs more than {M} words")
-    dests = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dests = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(stored_bytes(docs) * PACKED // SHARE, 1 << 30))
     dealt = docs.select("ord", "variant", "text").mapInArrow(lambda it: _deal(it, width, dests), _FLOW)
     met = dealt.repartition("dest").sortWithinPartitions("dest").mapInArrow(lambda it: _meet(it, width, overflow), _FLAGS)
     flags = materialise(met, "windows")
@@ -250,15 +257,17 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, overflow: int = OVERFL
 
 
 def _with_variants(docs: DataFrame, id_col: str, text: F.Column) -> DataFrame:
-    """Adds ord, and variant: 0, but where texts share a doc_id a number that tells them apart."""
-    keyed = docs.withColumns({"ord": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "thash": F.coalesce(F.xxhash64(text), F.lit(0))})
-    shared = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord")).groupBy("ord").count().where("count > 1").select("ord")
-    shared = materialise(shared, "shared")
+    """Adds ord, and variant: 0, but where texts share a doc_id or have none a hash of the text, which tells them apart."""
+    ids = docs.select(F.col(id_col).cast("long").alias("ord")).where("ord IS NOT NULL")
+    shared = materialise(ids.groupBy("ord").count().where("count > 1").select(F.col("ord").alias("s_ord")), "shared")
+    keyed = docs.withColumn("ord", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
+    thash = F.xxhash64(text)
+    alone = F.when(F.col(id_col).isNull(), thash).otherwise(F.lit(0))
     if shared.isEmpty():
-        return keyed.withColumn("variant", F.lit(0))
-    number = F.row_number().over(Window.partitionBy("ord").orderBy("thash"))
-    names = materialise(keyed.join(shared, "ord", "left_semi").select("ord", "thash").distinct().withColumn("variant", number), "variants")
-    return keyed.join(names, ["ord", "thash"], "left").withColumn("variant", F.coalesce("variant", F.lit(0)))
+        return keyed.withColumn("variant", alone)
+    if shared.limit(MOST_SHARED + 1).count() <= MOST_SHARED:
+        shared = F.broadcast(shared)
+    return keyed.join(shared, F.col("ord") == F.col("s_ord"), "left").withColumn("variant", F.when(F.col("s_ord").isNotNull(), thash).otherwise(alone)).drop("s_ord")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", overflow: int = OVERFLOW) -> DataFrame:
@@ -267,10 +276,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, kee
     keep_text puts the kept words (joined by a space) into text instead, and keeps all columns of docs.
     """
     ship(spark)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    columns = [c for c in docs.columns if c.lower() != "n_removed"]
+    whole = docs.select(F.struct(*columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = _with_variants(whole, "doc_id", F.col("text"))
     runs = repeated_windows(keyed, width, overflow)
-    marks = runs.groupBy("ord", "variant").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))  # of one document
+    own = runs.groupBy("ord", "variant").agg(F.collect_set(F.struct("pos", "n")).alias("run"))  # of one document; its repeated rows have the same
+    marks = own.select("ord", "variant", F.col("run.pos").alias("pos"), F.col("run.n").alias("n"))
     rest = ["row"] if keep_text else ["doc_id", "text"]
     joined = keyed.select("ord", "variant", *rest).join(marks, ["ord", "variant"], "left")
 
@@ -303,4 +314,4 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, kee
     flat = joined.select(F.col("row")[text_col].cast("string").alias("text"), "pos", "n", F.col("row").dropFields(text_col).alias("row"))
     row = flat.schema["row"].dataType.simpleString()
     done = flat.mapInArrow(rewrite, f"text string, n_removed long, row {row}")
-    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns], "n_removed")
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns], "n_removed")
