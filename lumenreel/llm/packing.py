@@ -10,7 +10,8 @@ ranks come from range partitions and prefix sums, so no step gathers the pieces,
 is dealt like any other.
 
 Null and empty texts are the end id alone. Repeated rows and equal doc_ids are packed each on its own; null doc_ids
-come first in their type. An empty table gives no piece. Extra columns are ignored.
+come first in their type. Very long texts are encoded whole, one at a time. An empty table gives no piece. Extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import blocks, materialise, ship, utf8
+from .shared import blocks, discard, materialise, ship, utf8
 from .tokens import default_tokenizer, encoder
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
@@ -161,12 +162,14 @@ def patterns(counts: dict[int, int], capacity: int, gap: float = 1e-3, most_roun
 def assign(pieces: DataFrame, length: int = 2048, grain: int = 8, gap: float = 1e-3) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns doc_id, start and length, and any others)."""
     spark = pieces.sparkSession
-    order = ["type", "doc_id", "start", "ids_crc32"]
-    # Written first: range bounds are sampled from this, which would run the encoding a second time.
-    typed = materialise(pieces.withColumn("type", F.ceil(F.col("length") / F.lit(grain)).cast("int")), "pieces")
+    order = ["type", "doc_id", "start", "ids_crc32", "row"]
+    # Written first: range bounds are sampled from this, which would run the encoding a second time. The row's number
+    # lets equal pieces, a third of all perhaps, be cut into ranges too.
+    typed = materialise(pieces.withColumns({"type": F.ceil(F.col("length") / F.lit(grain)).cast("int"), "row": F.monotonically_increasing_id()}), "pieces")
     ranged = materialise(typed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
+    discard(typed)
     per_part = ranged.groupBy("part", "type").agg(F.count("*").alias("n"))
-    # Range partitions hold neighbouring types, so this has about as many rows as there are types and partitions.
+    # Range partitions hold neighbouring types, so this has at most as many rows as there are types and partitions.
     base = per_part.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     counts = {r["type"]: r["n"] for r in ranged.groupBy("type").agg(F.count("*").alias("n")).collect()}  # at most length / grain rows
     slots, sequences, used = [], 0, dict.fromkeys(counts, 0)
@@ -175,10 +178,10 @@ def assign(pieces: DataFrame, length: int = 2048, grain: int = 8, gap: float = 1
             slots.append((size, used[size], used[size] + many * times, many, sequences))
             used[size] += many * times
         sequences += times
-    table = spark.createDataFrame(slots, "type int, low long, high long, many long, first long")  # types x patterns rows at most
+    table = spark.createDataFrame(slots, "type int, low long, high long, many long, first long")  # rows: a pattern for each type and a few more, each of length / grain types at most
     ranked = (
         ranged.join(F.broadcast(base), ["part", "type"])
-        .withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("part", "type").orderBy("doc_id", "start", "ids_crc32")) - 1)
+        .withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("part", "type").orderBy("doc_id", "start", "ids_crc32", "row")) - 1)
         .join(F.broadcast(table), "type")
         .where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
         .withColumn("sequence_id", F.expr("first + (rank - low) div many"))
