@@ -4,10 +4,12 @@ A shard is three files: ``.bin`` holds the ids of its documents back to back (li
 vocabulary fits, else 32-bit), ``.idx`` the n + 1 offsets of its n documents as little-endian 64-bit counts of ids, and
 ``.ids`` their n document ids (64-bit; the smallest value stands for null). Documents are range-partitioned on doc_id,
 so that shards in their order hold all documents in ascending order; a shard's base is the prefix sum of the counts
-before it.
+before it. There are as many shards as shuffle partitions, or one for ``SHARD_BYTES`` of the stored table if that is more.
+Readers map a shard into memory where its file system is local, and read it by ranges of ``READ`` ids elsewhere.
 
 Null and empty texts give a document of the end id alone. Null doc_ids come first. Repeated rows and equal doc_ids each
-keep an own entry, in the order of a hash of their texts. Extra columns are ignored. An empty table gives no shard.
+keep an own entry, in the order of a hash of their texts. Very long texts are encoded whole, one at a time. Extra columns
+are ignored, whatever their names. An empty table gives no shard.
 
 A task writes below a name of its own and renames at the end, so a task run again after a lost executor replaces its
 files by the same bytes.
@@ -25,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import blocks, file_system, materialise, new_folder, ship, utf8
+from .shared import blocks, file_system, materialise, new_folder, ship, stored_bytes, utf8
 from .tokens import default_tokenizer, encoder
 
 NULL_ID = -(1 << 63)
+SHARD_BYTES = 128 << 20
+READ = 4_000_000
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, width int"
 
 
@@ -71,21 +75,52 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # Range bounds are sampled on the driver, so their key is two numbers and holds no text.
     tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange("id", tie).sortWithinPartitions("id", tie, "text")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(rows) // SHARD_BYTES))
+    ordered = rows.repartitionByRange(shards, "id", tie).sortWithinPartitions("id", tie, "text")
     manifest = materialise(ordered.mapInArrow(write, MANIFEST), "shards")
     # A row for each shard, which are as many as partitions: one window task adds them up.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def open_shard(path: str, width: int):
-    """ids, offsets and doc ids of a shard; memory-mapped where the file system is local."""
-    fs, root = file_system(path)
-    if isinstance(fs, pafs.LocalFileSystem):
-        load = lambda k, t: np.memmap(f"{root}.{k}", dtype=t, mode="r")
-    else:
-        load = lambda k, t: np.frombuffer(fs.open_input_file(f"{root}.{k}").read_buffer(), dtype=t)
-    return load("bin", f"<u{width}"), load("idx", "<i8"), load("ids", "<i8")
+class Part:
+    """A file of fixed-width integers, read by slices: mapped into memory where its file system is local, else by ranges."""
+
+    def __init__(self, path: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        fs, root = file_system(path)
+        local = isinstance(fs, pafs.LocalFileSystem)
+        self.whole = np.memmap(root, dtype=self.dtype, mode="r") if local else None
+        self.file = None if local else fs.open_input_file(root)
+        self.size = len(self.whole) if local else self.file.size() // self.dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        start, stop, _ = span.indices(self.size)
+        if self.whole is not None:
+            return np.array(self.whole[start:stop])
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at(max(stop - start, 0) * width, start * width), dtype=self.dtype)
+
+
+def open_shard(path: str, width: int) -> tuple[Part, Part, Part]:
+    """ids, offsets and doc ids of a shard."""
+    return Part(f"{path}.bin", f"<u{width}"), Part(f"{path}.idx", "<i8"), Part(f"{path}.ids", "<i8")
+
+
+def documents_of(path: str, width: int, most: int = READ, docs: int = 20_000):
+    """The documents of a shard, some at a time: their ids, their offsets (of the shard, one more than documents) and their doc ids."""
+    ids, offsets, names = open_shard(path, width)
+    for k in range(0, len(names), docs):
+        at, own = offsets[k : k + docs + 1], names[k : k + docs]
+        first = 0
+        while first < len(own):  # of so many ids, or one document
+            last = max(first + 1, int(np.searchsorted(at, at[first] + most, side="right")) - 1)
+            last = min(last, len(own))
+            yield ids[int(at[first]) : int(at[last])], at[first : last + 1], own[first:last]
+            first = last
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -95,14 +130,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def read(batches):
         for b in batches:
             for row in b.to_pylist():
-                ids, at, names = open_shard(row["path"], row["width"])
-                for k in range(0, len(names), 20_000):
-                    part = slice(k, k + 20_000)
-                    crc = [zlib.crc32(ids[s:e].astype("<u4")) for s, e in zip(at[:-1][part].tolist(), at[1:][part].tolist(), strict=True)]
-                    own = np.array(names[part])
+                for ids, at, own in documents_of(row["path"], row["width"]):
+                    here = (at - at[0]).tolist()
+                    crc = [zlib.crc32(ids[s:e].astype("<u4")) for s, e in zip(here[:-1], here[1:], strict=True)]
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(own, pa.int64(), mask=own == NULL_ID), "start": np.array(at[:-1][part]) + row["base"],
-                        "n_tokens": np.diff(at[k : k + len(crc) + 1]), "ids_crc32": pa.array(crc, pa.int64()),
+                        "doc_id": pa.array(own, pa.int64(), mask=own == NULL_ID), "start": at[:-1] + row["base"], "n_tokens": np.diff(at), "ids_crc32": pa.array(crc, pa.int64()),
                     })
 
     shards = max(1, manifest.count())
