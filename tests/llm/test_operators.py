@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -61,6 +62,16 @@ def test_encoder_equals_plain_encoding():
         assert ids[at[i] : at[i + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_other_tokenizers_encode_plainly():
+    import public_tokenizers
+
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not enc.cuts and tokens.encoder(tokens.default_tokenizer()).cuts
+    texts = ["Upper lower UPPER", "", "a  b\n c", "É x"]
+    ids, at = enc.encode([t.encode() for t in texts])
+    assert [ids[s:e].tolist() for s, e in zip(at[:-1], at[1:], strict=True)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_encoder_forgets_safely(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
     enc = tokens.Encoder(tokens.default_tokenizer())
@@ -85,6 +96,50 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     assert binary_output.token_output(spark, empty).count() == 0
 
 
+def test_shards_are_read_by_ranges(spark, docs, monkeypatch, tmp_path):
+    import pyarrow.fs as pafs
+
+    manifest = binary_output.write_token_files(docs, str(tmp_path / "t")).collect()
+    read = lambda row, most, n: [(names[i], ids[int(at[i] - at[0]) : int(at[i + 1] - at[0])].tolist(), int(at[i])) for ids, at, names in binary_output.documents_of(row.path, row.width, most, n) for i in range(len(names))]
+    for row in manifest:
+        whole = read(row, binary_output.READ, 20_000)
+        assert len(whole) == row.n_docs and sum(len(w[1]) for w in whole) == row.n_tokens
+        assert read(row, 7, 20_000) == read(row, 500, 3) == whole
+        with monkeypatch.context() as m:
+            m.setattr(binary_output, "file_system", lambda uri: (pafs.SubTreeFileSystem("/", pafs.LocalFileSystem()), uri))
+            assert read(row, 7, 2) == whole
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """Texts beyond the size at which batches are cut."""
+    one = prose(5000)
+    return spark.createDataFrame([(1, (one + " ") * 360), (2, one), (3, (one + "\n") * 100), (None, one * 100)], "doc_id long, text string").coalesce(1)
+
+
+def test_very_long_texts(spark, long_docs):
+    rows = rows_of(long_docs)
+    assert max(len(t) for _, t in rows) > 8 << 20
+    enc = tokens.encoder(tokens.default_tokenizer()).tokenizer
+    want = {i: np.array([*enc.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in rows}
+    assert {(r.doc_id, r.n_tokens, r.ids_crc32) for r in binary_output.token_output(spark, long_docs).collect()} == {(i, len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+    pieces = packing.pack(spark, long_docs).collect()
+    assert {i: sum(r.length for r in pieces if r.doc_id == i) for i in want} == {i: len(x) for i, x in want.items()}
+    assert {(r.doc_id, r.n_bytes) for r in media.media_columns(spark, long_docs).select("doc_id", "n_bytes").collect()} == {(i, len(t)) for i, t in rows}
+    import xxhash
+
+    for r in simhash.near_duplicates(spark, long_docs).collect():
+        words = dict(rows)[r.doc_id].encode().split()
+        seen = collections.Counter(b" ".join(words[i : i + 3]) for i in range(len(words) - 2))
+        bits = np.zeros(64, np.int64)
+        for shingle, n in seen.items():
+            bits += n * (np.uint64(xxhash.xxh64_intdigest(shingle, 42)) >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(np.int64)
+        assert int(r.fingerprint, 16) == sum(1 << k for k in range(64) if bits[k] * 2 > len(words) - 2)
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark, long_docs).collect()}
+    assert got == {r[0]: r[2] for r in plain_repeats(rows)}
+    assert {r.query_id for r in search.search(spark, long_docs, long_docs.withColumnRenamed("doc_id", "query_id"), 2).collect()} == {1, 2, 3}
+
+
 # Packing
 
 
@@ -304,6 +359,33 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_duplicates(spark, empty).count() == 0
 
 
+def test_keep_first(spark, docs, empty):
+    base = prose(120).split()
+    near = [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in range(0, 120, 9)]
+    more = docs.unionByName(spark.createDataFrame([(100 + i, t, None, None, None, None) for i, t in enumerate(near)] + [(None, "lone text", "a", None, None, "")] * 30 + [(7, prose(70), "x", None, None, "")] * 3, DOC))
+    more = more.withColumns({c: F.lit(1) for c in ("fp", "k1", "row", "thash", "root")})
+    rows = rows_of(more)
+    roots = unite([plain_fingerprint(t) for _, t in rows])
+    hashes = [r.h for r in spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "i long, t string").select("i", F.xxhash64("t").alias("h")).orderBy("i").collect()]
+    best = {}
+    for i, root in enumerate(roots):
+        rank = (rows[i][0] is None, rows[i][0] or 0, hashes[i])
+        if root not in best or rank < best[root][0]:
+            best[root] = (rank, rows[i])
+    out = simhash.keep_first(spark, more)
+    assert out.columns == more.columns
+    assert collections.Counter(rows_of(out)) == collections.Counter(r for _, r in best.values())
+    assert simhash.keep_first(spark, empty).count() == 0
+
+
+def test_forest_in_tiles(monkeypatch):
+    rng = np.random.default_rng(7)
+    fps = np.unique(rng.integers(0, 1 << 11, 700, dtype=np.uint64)).astype(np.int64)
+    whole = sorted((int(x), int(y)) for a, b in simhash.forest(fps) for x, y in zip(a, b, strict=True))
+    monkeypatch.setattr(simhash, "TILE", 50)
+    assert sorted((int(x), int(y)) for a, b in simhash.forest(fps) for x, y in zip(a, b, strict=True)) == whole
+
+
 def test_links_connect_all_close_fingerprints():
     rng = np.random.default_rng(4)
     seeds = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
@@ -374,6 +456,18 @@ def test_substrings_many(spark, empty):
         substrings.remove_repeats(spark, df, 3)
 
 
+def test_substrings_of_shared_and_missing_ids(spark, monkeypatch):
+    """Different texts of one doc_id or of none are kept apart, joined or sent; equal rows are alike."""
+    rows = [(None, PASSAGE + f" tail {i}") for i in range(5)] + [(4, PASSAGE), (4, "head " + PASSAGE), (5, PASSAGE), (5, PASSAGE), (6, prose(20)), (None, prose(30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (100_000, 0):
+        monkeypatch.setattr(substrings, "MOST_SHARED", most)
+        assert collections.Counter(map(tuple, substrings.remove_repeats(spark, df).collect())) == plain_repeats(rows)
+    clash = df.withColumns({c: F.lit(9) for c in ("N_Removed", "ord", "variant", "pos", "n", "row")})
+    out = substrings.remove_repeats(spark, clash, keep_text=True)
+    assert sorted(out.columns) == sorted([*(c for c in clash.columns if c != "N_Removed"), "n_removed"]) and {r.ord for r in out.collect()} == {9}
+
+
 def test_super_kmers_cover_every_window_once():
     texts = [t.encode() for t in (prose(50), prose(12), "", "a " * 100, prose(300))]
     packed, owner, pos, n, key = substrings.super_kmers(texts)
@@ -570,6 +664,39 @@ def test_language_held_out(spark):
     assert out > 0.97
 
 
+def plain_language(model, text):
+    """Scores of a text, n-gram by n-gram."""
+    chars = [c if c.isalpha() else " " for c in text.lower()] + [" ", " "]
+    total = np.zeros(len(model.langs))
+    for i in range(len(chars) - 2):
+        h = ord(chars[i]) * 0x9E3779B1 & 0xFFFFFFFF
+        for n in (2, 3):
+            h = ((h ^ h >> 15) * 0x85EBCA6B + ord(chars[i + n - 1]) * 0xC2B2AE35) & 0xFFFFFFFF
+            total += model.table[((h ^ h >> 16) * 0x27D4EB2F & 0xFFFFFFFF) >> 16].astype(np.float64)
+    logits = (total / (2 * (len(chars) - 2)) + model.bias) / model.temperature
+    e = np.exp(logits - logits.max())
+    return e / e.sum()
+
+
+def test_language_scores_equal_plain_loops():
+    rng = np.random.default_rng(0)
+    model = langid.Model(["a", "b", "c"], rng.normal(0, 5, (langid.DIM, 3)).astype(np.float32), rng.normal(0, 1, 3), 1.7)
+    texts = [t for t in TEXTS if t and any(c.isalpha() for c in t) and len(t) < 4000]
+    best, p = model.scores([None, *texts, "12 !"])
+    assert best[0] == best[-1] == -1 and p[0] == p[-1] == 0
+    for k, s, t in zip(best[1:-1], p[1:-1], texts, strict=True):
+        want = plain_language(model, t)
+        assert k == want.argmax() and s == pytest.approx(want.max(), abs=1e-6)
+
+
+def test_language_columns_and_labels(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 1)
+    clash = docs.withColumns({c: F.lit("x") for c in ("score", "Lang_Pred", "row", "use", "drawn", "u")})
+    out = langid.predict(clash, langid.learn(clash))
+    assert out.columns == [c for c in clash.columns if c not in ("score", "Lang_Pred")] + ["lang_pred", "score"]
+    assert {r.lang_pred for r in out.collect()} in ({"und", "en"}, {"und", "fr"}) and {r.row for r in out.collect()} == {"x"}
+
+
 def test_language_edges(spark, docs, empty):
     got = {(r.doc_id, r.lang_pred) for r in langid.identify(spark, docs).collect()}
     assert {(0, "und"), (1, "und"), (2, "und")} <= got and {p for _, p in got} <= {"und", "en", "fr"}
@@ -614,6 +741,44 @@ def test_pair_of_neutral_terms_is_learned_from_documents(spark):
     assert by[1] > 0.95 and by[0] < 0.01
 
 
+def test_machine_scores_equal_plain_loops():
+    rng = np.random.default_rng(3)
+    texts = [prose(30), "One one ONE two", "", "déjà-vu x1_y2", prose(5)]
+    sets = []
+    for t in texts:
+        h, owner = toxicity.hashes([t.encode()])
+        sets.append(set(toxicity.leveled(h, owner)[0].tolist()))
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", t.encode().lower())
+        pieces = collections.Counter(("w", w) for w in words) + collections.Counter(("p", w[:n]) for w in words for n in range(4, 10) if len(w) >= n)
+        assert len(sets[-1]) == sum(min(n, 3) for n in pieces.values())  # a term for each level its count reaches
+    keys = np.array(sorted(set().union(*sets))[::2], np.uint64)
+    m = toxicity.Machine(keys, rng.normal(0, 1, len(keys)), rng.normal(0, 0.3, (len(keys), 4)), 0.1, toxicity._marks(keys))
+    at = {int(k): i for i, k in enumerate(keys)}
+    for p, own in zip(m.scores([t.encode() for t in texts]), sets, strict=True):
+        rows = [at[t] for t in sorted(own) if t in at]
+        total = 0.1 + sum(m.weight[i] for i in rows) + sum(float(m.factor[i] @ m.factor[j]) for n, i in enumerate(rows) for j in rows[n + 1 :])
+        assert p == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, total)))), abs=1e-9)
+
+
+def test_factors_count_on_held_out_documents(spark):
+    """Without its factors the machine finds fewer of the documents that only a pair of words marks."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(2400):
+        a, b = rng.random() < 0.5, rng.random() < 0.7
+        words = [f"w{k:03d}" for k in rng.integers(0, 200, 15)] + ["insultx"] * a + ["groupy"] * b
+        rows.append((i, " ".join(words), int(a and b)))
+    own = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.learn(own.select("doc_id", "text"), own.select("doc_id", "toxic"))
+    pair, insult, group = m.scores([b"insultx groupy", b"insultx w001", b"groupy w001"])
+    assert pair > max(insult, group)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    texts, gold = [r[1].encode() for r in held], np.array([r[2] for r in held])
+    found = lambda machine: float(((machine.scores(texts) >= 0.7) == gold).mean())
+    weights_alone = toxicity.Machine(m.keys, m.weight, m.factor * 0, m.bias, m.marks)
+    assert found(m) > 0.97 and found(weights_alone) < found(m) - 0.1
+
+
 def test_toxicity_edges(spark, docs, empty):
     labels = spark.createDataFrame([(0, 0, 1), (6, 1, 0), (7, 1, None), (None, 0, 1), (6, 1, 1)], "doc_id long, quality int, toxic int")
     out = toxicity.toxic_documents(spark, docs, labels).collect()
