@@ -19,8 +19,8 @@ task up to ``MOST_ROWS``; larger ones are joined with salt, so documents of one
 Null texts and texts without words have size 0 and are never taken. A null source is a source, last in order. A null
 boost is 1, and a document of boost 0 is never taken. Rows that repeat a doc_id each count, tie in q and are ordered by
 size; of rows equal in all of these any may be the one at the border. Very long texts are sized whole. Extra columns are
-ignored, or kept as they are where ``extra`` names them (their names must not be among the result's). An empty table
-gives no rows.
+ignored, or kept as they are where ``extra`` names them; a name that the result has too is refused. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -107,19 +107,21 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
 
     boost makes a column (of docs, or of the size it is given) by which expectations within a source are unequal.
     """
+    if clash := {c.lower() for c in extra} & {"doc_id", "size", "source_size", "target", "wanted", "copies", "taken"}:
+        raise ValueError(f"the result has columns of these names: {sorted(clash)}")
     text = F.col(text_col).cast("string")
     size = words(text)
     step = F.lit(STEPS) if boost is None else F.least(F.greatest(F.round(F.coalesce(boost(size).cast("double"), F.lit(1.0)) * STEPS), F.lit(0)), F.lit(STEPS * HIGHEST))
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
-    sizes = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), step.cast("int").alias("boost"), uniform(key, seed).alias("u"), *extra), "sizes")
+    sizes = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), step.cast("int").alias("boost"), uniform(key, seed).alias("u"), *([F.struct(*extra).alias("own")] if extra else [])), "sizes")
     goals = targets(sizes, share, cap, weights)
     classes = materialise(sizes.groupBy("source", "boost").agg(F.sum("size").alias("class_size")), "classes")
     of_source = goals.select(F.col("source").alias("g_source"), "source_size", "target")
     plan = materialise(expectations(classes.join(of_source, F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source"), cap), "plan")
-    own = meet(sizes, plan.drop("class_size"), ["source", "boost"])
+    ranked = meet(sizes, plan.drop("class_size"), ["source", "boost"])
     p = F.col("wanted") - F.col("certain")
     ranked = (
-        own.withColumn("certain", F.when(F.col("size") > 0, F.floor("wanted")).otherwise(F.lit(0)))
+        ranked.withColumn("certain", F.when(F.col("size") > 0, F.floor("wanted")).otherwise(F.lit(0)))
         .withColumn("drawn", (p > 0) & (F.col("size") > 0))
         # Without p the odds would be infinite; these rows are not drawn.
         .withColumn("q", F.when(F.col("drawn"), (F.col("u") / (F.lit(1.0) - F.col("u"))) / (p / (F.lit(1.0) - p))))
@@ -150,7 +152,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
     joined = meet(ranked, second, ["source"], "left")
     place = F.when(F.col("b_bin").isNull() | (F.col("bin") < F.col("b_bin")) | ((F.col("bin") == F.col("b_bin")) & (F.col("fine") < F.col("b_fine"))), F.lit(1)).when((F.col("bin") == F.col("b_bin")) & (F.col("fine") == F.col("b_fine")), F.lit(0)).otherwise(F.lit(-1))
     placed = joined.withColumn("place", F.when(F.col("drawn"), place).otherwise(F.lit(-1)))
-    result = ["doc_id", "size", "source_size", "target", "wanted", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken"), *extra]
+    result = ["doc_id", "size", "source_size", "target", "wanted", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken"), *[F.col("own")[c].alias(c) for c in extra]]
     clear = placed.where("place <> 0").withColumn("copies", F.col("certain") + F.greatest("place", F.lit(0))).select(*result)
     # Of each source, the documents of one fine bin, about one in a million, meet in a task.
     order = Window.partitionBy("source").orderBy("q", "doc_id", "size")
