@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.filter_urls(spark, _table(spark, sf_dir, "pages"))
+    return urls.filter_urls(spark, _table(spark, sf_dir, "pages"), conventions=True)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """URL filters with redirect equivalence. Native: DataFrame functions only.
 
 Rules name a host and the start of a path and allow or block; a rule fits its host and all subdomains, and the longest
-rule that fits decides (of equal ones, allow). A url without a rule follows its aliases: redirects (meta refresh) and
-canonical links of the pages, and edges that the caller adds, connect urls; connected components are found in the
-cluster. An alias class is allowed if any of its urls has an allow rule, else blocked if any has a block rule, else it
-is allowed. A url's own rule always stands.
+rule that fits decides (of equally long ones an allowing one, then the one whose text is largest). A url without a rule
+follows its aliases: redirects (meta refresh) and canonical links of the pages, edges that the caller adds, and with
+``conventions`` the form that sites redirect to by custom (https, the host without ``www.`` or ``m.``, no tracking
+parameters) connect urls; connected components are found in the cluster. An alias class is allowed if any of its urls has
+an allow rule, else blocked if any has a block rule, else it is allowed. A url's own rule always stands.
 
 Urls are the same node if they agree up to their fragment, with scheme and host in lower case. Null urls and urls
 without ``://`` have an empty host and path, fit no rule, are linked to nothing and are allowed. Null html has no
-edges. Repeated rows repeat in the result; page_id may be null. An empty table gives no rows; extra columns stay out.
+edges; very long html is searched whole, for its first canonical link and its first refresh. Repeated rows repeat in the
+result; page_id may be null. An empty table gives no rows; extra columns stay out, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .shared import materialise
 #: action, host, start of the path
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 INLINE_RULES = 200
+#: Parameters of a url's query that only tell where a reader came from.
+TRACKING = "^(utm_[^=]*|ref|gclid|fbclid)(=.*)?$"
 
 
 def _lower(c: Column) -> Column:
@@ -55,7 +59,8 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES
     if len(rules) > INLINE_RULES:
         return _judge_by_join(urls, urls.sparkSession.createDataFrame(rules, "action string, host string, path string"))
     chain = action = None
-    for verdict, host, path in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow")):
+    last_first = sorted(rules, key=lambda r: r[1] + r[2], reverse=True)
+    for verdict, host, path in sorted(last_first, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow")):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         chain = F.when(fits, host + path) if chain is None else chain.when(fits, host + path)
         action = F.when(fits, verdict) if action is None else action.when(fits, verdict)
@@ -95,11 +100,24 @@ def page_edges(pages: DataFrame) -> DataFrame:
     return some.select(node(url).alias("a"), node(full).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
-def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, edges: DataFrame | None = None) -> DataFrame:
+def conventional(url: Column) -> Column:
+    """The node that a web url leads to by custom; null for other urls."""
+    own = node(url)
+    host, path = parts(url)
+    query = F.split(F.regexp_extract(own, r"\?([^#]*)", 1), "&")
+    kept = F.array_join(F.filter(query, lambda x: (x != "") & ~x.rlike(TRACKING)), "&")
+    web = own.startswith("http://") | own.startswith("https://")
+    return F.when(web, F.concat(F.lit("https://"), F.regexp_replace(host, r"^(www|m)\.", ""), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+
+
+def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, edges: DataFrame | None = None, conventions: bool = False) -> DataFrame:
     """page_id, host, path, rule and verdict of every page. edges: more redirects, as urls a, b."""
+    linked = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))
     links = page_edges(pages)
+    if conventions:
+        links = links.unionByName(pages.select(node(F.col("url")).alias("a"), conventional(F.col("url")).alias("b")).where(linked))
     if edges is not None:
-        links = links.unionByName(edges.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b"))
+        links = links.unionByName(edges.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")).where(linked))
     links = materialise(links, "links")
     host, path = parts(F.col("url"))
     judged = judge(pages.select("page_id", node(F.col("url")).alias("node"), host.alias("host"), path.alias("path")), rules)
@@ -110,31 +128,51 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, st
         host, path = parts(F.col("node"))
         ruled = judge(members.withColumns({"host": host, "path": path}), rules).where("action IS NOT NULL")
         decided = ruled.groupBy("root").agg(F.min("action").alias("inherited"))  # allow comes before block
-        whole = judged.join(members.join(decided, "root").select("node", "inherited"), "node", "left")
+        known = members.join(decided, "root").select(F.col("node").alias("key"), "inherited")
+        # Rows without a node meet nothing; a key of their own keeps them from meeting in one task.
+        key = F.coalesce("node", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
+        whole = judged.withColumn("key", key).join(known, "key", "left")
     return whole.select("page_id", "host", "path", "rule", F.coalesce("action", "inherited", F.lit("allow")).alias("verdict"))
 
 
-_PARTS = """lower_host AS host, regexp_extract(substr(after, length(lower_host) + 1), '^[^?#]*') AS path"""
-_RULES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES)
-_NODE = """CASE WHEN instr({u}, '://') > 0 THEN translate(regexp_extract({u}, '^(?s:.*?)://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-  || regexp_extract(substr({u}, length(regexp_extract({u}, '^(?s:.*?)://[^/?#]*')) + 1), '^[^#]*') END"""
-#: Absolute canonical links and refreshes, which are all that a table of crawled pages may be asked for here.
+def _sql_lower(x: str) -> str:
+    return f"translate({x}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+
+def _sql_after(u: str) -> str:
+    return f"CASE WHEN instr({u}, '://') > 0 THEN substr({u}, instr({u}, '://') + 3) ELSE '' END"
+
+
+def _sql_node(u: str) -> str:
+    head = f"regexp_extract({u}, '^(?s:.*?)://[^/?#]*')"
+    return f"CASE WHEN instr({u}, '://') > 0 THEN {_sql_lower(head)} || regexp_extract(substr({u}, length({head}) + 1), '^[^#]*') END"
+
+
+def _sql_parts(u: str) -> str:
+    host = f"regexp_extract({_sql_after(u)}, '^[^/?#]*')"
+    return f"{_sql_lower(host)} AS host, regexp_extract(substr({_sql_after(u)}, length({host}) + 1), '^[^?#]*') AS path"
+
+
+_SQL_RULES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES)
+#: The same result, with components as a closure.
 ORACLE_SQL = f"""
-WITH RECURSIVE p AS (SELECT page_id, url, html, {_NODE.format(u="url")} AS node FROM pages),
-t AS (SELECT node, unnest([regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
+WITH RECURSIVE p AS (SELECT page_id, url, html, {_sql_node("url")} AS node, {_sql_parts("url")} FROM pages),
+t AS (SELECT url, node, unnest([regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
   regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)]) AS u FROM p),
-e AS (SELECT node AS a, {_NODE.format(u="u")} AS b FROM t WHERE u <> ''),
+o AS (SELECT node, u, regexp_extract(url, '^[^:/?#]*:') AS scheme, regexp_extract(url, '^[^/?#]*//[^/?#]*') AS origin, regexp_extract(regexp_extract(url, '^[^?#]*'), '^[^/?#]*//[^/?#]*(.*/)?', 1) AS folder FROM t WHERE u <> ''),
+f AS (SELECT node, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN u WHEN starts_with(u, '//') THEN scheme || u WHEN starts_with(u, '/') THEN origin || u
+  ELSE origin || CASE WHEN folder = '' THEN '/' ELSE folder END || u END AS url FROM o),
+q AS (SELECT node, host, path, array_to_string(list_filter(string_split(regexp_extract(node, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{TRACKING}')), '&') AS kept
+  FROM p WHERE starts_with(node, 'http://') OR starts_with(node, 'https://')),
+e AS (SELECT node AS a, {_sql_node("url")} AS b FROM f UNION SELECT node, 'https://' || regexp_replace(host, '^(www|m)\\.', '') || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END FROM q),
 g AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 r AS (SELECT a AS x, a AS y FROM g UNION SELECT r.x, g.b FROM r JOIN g ON r.y = g.a),
-n AS (SELECT page_id, node, url FROM p UNION ALL SELECT NULL, b, b FROM e),
-h AS (SELECT page_id, node, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS after FROM n),
-k AS (SELECT page_id, node, after, translate(regexp_extract(after, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_host FROM h),
-f AS (SELECT page_id, node, {_PARTS}, row_number() OVER () AS id FROM k),
-u AS (SELECT * FROM (VALUES {_RULES}) v(action, r_host, r_path)),
-b AS (SELECT f.id, arg_max(u.action, length(r_host || r_path)) AS action, arg_max(r_host || r_path, length(r_host || r_path)) AS rule
-  FROM f JOIN u ON (f.host = r_host OR ends_with(f.host, '.' || r_host)) AND starts_with(f.path, r_path) GROUP BY f.id),
-j AS (SELECT f.*, b.action, b.rule FROM f LEFT JOIN b USING (id)),
-d AS (SELECT r.x, min(j.action) AS inherited FROM r JOIN j ON j.node = r.y GROUP BY r.x)
-SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.action, d.inherited, 'allow') AS verdict
-FROM j LEFT JOIN d ON d.x = j.node WHERE j.id IN (SELECT id FROM f ORDER BY id) AND (j.page_id IS NOT NULL OR j.node IS NULL)
+n AS (SELECT y AS node, {_sql_parts("y")} FROM (SELECT DISTINCT y FROM r)),
+u AS (SELECT * FROM (VALUES {_SQL_RULES}) v(action, r_host, r_path)),
+h AS (SELECT host, path FROM p UNION SELECT host, path FROM n),
+b AS (SELECT DISTINCT ON (host, path) host, path, action, r_host || r_path AS rule FROM h JOIN u ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+  ORDER BY host, path, length(r_host || r_path) DESC, action, r_host || r_path DESC),
+d AS (SELECT r.x AS node, min(b.action) AS inherited FROM r JOIN n ON n.node = r.y JOIN b ON b.host = n.host AND b.path = n.path GROUP BY 1)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.action, d.inherited, 'allow') AS verdict
+FROM p LEFT JOIN b ON b.host = p.host AND b.path = p.path LEFT JOIN d ON d.node = p.node
 """
