@@ -7,7 +7,7 @@ Decoded PCM is resampled by linear interpolation and is a column of the result,
 whoever writes the result stores it; the features are made of it.
 
 Null and empty texts are a payload of one frame of spaces; payloads are padded with spaces to a positive multiple of the
-frame. Very long texts are whole; batches are cut by bytes, so one text at least and not much more than 8 MB are decoded
+frame. Very long texts are whole; batches are cut by bytes, so one text at least and not much more than 4 MB are decoded
 at a time. Other columns are ignored, whatever their names. Every row gives a row, so repeated rows repeat, and rows of
 a null doc_id are kept. An empty table gives no rows.
 """

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 
@@ -94,7 +97,15 @@ def take_ragged(values: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> t
     return values[index], out
 
 
-def blocks(batches, most_bytes: int = 8 << 20, text: str = "text"):
+def give_back() -> None:
+    """Returns memory that is free to the system: workers are used again, beside others, by steps that need it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def blocks(batches, most_bytes: int = 4 << 20, text: str = "text"):
     """Cuts Arrow batches so that no piece holds much more than most_bytes of text, or one row if that is longer."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
@@ -107,6 +118,7 @@ def blocks(batches, most_bytes: int = 8 << 20, text: str = "text"):
             total += n
         if at < batch.num_rows:
             yield batch.slice(at)
+    give_back()
 
 
 def _lengths(column: pa.Array) -> list:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import mix, runs_of, span_hashes
-from .shared import blocks, materialise, ship, stored_bytes, utf8
+from .shared import blocks, give_back, materialise, ship, stored_bytes, utf8
 
 WIDTH = 13
 M = 3
@@ -195,7 +195,7 @@ def _compare(planes: dict[str, np.ndarray], packed: list[bytes], width: int):
         yield _flags({k: v[r] for k, v in some.items()}, some["pos"][r] + p, many)
 
 
-def _whole_buckets(rows: np.ndarray, key: np.ndarray, sizes: list[int], most: int = 4 << 20):
+def _whole_buckets(rows: np.ndarray, key: np.ndarray, sizes: list[int], most: int = 2 << 20):
     """Cuts rows, sorted by key, into parts of about most bytes that hold whole buckets."""
     if not len(rows):
         return
@@ -239,6 +239,7 @@ def _meet(batches, width: int, overflow: int):
             else:
                 waiting.append((planes, packed))
     yield from settle()
+    give_back()
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, overflow: int = OVERFLOW) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from .shared import take_ragged
 
 #: Pieces a worker keeps; it starts anew beyond that, so that memory stays bounded.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
 
 _WHITE = b"\t\n\x0b\x0c\r"
 _FOLD = bytes(32 if b in _WHITE else b + 32 if 65 <= b <= 90 else b for b in range(256))
