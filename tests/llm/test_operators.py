@@ -293,6 +293,38 @@ def test_aliases(spark):
     assert {k: v for k, v in got.items()} == {1: {"block"}, 2: {"block"}, 3: {"block"}, 4: {"block"}, 5: {"allow"}, 6: {"block"}, 7: {"allow"}, 8: {"allow"}, 9: {"block"}, 10: {"block"}}
 
 
+def test_aliases_equal_sql(spark, duck):
+    """Relative links, null ids and urls, chains, conventions, long html, clashing names, all on one table."""
+    link = lambda u: f"<head><link rel=canonical href='{u}'></head>"
+    rows = [
+        (1, "http://a.com/x", link("/en/z")), (2, "https://a.com/x?utm_source=f&ref=q", None), (3, "http://www.A.com/x#top", "<p>" + "long " * 400_000 + "</p>" + link("y")), (None, "http://m.b.net/q?id=3&ref=x", link("//a.com/x")),
+        (None, None, link("/x")), (4, "no scheme", None), (4, "no scheme", None), (5, "https://b.net/q?id=3", "<META http-equiv='refresh' content='1; URL=../de/8'>"), (6, "http://c.example.net/p", link("http://c.example.net/de/7")),
+        (7, "http://c.example.net/r", link("http://c.example.net/p")), (8, "http://w.org/es/", link("http://d.com/en/1")), (9, "ftp://f.org/?ref=1", link("http://example.com/en/7")), (10, "http://lone.org/", ""),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    clash = df.withColumns({c: F.lit("x") for c in ("host", "path", "node", "key", "rule", "verdict", "action", "root", "a", "b")})
+    con = duck.cursor()
+    con.register("pages", df.toArrow())
+    out = urls.filter_urls(spark, clash, conventions=True)
+    same(out, con.sql(urls.ORACLE_SQL))
+    got = {r.page_id: r.verdict for r in out.collect()}
+    assert (got[1], got[2], got[6], got[7], got[8], got[9], got[10]) == ("block", "block", "allow", "allow", "block", "allow", "allow")
+
+
+def test_equally_long_rules_decide_alike(spark):
+    rules = [("block", "com", "/abcdefghi"), ("block", "example.com", "/a"), ("allow", "le.org", "/ab"), ("block", "org", "/abcde")]
+    df = spark.createDataFrame([(1, "http://example.com/abcdefghij"), (2, "http://le.org/abcdef")], "page_id long, url string").withColumn("html", F.lit(None).cast("string"))
+    inline = urls.filter_urls(spark, df, rules).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in inline] == [("example.com/a", "block"), ("le.org/ab", "allow")]
+    assert urls.filter_urls(spark, df, spark.createDataFrame(rules, "action string, host string, path string")).orderBy("page_id").collect() == inline
+
+
+def test_registered_query_has_classes(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    linked = pages.select(urls.node(F.col("url")).alias("a"), urls.conventional(F.col("url")).alias("b")).where("a <> b")
+    assert linked.count() > 0 and components.components(linked).count() > linked.count()
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5), (None, 3)]
