@@ -122,12 +122,13 @@ class ItemSide:
         return np.searchsorted(self.items, ids)
 
     def collaborative(self, profiles: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(profiles), len(self.items)))
-        for row, own in enumerate(profiles):
-            if len(own):
-                spans = [slice(self.starts[i], self.starts[i + 1]) for i in own.tolist()]
-                out[row] = np.bincount(np.concatenate([self.others[s] for s in spans]), np.concatenate([self.sims[s] for s in spans]), minlength=len(self.items))
-        return out
+        """The sparse product of profiles and similarities: one sum over all similar items of all profiles."""
+        own = np.concatenate([*profiles, np.empty(0, np.int64)]).astype(np.int64)
+        n = self.starts[own + 1] - self.starts[own]
+        rows = np.repeat(self.starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        user = np.repeat(np.repeat(np.arange(len(profiles)), [len(p) for p in profiles]), n)
+        size = len(profiles) * len(self.items)
+        return np.bincount(user * len(self.items) + self.others[rows], self.sims[rows], minlength=size).astype(np.float64, copy=False).reshape(len(profiles), -1)
 
     def content(self, profiles: list[np.ndarray]) -> np.ndarray:
         own = np.stack([self.genres[p].any(axis=0) for p in profiles]).astype(np.float64)
@@ -135,11 +136,19 @@ class ItemSide:
 
     def linear(self, profiles: list[np.ndarray]) -> np.ndarray:
         """Scores of the linear autoencoder; an item without weights neither gives nor gets any."""
+        fitted = np.arange(len(self.items)) if self.fitted is None else self.fitted
+        place = np.full(len(self.items), -1)
+        place[fitted] = np.arange(len(fitted))
+        x = np.zeros((len(profiles), len(fitted)))
+        for row, own in enumerate(profiles):
+            at = place[own]
+            x[row, at[at >= 0]] = 1
+        used = np.flatnonzero(x.any(axis=0))  # a product with the rows of weights that any profile has
+        known = x[:, used] @ self.weights[used]
         if self.fitted is None:
-            return np.stack([self.weights[p].sum(axis=0) for p in profiles])
+            return known
         out = np.zeros((len(profiles), len(self.items)))
-        for row, own in enumerate(profiles):
-            out[row, self.fitted] = self.weights[np.flatnonzero(np.isin(self.fitted, own))].sum(axis=0)
+        out[:, fitted] = known
         return out
 
 
@@ -169,9 +178,9 @@ def item_side(catalog: DataFrame, popular: DataFrame | None = None, similarity:
     if fitted is not None:
         side.fitted = side.locate(fitted)
     if similarity is not None:
-        if (pairs := similarity.count()) > MOST_PAIRS:
-            raise TooLarge(f"{pairs} similar pairs are too many to send; use recommend_relational()")
-        sims = similarity.toPandas()
+        sims = similarity.limit(MOST_PAIRS + 1).toPandas()  # made once, and one row more than may be sent
+        if len(sims) > MOST_PAIRS:
+            raise TooLarge(f"over {MOST_PAIRS} similar pairs are too many to send; use recommend_relational()")
         i, j = side.locate(sims.item_i.to_numpy()), side.locate(sims.item_j.to_numpy())
         order = np.lexsort((j, i))
         side.others, side.sims = j[order].astype(np.int32), sims.sim.to_numpy()[order]
@@ -179,6 +188,20 @@ def item_side(catalog: DataFrame, popular: DataFrame | None = None, similarity:
     return side
 
 
+def best_of_rows(scores: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """_best() of every row, with one partition for all rows; rows that tie at the border or have few finite entries go singly."""
+    n = scores.shape[1]
+    if n <= k:
+        return [_best(line, k) for line in scores]
+    cols = np.argpartition(-scores, k, axis=1)[:, : k + 1]
+    cols.sort(axis=1)
+    own = np.take_along_axis(scores, cols, axis=1)
+    order = np.argsort(-own, axis=1, kind="stable")
+    cols, own = np.take_along_axis(cols, order, axis=1), np.take_along_axis(own, order, axis=1)
+    clear = np.isfinite(own[:, k - 1]) & (own[:, k - 1] > own[:, k])
+    return [(cols[i, :k], own[i, :k]) if clear[i] else _best(scores[i], k) for i in range(len(scores))]
+
+
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns and scores of the k best finite entries, by score and then by column."""
     finite = int(np.isfinite(scores).sum())
@@ -212,10 +235,8 @@ def recommend_users(history: DataFrame, side: ItemSide, models: dict[str, Weight
                 for name, w in wanted.items():
                     total = s.linear(profiles) if isinstance(w, str) else w.collaborative * parts[0] + w.content * parts[1] + w.popularity * s.popularity
                     total = np.round(total, DIGITS)
-                    for row, own in enumerate(profiles):
-                        total[row, own] = -np.inf
-                        cols, best = _best(total[row], k)
-                        out.append((name, users[row], cols, best))
+                    total[np.repeat(np.arange(len(profiles)), [len(p) for p in profiles]), np.concatenate(profiles)] = -np.inf
+                    out += [(name, users[row], cols, best) for row, (cols, best) in enumerate(best_of_rows(total, k))]
                 n = [len(o[2]) for o in out]
                 yield pd.DataFrame({
                     "model": np.repeat(np.array([o[0] for o in out], dtype=object), n), "user_id": np.repeat(np.array([o[1] for o in out]), n), "rank": np.concatenate([np.arange(1, k + 1, dtype=np.int32) for k in n]),

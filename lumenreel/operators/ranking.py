@@ -30,6 +30,30 @@ def unseen(candidates: DataFrame, history: DataFrame) -> DataFrame:
     return candidates.join(history.select("user_id", "item_index"), ["user_id", "item_index"], "left_anti")
 
 
+def placed(scored: DataFrame) -> DataFrame:
+    """Adds place to item_index and score: 1, 2, ... by score, then by item. A row for each item passes through one task."""
+    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "item_index")).cast("long"))
+
+
+def most_popular(history: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """user_id and the rows of items (item_index, score, place) in the first places, k more than the user has items.
+
+    These hold every user's k best unseen items, and are as many as the history has rows and k for each user.
+    """
+    own = history.groupBy("user_id").agg(F.count("*").alias("own"))
+    places = own.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own") + k)).alias("place"))
+    return places.join(items, "place").drop("place")
+
+
+def rank_among_unseen(targets: DataFrame, history: DataFrame, items: DataFrame) -> DataFrame:
+    """user_id, item_index and rank of a target among the items that its user has not seen; items: item_index, place."""
+    place = items.select("item_index", "place")
+    goals = targets.join(place, "item_index", "left")
+    seen = history.join(place, "item_index").select("user_id", F.col("place").alias("seen_place"))
+    before = goals.select("user_id", "item_index", "place").join(seen, "user_id").where("seen_place < place").groupBy("user_id", "item_index").agg(F.count("*").alias("before"))
+    return goals.join(before, ["user_id", "item_index"], "left").select("user_id", "item_index", (F.col("place") - F.coalesce("before", F.lit(0))).alias("rank"))
+
+
 def mask_seen(candidates: DataFrame, history: DataFrame, value: float = -13.815510557964274) -> DataFrame:
     """Seen items stay, at log(1e-6): what some older models did."""
     seen = history.select("user_id", "item_index").distinct().withColumn("_seen", F.lit(True))

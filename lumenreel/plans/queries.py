@@ -100,9 +100,9 @@ def event_counts(spark, d):
     return rows.where("n >= 2")
 
 
-@query("SELECT DISTINCT user_id, (props->>'$.k')::INT AS k FROM events WHERE user_id BETWEEN 5 AND 40", base=False)
+@query("SELECT DISTINCT user_id, (props->>'$.k')::INT AS k FROM events", base=False)
 def event_properties(spark, d):
-    rows = A.table(spark, d, "events").where(F.col("user_id").between(5, 40))
+    rows = A.table(spark, d, "events")
     return rows.select("user_id", F.from_json("props", "k int")["k"].alias("k")).distinct()
 
 
@@ -221,15 +221,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, ite
 SELECT count(*) AS users, round(avg(coalesce(1 / log2(rank + 1), 0)), 6) AS ndcg, round(avg(CASE WHEN rank IS NULL THEN 0.0::DOUBLE ELSE 1 END), 6) AS recall
 FROM targets t LEFT JOIN (FROM r WHERE rank <= 10) r ON r.user_id = t.user_id AND r.item_index = t.target""")
 def loo_popularity_metrics(spark, d):
-    """Popularity lists without a dense score: of the most popular items as many as the longest history and the list need."""
+    """Popularity lists without a list: a target's rank is its place in the catalog less the user's items before it."""
     split = I.leave_one_out(A.positives(spark, d))
     history, targets = I.history_of(split), I.targets_of(split)
     popular = S.popularity(history, A.catalog(spark, d)).select("item_index", F.round("popularity", S.DIGITS).alias("score"))
-    longest = history.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-    head = popular.orderBy(F.desc("score"), "item_index").limit(longest + 10)
-    pairs = history.select("user_id").distinct().crossJoin(F.broadcast(head))  # as many items as a history and a list have
-    ranked = R.top_k(R.unseen(pairs, history), 10)
-    met = targets.withColumnRenamed("target", "item_index").join(ranked, ["user_id", "item_index"], "left")
+    ranks = R.rank_among_unseen(targets.withColumnRenamed("target", "item_index"), history, R.placed(popular))
+    met = ranks.withColumn("rank", F.when(F.col("rank") <= 10, F.col("rank")))
     return met.agg(F.count("*").alias("users"), r6(F.avg(F.coalesce(F.lit(1.0) / F.log2(F.col("rank") + 1.0), F.lit(0.0)))).alias("ndcg"), r6(F.avg(F.when(F.col("rank").isNull(), 0.0).otherwise(1.0))).alias("recall"))
 
 
@@ -241,23 +238,24 @@ def _ease_items(spark, d, top: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
     return own, catalog, np.sort(np.array([r[0] for r in catalog.select("item_index").collect()]))  # at most top rows
 
 
-@query("""top AS (SELECT item_index FROM positives GROUP BY 1 ORDER BY count(*) DESC, item_index LIMIT 200)
-SELECT a.item_index AS item_i, b.item_index AS item_j, CASE WHEN a.item_index = b.item_index THEN 1.0::DOUBLE ELSE 0.0 END AS product, CASE WHEN a.item_index = b.item_index THEN 0.0::DOUBLE END AS weight FROM top a CROSS JOIN top b""")
+@query("SELECT item_index, 0.0::DOUBLE AS deviation, 0.0::DOUBLE AS own_weight FROM positives GROUP BY 1 ORDER BY count(*) DESC, item_index LIMIT 4500")
 def ease_identity(spark, d):
-    """Gram plus penalty times the inverse that the weights imply is the identity; weights have a zero diagonal."""
-    own, _, items = _ease_items(spark, d, 200)
+    """Gram plus penalty times the inverse that the weights imply is the identity, by item; weights have a zero diagonal.
+
+    The items are all that a dense inverse is made for (MOST_DENSE, the most rated).
+    """
+    own, _, items = _ease_items(spark, d, S.MOST_DENSE)
     history = I.binary_matrix(own)
     b = S.fit_ease(history, items, 500.0)
-    rows = S.gram(history).toPandas()
+    rows = S.gram(history).toPandas()  # MOST_DENSE squared at most
     g = np.zeros(b.shape)
     g[np.searchsorted(items, rows.item_i), np.searchsorted(items, rows.item_j)] = rows.n
     g += np.diag(np.full(len(items), 500.0))
     # Column j of the inverse is P_jj (I - B)_.j, and P_jj is fixed by row j of the product being one.
     product = g @ (np.eye(len(items)) - b)
     product = product / np.diag(product)
-    i, j = np.indices(b.shape)
-    table = [(int(items[x]), int(items[y]), float(round(product[x, y], 6)) + 0.0, 0.0 if x == y and b[x, y] == 0 else None) for x, y in zip(i.ravel().tolist(), j.ravel().tolist(), strict=True)]
-    return spark.createDataFrame(table, "item_i long, item_j long, product double, weight double")
+    deviation = np.round(np.abs(product - np.eye(len(items))).max(axis=1, initial=0.0), 6)
+    return spark.createDataFrame([(int(i), float(x), float(w)) for i, x, w in zip(items, deviation, np.diag(b), strict=True)], "item_index long, deviation double, own_weight double")
 
 
 def _ease_side(history: DataFrame, catalog: DataFrame) -> S.ItemSide:
@@ -349,13 +347,13 @@ def legacy_comma_filter(spark, d):
     return R.without_genres(A.catalog(spark, d), F.array(F.lit("Promo")), ",").select("item_index")
 
 
-@query(f"""{_SPLIT}, c AS (SELECT item_index, count(*) AS n FROM history GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, item_index LIMIT 5)
-SELECT user_id, t.item_index, round(CASE WHEN h.user_id IS NOT NULL THEN -13.815510557964274::DOUBLE ELSE n END, 6) AS score FROM (SELECT DISTINCT user_id FROM history) u CROSS JOIN t LEFT JOIN history h USING (user_id, item_index)""")
+@query(f"""{_SPLIT}, c AS (SELECT item_index, count(*) AS n FROM history GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY n DESC, item_index) AS place FROM c), u AS (SELECT user_id, count(*) AS own FROM history GROUP BY 1)
+SELECT user_id, t.item_index, round(CASE WHEN h.user_id IS NOT NULL THEN -13.815510557964274::DOUBLE ELSE n END, 6) AS score FROM u JOIN t ON place <= own + 20 LEFT JOIN history h USING (user_id, item_index)""")
 def masked_seen_scores(spark, d):
+    """Scores of the items that a list of 20 needs: of the most popular 20 more than the user has seen."""
     history = I.history_of(I.leave_one_out(A.positives(spark, d)))
-    top = history.groupBy("item_index").agg(F.count("*").cast("double").alias("score")).orderBy(F.desc("score"), "item_index").limit(5)
-    pairs = history.select("user_id").distinct().crossJoin(F.broadcast(top))  # five rows
-    return R.mask_seen(pairs, history).select("user_id", "item_index", r6("score").alias("score"))
+    popular = history.groupBy("item_index").agg(F.count("*").cast("double").alias("score"))
+    return R.mask_seen(R.most_popular(history, R.placed(popular), 20), history).select("user_id", "item_index", r6("score").alias("score"))
 
 
 @query("SELECT genre, count(*) AS n FROM (SELECT unnest(genres) AS genre FROM catalog) GROUP BY 1 HAVING count(*) > 100")
@@ -385,16 +383,16 @@ def quota_selection(spark, d):
 # Many positives and controllability
 
 _LATE = """old AS (SELECT DISTINCT user_id, item_index FROM positives WHERE ts < '2000-01-01'), new AS (SELECT DISTINCT user_id, item_index FROM positives WHERE ts >= '2000-01-01'),
-pop AS (SELECT item_index, count(*) AS n FROM old GROUP BY 1), head AS (SELECT * FROM pop ORDER BY n DESC, item_index LIMIT 200),
-x AS (SELECT u.user_id, h.item_index, n FROM (SELECT DISTINCT user_id FROM old) u CROSS JOIN head h ANTI JOIN old ON old.user_id = u.user_id AND old.item_index = h.item_index),
+pop AS (SELECT item_index, count(*) AS n FROM old GROUP BY 1),
+x AS (SELECT u.user_id, h.item_index, n FROM (SELECT DISTINCT user_id FROM old) u CROSS JOIN pop h ANTI JOIN old ON old.user_id = u.user_id AND old.item_index = h.item_index),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, item_index) AS rank FROM x) WHERE rank <= 20)"""
 
 
 def _late(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = A.positives(spark, d)
     old, new = I.binary_matrix(p.where("ts < '2000-01-01'")), I.binary_matrix(p.where("ts >= '2000-01-01'"))
-    head = old.groupBy("item_index").agg(F.count("*").alias("score")).orderBy(F.desc("score"), "item_index").limit(200)
-    return old, new, R.top_k(R.unseen(old.select("user_id").distinct().crossJoin(F.broadcast(head)), old), 20)  # 200 rows
+    popular = old.groupBy("item_index").agg(F.count("*").alias("score"))
+    return old, new, R.top_k(R.unseen(R.most_popular(old, R.placed(popular), 20), old), 20)
 
 
 @query(f"""{_LATE}, n AS (SELECT user_id, count(*) AS n FROM new GROUP BY 1), hit AS (SELECT r.user_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first FROM ranked r JOIN new USING (user_id, item_index) GROUP BY 1),

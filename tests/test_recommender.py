@@ -269,3 +269,32 @@ def test_more_embedding_queries_than_a_block(spark):
     items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "item_id long, embedding array<double>").coalesce(1)
     best = {(r.query_id % 2, r.item_id) for r in S.embedding_top_k(q, items, 1).collect()}
     assert best == {(0, 1), (1, 2)}
+
+
+def test_places_and_ranks_among_unseen(spark):
+    history = spark.createDataFrame([(1, 0), (1, 2), (2, 5)], "user_id long, item_index long")
+    items = R.placed(spark.createDataFrame([(i, s) for i, s in enumerate((5.0, 4.0, 4.0, 3.0, 2.0, 1.0))], "item_index long, score double"))
+    got = sorted((r.user_id, r.item_index) for r in R.most_popular(history, items, 2).collect())
+    assert got == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2)]
+    targets = spark.createDataFrame([(1, 3), (2, 0), (2, 9)], "user_id long, item_index long")
+    assert {(r.user_id, r.item_index, r["rank"]) for r in R.rank_among_unseen(targets, history, items).collect()} == {(1, 3, 2), (2, 0, 1), (2, 9, None)}
+
+
+def test_best_of_rows_is_best_of_each():
+    rng = np.random.default_rng(0)
+    x = np.round(rng.random((60, 40)), 1)
+    x[rng.random(x.shape) < 0.5] = -np.inf
+    x[0], x[1, 3:] = -np.inf, -np.inf
+    for k in (1, 5, 39, 40, 50):
+        for (a, b), line in zip(S.best_of_rows(x, k), x, strict=True):
+            c, d = S._best(line, k)
+            assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+
+
+def test_products_equal_plain_sums():
+    rng = np.random.default_rng(1)
+    w = rng.random((6, 6))
+    side = S.ItemSide(np.arange(6), np.zeros(6), np.zeros((6, 1)), starts=np.array([0, 2, 2, 3, 5, 5, 6]), others=np.array([1, 4, 0, 2, 5, 0], np.int32), sims=np.arange(1.0, 7.0), weights=w)
+    profiles = [np.array([0, 3]), np.array([], np.int64), np.array([2, 5, 1])]
+    assert side.collaborative(profiles).tolist() == [[0, 1, 4, 0, 2, 5], [0] * 6, [9, 0, 0, 0, 0, 0]]
+    assert np.allclose(side.linear(profiles), [w[p].sum(axis=0) for p in profiles])
