@@ -18,8 +18,8 @@ import pyarrow as pa
 
 from .shared import take_ragged
 
-#: Pieces a worker keeps; it starts anew beyond that, so that memory stays bounded.
-CACHE_PIECES = 200_000
+#: Pieces a worker keeps, about; beyond that it forgets those it has not met lately, so that memory stays bounded.
+CACHE_PIECES = 400_000
 
 _WHITE = b"\t\n\x0b\x0c\r"
 _FOLD = bytes(32 if b in _WHITE else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -56,6 +56,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.cuts = may_cut(json.loads(self.tokenizer.to_str()))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -92,11 +93,11 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(buf[kept])])
         coded = pieces.dictionary_encode()
         unique = coded.dictionary.to_pylist()
-        new = [p for p in unique if p not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = unique
-        self._learn(new)
+        if len(self.known) > CACHE_PIECES // 2:  # pieces not met since the last turn are forgotten
+            self.older, self.known = self.known, {}
+        if self.older:
+            self.known.update((p, self.older[p]) for p in unique if p not in self.known and p in self.older)
+        self._learn([p for p in unique if p not in self.known])
         ids = [self.known[p] for p in unique]
         width = self.dtype.itemsize
         ends = np.zeros(len(ids) + 1, dtype=np.int64)
