@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as X
+from .functions import vectors as V
 from .operators import interactions as I
 from .operators import models as S
+from .operators import neural
+from .operators import ranking as R
 from .operators import requests as Q
 from .sources.readers import vocabulary
 
@@ -26,6 +29,33 @@ class Engine:
         self.titles = {r["item_index"]: r["norm_title"] for r in rows}
         self.genres = [r[0] for r in vocabulary(catalog).collect()]
 
+    def recommend_users(self, history: DataFrame, k: int = 10, **how) -> DataFrame:
+        """Lists of users by the scorer that the engine was given (see operators.neural.score_users)."""
+        if self.scorer is None:
+            raise ValueError("the engine has no scorer")
+        return neural.score_users(history, self.scorer, self.side.items, k, **how)
+
+    def recommend_texts(self, requests: DataFrame, embeddings: DataFrame, k: int = 12) -> DataFrame:
+        """query_id, rank, rank_label, item_index, title and score by vectors of texts, with boosts of liked titles.
+
+        requests: query_id, summary, context, liked, disliked_genres, alpha; embeddings: item_index, embedding. The
+        engine's encoder makes a vector of each text; alpha of the summary's is fused with the rest of the context's.
+        """
+        if self.encoder is None:
+            raise ValueError("the engine has no encoder")
+        vector = neural.text_encoder(self.encoder)
+        rows = requests.withColumns({"s_vec": vector(F.coalesce("summary", F.lit(""))), "c_vec": vector(F.coalesce("context", F.lit("")))})
+        mixed = V.normalize(F.zip_with("s_vec", "c_vec", lambda s, c: F.col("alpha") * s + (F.lit(1.0) - F.col("alpha")) * c))
+        fused = F.when(F.col("s_vec").isNull(), F.col("c_vec")).when(F.col("c_vec").isNull(), F.col("s_vec")).otherwise(mixed)
+        queries = rows.select("query_id", F.transform(fused, lambda x: x.cast("double")).alias("embedding")).where("embedding IS NOT NULL")
+        titles = self.catalog.select("item_index", "title", "genres")
+        items = embeddings.join(titles, "item_index").withColumnRenamed("item_index", "item_id")
+        liked = R.liked_boost(titles, requests.select("query_id", F.explode("liked").alias("title")))
+        banned = requests.select("query_id", F.explode("disliked_genres").alias("genre"))
+        found = S.embedding_top_k(queries, items, k, liked, 0.15, banned)
+        named = found.join(titles.select(F.col("item_index").alias("item_id"), "title"), "item_id")
+        return named.select("query_id", "rank", F.concat(F.lit("Rank #"), F.col("rank").cast("string")).alias("rank_label"), F.col("item_id").alias("item_index"), "title", "score")
+
     def describe(self) -> dict:
         return {"status": "ok", "model": "linear autoencoder with genre control", "catalog_size": len(self.side.items)}
 

@@ -88,6 +88,14 @@ def pool(tokens: Column, how: str = "mean") -> Column:
     return F.transform(summed, lambda x: x / whole)
 
 
+def masked_mean(tokens: Column, mask: Column) -> Column:
+    """Mean of the token vectors whose mask is 1; zeros where it is 0 throughout."""
+    kept = F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda x: x["m"] > 0)
+    zero = F.transform(F.element_at(tokens, 1), lambda x: F.lit(0.0))
+    summed = F.aggregate(kept, zero, lambda a, x: F.zip_with(a, x["t"], lambda p, q: p + q.cast("double")))
+    return F.transform(summed, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
+
+
 def bce_with_logits(logits: Column, labels: Column) -> Column:
     """Mean binary cross-entropy of logits."""
     each = F.zip_with(logits, labels, lambda x, y: F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x))))
@@ -129,6 +137,24 @@ def log_normal(x: Column, mu: Column, logvar: Column) -> Column:
     return total(z)
 
 
+def composite_prior(z: Column, post_mu: Column, post_logvar: Column, weights: tuple[float, float, float] = (3 / 20, 3 / 4, 1 / 10)) -> Column:
+    """Sum of the log densities of a mixture of a standard, an earlier posterior and a wide Gaussian (log variance 10)."""
+
+    def density(x: Column, m: Column, v: Column, w: float) -> Column:
+        return F.lit(-0.5) * (v + F.lit(math.log(2 * math.pi)) + (x - m) * (x - m) / F.exp(v)) + F.lit(math.log(w))
+
+    def mixed(x: Column, post: Column) -> Column:
+        return log_sum_exp(F.array(density(x, F.lit(0.0), F.lit(0.0), weights[0]), density(x, post["m"], post["v"], weights[1]), density(x, F.lit(0.0), F.lit(10.0), weights[2])))
+
+    return total(F.zip_with(z, F.arrays_zip(post_mu.alias("m"), post_logvar.alias("v")), mixed))
+
+
+def composite_elbo(logits: Column, labels: Column, z: Column, mu: Column, logvar: Column, post_mu: Column, post_logvar: Column, weight: Column) -> Column:
+    """Minus the evidence bound of a row: multinomial likelihood less weight times the divergence from the mixture."""
+    likelihood = total(F.zip_with(log_softmax(logits), labels, lambda a, b: a * b))
+    return weight * (log_normal(z, mu, logvar) - composite_prior(z, post_mu, post_logvar)) - likelihood
+
+
 def temperature_kl(logits: Column, target_logits: Column, temperature: float = 1.0) -> Column:
     """Divergence of the softened target from the softened logits, times the squared temperature."""
     soft = lambda v: F.transform(v, lambda x: x / temperature)
@@ -137,7 +163,7 @@ def temperature_kl(logits: Column, target_logits: Column, temperature: float = 1
 
 
 #: Losses of a row by name.
-LOSSES = {"bce": bce_with_logits, "softmax_bce": softmax_bce, "kl": kl_standard, "kl_between": kl_between, "js": js_between, "ot": bures_wasserstein, "log_normal": log_normal, "temperature_kl": temperature_kl}
+LOSSES = {"bce": bce_with_logits, "softmax_bce": softmax_bce, "kl": kl_standard, "kl_between": kl_between, "js": js_between, "ot": bures_wasserstein, "log_normal": log_normal, "temperature_kl": temperature_kl, "composite_elbo": composite_elbo}
 
 
 def anneal(step: int, steps: int, most: float = 0.5) -> float:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..shipping import ship
-from .models import DIGITS, _best
+from .models import DIGITS, best_of_rows
 
 Layer = tuple[np.ndarray, np.ndarray]
 
@@ -63,14 +63,76 @@ class EncoderDecoder:
                 z = act(z)
         return z
 
-    def logits(self, x: np.ndarray, text: np.ndarray | None = None, alpha: float = 1.0, negative: bool = False) -> np.ndarray:
-        """Logits of profiles; with latents of texts, of the merged ones."""
-        z = self.encode(x)
+    def logits(self, x: np.ndarray, text: np.ndarray | None = None, alpha: float = 1.0, negative: bool = False, condition: np.ndarray | None = None) -> np.ndarray:
+        """Logits of profiles; with latents of texts, of the merged ones; with conditions, of the steered ones."""
+        z = self.encode(x, condition)
         if text is not None:
             z = (z - text) / 2 if negative else (1 - alpha) * text + alpha * z
         return self.decode(z)
 
 
+@dataclass
+class SkipEncoderDecoder:
+    """A variational autoencoder at inference whose encoder sums its layers: a hidden layer is the swish of its product
+    plus all earlier layers' outputs, scaled to mean 0 and variance 1, with its own gain and shift."""
+
+    hidden: list[Layer]
+    norms: list[Layer]  # gain and shift of each hidden layer
+    mean: Layer
+    decoder: Layer
+    eps: float = 0.1
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        last = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        total = 0.0
+        for (w, b), (gain, shift) in zip(self.hidden, self.norms, strict=True):
+            h = swish(last @ w + b + total)
+            h = h - h.mean(axis=1, keepdims=True)
+            last = h / np.sqrt((h * h).mean(axis=1, keepdims=True) + self.eps) * gain + shift
+            total = total + last
+        return last @ self.mean[0] + self.mean[1]
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return self.encode(x) @ self.decoder[0] + self.decoder[1]
+
+
+@dataclass
+class SoftmaxHead:
+    """A linear layer from text vectors to items; its scores are softmax logits."""
+
+    weight: np.ndarray  # size x items
+    bias: np.ndarray
+
+    def logits(self, x: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+        return text @ self.weight + self.bias
+
+
+def fit_head(vectors: np.ndarray, profiles: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 1e-3, decay: float = 1e-4, seed: int = 0) -> SoftmaxHead:
+    """Fits a head to profiles (rows of 0 and 1, taken as shares) by the multinomial loss with decoupled weight decay.
+
+    For a bounded sample of users that the driver holds; scoring by score_users() covers all.
+    """
+    rng = np.random.default_rng(seed)
+    shares = profiles / np.maximum(profiles.sum(axis=1, keepdims=True), 1.0)
+    edge = vectors.shape[1] ** -0.5
+    values = [rng.uniform(-edge, edge, (vectors.shape[1], profiles.shape[1])), rng.uniform(-edge, edge, profiles.shape[1])]
+    first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
+    for _ in range(epochs):
+        order = rng.permutation(len(vectors))
+        for at in range(0, len(order), batch):
+            x, y = vectors[order[at : at + batch]], shares[order[at : at + batch]]
+            z = x @ values[0] + values[1]
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            error = (p * y.sum(axis=1, keepdims=True) - y) / len(x)
+            step += 1
+            for i, g in enumerate((x.T @ error, error.sum(axis=0))):
+                first[i], second[i] = 0.9 * first[i] + 0.1 * g, 0.999 * second[i] + 0.001 * g * g
+                move = first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+                values[i] = values[i] * (1 - rate * decay) - rate * move
+    return SoftmaxHead(*values)
+
+
 @dataclass
 class Prototypes:
     """A disentangled autoencoder at inference: items belong to factors, each factor is coded on its own, and the
@@ -103,7 +165,7 @@ class Prototypes:
 
 
 #: Makers of models by name; callers add theirs.
-REGISTRY: dict[str, Callable[..., object]] = {"dae": EncoderDecoder, "vae": EncoderDecoder, "recvae": EncoderDecoder, "film_vae": EncoderDecoder, "macrid": Prototypes}
+REGISTRY: dict[str, Callable[..., object]] = {"dae": EncoderDecoder, "vae": EncoderDecoder, "recvae": SkipEncoderDecoder, "head": SoftmaxHead, "film_vae": EncoderDecoder, "macrid": Prototypes}
 
 
 def make(name: str, **arguments):
@@ -112,10 +174,14 @@ def make(name: str, **arguments):
     return REGISTRY[name](**arguments)
 
 
-def score_users(history: DataFrame, model, items: np.ndarray, k: int = 10) -> DataFrame:
-    """user_id, rank, item_index and score of the k best unseen items by a model's logits."""
+def score_users(history: DataFrame, model, items: np.ndarray, k: int = 10, vectors: DataFrame | None = None, as_: str = "text", **how) -> DataFrame:
+    """user_id, rank, item_index and score of the k best unseen items by a model's logits.
+
+    vectors (user_id, vector) go to the model with each user's profile, as its argument as_ (text latents or
+    conditions); users without one have no list then. how: more arguments of the model's logits.
+    """
     ship(history.sparkSession)
-    sent = history.sparkSession.sparkContext.broadcast((model, items))
+    sent, steered = history.sparkSession.sparkContext.broadcast((model, items)), vectors is not None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, own = sent.value
@@ -125,13 +191,16 @@ def score_users(history: DataFrame, model, items: np.ndarray, k: int = 10) -> Da
                 x = np.zeros((len(part), len(own)))
                 for row, seen in enumerate(part["items"]):
                     x[row, np.searchsorted(own, np.asarray(seen))] = 1
-                scores = np.round(m.logits(x), DIGITS)
+                more = {as_: np.stack(part["vector"].to_list())} if steered else {}
+                scores = np.round(m.logits(x, **more, **how), DIGITS)
                 scores[x > 0] = -np.inf
-                for row, user in enumerate(part.user_id):
-                    cols, best = _best(scores[row], k)
+                for user, (cols, best) in zip(part.user_id, best_of_rows(scores, k), strict=True):
                     yield pd.DataFrame({"user_id": user, "rank": np.arange(1, len(cols) + 1, dtype=np.int32), "item_index": own[cols], "score": best})
 
-    return history.groupBy("user_id").agg(F.collect_list("item_index").alias("items")).mapInPandas(run, "user_id long, rank int, item_index long, score double")
+    profiles = history.groupBy("user_id").agg(F.collect_list("item_index").alias("items"))  # of one user
+    if steered:
+        profiles = profiles.join(vectors.select("user_id", "vector").where("vector IS NOT NULL"), "user_id")
+    return profiles.mapInPandas(run, "user_id long, rank int, item_index long, score double")
 
 
 def text_encoder(encode: Callable[[list[str]], np.ndarray]):
@@ -144,7 +213,8 @@ def text_encoder(encode: Callable[[list[str]], np.ndarray]):
         if some.any():
             vectors = np.asarray(encode(texts[some].tolist()), dtype=np.float32)
             vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-            out[some.to_numpy()] = list(vectors)
+            for i, v in zip(np.flatnonzero(some), vectors, strict=True):
+                out.iat[i] = v
         return out
 
     return run

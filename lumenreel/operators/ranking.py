@@ -136,6 +136,19 @@ def diversify(candidates: DataFrame, k: int = 10, penalty: float = 0.1, candidat
     return flat.mapInPandas(run, f"`{by}` {kind}, rank int, item_index long")
 
 
+def by_vote(items: DataFrame, vote: str = "vote_average", tie: str = "title") -> DataFrame:
+    """Adds rank and rank_label ("Rank #n") by vote, descending, without votes last; ties by another column.
+
+    Ranks come from range partitions and the counts before them, so no task orders all items.
+    """
+    order = [F.desc_nulls_last(vote), F.col(tie).asc_nulls_last()]
+    ranged = items.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each partition
+    before = counts.withColumn("_base", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    rank = (F.col("_base") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).cast("int")
+    return ranged.join(F.broadcast(before), "_part").withColumn("rank", rank).withColumn("rank_label", F.concat(F.lit("Rank #"), F.col("rank").cast("string"))).drop("_part", "_base")
+
+
 def quota_selection(items: DataFrame, most: int = 10, wanted: int = 50) -> DataFrame:
     """Takes items by n (descending, ties by first_pos) unless one of their genres has most picks already; at most wanted.
 
@@ -149,13 +162,17 @@ def quota_selection(items: DataFrame, most: int = 10, wanted: int = 50) -> DataF
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False):
-                if place < wanted and all(taken.get(g, 0) < most for g in row.genres):
+                if place >= wanted:
+                    break
+                if all(taken.get(g, 0) < most for g in row.genres):
                     place += 1
                     rows.append((place, row.movie_id, row.title, list(row.genres)))
                     for g in row.genres:
                         taken[g] = taken.get(g, 0) + 1
             if rows:
                 yield pd.DataFrame(rows, columns=["place", "movie_id", "title", "genres"])
+            if place >= wanted:
+                return
 
     ship(items.sparkSession)
     ordered = items.select("movie_id", "title", "genres", "n", "first_pos").orderBy(F.desc("n"), "first_pos").coalesce(1)

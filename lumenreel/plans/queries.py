@@ -17,19 +17,20 @@ from ..operators import requests as Q
 from ..sources import adapter as A
 from ..sources import readers
 from ..streaming.counts import windowed_counts
+from . import evaluate
 from .evaluate import Protocol
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, base: bool = True):
-    """Registers a query; sql goes on from the adapter's tables if base holds."""
+def query(sql: str | None = None, base: bool = True, recursive: str = ""):
+    """Registers a query; sql goes on from the adapter's tables if base holds, as a recursive one if it says so."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = (f"WITH {A.SQL}, {sql}" if sql.lstrip().split()[1] == "AS" else f"WITH {A.SQL} {sql}") if base else sql
+            ORACLE_SQL[f.__name__] = (f"WITH {recursive}{A.SQL}, {sql}" if sql.lstrip().split()[1] == "AS" else f"WITH {A.SQL} {sql}") if base else sql
         return f
 
     return add
@@ -258,12 +259,12 @@ def ease_identity(spark, d):
     return spark.createDataFrame([(int(i), float(x), float(w)) for i, x, w in zip(items, deviation, np.diag(b), strict=True)], "item_index long, deviation double, own_weight double")
 
 
-def _ease_side(history: DataFrame, catalog: DataFrame) -> S.ItemSide:
+def _ease_side(history: DataFrame, catalog: DataFrame, regularization: float = 500.0) -> S.ItemSide:
     """The whole catalog, with weights of the linear autoencoder for its MOST_DENSE most rated items."""
     counts = catalog.select("item_index").join(history.groupBy("item_index").agg(F.count("*").alias("n")), "item_index", "left")
     items = np.sort(np.array([r[0] for r in counts.orderBy(F.desc_nulls_last("n"), "item_index").limit(S.MOST_DENSE).select("item_index").collect()]))
     within = history.join(catalog.sparkSession.createDataFrame([(int(i),) for i in items], "item_index long"), "item_index", "left_semi")
-    return S.item_side(catalog, S.popularity(history, catalog), weights=S.fit_ease(within, items, 500.0), fitted=items)
+    return S.item_side(catalog, S.popularity(history, catalog), weights=S.fit_ease(within, items, regularization), fitted=items)
 
 
 @query()
@@ -279,6 +280,43 @@ def mmr_reranking(spark, d):
     return Protocol(A.positives(spark, d), A.catalog(spark, d)).mmr(S.Weights(), 0.1)
 
 
+@query()
+def ease_comparison(spark, d):
+    """The linear autoencoder, and with diversity reranking whose penalty is searched on validation users."""
+    out = Protocol(A.positives(spark, d), A.catalog(spark, d)).ease_comparison()
+    return _rounded(out).join(out.select("model", "penalty"), "model")
+
+
+@query()
+def penalty_search(spark, d):
+    out = Protocol(A.positives(spark, d), A.catalog(spark, d)).penalty_search(S.Weights())
+    return _rounded(out.withColumn("model", F.concat(F.lit("mmr "), F.col("penalty").cast("string"))))
+
+
+@query(_COMPONENTS + """, users AS (SELECT user_id, row_number() OVER (ORDER BY md5(user_id::VARCHAR || '2026')) <= greatest(1, floor(count(*) OVER () / 5)) AS is_validation FROM targets),
+goal AS (SELECT targets.* FROM targets JOIN users USING (user_id) WHERE is_validation), w AS (SELECT unnest([0.0, 0.05, 0.1, 0.2, 0.3, 0.5]::DOUBLE[]) AS weight),
+x AS (SELECT weight, ct.user_id, item_index, round((1 - weight) * popularity + weight * (hits / size::DOUBLE), 9) AS score FROM ct JOIN size USING (user_id) JOIN pop USING (item_index) JOIN goal USING (user_id) CROSS JOIN w
+  WHERE NOT EXISTS (FROM history h WHERE h.user_id = ct.user_id AND h.item_index = ct.item_index)),
+r AS (SELECT *, row_number() OVER (PARTITION BY weight, user_id ORDER BY score DESC, item_index) AS rank FROM x),
+hit AS (SELECT weight, sum(1 / log2(rank + 1)) AS gain FROM r JOIN goal ON r.user_id = goal.user_id AND item_index = target WHERE rank <= 10 GROUP BY 1)
+SELECT weight, round(coalesce(gain, 0) / (SELECT count(*) FROM goal), 6) AS ndcg FROM w LEFT JOIN hit USING (weight)""")
+def blend_search(spark, d):
+    """Blends of popularity with genre content, on validation users."""
+    p = Protocol(A.positives(spark, d), A.catalog(spark, d))
+    history, targets = p.of(p.history, True), p.of(p.targets, True)
+    scores = S.content_scores(history, p.catalog).join(p.popular, "item_index").select("user_id", "item_index", F.col("popularity").alias("first"), F.col("content").alias("second"))
+    return evaluate.blend_search(scores, targets, history).select("weight", r6("ndcg").alias("ndcg"))
+
+
+@query()
+def ease_at_10_20_50(spark, d):
+    """An older setting: penalty 5000, and metrics of many positives at three lengths."""
+    p = A.positives(spark, d)
+    old, new = I.binary_matrix(p.where("ts < '2000-01-01'")), I.binary_matrix(p.where("ts >= '2000-01-01'"))
+    ranked = S.recommend_users(old, _ease_side(old, A.catalog(spark, d), 5000.0), {"ease": "ease"}, 50)
+    return M.many_positive_means(ranked, new).select("k", "users", *[r6(c).alias(c) for c in ("recall", "ndcg", "mrr")])
+
+
 # Requests
 
 _ASKED = """asked AS (SELECT n_nationkey AS request_id, CASE WHEN n_nationkey % 5 = 0 THEN 'anything nice' ELSE 'looking for a ' || p_name END AS text,
@@ -374,12 +412,20 @@ def rank_changes(spark, d):
     return rows.withColumn("label", X.rank_change(F.col("rank_before"), F.col("rank_now")))
 
 
-@query()
+@query("""o AS (SELECT movie_id, title, genres, row_number() OVER (ORDER BY n DESC, first_pos) AS k FROM (SELECT movie_id, count(*) AS n, min(pos) AS first_pos FROM ratings GROUP BY 1) JOIN catalog USING (movie_id)),
+s AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS had, 0 AS place, false AS took UNION ALL
+  SELECT k, CASE WHEN ok THEN had || genres ELSE had END, place + ok::INT, ok FROM (SELECT o.k, s.had, s.place, o.genres, len(list_filter(o.genres, lambda g: len(list_filter(s.had, lambda h: h = g)) >= 10)) = 0 AS ok FROM s JOIN o ON o.k = s.k + 1 WHERE s.place < 50))
+SELECT place, movie_id, title, genres FROM s JOIN o USING (k) WHERE took""", recursive="RECURSIVE ")
 def quota_selection(spark, d):
     items = A.ratings(spark, d).groupBy("movie_id").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     return R.quota_selection(items.join(A.catalog(spark, d).select("movie_id", "title", "genres"), "movie_id"))
 
 
+@query("SELECT s_suppkey AS id, s_name AS title, s_acctbal AS vote, row_number() OVER (ORDER BY s_acctbal DESC, s_name)::INT AS rank, 'Rank #' || row_number() OVER (ORDER BY s_acctbal DESC, s_name) AS rank_label FROM supplier", base=False)
+def vote_ranking(spark, d):
+    return R.by_vote(A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.col("s_acctbal").alias("vote")), "vote")
+
+
 # Many positives and controllability
 
 _LATE = """old AS (SELECT DISTINCT user_id, item_index FROM positives WHERE ts < '2000-01-01'), new AS (SELECT DISTINCT user_id, item_index FROM positives WHERE ts >= '2000-01-01'),

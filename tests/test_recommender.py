@@ -10,6 +10,7 @@ from lumenreel.functions import vectors as V
 from lumenreel.operators import interactions as I
 from lumenreel.operators import metrics as M
 from lumenreel.operators import models as S
+from lumenreel.operators import neural
 from lumenreel.operators import ranking as R
 from lumenreel.operators import requests as Q
 
@@ -298,3 +299,165 @@ def test_products_equal_plain_sums():
     profiles = [np.array([0, 3]), np.array([], np.int64), np.array([2, 5, 1])]
     assert side.collaborative(profiles).tolist() == [[0, 1, 4, 0, 2, 5], [0] * 6, [9, 0, 0, 0, 0, 0]]
     assert np.allclose(side.linear(profiles), [w[p].sum(axis=0) for p in profiles])
+
+
+def test_skip_encoder_by_hand():
+    rng = np.random.default_rng(0)
+    layers = [(rng.normal(0, 1, (5, 3)), rng.normal(0, 1, 3)), (rng.normal(0, 1, (3, 3)), rng.normal(0, 1, 3)), (rng.normal(0, 1, (3, 3)), rng.normal(0, 1, 3))]
+    norms = [(rng.normal(1, 0.1, 3), rng.normal(0, 0.1, 3)) for _ in layers]
+    mean, decoder = (rng.normal(0, 1, (3, 2)), np.ones(2)), (rng.normal(0, 1, (2, 5)), np.zeros(5))
+    model = neural.make("recvae", hidden=layers, norms=norms, mean=mean, decoder=decoder)
+    x = np.array([[1.0, 0, 1, 1, 0]])
+
+    def scaled(h, k):
+        h = h - h.mean()
+        return h / np.sqrt((h**2).mean() + 0.1) * norms[k][0] + norms[k][1]
+
+    sw = lambda v: v / (1 + np.exp(-v))
+    h1 = scaled(sw((x[0] / 3**0.5) @ layers[0][0] + layers[0][1]), 0)
+    h2 = scaled(sw(h1 @ layers[1][0] + layers[1][1] + h1), 1)
+    h3 = scaled(sw(h2 @ layers[2][0] + layers[2][1] + h1 + h2), 2)
+    assert np.allclose(model.logits(x)[0], (h3 @ mean[0] + mean[1]) @ decoder[0] + decoder[1])
+
+
+def test_models_with_texts_and_conditions(spark, history):
+    rng = np.random.default_rng(0)
+    layer = lambda a, b: (rng.normal(0, 1, (a, b)), rng.normal(0, 1, b))
+    plain = neural.make("vae", encoder=[layer(4, 3), layer(3, 2)], decoder=[layer(2, 4)], latent=2)
+    film = neural.make("film_vae", encoder=[layer(4, 3), layer(3, 2)], decoder=[layer(2, 4)], latent=2, film=(layer(2, 3), layer(2, 3)))
+    vectors = {0: [0.5, -1.0], 1: [2.0, 0.0], 2: [0.0, 1.0]}
+    table = spark.createDataFrame([*vectors.items(), (9, [1.0, 1.0])], "user_id long, vector array<double>")
+    seen = {0: [0, 1], 1: [0, 1, 3], 2: [2, 3]}
+    for model, as_, how in ((plain, "text", {"alpha": 0.25}), (plain, "text", {"negative": True}), (film, "condition", {})):
+        got = {(r.user_id, r.item_index): r.score for r in neural.score_users(history, model, np.arange(4), 4, table, as_, **how).collect()}
+        want = {}
+        for u, own in seen.items():
+            x = np.zeros((1, 4))
+            x[0, own] = 1
+            x /= np.linalg.norm(x)
+            (w1, b1), (w2, b2), v = *model.encoder, np.array([vectors[u]])
+            h = np.tanh(x @ w1 + b1)
+            if as_ == "condition":
+                (gw, gb), (bw, bb) = model.film
+                h = (v @ gw + gb) * h + v @ bw + bb
+            z = h @ w2 + b2
+            z = z if as_ == "condition" else (z - v) / 2 if how.get("negative") else 0.75 * v + 0.25 * z
+            line = (z @ model.decoder[0][0] + model.decoder[0][1])[0]
+            want |= {(u, i): round(line[i], 9) for i in range(4) if i not in own}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in got)
+
+
+def test_softmax_head_learns_profiles(spark, history):
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(0, 1, (400, 6))
+    profiles = (vectors @ rng.normal(0, 1, (6, 8)) > 1).astype(float)
+    head = neural.fit_head(vectors, profiles, epochs=60, batch=64, rate=0.05)
+    z = head.logits(profiles, vectors)
+    loss = lambda z: -((z - np.log(np.exp(z).sum(axis=1, keepdims=True))) * profiles / np.maximum(profiles.sum(axis=1, keepdims=True), 1)).sum(axis=1).mean()
+    assert loss(z) < 0.75 * loss(np.zeros_like(z))
+    table = spark.createDataFrame([(u, [float(u), 1.0]) for u in range(3)], "user_id long, vector array<double>")
+    out = neural.score_users(history, neural.SoftmaxHead(np.ones((2, 4)), np.arange(4.0)), np.arange(4), 1, table)
+    assert {(r.user_id, r.item_index, r.score) for r in out.collect()} == {(0, 3, 4.0), (1, 2, 4.0), (2, 1, 4.0)}
+
+
+def test_prototypes_share_items_between_factors():
+    items = np.array([[1.0, 0.0], [0.9, 0.1], [0.0, 1.0]])
+    model = neural.make("macrid", items=items, cores=np.eye(2), model=neural.EncoderDecoder([(items, np.zeros(2))], [], 2))
+    shares = model.shares()
+    assert np.allclose(shares.sum(axis=1), 1) and shares[0, 0] > 0.9 and shares[2, 1] > 0.9
+    assert model.logits(np.array([[1.0, 0, 0]]))[0].argmax() in (0, 1)
+
+
+def test_masked_mean_and_mixture(spark):
+    one = spark.range(1)
+    arr = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    value = lambda c: one.select(c.alias("v")).first().v
+    tokens = F.array(arr(1, 2), arr(3, 4), arr(9, 9))
+    assert value(V.masked_mean(tokens, F.array(F.lit(1), F.lit(1), F.lit(0)))) == [2.0, 3.0] and value(V.masked_mean(tokens, F.array(*[F.lit(0)] * 3))) == [0.0, 0.0]
+    normal = lambda x, m, v: -0.5 * (v + np.log(2 * np.pi) + (x - m) ** 2 / np.exp(v))
+    z, m, lv = np.array([0.3, -1.0]), np.array([0.1, 0.5]), np.array([0.2, -0.4])
+    mixture = sum(np.log(3 / 20 * np.exp(normal(a, 0, 0)) + 3 / 4 * np.exp(normal(a, b, c)) + 1 / 10 * np.exp(normal(a, 0, 10))) for a, b, c in zip(z, m, lv, strict=True))
+    assert value(V.composite_prior(arr(*z), arr(*m), arr(*lv))) == pytest.approx(mixture)
+    logits, labels = np.array([1.0, 2.0]), np.array([0.0, 1.0])
+    likelihood = float(((logits - np.log(np.exp(logits).sum())) * labels).sum())
+    got = value(V.composite_elbo(arr(*logits), arr(*labels), arr(*z), arr(*m), arr(*lv), arr(*m), arr(*lv), F.lit(0.5)))
+    assert got == pytest.approx(0.5 * (normal(z, m, lv).sum() - mixture) - likelihood)
+
+
+def test_texts_to_items(spark, history, catalog):
+    """The older text recommender: fused vectors, cosine, boosts of liked titles, disliked genres left out."""
+    words = {"space": [1.0, 0.0], "love": [0.0, 2.0]}
+    engine = Engine(history, catalog, 10, encoder=lambda texts: np.array([words[t.strip()] for t in texts]))
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.8, 0.6]), (2, [0.0, 1.0]), (3, [0.6, 0.8])], "item_index long, embedding array<double>")
+    asked = spark.createDataFrame([(1, "space", " ", [], [], 1.0), (2, "space", "love", ["Mix (2003)"], [" romance"], 0.75), (3, None, "love", ["Love One (2002)", "?"], [], 1.0), (4, "", None, [], [], 1.0)], "query_id long, summary string, context string, liked array<string>, disliked_genres array<string>, alpha double")
+    got = {}
+    for r in engine.recommend_texts(asked, vectors, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.title, round(r.score, 6), r.rank_label))
+    fused = np.array([0.75, 0.25]) / np.hypot(0.75, 0.25)
+    assert got == {
+        1: [("Space One (2000)", 1.0, "Rank #1"), ("Space Two (2001)", 0.8, "Rank #2"), ("Mix (2003)", 0.6, "Rank #3")],
+        2: [("Space One (2000)", round(float(fused[0]), 6), "Rank #1"), ("Space Two (2001)", round(float(fused @ [0.8, 0.6]), 6), "Rank #2")],  # a tie
+        3: [("Love One (2002)", 1.15, "Rank #1"), ("Mix (2003)", 0.8, "Rank #2"), ("Space Two (2001)", 0.6, "Rank #3")],
+    }
+    with pytest.raises(ValueError):
+        Engine(history, catalog, 10).recommend_texts(asked, vectors)
+    with pytest.raises(ValueError):
+        engine.recommend_users(history)
+    scored = Engine(history, catalog, 10, scorer=neural.SoftmaxHead(np.ones((1, 4)), np.arange(4.0)))
+    own = spark.createDataFrame([(0, [1.0])], "user_id long, vector array<double>")
+    assert [r.item_index for r in scored.recommend_users(history, 2, vectors=own).orderBy("rank").collect()] == [3, 2]
+
+
+def test_ease_comparison_equals_plain_numpy(spark, sf_dir):
+    from lumenreel.plans import evaluate
+    from lumenreel.sources import adapter as A
+
+    p = evaluate.Protocol(A.positives(spark, sf_dir), A.catalog(spark, sf_dir))
+    got = {r.model: r for r in p.ease_comparison().collect()}
+    items = sorted(r[0] for r in p.catalog.select("item_index").collect())
+    at = {x: i for i, x in enumerate(items)}
+    rows = p.history.collect()
+    users = {u: k for k, u in enumerate(sorted({r.user_id for r in rows}))}
+    x = np.zeros((len(users), len(items)))
+    for r in rows:
+        x[users[r.user_id], at[r.item_index]] = 1
+    inverse = np.linalg.inv(x.T @ x + 500 * np.eye(len(items)))
+    b = inverse / -np.diag(inverse)
+    np.fill_diagonal(b, 0)
+    scores = np.where(x > 0, -np.inf, np.round(x @ b, 9))
+    test = {r.user_id for r in p.users.where("NOT is_validation").collect()}
+    goals = [(r.user_id, r.target) for r in p.targets.collect() if r.user_id in test]
+    ranks = []
+    for user, target in goals:
+        line = scores[users[user]]
+        best = sorted(range(len(items)), key=lambda i: (-line[i], i))[:10]
+        ranks.append(best.index(at[target]) + 1 if at[target] in best else None)
+    hits = [r for r in ranks if r]
+    assert got["ease"].users == len(goals) and got["ease"].recall == pytest.approx(len(hits) / len(goals)) and got["ease"].ndcg == pytest.approx(sum(1 / np.log2(r + 1) for r in hits) / len(goals))
+    assert got["ease_mmr"].penalty in evaluate.PENALTIES and got["ease_mmr"].users == len(goals)
+    searched = p.penalty_search("ease").collect()
+    assert len(searched) == 5 and searched[0].penalty == got["ease_mmr"].penalty
+    p.release()
+
+
+def test_remap_union_anneal_and_orders(spark):
+    assert spark.range(1).select(X.ordered_union(F.array(F.lit("b"), F.lit("a")), F.array(F.lit("a"), F.lit("c"))).alias("u")).first().u == ["b", "a", "c"]
+    assert [V.anneal(s, 10) for s in (0, 2, 9)] == [0.0, 0.2, 0.5]
+    users = I.permuted_users([5, 3, 9, 1], 7)
+    assert sorted(users) == [1, 3, 5, 9] and users == I.permuted_users([9, 5, 1, 3], 7)
+    movies = spark.createDataFrame([(10, "x"), (11, "y")], "movie_id int, title string")
+    assert [tuple(r) for r in I.remap(movies, spark.createDataFrame([(11, 0)], "movie_id int, new int"), "movie_id", "new").select("movie_id", "title").collect()] == [(0, "y")]
+    vote = R.by_vote(spark.createDataFrame([("a", 1.0), ("b", None), ("c", 3.0), ("d", 3.0)], "title string, vote_average double"))
+    assert [(r.title, r["rank"], r.rank_label) for r in vote.orderBy("rank").collect()] == [("c", 1, "Rank #1"), ("d", 2, "Rank #2"), ("a", 3, "Rank #3"), ("b", 4, "Rank #4")]
+
+
+def test_means_at_lengths_and_top_genres(spark):
+    ranked = spark.createDataFrame([(1, r, r) for r in range(1, 31)], "user_id long, rank int, item_index long")
+    own = spark.createDataFrame([(1, 1), (1, 15), (1, 30)], "user_id long, item_index long")
+    got = {r.k: (r.users, round(r.recall, 6), r.mrr) for r in M.many_positive_means(ranked, own).collect()}
+    assert got == {10: (1, round(1 / 3, 6), 1.0), 20: (1, round(2 / 3, 6), 1.0), 50: (1, 1.0, 1.0)}
+    changes = spark.createDataFrame([(1, "a", 1.0, 2.0), (2, "b", 3.0, 4.0)], "user_id long, up_genre string, change_down double, change_up double")
+    only = M.mean_changes(changes, spark.createDataFrame([("b",)], "genre string")).collect()
+    assert {(r.up_genre, r.users, r.change_down) for r in only} == {(None, 2, 2.0), ("b", 1, 3.0)}
+    mean = M.mean_of(spark.createDataFrame([(1.0, 2.0, 6.0)], "a double, b double, c double"), ["a", "b", "c"], "m").first()
+    assert mean.m == 3.0
