@@ -53,4 +53,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_source_mixing, op5_simhash_dedup, op6_topk_search, op7_packing, op8_media_columns, op9_language_id, op10_token_output)}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op6_topk_search": search.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.ORACLE_SQL, "op2_substring_dedup": substrings.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op6_topk_search": search.ORACLE_SQL}

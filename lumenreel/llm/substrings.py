@@ -316,3 +316,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, kee
     row = flat.schema["row"].dataType.simpleString()
     done = flat.mapInArrow(rewrite, f"text string, n_removed long, row {row}")
     return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns], "n_removed")
+
+
+#: The same result from all windows as strings.
+ORACLE_SQL = """
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS ord, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []::VARCHAR[]) AS ws FROM documents),
+x AS (SELECT r, ord, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT r, ord, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+m AS (SELECT win, min(ord) AS least FROM x GROUP BY 1),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM x JOIN m USING (win) WHERE ord > least),
+t AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+k AS (SELECT t.r, string_agg(word, ' ' ORDER BY t.p) AS kept, count(*) AS n FROM t ANTI JOIN g ON g.r = t.r AND g.p = t.p GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)
+"""

@@ -896,3 +896,9 @@ def test_pipeline(spark, docs, empty):
     assert {r.doc_id for r in kept["packing"]} == {r.doc_id for r in kept["source_mixing"]}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_substrings_equal_sql(spark, docs, duck):
+    con = duck.cursor()
+    con.register("documents", docs.select("doc_id", "text").toArrow())
+    same(substrings.remove_repeats(spark, docs), con.sql(substrings.ORACLE_SQL))
