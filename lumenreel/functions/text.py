@@ -68,12 +68,14 @@ def preference_text(parts: Column) -> Column:
     return F.array_join(non_blank(parts), "\nContext: ")
 
 
+# The sentences are fixed values.
 def genre_summary(genres: Column, context: Column) -> Column:
     own = F.array_distinct(non_blank(genres))
     base = F.when(F.size(own) > 0, F.concat(F.lit("The user prefers movies in these genres: "), F.array_join(own, ", "), F.lit("."))).otherwise("")
     return preference_text(F.array(base, context))
 
 
+# The sentences are fixed values.
 def taste_summary(liked: Column, disliked: Column, context: Column) -> Column:
     """The deterministic fallback of a taste summary."""
     parts = F.array(
@@ -84,12 +86,14 @@ def taste_summary(liked: Column, disliked: Column, context: Column) -> Column:
     return F.when(F.size(liked) > 0, F.array_join(F.array_compact(parts), " ")).otherwise("")
 
 
+# The sentences are fixed values.
 def selection_summary(titles: Column, genres: Column) -> Column:
     """Summary of chosen movies: their titles in order, their genres by first appearance; empty without titles."""
     text = F.concat(F.lit("The user likes movies such as "), F.array_join(titles, ", "), F.lit(". Their selected movies suggest interest in "), F.array_join(F.array_distinct(genres), ", "), F.lit("."))
     return F.when(F.size(titles) > 0, text).otherwise("")
 
 
+# The sentences are fixed values.
 def interface_summary(genres: Column, context: Column) -> Column:
     """The default summary that a front end shows before a service answers."""
     own = F.array_distinct(genres)
@@ -101,6 +105,7 @@ def interface_summary(genres: Column, context: Column) -> Column:
     )
 
 
+# The sentences are fixed values.
 def selected_taste(titles: Column, context: Column) -> Column:
     some = F.coalesce(context, F.lit("")) != ""
     listed = F.concat(F.lit("User likes: "), F.array_join(titles, ", "), F.when(some, F.concat(F.lit("\nContext: "), context)).otherwise(""))

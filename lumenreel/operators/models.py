@@ -90,6 +90,8 @@ def collaborative(history: DataFrame, similarity: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Weights:
+    """Weights of the hybrid; the defaults are fixed values."""
+
     collaborative: float = 0.80
     content: float = 0.15
     popularity: float = 0.05
@@ -101,7 +103,7 @@ class Weights:
         return Weights(self.collaborative / total, self.content / total, self.popularity / total)
 
 
-#: The 27 weights that a search tries.
+#: The 27 weights that a search tries (fixed values).
 GRID = [Weights(a, b, c) for a in (0.6, 0.8, 1.0) for b in (0.0, 0.15, 0.3) for c in (0.0, 0.05, 0.1)]
 
 
