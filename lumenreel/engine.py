@@ -22,10 +22,8 @@ class Engine:
         self.catalog = catalog
         self.encoder, self.scorer = encoder, scorer
         history = I.binary_matrix(positives)
-        popular = S.popularity(history, catalog)
-        rows = catalog.select("item_index", "norm_title").collect()  # bounded by item_side() below
-        self.side = S.item_side(catalog, popular)
-        self.side.weights = S.fit_ease(history, self.side.items, regularization)
+        self.side = S.ease_side(history, catalog, regularization)
+        rows = catalog.select("item_index", "norm_title").collect()  # as many as the item side may have
         self.titles = {r["item_index"]: r["norm_title"] for r in rows}
         self.genres = [r[0] for r in vocabulary(catalog).collect()]
 

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, not again for each element of an array that f goes over."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
@@ -26,8 +32,7 @@ def without_nan(v: Column) -> Column:
 
 def normalize(v: Column, eps: float = 1e-12) -> Column:
     """NaN as 0, then length 1; a vector without length stays."""
-    clean = without_nan(v)
-    return F.transform(clean, lambda x: x / F.greatest(norm(clean), F.lit(eps)))
+    return bound(without_nan(v), lambda clean: bound(F.greatest(norm(clean), F.lit(eps)), lambda n: F.transform(clean, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -35,16 +40,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def mean(v: Column) -> Column:
-    return F.try_divide(total(v), F.size(v).cast("double"))
+    return bound(v, lambda w: F.try_divide(total(w), F.size(w).cast("double")))
 
 
 def log_sum_exp(v: Column) -> Column:
-    top = F.array_max(v)
-    return F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top))) + top
+    return bound(F.array_max(v), lambda top: F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top))) + top)
 
 
 def log_softmax(v: Column) -> Column:
-    return F.transform(v, lambda x: x - log_sum_exp(v))
+    return bound(log_sum_exp(v), lambda lse: F.transform(v, lambda x: x - lse))
 
 
 def softmax(v: Column) -> Column:
@@ -162,8 +166,85 @@ def temperature_kl(logits: Column, target_logits: Column, temperature: float = 1
     return total(pairs) * F.lit(temperature * temperature)
 
 
-#: Losses of a row by name.
-LOSSES = {"bce": bce_with_logits, "softmax_bce": softmax_bce, "kl": kl_standard, "kl_between": kl_between, "js": js_between, "ot": bures_wasserstein, "log_normal": log_normal, "temperature_kl": temperature_kl, "composite_elbo": composite_elbo}
+def spread_kl(logvar: Column) -> Column:
+    """kl_standard() without the means."""
+    return F.lit(-0.5) * mean(F.transform(logvar, lambda v: F.lit(1.0) + v - F.exp(v)))
+
+
+def three_way_bce(merged: Column, text: Column, rec: Column, labels: Column, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> Column:
+    """A third of the weighted sum of softmax_bce() of the merged, the text's and the ratings' logits."""
+    return sum((softmax_bce(x, labels) * w for x, w in zip((merged, text, rec), weights, strict=True)), F.lit(0.0)) / 3
+
+
+def _variance(logvar: Column) -> Column:
+    return F.transform(logvar, F.exp)
+
+
+def prior_bce(merged: Column, text: Column, rec: Column, labels: Column, mu: Column, logvar: Column, prior_mu: Column, prior_logvar: Column, anneal: float = 1.0, epsilon: float = 1.0, how: str = "none") -> Column:
+    """three_way_bce() and half the annealed divergences of both Gaussians from the standard one; how "ot" adds epsilon
+    times their distance."""
+    loss = three_way_bce(merged, text, rec, labels) + (kl_standard(mu, logvar) + kl_standard(prior_mu, prior_logvar)) * (anneal / 2)
+    if how == "none":
+        return loss
+    if how != "ot":
+        raise ValueError("how is none or ot")
+    return loss + bures_wasserstein(mu, _variance(logvar), prior_mu, _variance(prior_logvar)) * epsilon
+
+
+def disentangled_loss(merged: Column, text: Column, rec: Column, labels: Column, mu: Column, logvar: Column, prior_mu: Column, prior_logvar: Column, how: str = "ot", weights: tuple[float, float, float] = (1.0, 1.0, 1.0), anneal: float = 1.0, epsilon: float = 1.0) -> Column:
+    """three_way_bce() with a regularizer between the text's and the ratings' Gaussians.
+
+    "none", "ot" (squared distance) and "js" (divergence from the middle, in variances) have half the annealed
+    spread_kl() of both; "kl" has the divergence itself, half annealed and epsilon times.
+    """
+    loss = three_way_bce(merged, text, rec, labels, weights)
+    if how == "kl":
+        return loss + kl_between(mu, logvar, prior_mu, prior_logvar) * (anneal / 2 + epsilon)
+    loss = loss + (spread_kl(logvar) + spread_kl(prior_logvar)) * (anneal / 2)
+    if how == "none":
+        return loss
+    var, prior_var = _variance(logvar), _variance(prior_logvar)
+    if how == "js":
+        return loss + js_of_variances(mu, var, prior_mu, prior_var) * epsilon
+    if how != "ot":
+        raise ValueError("how is none, ot, js or kl")
+    return loss + bures_wasserstein(mu, var, prior_mu, prior_var) * epsilon
+
+
+def js_of_variances(mu: Column, var: Column, prior_mu: Column, prior_var: Column) -> Column:
+    """Mean of the divergences from either Gaussian to the one of the mean means and the mean variances."""
+    half = lambda a, b: F.zip_with(a, b, lambda x, y: (x + y) / 2)
+    log = lambda v: F.transform(v, lambda x: F.log(x))
+    m, v = half(mu, prior_mu), log(half(var, prior_var))
+    return (kl_between(mu, log(var), m, v) + kl_between(prior_mu, log(prior_var), m, v)) / 2
+
+
+def contrastive(rows: DataFrame, by: str = "batch") -> DataFrame:
+    """by and contrastive: the loss of each batch of rows (mu, logvar, prior_mu, prior_logvar; arrays).
+
+    A Gaussian is its means and variances in one vector. A row's own pair is held, by the cosine, against the pairs of
+    its prior with all rows of the batch. A batch is as long as a training step, so it is one list.
+    """
+    unit = lambda m, v: normalize(F.concat(F.transform(m, lambda x: x.cast("double")), _variance(v)))
+    pairs = rows.select(by, F.struct(unit(F.col("mu"), F.col("logvar")).alias("e"), unit(F.col("prior_mu"), F.col("prior_logvar")).alias("p")).alias("r"))
+    lists = pairs.groupBy(by).agg(F.collect_list("r").alias("l"))
+    against = lambda r: F.log(F.aggregate("l", F.lit(0.0), lambda s, x: s + F.exp(dot(x["e"], r["p"]))))
+    return lists.select(by, (-mean(F.transform("l", lambda r: dot(r["e"], r["p"]) - against(r)))).alias("contrastive"))
+
+
+def contrastive_loss(rows: DataFrame, by: str = "batch", weights: tuple[float, float, float] = (1.0, 1.0, 1.0), epsilon: float = 1.0) -> DataFrame:
+    """by and loss of each batch: a third of the weighted softmax_bce() of all three logits, of epsilon times the
+    contrastive loss and of both Gaussians' spread_kl(). rows: as contrastive(), with merged, text, rec and labels."""
+    own = three_way_bce(F.col("merged"), F.col("text"), F.col("rec"), F.col("labels"), weights) * 3 + spread_kl(F.col("logvar")) + spread_kl(F.col("prior_logvar"))
+    means = rows.groupBy(by).agg(F.avg(own).alias("own"))
+    return means.join(contrastive(rows, by), by).select(by, ((F.col("own") + F.col("contrastive") * epsilon) / 3).alias("loss"))
+
+
+#: Losses by name: of a row, but for the two that take rows of batches.
+LOSSES = {
+    "bce": bce_with_logits, "softmax_bce": softmax_bce, "kl": kl_standard, "kl_between": kl_between, "js": js_between, "ot": bures_wasserstein, "log_normal": log_normal, "temperature_kl": temperature_kl, "composite_elbo": composite_elbo,
+    "prior_bce": prior_bce, "disentangled": disentangled_loss, "contrastive": contrastive, "contrastive_loss": contrastive_loss,
+}
 
 
 def anneal(step: int, steps: int, most: float = 0.5) -> float:

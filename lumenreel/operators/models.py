@@ -22,6 +22,7 @@ MOST_ITEMS = 50_000
 MOST_PAIRS = 40_000_000
 MOST_QUERIES = 20_000  # embedding queries sent at once, about
 MOST_DENSE = 4500  # items of a dense inverse on the driver
+HEAVY = 2000  # items of a user that meet under one key
 
 
 class TooLarge(ValueError):
@@ -44,10 +45,19 @@ def popularity(history: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def cooccurrence(history: DataFrame) -> DataFrame:
-    """item_i < item_j and the number of users who have both."""
-    a = history.select("user_id", F.col("item_index").alias("item_i"))
-    b = history.select("user_id", F.col("item_index").alias("item_j"))
-    return a.join(b, "user_id").where("item_i < item_j").groupBy("item_i", "item_j").agg(F.count("*").alias("n"))
+    """item_i < item_j and the number of users who have both.
+
+    A user with over HEAVY items is cut into parts by a hash of the item, and each pair of parts meets under a key of
+    its own, so no key holds more than about HEAVY items of either side.
+    """
+    heavy = history.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("user_id", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts"))
+    rows = history.select("user_id", "item_index").join(heavy, "user_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_index"), F.col("parts")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = rows.select("user_id", F.col("part").alias("row"), each.alias("col"), F.col("item_index").alias("item_i"))
+    b = rows.select("user_id", each.alias("row"), F.col("part").alias("col"), F.col("item_index").alias("item_j"))
+    met = a.join(b, ["user_id", "row", "col"]).where("item_i < item_j")
+    return met.groupBy("item_i", "item_j").agg(F.count("*").alias("n"))
 
 
 def item_similarity(history: DataFrame, alpha: float = 0.5, shrinkage: float = 0.0) -> DataFrame:
@@ -294,6 +304,14 @@ def fit_ease(history: DataFrame, items: np.ndarray, regularization: float = 500.
     return b
 
 
+def ease_side(history: DataFrame, catalog: DataFrame, regularization: float = 500.0) -> ItemSide:
+    """The whole catalog, with weights of the linear autoencoder for its MOST_DENSE most rated items."""
+    counts = catalog.select("item_index").join(history.groupBy("item_index").agg(F.count("*").alias("n")), "item_index", "left")
+    items = np.sort(np.array([r[0] for r in counts.orderBy(F.desc_nulls_last("n"), "item_index").limit(MOST_DENSE).select("item_index").collect()], dtype=np.int64))
+    within = history.join(catalog.sparkSession.createDataFrame([(int(i),) for i in items], "item_index long"), "item_index", "left_semi")
+    return item_side(catalog, popularity(history, catalog), weights=fit_ease(within, items, regularization), fitted=items)
+
+
 def embedding_top_k(queries: DataFrame, items: DataFrame, k: int = 10, boost: DataFrame | None = None, amount: float = 0.15, banned: DataFrame | None = None) -> DataFrame:
     """query_id, item_id, score and rank by cosine; boost (query_id, item_id, one row a liked title) adds amount each.
 

@@ -133,10 +133,45 @@ def fit_head(vectors: np.ndarray, profiles: np.ndarray, epochs: int = 20, batch:
     return SoftmaxHead(*values)
 
 
+@dataclass
+class TextClassifier:
+    """A text-only classifier: a text's vector through dense layers, tanh between them, to logits of the items."""
+
+    layers: list[Layer]
+
+    def logits(self, x: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+        return dense(text, self.layers)
+
+
+@dataclass
+class TextBlend:
+    """A text's vector through dense layers to the latent's mean, gamma of it and the rest of the ratings' mean."""
+
+    layers: list[Layer]
+    model: EncoderDecoder
+    gamma: float = 0.5
+
+    def logits(self, x: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+        own = dense(text, self.layers)[:, : self.model.latent]
+        return self.model.decode(self.gamma * own + (1 - self.gamma) * self.model.encode(x))
+
+
+def dense(x: np.ndarray, layers: list[Layer]) -> np.ndarray:
+    for k, (w, b) in enumerate(layers):
+        x = x @ w + b
+        if k < len(layers) - 1:
+            x = np.tanh(x)
+    return x
+
+
 @dataclass
 class Prototypes:
     """A disentangled autoencoder at inference: items belong to factors, each factor is coded on its own, and the
-    factors' probabilities are mixed by the items' shares. Routing repeats as often as rounds says."""
+    factors' probabilities are mixed by the items' shares. Routing repeats as often as rounds says.
+
+    With latents of texts (those of the factors in a row, each scaled to length 1) a factor's code is merged with its
+    text's: (1 - alpha) of the text's and alpha of its own, or half their difference if negative.
+    """
 
     items: np.ndarray  # items x size
     cores: np.ndarray  # factors x size
@@ -153,19 +188,25 @@ class Prototypes:
             cores = unit(s.T @ unit(self.items))
         return s
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
+    def logits(self, x: np.ndarray, text: np.ndarray | None = None, alpha: float = 1.0, negative: bool = False) -> np.ndarray:
         shares = self.shares()
+        if text is not None:
+            text = text.reshape(len(x), shares.shape[1], -1)
+            text = text / np.maximum(np.linalg.norm(text, axis=2, keepdims=True), 1e-12)
         unit = self.items / np.maximum(np.linalg.norm(self.items, axis=1, keepdims=True), 1e-12)
         total = np.zeros(x.shape)
         for k in range(shares.shape[1]):
             z = self.model.encode(x * shares[:, k])
             z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+            if text is not None:
+                z = (z - text[:, k]) / 2 if negative else (1 - alpha) * text[:, k] + alpha * z
+                z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
             total += np.exp(z @ unit.T / self.temperature) * shares[:, k]
         return np.log(np.maximum(total, 1e-300))
 
 
 #: Makers of models by name; callers add theirs.
-REGISTRY: dict[str, Callable[..., object]] = {"dae": EncoderDecoder, "vae": EncoderDecoder, "recvae": SkipEncoderDecoder, "head": SoftmaxHead, "film_vae": EncoderDecoder, "macrid": Prototypes}
+REGISTRY: dict[str, Callable[..., object]] = {"dae": EncoderDecoder, "vae": EncoderDecoder, "recvae": SkipEncoderDecoder, "head": SoftmaxHead, "film_vae": EncoderDecoder, "macrid": Prototypes, "text": TextClassifier, "text_blend": TextBlend}
 
 
 def make(name: str, **arguments):
@@ -218,3 +259,8 @@ def text_encoder(encode: Callable[[list[str]], np.ndarray]):
         return out
 
     return run
+
+
+def mean_pooled(encode: Callable[[list[str]], list[np.ndarray]], limit: int = 256) -> Callable[[list[str]], np.ndarray]:
+    """An encoder of texts for text_encoder(), of one that gives each text's token vectors: the mean of the first limit."""
+    return lambda texts: np.stack([np.asarray(tokens, dtype=np.float64)[:limit].mean(axis=0) for tokens in encode(texts)])

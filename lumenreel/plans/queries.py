@@ -259,19 +259,11 @@ def ease_identity(spark, d):
     return spark.createDataFrame([(int(i), float(x), float(w)) for i, x, w in zip(items, deviation, np.diag(b), strict=True)], "item_index long, deviation double, own_weight double")
 
 
-def _ease_side(history: DataFrame, catalog: DataFrame, regularization: float = 500.0) -> S.ItemSide:
-    """The whole catalog, with weights of the linear autoencoder for its MOST_DENSE most rated items."""
-    counts = catalog.select("item_index").join(history.groupBy("item_index").agg(F.count("*").alias("n")), "item_index", "left")
-    items = np.sort(np.array([r[0] for r in counts.orderBy(F.desc_nulls_last("n"), "item_index").limit(S.MOST_DENSE).select("item_index").collect()]))
-    within = history.join(catalog.sparkSession.createDataFrame([(int(i),) for i in items], "item_index long"), "item_index", "left_semi")
-    return S.item_side(catalog, S.popularity(history, catalog), weights=S.fit_ease(within, items, regularization), fitted=items)
-
-
 @query()
 def ease_recommendations(spark, d):
     catalog = A.catalog(spark, d)
     history = I.history_of(I.leave_one_out(A.positives(spark, d)))
-    side = _ease_side(history, catalog)
+    side = S.ease_side(history, catalog)
     return S.recommend_users(history, side, {"ease": "ease"})
 
 
@@ -313,7 +305,7 @@ def ease_at_10_20_50(spark, d):
     """An older setting: penalty 5000, and metrics of many positives at three lengths."""
     p = A.positives(spark, d)
     old, new = I.binary_matrix(p.where("ts < '2000-01-01'")), I.binary_matrix(p.where("ts >= '2000-01-01'"))
-    ranked = S.recommend_users(old, _ease_side(old, A.catalog(spark, d), 5000.0), {"ease": "ease"}, 50)
+    ranked = S.recommend_users(old, S.ease_side(old, A.catalog(spark, d), 5000.0), {"ease": "ease"}, 50)
     return M.many_positive_means(ranked, new).select("k", "users", *[r6(c).alias(c) for c in ("recall", "ndcg", "mrr")])
 
 
@@ -359,7 +351,7 @@ def recommend_requests(spark, d):
     """The flagship: requests with liked titles, answered by the linear autoencoder with genres and popularity."""
     catalog = A.catalog(spark, d)
     history = I.binary_matrix(A.positives(spark, d))
-    side = _ease_side(history, catalog)
+    side = S.ease_side(history, catalog)
     vocabulary = _vocabulary(catalog)
     titles = {r[0]: r[1] for r in catalog.select("item_index", "norm_title").collect()}
     asked = _requests(spark, d).withColumn("liked", F.when(F.col("request_id") % 4 != 0, F.array(F.lit("small ring (0)"), F.lit("blue bolt"))).otherwise(F.col("liked")))
@@ -618,6 +610,47 @@ def loss_terms(spark, d):
     )
 
 
+_BATCH = f"""{_NEXT}, l AS (SELECT *, list_max(x) + ln(list_sum(list_transform(x, lambda z: exp(z - list_max(x))))) AS lx, list_max(y) + ln(list_sum(list_transform(y, lambda z: exp(z - list_max(y))))) AS ly, len(x) AS n,
+  list_transform(x, lambda z: z / 2) AS h, list_transform(y, lambda z: CASE WHEN z > 0 THEN 1.0::DOUBLE ELSE 0 END) AS t, list_transform(range(1, len(x) + 1), lambda i: (x[i] + y[i]) / 2) AS m FROM v),
+k AS (SELECT *, list_max(m) + ln(list_sum(list_transform(m, lambda z: exp(z - list_max(m))))) AS lm FROM l),
+terms AS (SELECT *, -list_sum(list_transform(range(1, n + 1), lambda i: (x[i] - lx) * t[i])) / n AS bx, -list_sum(list_transform(range(1, n + 1), lambda i: (y[i] - ly) * t[i])) / n AS br, -list_sum(list_transform(range(1, n + 1), lambda i: (m[i] - lm) * t[i])) / n AS bm,
+  -0.5::DOUBLE * list_sum(list_transform(h, lambda z: 1 + z - exp(z))) / n AS sh, -0.5::DOUBLE * list_sum(list_transform(y, lambda z: 1 + z - exp(z))) / n AS sy,
+  -0.5::DOUBLE * list_sum(list_transform(range(1, n + 1), lambda i: 1 + h[i] - x[i] * x[i] - exp(h[i]))) / n AS kx, -0.5::DOUBLE * list_sum(list_transform(range(1, n + 1), lambda i: 1 + y[i] - y[i] * y[i] - exp(y[i]))) / n AS ky,
+  list_sum(list_transform(range(1, n + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i]) + pow(exp(h[i] / 2) - exp(y[i] / 2), 2))) AS ot,
+  0.5::DOUBLE * list_sum(list_transform(range(1, n + 1), lambda i: y[i] - h[i] + (exp(h[i]) + pow(x[i] - y[i], 2)) / exp(y[i]) - 1)) AS kl,
+  0.25::DOUBLE * list_sum(list_transform(range(1, n + 1), lambda i: 2 * ln((exp(h[i]) + exp(y[i])) / 2) - h[i] - y[i] + (exp(h[i]) + exp(y[i]) + 2 * pow((x[i] - y[i]) / 2, 2)) / ((exp(h[i]) + exp(y[i])) / 2) - 2)) AS js FROM k)"""
+
+
+def _batches(spark, d) -> DataFrame:
+    """Neighbouring vectors as the Gaussians and logits of a training step, 16 to a batch."""
+    rows = _next(spark, d)
+    middle = F.zip_with("x", "y", lambda a, b: (a + b) / 2)
+    return rows.select(
+        "vec_id", F.floor(F.col("vec_id") / 16).alias("batch"), F.col("x").alias("mu"), F.transform("x", lambda z: z / 2).alias("logvar"), F.col("y").alias("prior_mu"), F.col("y").alias("prior_logvar"),
+        middle.alias("merged"), F.col("x").alias("text"), F.col("y").alias("rec"), F.transform("y", lambda z: F.when(z > 0, 1.0).otherwise(0.0)).alias("labels"),
+    )
+
+
+@query(f"""{_BATCH} SELECT vec_id, round((bm + bx + br) / 3 + 0.25::DOUBLE * (kx + ky), 6) AS prior, round((bm + bx + br) / 3 + 0.25::DOUBLE * (kx + ky) + 2 * ot, 5) AS prior_ot,
+  round((bm + bx + br) / 3 + 0.25::DOUBLE * (sh + sy) + 2 * ot, 5) AS ot, round((bm + bx + br) / 3 + 0.25::DOUBLE * (sh + sy) + 2 * js, 5) AS js, round((bm + bx + br) / 3 + 2.25::DOUBLE * kl, 5) AS kl FROM terms""")
+def training_losses(spark, d):
+    rows = _batches(spark, d)
+    own = [F.col(c) for c in ("merged", "text", "rec", "labels", "mu", "logvar", "prior_mu", "prior_logvar")]
+    return rows.select(
+        "vec_id", r6(V.prior_bce(*own, anneal=0.5)).alias("prior"), F.round(V.prior_bce(*own, anneal=0.5, epsilon=2.0, how="ot"), 5).alias("prior_ot"),
+        *[F.round(V.disentangled_loss(*own, how=how, anneal=0.5, epsilon=2.0), 5).alias(how) for how in ("ot", "js", "kl")],
+    )
+
+
+@query(f"""{_BATCH}, u AS (SELECT vec_id // 16 AS batch, vec_id, x || list_transform(h, lambda z: exp(z)) AS e, y || list_transform(y, lambda z: exp(z)) AS p, bm + bx + br + sh + sy AS own FROM terms),
+s AS (SELECT b.batch, b.vec_id, ln(sum(exp(list_cosine_similarity(a.e, b.p)))) AS against FROM u a JOIN u b ON a.batch = b.batch GROUP BY ALL),
+c AS (SELECT batch, avg(own) AS own, -avg(list_cosine_similarity(e, p) - against) AS contrastive FROM u JOIN s USING (batch, vec_id) GROUP BY 1)
+SELECT batch::BIGINT AS batch, round(contrastive, 6) AS contrastive, round((own + 0.5::DOUBLE * contrastive) / 3, 6) AS loss FROM c""")
+def contrastive_losses(spark, d):
+    rows = _batches(spark, d)
+    return V.contrastive(rows).join(V.contrastive_loss(rows, epsilon=0.5), "batch").select("batch", r6("contrastive").alias("contrastive"), r6("loss").alias("loss"))
+
+
 _SIZES = "['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD']"
 
 

@@ -1,9 +1,12 @@
 """Behaviour and golden values on the catalog of four items and the interactions of three users."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenreel import __main__ as cli
 from lumenreel.engine import Engine
 from lumenreel.functions import text as X
 from lumenreel.functions import vectors as V
@@ -13,6 +16,7 @@ from lumenreel.operators import models as S
 from lumenreel.operators import neural
 from lumenreel.operators import ranking as R
 from lumenreel.operators import requests as Q
+from lumenreel.sources import adapter as A
 
 
 @pytest.fixture(scope="module")
@@ -244,7 +248,6 @@ def test_linear_scores_of_part_of_the_items():
 @pytest.mark.parametrize("bound", ["MOST_ITEMS", "MOST_PAIRS"])
 def test_protocol_lists_agree_on_both_sides_of_the_bound(bound, spark, sf_dir, monkeypatch):
     from lumenreel.plans import evaluate
-    from lumenreel.sources import adapter as A
 
     def rows():
         lists = evaluate.Protocol(A.positives(spark, sf_dir), A.catalog(spark, sf_dir)).lists(evaluate.BASE, None, 10)
@@ -368,6 +371,93 @@ def test_prototypes_share_items_between_factors():
     assert model.logits(np.array([[1.0, 0, 0]]))[0].argmax() in (0, 1)
 
 
+def test_prototypes_merge_latents_of_texts():
+    rng = np.random.default_rng(1)
+    items = rng.normal(0, 1, (5, 3))
+    model = neural.make("macrid", items=items, cores=items[:2], model=neural.EncoderDecoder([(items, np.zeros(3))], [], 3))
+    x, text = np.array([[1.0, 0, 1, 0, 0], [0, 1, 0, 0, 1]]), rng.normal(0, 1, (2, 6))
+    assert np.allclose(model.logits(x, text, 1.0), model.logits(x)) and not np.allclose(model.logits(x, text, 0.5), model.logits(x))
+    unit = lambda v: v / np.linalg.norm(v)
+    shares, places = model.shares(), [unit(i) for i in items]
+    for how, merge in (({"alpha": 0.25}, lambda z, t: 0.75 * t + 0.25 * z), ({"negative": True}, lambda z, t: (z - t) / 2)):
+        for row, got in enumerate(model.logits(x, text, **how)):
+            want = np.zeros(5)
+            for k in range(2):
+                z = unit(merge(unit(unit(x[row] * shares[:, k]) @ items), unit(text[row, 3 * k : 3 * k + 3])))
+                want += [shares[i, k] * np.exp(z @ places[i] / 0.1) for i in range(5)]
+            assert np.allclose(got, np.log(want))
+
+
+def test_text_only_models(spark, history):
+    rng = np.random.default_rng(0)
+    layer = lambda a, b: (rng.normal(0, 1, (a, b)), np.zeros(b))
+    first, second = layer(2, 2), layer(2, 4)
+    x, text = np.array([[1.0, 1, 0, 0]]), np.array([[0.5, -1.0]])
+    model = neural.make("text", layers=[first, second])
+    assert np.allclose(model.logits(x, text), np.tanh(text @ first[0]) @ second[0])
+    vae = neural.make("vae", encoder=[layer(4, 4)], decoder=[layer(2, 4)], latent=2)
+    blend = neural.make("text_blend", layers=[first, layer(2, 4)], model=vae, gamma=0.3)
+    own = (np.tanh(text @ first[0]) @ blend.layers[1][0])[:, :2]
+    assert np.allclose(blend.logits(x, text), (0.3 * own + 0.7 * vae.encode(x)) @ vae.decoder[0][0])
+    vectors = spark.createDataFrame([(0, [0.5, -1.0])], "user_id long, vector array<double>")
+    assert {r.item_index for r in neural.score_users(history, blend, np.arange(4), 4, vectors).collect()} == {2, 3}
+
+
+def test_pooled_encoder(spark):
+    lengths = []
+
+    def tokens(texts):
+        lengths.extend(map(len, texts))
+        return [np.array([[len(w), 1.0] for w in t.split()]) for t in texts]
+
+    encode = neural.mean_pooled(tokens, 3)
+    assert encode(["a bb ccc dddddddd", "xx"]).tolist() == [[2.0, 1.0], [2.0, 1.0]]
+    table = spark.createDataFrame([(1, "a bb ccc dddd"), (2, " "), (3, None)], "id int, text string")
+    got = {r.id: r.v for r in table.select("id", neural.text_encoder(encode)("text").alias("v")).collect()}
+    assert got[2] is None and got[3] is None and np.allclose(got[1], np.array([2, 1]) / 5**0.5)
+
+
+def test_users_with_many_items_are_cut(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 4, 300) ** 2 // 4, rng.integers(0, 60, 300), strict=True)})
+    table = spark.createDataFrame(rows, "user_id long, item_index long")
+    whole = sorted(map(tuple, S.cooccurrence(table).collect()))
+    monkeypatch.setattr(S, "HEAVY", 7)
+    assert sorted(map(tuple, S.cooccurrence(table).collect())) == whole and whole
+
+
+def test_unknown_losses_are_refused(spark):
+    some = [F.col("v")] * 8
+    with pytest.raises(ValueError):
+        V.prior_bce(*some, how="js")
+    with pytest.raises(ValueError):
+        V.disentangled_loss(*some, how="l2")
+    empty = spark.createDataFrame([], "batch int, mu array<double>, logvar array<double>, prior_mu array<double>, prior_logvar array<double>")
+    assert V.contrastive(empty).count() == 0
+
+
+def test_command_line(spark, engine, sf_dir, tmp_path, capsys):
+    a = cli.parser().parse_args(["demo", "x", "space", "--liked", "Space One (2000)", "--disliked-genre", "Romance", "--top-k", "3"])
+    assert [i["title"] for i in cli.demo(spark, engine, a)] == ["Space Two (2001)"]
+    a = cli.parser().parse_args(["pipeline", "x", "--liked", "Space One (2000)", "--context", "tonight", "--top-k", "2"])
+    out = cli.pipeline(spark, engine, a)
+    assert "Space One (2000)" in out["summary"] and len(out["recommendations"]) == 2
+    a = cli.parser().parse_args(["pipeline", "x", "--summary", "romance please", "--disliked", "sci-fi"])
+    assert cli.pipeline(spark, engine, a) == {"summary": "romance please", "recommendations": cli.demo(spark, engine, cli.parser().parse_args(["demo", "x", "romance please", "--disliked-genre", "sci-fi"]))}
+    assert cli.main(["text-training", sf_dir, "--output-dir", str(tmp_path / "texts")]) == 0
+    assert json.loads(capsys.readouterr().out)["columns"] == ["user_id", "description"] and spark.read.parquet(str(tmp_path / "texts")).count() > 0
+    with pytest.raises(SystemExit):
+        cli.main(["unknown"])
+
+
+def test_evaluation_report(spark, sf_dir, tmp_path):
+    a = cli.parser().parse_args(["evaluate", sf_dir, "--output-dir", str(tmp_path)])
+    report = cli.evaluate(spark, A.positives(spark, sf_dir), A.catalog(spark, sf_dir), a)
+    assert [m["model"] for m in report["models"]] == ["content", "ease", "ease_mmr", "hybrid", "item_cf", "popularity"]
+    (file,) = tmp_path.glob("*.json")
+    assert json.loads(file.read_text())["models"] == report["models"] and len(report["dataset"]) == 64
+
+
 def test_masked_mean_and_mixture(spark):
     one = spark.range(1)
     arr = lambda *x: F.array(*[F.lit(float(v)) for v in x])
@@ -410,7 +500,6 @@ def test_texts_to_items(spark, history, catalog):
 
 def test_ease_comparison_equals_plain_numpy(spark, sf_dir):
     from lumenreel.plans import evaluate
-    from lumenreel.sources import adapter as A
 
     p = evaluate.Protocol(A.positives(spark, sf_dir), A.catalog(spark, sf_dir))
     got = {r.model: r for r in p.ease_comparison().collect()}
