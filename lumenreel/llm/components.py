@@ -20,9 +20,12 @@ def _distinct_edges(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node of its component) for each node of the edges a, b. Edges with a null are none."""
+    """node and root (the smallest node of its component) for each node of the edges a, b. Edges with a null are none.
+
+    The result is a stored table; those of the rounds are gone.
+    """
     first = materialise(_distinct_edges(edges), "edges")
-    current, maps = first, []
+    current, maps, stored = first, [], [first]
     while not current.isEmpty():
         parents = materialise(current.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "parents")
         while True:
@@ -33,6 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
             parents = jumped
             if jumped.where("moved").isEmpty():
                 break
+        stored.append(jumped)
         parents = jumped.select("node", "up")
         maps.append(parents)
         a = parents.select(F.col("node").alias("a"), F.col("up").alias("a_up"))
@@ -45,4 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     for parents in maps:
         nodes = nodes.join(parents.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    nodes = materialise(nodes, "roots")
+    for table in stored if current is first else [*stored, current]:
+        discard(table)
     return nodes

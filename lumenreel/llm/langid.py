@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import fold, share
-from .shared import blocks, materialise, ship
+from .shared import blocks, discard, materialise, ship
 
 DIM = 1 << 16
 PER_LANG = 600
@@ -169,6 +169,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, where: Column | None = None
         else:
             df[r["bucket"]] = r["n"]
     sample = counted.where("bucket = -2").select("lang", "idx", "cnt", "u").collect()  # about per_lang rows for each language
+    discard(counted)
     rows = [(r["lang"], np.frombuffer(r["idx"], "<u2").astype(np.int64), np.frombuffer(r["cnt"], "<u4"), r["u"]) for r in sample]
     return fit(sorted(rows, key=lambda r: (r[3], r[0], len(r[1]))), df, n_docs)
 

@@ -64,7 +64,7 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 def discard(df: DataFrame) -> None:
     """Deletes a materialised table that no later plan reads."""
-    path = getattr(df, "stored_at", None)
+    path = df.__dict__.get("stored_at")  # not by getattr, which a column of this name would answer
     if path:
         remove_folder(df.sparkSession, path)
 

@@ -198,8 +198,10 @@ def near_links(distinct: DataFrame, most: int = 3) -> DataFrame:
 
 def _rooted(distinct: DataFrame, most: int) -> DataFrame:
     """Adds to the rows of distinct, one for each fingerprint fp, the root of its component."""
-    roots = components(near_links(distinct, most)).withColumnRenamed("node", "fp")
-    return materialise(distinct.join(roots, "fp", "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root")), "rooted")
+    roots = components(near_links(distinct, most))
+    rooted = materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root")), "rooted")
+    discard(roots)
+    return rooted
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, most: int = 3, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +225,9 @@ def keep_first(spark: SparkSession, docs: DataFrame, most: int = 3, shingle: int
     own = fingerprints(docs, shingle, id_col, text_col)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash"))
     distinct = materialise(own.groupBy("fp").agg(least.alias("first")), "distinct")
-    winners = _rooted(distinct, most).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.thash")
+    rooted = _rooted(distinct, most)
+    discard(distinct)
+    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.thash")
     key = lambda id_, h: [F.xxhash64(id_, h).alias("k1"), F.xxhash64(h, F.lit("second"), id_).alias("k2")]
     thash = F.xxhash64(F.col(text_col).cast("string"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), *key(F.col(id_col).cast("long"), thash))

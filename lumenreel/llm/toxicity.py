@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import fold, runs_of, share, span_hashes
-from .shared import blocks, materialise, ship, utf8
+from .shared import blocks, discard, materialise, ship, utf8
 
 PER_CLASS = 4000
 MOST_TERMS = 20_000
@@ -167,10 +167,12 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = own.join(F.broadcast(drawn), "doc_id").select("text", "doc_id", F.col("toxic").cast("int").alias("toxic"))
     sample = materialise(joined.mapInArrow(sets, "doc_id long, toxic int, terms binary"), "sample")
+    discard(usable)
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, fine = totals.get(1, 0), totals.get(0, 0)
     if not bad or not fine:
         none = np.empty(0, np.uint64)
+        discard(sample)
         return Machine(none, np.empty(0), np.empty((0, RANK)), -30.0, np.zeros(_MARKS, bool))
 
     def count(batches):
@@ -190,7 +192,9 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
     toxic = first(counted.where((F.col("bad") >= LEAST) & (F.col("lean") >= float(np.log(RATIO)))), F.desc(F.col("bad") * F.col("lean")))
     benign = first(counted.where((F.col("fine") >= LEAST) & (F.col("lean") <= -float(np.log(RATIO)))), F.col("fine") * F.col("lean"))
     keys = np.unique(np.concatenate([toxic, benign, first(counted, F.desc("n"))]))
+    discard(counted)
     if not len(keys):
+        discard(sample)
         return Machine(keys, np.empty(0), np.empty((0, RANK)), float(np.log(bad / fine)), np.zeros(_MARKS, bool))
 
     def narrow(batches):
@@ -203,6 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "toxic", "terms"])
 
     rows = sample.mapInArrow(narrow, "doc_id long, toxic int, terms binary").collect()
+    discard(sample)
     rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
     return fit([np.frombuffer(r["terms"], "<i4") for r in rows], np.array([r["toxic"] for r in rows], dtype=np.float64), keys, np.isin(keys, np.concatenate([toxic, benign])))
 

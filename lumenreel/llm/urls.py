@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise
+from .shared import discard, materialise
 
 #: action, host, start of the path
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -122,9 +122,11 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, st
     host, path = parts(F.col("url"))
     judged = judge(pages.select("page_id", node(F.col("url")).alias("node"), host.alias("host"), path.alias("path")), rules)
     if links.isEmpty():
+        discard(links)
         whole = judged.withColumn("inherited", F.lit(None).cast("string"))
     else:
-        members = materialise(components(links), "classes")
+        members = components(links)
+        discard(links)
         host, path = parts(F.col("node"))
         ruled = judge(members.withColumns({"host": host, "path": path}), rules).where("action IS NOT NULL")
         decided = ruled.groupBy("root").agg(F.min("action").alias("inherited"))  # allow comes before block

@@ -13,7 +13,7 @@ import pytest
 from conftest import same
 from pyspark.sql import functions as F
 
-from lumenreel.llm import binary_output, components, langid, media, mixing, packing, queries, search, simhash, substrings, tokens, toxicity, urls
+from lumenreel.llm import binary_output, components, langid, media, mixing, packing, queries, search, shared, simhash, substrings, tokens, toxicity, urls
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, sha string"
 RNG = random.Random(5)
@@ -862,6 +862,24 @@ def stages(spark, current):
     return out
 
 
+def test_tables_that_are_read_no_more_go(spark, docs, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "work_root", lambda spark: f"file://{tmp_path}")
+    left = lambda: sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    toxicity.learn(read("documents"), read("labels"))
+    toxicity.learn(read("documents"), read("labels").where("toxic = 2"))
+    langid.learn(docs, where=F.lit(True))
+    assert left() == []
+    roots = components.components(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (7, None)], "a long, b long"))
+    assert left() == ["roots"] and {(r.node, r.root) for r in roots.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    kept = shared.materialise(docs.withColumn("stored_at", F.lit("own")), "kept")
+    shared.discard(docs.withColumn("stored_at", F.lit("own")))  # not a stored table, whatever its columns
+    assert kept.count() == docs.count()
+    shared.discard(kept)
+    assert left() == ["roots", "roots"]
+
+
 def test_pipeline_keeps_rows_and_columns(spark):
     """Rows without or with a shared doc_id, and columns named as the operators' own."""
     names = ("copy", "copies", "text_key", "k_id", "score", "lang_pred", "n_removed", "row", "ord", "u", "size", "part")
