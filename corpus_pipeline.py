@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.llm import langid, mixing, packing, simhash, substrings
 from lumenreel.llm.hashing import fold
-from lumenreel.llm.shared import materialise
+from lumenreel.llm.shared import discard, materialise
 
 MIN_LANGUAGE_SCORE = 0.4
 
@@ -77,5 +77,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        kept = materialise(stage(spark, docs, sf_dir), name)
+        discard(docs)  # the table before, of which nothing is read again
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
