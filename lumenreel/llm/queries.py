@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, langid, media, mixing, packing, search, simhash, substrings, toxicity, urls
+from . import binary_output, conversations, langid, media, mixing, packing, search, simhash, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,5 +52,9 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.token_output(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_source_mixing, op5_simhash_dedup, op6_topk_search, op7_packing, op8_media_columns, op9_language_id, op10_token_output)}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.ORACLE_SQL, "op2_substring_dedup": substrings.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op6_topk_search": search.ORACLE_SQL}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_conversations(spark, _table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_source_mixing, op5_simhash_dedup, op6_topk_search, op7_packing, op8_media_columns, op9_language_id, op10_token_output, op11_conversation_repair)}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.ORACLE_SQL, "op2_substring_dedup": substrings.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op6_topk_search": search.ORACLE_SQL, "op11_conversation_repair": conversations.ORACLE_SQL}
