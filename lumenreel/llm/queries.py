@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, centroids, conversations, langid, media, mixing, packing, search, simhash, substrings, toxicity, urls
+from . import binary_output, centroids, conversations, langid, media, minhash, mixing, packing, search, simhash, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,5 +60,9 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered_vectors(spark, _table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_source_mixing, op5_simhash_dedup, op6_topk_search, op7_packing, op8_media_columns, op9_language_id, op10_token_output, op11_conversation_repair, op12_centroid_clustering)}
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_source_mixing, op5_simhash_dedup, op6_topk_search, op7_packing, op8_media_columns, op9_language_id, op10_token_output, op11_conversation_repair, op12_centroid_clustering, op13_minhash_dedup)}
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": urls.ORACLE_SQL, "op2_substring_dedup": substrings.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op6_topk_search": search.ORACLE_SQL, "op11_conversation_repair": conversations.ORACLE_SQL, "op12_centroid_clustering": centroids.ORACLE_SQL}
