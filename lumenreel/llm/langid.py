@@ -4,8 +4,8 @@ Texts are lower-cased, anything but letters becomes a space, and runs of 2 and 3
 buckets. A feature is the bucket's share of the text's n-grams times its inverse document frequency, which is counted
 over all documents that may be learned from. Weights are learned with follow-the-regularised-leader (per-coordinate
 rates, L1 and L2 penalties) on a bounded sample, ``PER_LANG`` expected documents of each language by a hash of doc_id;
-a fifth of the sample is held back to fit one temperature, which calibrates the scores. The ``MOST_LANGS`` most frequent
-values of lang are learned; a table with more has labels that are no languages.
+a fifth of the sample is held back to fit one temperature, which calibrates the scores. Every value of
+lang is learned; the sample has ``MOST_ROWS`` rows at most, so with very many values each has fewer.
 
 Prediction reads whole texts and nothing else. A text that is null or has no letter is ``und`` with score 0, and so is
 every text if there is nothing to learn from. Equal scores go to the first language in order. Documents with a null
@@ -27,7 +27,7 @@ from .shared import blocks, discard, materialise, ship
 
 DIM = 1 << 16
 PER_LANG = 600
-MOST_LANGS = 256
+MOST_ROWS = 150_000  # of the whole sample; with over 250 languages each has fewer than PER_LANG
 EPOCHS = 3
 GRAMS = (2, 3)
 NONE = "und"
@@ -140,7 +140,8 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, where: Column | None = None
     """Fits a model on the documents (doc_id, text, lang) that where holds for."""
     ship(docs.sparkSession)
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang", F.coalesce(where, F.lit(False)).alias("use") if where is not None else F.lit(True).alias("use")).where("use")
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    per_lang = min(per_lang, MOST_ROWS / max(len(sizes), 1))
     rates = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_lang / n))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     picked = usable.select("text", "lang", (share(F.col("doc_id"), "langid") < F.coalesce(rates[F.col("lang")], F.lit(0.0))).alias("drawn"), share(F.col("doc_id"), "held").alias("u"))
 

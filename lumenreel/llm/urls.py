@@ -2,19 +2,20 @@
 
 Rules name a host and the start of a path and allow or block; a rule fits its host and all subdomains, and the longest
 rule that fits decides (of equally long ones an allowing one, then the one whose text is largest). A url without a rule
-follows its aliases: redirects (meta refresh) and canonical links of the pages, edges that the caller adds, and with
-``conventions`` the form that sites redirect to by custom (https, the host without ``www.`` or ``m.``, no tracking
-parameters) connect urls; connected components are found in the cluster. An alias class is allowed if any of its urls has
-an allow rule, else blocked if any has a block rule, else it is allowed. A url's own rule always stands.
+follows its aliases: what pages state (canonical links, ``og:url``, meta refresh, redirects by script) and edges that the
+caller has, as from a crawler's log of redirects, connect urls; connected components are found in the cluster. An alias
+class is allowed if any of its urls has an allow rule, else blocked if any has a block rule, else it is allowed. A url's
+own rule always stands. Where no page states an alias and no edges are given, rules alone decide.
 
 Urls are the same node if they agree up to their fragment, with scheme and host in lower case. Null urls and urls
 without ``://`` have an empty host and path, fit no rule, are linked to nothing and are allowed. Null html has no
-edges; very long html is searched whole, for its first canonical link and its first refresh. Repeated rows repeat in the
+edges; very long html is searched whole, for the first statement of each kind. Repeated rows repeat in the
 result; page_id may be null. An empty table gives no rows; extra columns stay out, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +27,14 @@ from .shared import discard, materialise
 #: action, host, start of the path
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 INLINE_RULES = 200
-#: Parameters of a url's query that only tell where a reader came from.
-TRACKING = "^(utm_[^=]*|ref|gclid|fbclid)(=.*)?$"
+#: Where html states an alias: a pattern of the tag (or none) and one whose first group is the url. At least one of MARKS is in such html.
+STATEMENTS = [
+    (r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
+    (r"(?is)<meta\b[^>]*\bproperty\s*=\s*[\"']?og:url\b[^>]*>", r"(?i)\bcontent\s*=\s*[\"']?([^\"'\s>]+)"),
+    (r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"),
+    (None, r"(?i)\b(?:(?:window|document|self|top)\.location(?:\.href)?\s*=\s*|location\.(?:replace|assign)\(\s*)[\"']([^\"'\s]+)"),
+]
+MARKS = ("canonical", "og:url", "refresh", "location")
 
 
 def _lower(c: Column) -> Column:
@@ -83,12 +90,12 @@ def _judge_by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """Edges a, b between alias keys: from a page to its canonical url and to where its meta refresh leads."""
+    """Edges a, b between alias keys: from a page to the urls that its html states as its own or leads to."""
     html = F.col("html")
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    stated = [F.regexp_extract(html if tag is None else F.regexp_extract(html, tag, 0), link, 1) for tag, link in STATEMENTS]
     lower = F.lower(html)
-    some = pages.where(lower.contains("canonical") | lower.contains("refresh")).select("url", F.explode(F.array(canonical, refresh)).alias("to")).where("`to` <> ''")
+    marked = functools.reduce(lambda x, y: x | y, [lower.contains(m) for m in MARKS])
+    some = pages.where(marked).select("url", F.explode(F.array(*stated)).alias("to")).where("`to` <> ''")
     to, url = F.col("to"), F.col("url")
     scheme = F.regexp_extract(url, "^[^:/?#]*:", 0)
     origin = F.regexp_extract(url, "^[^/?#]*//[^/?#]*", 0)
@@ -100,22 +107,10 @@ def page_edges(pages: DataFrame) -> DataFrame:
     return some.select(node(url).alias("a"), node(full).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
-def conventional(url: Column) -> Column:
-    """The node that a web url leads to by custom; null for other urls."""
-    own = node(url)
-    host, path = parts(url)
-    query = F.split(F.regexp_extract(own, r"\?([^#]*)", 1), "&")
-    kept = F.array_join(F.filter(query, lambda x: (x != "") & ~x.rlike(TRACKING)), "&")
-    web = own.startswith("http://") | own.startswith("https://")
-    return F.when(web, F.concat(F.lit("https://"), F.regexp_replace(host, r"^(www|m)\.", ""), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
-
-
-def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, edges: DataFrame | None = None, conventions: bool = False) -> DataFrame:
+def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, edges: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict of every page. edges: more redirects, as urls a, b."""
     linked = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))
     links = page_edges(pages)
-    if conventions:
-        links = links.unionByName(pages.select(node(F.col("url")).alias("a"), conventional(F.col("url")).alias("b")).where(linked))
     if edges is not None:
         links = links.unionByName(edges.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")).where(linked))
     links = materialise(links, "links")
@@ -156,17 +151,16 @@ def _sql_parts(u: str) -> str:
 
 
 _SQL_RULES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES)
+_SQL_HTML = [("html" if tag is None else "regexp_extract(html, '{}')".format(tag.replace("'", "''")), link.replace("'", "''")) for tag, link in STATEMENTS]
+_SQL_STATED = ", ".join(f"regexp_extract({html}, '{link}', 1)" for html, link in _SQL_HTML)
 #: The same result, with components as a closure.
 ORACLE_SQL = f"""
 WITH RECURSIVE p AS (SELECT page_id, url, html, {_sql_node("url")} AS node, {_sql_parts("url")} FROM pages),
-t AS (SELECT url, node, unnest([regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
-  regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)]) AS u FROM p),
+t AS (SELECT url, node, unnest([{_SQL_STATED}]) AS u FROM p),
 o AS (SELECT node, u, regexp_extract(url, '^[^:/?#]*:') AS scheme, regexp_extract(url, '^[^/?#]*//[^/?#]*') AS origin, regexp_extract(regexp_extract(url, '^[^?#]*'), '^[^/?#]*//[^/?#]*(.*/)?', 1) AS folder FROM t WHERE u <> ''),
 f AS (SELECT node, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN u WHEN starts_with(u, '//') THEN scheme || u WHEN starts_with(u, '/') THEN origin || u
   ELSE origin || CASE WHEN folder = '' THEN '/' ELSE folder END || u END AS url FROM o),
-q AS (SELECT node, host, path, array_to_string(list_filter(string_split(regexp_extract(node, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{TRACKING}')), '&') AS kept
-  FROM p WHERE starts_with(node, 'http://') OR starts_with(node, 'https://')),
-e AS (SELECT node AS a, {_sql_node("url")} AS b FROM f UNION SELECT node, 'https://' || regexp_replace(host, '^(www|m)\\.', '') || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END FROM q),
+e AS (SELECT node AS a, {_sql_node("url")} AS b FROM f),
 g AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 r AS (SELECT a AS x, a AS y FROM g UNION SELECT r.x, g.b FROM r JOIN g ON r.y = g.a),
 n AS (SELECT y AS node, {_sql_parts("y")} FROM (SELECT DISTINCT y FROM r)),
