@@ -118,9 +118,9 @@ def full_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS, id_col: str
     def run(batches):
         for b in blocks(batches, 2 << 20):
             sets = [shingles(t, words) for t in utf8(b.column(0))]
-            yield pa.RecordBatch.from_pydict({"digest": pa.array([_digest(s) for s in sets], pa.binary()), "hashes": pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"digest": pa.array([_digest(s) for s in sets], pa.binary()), "hashes": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
-    rows = _keyed(docs, id_col, text_col).join(nodes.select("row_key"), "row_key", "left_semi").select("text").mapInArrow(run, "digest binary, hashes binary")
+    rows = _keyed(docs, id_col, text_col).join(nodes.select("row_key"), "row_key", "left_semi").select("text").mapInArrow(run, "digest binary, hashes array<long>")
     return rows.join(nodes.select("digest", "node"), "digest").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
@@ -226,17 +226,9 @@ def _send(members: DataFrame, known: DataFrame | None, least: int, more: int) ->
 
 def confirm(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
     """a, b and linked (100 x intersection >= least x union) of the pairs, from the nodes' full sets."""
-    ship(pairs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            cells = [[np.frombuffer(x, "<u8") for x in b.column(i).to_pylist()] for i in (2, 3)]
-            both = [len(x) + len(y) - len(np.union1d(x, y)) for x, y in zip(*cells, strict=True)]
-            linked = [100 * m >= least * (len(x) + len(y) - m) for m, x, y in zip(both, *cells, strict=True)]
-            yield pa.RecordBatch.from_pydict({"a": b.column(0), "b": b.column(1), "linked": pa.array(linked, pa.bool_())})
-
     side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long, linked boolean")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
+    return met.select("a", "b", (F.lit(100) * F.col("both") >= F.lit(least) * (F.size("of_a") + F.size("of_b") - F.col("both"))).alias("linked"))
 
 
 def _links(members: DataFrame, sets: DataFrame, least: int) -> list[DataFrame]:
