@@ -6,12 +6,13 @@ agree in a whole band are candidates; two sets of similarity 0.85 agree in none
 are compared in batches of ``BATCH`` minima: after each, a pair goes if the posterior probability that it is similar
 enough (uniform prior, so a beta distribution) is below ``MISS``. Survivors are confirmed on the full sets.
 
-No bucket gives all its pairs. A task orders a bucket's survivors by their agreement and sends a spanning forest; links
-that hold join their nodes, pairs that fail are known, and buckets with failed pairs send again, four times as many
-each round, until every survivor is a link, has failed, or lies between nodes that links already connect.
+No bucket gives all its pairs. A task orders a bucket's survivors by their agreement and sends a spanning forest, whose
+pairs are confirmed by a join with the sets; in most buckets all hold, and all that is similar there is connected. The
+nodes of the other buckets meet again with their full sets: the task goes through the survivors, passes over those that
+links already connect, confirms the rest, and sends the links that joined something, fewer than the bucket has nodes.
 
-A bucket of more than ``MOST`` nodes is first dealt into tiles by a hash of the node, which connects groups of near
-copies. Where several groups remain, its nodes meet again under pairs of bands (two similar sets that agree in one band
+A bucket of more than ``MOST`` nodes (or ``MOST_HASHES`` hashes in their sets) is first dealt into tiles by a hash of the
+node, which connects groups of near copies. Where several groups remain, its nodes meet again under pairs of bands (two similar sets that agree in one band
 and no other are as rare as a miss: once in 2e6 pairs), and a place of more than ``MOST`` there is compared tile by tile.
 Buckets of one group are done. So no task holds more than two tiles, and nothing is left out for its size.
 
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mix, span_hashes
-from .shared import blocks, discard, materialise, ship, utf8
+from .shared import blocks, discard, give_back, materialise, ship, utf8
 
 WORDS = 5
 LEAST = 85  # similarity in hundredths
 BANDS, ROWS, BATCH = 24, 4, 16
 MISS = 1e-6
 MOST = 1024
+MOST_HASHES = 4 << 20
+BITS = 64 << 20  # bytes of a bucket's sets as rows of bits
 
 _ODD = np.random.default_rng(20_13).integers(1 << 62, 1 << 63, BANDS * ROWS + 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -151,56 +154,63 @@ def _survivors(sig: np.ndarray, n: np.ndarray, root: np.ndarray, bands: list[int
     return i, j, count
 
 
-def _chosen(node: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], known: np.ndarray, linked: np.ndarray, more: int) -> np.ndarray:
-    """The pairs that a bucket sends: a spanning forest of its survivors by agreement, and more others for each member.
-
-    known: places of pairs that were confirmed or refused before (linked says which).
-    """
+def _forest(n: int, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], holds=None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of a spanning forest by agreement; holds(i, j) says of many pairs which are links, all if it is None."""
     i, j, count = pairs
-    label = np.arange(len(node))
-    for a, b in known[linked].tolist():
-        label[label == label[a]] = label[b]
-    fresh = (label[i] != label[j]) & ~np.isin(i * len(node) + j, known[:, 0] * len(node) + known[:, 1])
-    i, j, count = i[fresh], j[fresh], count[fresh]
-    order = np.lexsort((j, i, -count))
-    taken = np.zeros(len(i), bool)
+    label, order = np.arange(n), np.lexsort((pairs[1], pairs[0], -count))
+    taken: list[int] = []
     for at in range(0, len(order), 4096):
         part = order[at : at + 4096]
-        for p in part[label[i[part]] != label[j[part]]].tolist():
-            if label[i[p]] != label[j[p]]:
-                label[label == label[i[p]]] = label[j[p]]
-                taken[p] = True
-    if more:
-        taken[order[~taken[order]][: more * len(node)]] = True
-    return np.stack([node[i[taken]], node[j[taken]]], axis=1)
-
-
-_MEMBERS = "key long, bands array<int>, a long, b long, root long, n long, signature binary, linked boolean"
-
-
-def _send(members: DataFrame, known: DataFrame | None, least: int, more: int) -> DataFrame:
-    """key, a and b of the pairs that buckets send; members (key, bands, node, root, n, signature), known (key, a, b, linked)."""
-    none = lambda kind: F.lit(None).cast(kind)
-    rows = members.select("key", "bands", F.col("node").alias("a"), none("long").alias("b"), "root", "n", "signature", none("boolean").alias("linked"))
-    if known is not None:
-        told = known.select("key", none("array<int>").alias("bands"), "a", "b", none("long").alias("root"), none("long").alias("n"), none("binary").alias("signature"), "linked")
-        rows = rows.unionByName(told)
-
-    def bucket(rows: pa.Table) -> pa.RecordBatch | None:
-        told = rows.filter(rows.column("b").is_valid())
-        own = rows.filter(rows.column("b").is_null()).sort_by("a")
-        if own.num_rows < 2:
-            return None
-        node, root, n = (own.column(c).to_numpy() for c in ("a", "root", "n"))
+        part = part[label[i[part]] != label[j[part]]]
+        if holds is not None and len(part):
+            part = part[holds(i[part], j[part])]
+        for p in part.tolist():
+            x, y = label[i[p]], label[j[p]]
+            if x != y:
+                label[label == x] = y
+                taken.append(p)
+    return i[taken], j[taken]
+
+
+def _similar(sets: list[np.ndarray], least: int):
+    """A function of places i and j: which pairs of the sets are similar enough, exactly."""
+    words, of = np.unique(np.concatenate(sets), return_inverse=True)
+    n = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), n)
+    wide = -(-len(words) // 64)
+    linked = lambda both, i, j: 100 * both >= least * (n[i] + n[j] - both)
+    if len(sets) * wide * 8 > BITS:  # few sets, very long ones
+        cuts = np.append(0, np.cumsum(n))
+        own = [of[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        return lambda i, j: linked(np.array([n[x] + n[y] - len(np.union1d(own[x], own[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True)]), i, j)
+    bits = np.zeros((len(sets), wide), np.uint64)
+    np.bitwise_or.at(bits, (row, of >> 6), np.uint64(1) << (of & 63).astype(np.uint64))
+
+    def holds(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        both, step = np.empty(len(i), np.int64), max(1, (1 << 20) // wide)
+        for at in range(0, len(i), step):
+            both[at : at + step] = np.bitwise_count(bits[i[at : at + step]] & bits[j[at : at + step]]).sum(axis=1, dtype=np.int64)
+        return linked(both, i, j)
+
+    return holds
+
+
+def _send(members: DataFrame, least: int, exact: bool) -> DataFrame:
+    """key, a and b of the pairs that buckets send; members: key, bands, node, root, n, signature, and hashes if exact.
+
+    Without the sets a bucket sends a forest of survivors, with them links alone, which connect all that is similar.
+    """
+
+    def bucket(own: pa.Table) -> pa.RecordBatch | None:
+        own = own.sort_by("node")
+        node, root, n = (own.column(c).to_numpy() for c in ("node", "root", "n"))
         sig = np.frombuffer(b"".join(own.column("signature").to_pylist()), "<u2").reshape(len(node), -1)
         pairs = _survivors(sig, n, root, own.column("bands")[0].as_py(), least)
         if not len(pairs[0]):
             return None
-        known = np.searchsorted(node, np.stack([told.column("a").to_numpy(), told.column("b").to_numpy()], axis=1)).reshape(-1, 2).astype(np.int64)
-        sent = _chosen(node, pairs, known, np.array(told.column("linked").to_pylist(), bool), more)
-        if not len(sent):
-            return None
-        return pa.RecordBatch.from_pydict({"key": np.full(len(sent), rows.column("key")[0].as_py()), "a": sent[:, 0], "b": sent[:, 1]})
+        holds = _similar([own.column("hashes")[i].values.to_numpy().view(np.uint64) for i in range(len(node))], least) if exact else None
+        i, j = _forest(len(node), pairs, holds)
+        return pa.RecordBatch.from_pydict({"key": np.full(len(i), own.column("key")[0].as_py()), "a": node[i], "b": node[j]}) if len(i) else None
 
     def run(batches):
         held: pa.Table | None = None
@@ -218,10 +228,12 @@ def _send(members: DataFrame, known: DataFrame | None, least: int, more: int) ->
                 if e - s > 1 and (out := bucket(held.slice(s, e - s))) is not None:
                     yield out
             held = held.slice(int(edges[-1]))
-        if held is not None and (out := bucket(held)) is not None:
+        if held is not None and held.num_rows > 1 and (out := bucket(held)) is not None:
             yield out
+        give_back()
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
+    columns = ["key", "bands", "node", "root", "n", "signature"] + ["hashes"] * exact
+    return members.select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
@@ -232,32 +244,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def _links(members: DataFrame, sets: DataFrame, least: int) -> list[DataFrame]:
-    """Stored tables of confirmed links (a, b) that connect what similar pairs of the buckets connect. members is stored."""
-    found, known, current, more = [], None, members, 0
-    while True:
-        sent = materialise(_send(current, known, least, more), "sent")
-        if sent.isEmpty():
-            discard(sent)
-            break
-        judged = materialise(confirm(sent.select("a", "b").distinct(), sets, least), "judged")
-        found.append(materialise(judged.where("linked").select("a", "b"), "links"))
-        told = materialise(sent.join(judged, ["a", "b"]), "told")
-        open_ = materialise(told.where("NOT linked").select("key").distinct(), "open")
-        discard(sent)
-        discard(judged)
-        if open_.isEmpty():
-            for table in (told, open_):
-                discard(table)
-            break
-        before = (told if known is None else known.unionByName(told)).join(open_, "key", "left_semi")
-        known_now = materialise(before.select("key", "a", "b", "linked"), "known")
-        members_now = materialise(current.join(open_, "key", "left_semi"), "members")
-        for table in (told, open_, *([known, current] if known is not None else [])):
-            discard(table)
-        known, current, more = known_now, members_now, more * 4 + 3
-    if known is not None:
-        discard(known)
-        discard(current)
+    """Stored tables of links (a, b) that connect what similar pairs of the buckets connect. members is stored."""
+    sent = materialise(_send(members, least, False), "sent")
+    judged = materialise(confirm(sent.select("a", "b").distinct(), sets, least), "judged")
+    found = [materialise(judged.where("linked").select("a", "b"), "links")]
+    open_ = materialise(sent.join(judged.where("NOT linked"), ["a", "b"]).select("key").distinct(), "open")
+    if not open_.isEmpty():
+        whole = members.join(open_, "key", "left_semi").join(sets, "node")
+        found.append(materialise(_send(whole, least, True).select("a", "b").distinct(), "links"))
+    for table in (sent, judged, open_):
+        discard(table)
     return found
 
 
@@ -269,13 +265,15 @@ def _union(tables: list[DataFrame], spark: SparkSession) -> DataFrame:
 def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, least: int = LEAST, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> list[DataFrame]:
     """Stored tables of links (a, b) between nodes (a stored table: node, digest, row_key, n, signature)."""
     band = F.posexplode(F.array(*[F.substring("signature", 1 + 2 * ROWS * i, 2 * ROWS) for i in range(BANDS)])).alias("band", "minima")
-    keys = nodes.select("node", band).select("node", "band", F.xxhash64("band", "minima").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = materialise(keys.join(shared, "key"), "buckets")
+    keys = nodes.select("node", "n", band).select("node", "n", "band", F.xxhash64("band", "minima").alias("key"))
+    tiles = F.ceil(F.greatest(F.col("size") / MOST, F.col("hashes") / MOST_HASHES)).cast("int").alias("tiles")
+    sizes_of = lambda rows, *more: rows.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"), *more)
+    shared = sizes_of(keys).where("size > 1").select("key", tiles)
+    met = materialise(keys.join(shared, "key").drop("n"), "buckets")
     involved = met.select("node").distinct().join(nodes, "node")
     signed = nodes.select("node", F.col("node").alias("root"), "n", "signature")
-    tile = F.pmod(F.xxhash64("node", F.lit("tile")), F.ceil(F.col("size") / MOST))
-    large = F.col("size") > MOST
+    tile = F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles"))
+    large = F.col("tiles") > 1
     dealt = met.select("node", F.when(large, F.xxhash64("key", tile)).otherwise(F.col("key")).alias("key"), F.when(large, F.array().cast("array<int>")).otherwise(F.array("band")).alias("bands"))
     members = materialise(dealt.join(signed, "node"), "members")
     sets = materialise(full_sets(docs, involved, words, id_col, text_col), "sets")
@@ -286,10 +284,11 @@ def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, least:
         roots = components(_union(found, spark))
         rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "signature")
         many = hot.join(roots, "node", "left").groupBy("key").agg(F.min(F.coalesce("root", "node")).alias("low"), F.max(F.coalesce("root", "node")).alias("high")).where("low < high").select("key")
-        again = hot.withColumnRenamed("band", "first").join(many, "key", "left_semi").join(nodes.select("node", band), "node").where("band > first")
-        twice = materialise(again.select("node", F.array("first", "band").alias("bands"), F.xxhash64("key", "band", "minima").alias("key")), "twice")
+        again = hot.withColumnRenamed("band", "first").join(many, "key", "left_semi").join(nodes.select("node", "n", band), "node").where("band > first")
+        twice = materialise(again.select("node", "n", F.array("first", "band").alias("bands"), F.xxhash64("key", "band", "minima").alias("key")), "twice")
         root = F.coalesce("root", "node")
-        sizes = twice.join(roots, "node", "left").groupBy("key").agg(F.count("*").alias("size"), F.min(root).alias("low"), F.max(root).alias("high")).where("low < high").withColumn("tiles", F.ceil(F.col("size") / MOST).cast("int"))
+        ends = [F.min(root).alias("low"), F.max(root).alias("high")]
+        sizes = sizes_of(twice.join(roots, "node", "left"), *ends).where("low < high").select("key", tiles)
         own = F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("int")
         others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
         placed = twice.join(sizes, "key").select("node", "bands", "key", own.alias("tile"), others).where("other <> tile OR other = 0")

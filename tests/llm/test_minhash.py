@@ -79,10 +79,11 @@ def test_equals_all_pairs(spark):
     assert held(M.near_duplicates(spark, frame(spark, rows))) == plain(rows)
 
 
-@pytest.mark.parametrize("most", [1024, 40, 6])
-def test_large_groups(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "hashes"), [(1024, 4 << 20), (40, 4 << 20), (6, 4 << 20), (1024, 900)])
+def test_large_groups(spark, monkeypatch, most, hashes):
     """Groups of near copies whose similarities lie about the border, in tiles and under two bands."""
     monkeypatch.setattr(M, "MOST", most)
+    monkeypatch.setattr(M, "MOST_HASHES", hashes)
     rows = corpus(25, 5, 160)
     assert held(M.near_duplicates(spark, frame(spark, rows))) == plain(rows)
 
@@ -133,8 +134,17 @@ def test_a_bucket_sends_no_more_than_a_forest_first():
     n = np.array([len(s) for s in sets])
     pairs = M._survivors(sig, n, np.arange(200), [], 85)
     assert len(pairs[0]) == 200 * 199 // 2
-    none = np.empty((0, 2), np.int64)
-    assert len(M._chosen(np.arange(200), pairs, none, np.empty(0, bool), 0)) == 199
+    assert len(M._forest(200, pairs)[0]) == 199
+
+
+@pytest.mark.parametrize("bits", [64 << 20, 1000])
+def test_pairs_of_a_bucket_are_confirmed_exactly(monkeypatch, bits):
+    monkeypatch.setattr(M, "BITS", bits)
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 90)).astype(np.uint64)) for _ in range(40)]
+    i, j = np.triu_indices(40, 1)
+    want = [100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    assert M._similar(sets, 60)(i, j).tolist() == want and 0 < sum(want) < len(want)
 
 
 def test_rows_without_links_keep_their_columns(spark):
