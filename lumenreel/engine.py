@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .functions import vectors as V
 from .operators import interactions as I
+from .operators import linear
 from .operators import models as S
 from .operators import neural
 from .operators import ranking as R
 from .operators import requests as Q
+from .operators.itemside import ItemSide
 from .sources.readers import vocabulary
 
 
@@ -21,17 +23,16 @@ class Engine:
     def __init__(self, positives: DataFrame, catalog: DataFrame, regularization: float = 500.0, encoder=None, scorer=None):
         self.catalog = catalog
         self.encoder, self.scorer = encoder, scorer
-        history = I.binary_matrix(positives)
-        self.side = S.ease_side(history, catalog, regularization)
-        rows = catalog.select("item_index", "norm_title").collect()  # as many as the item side may have
-        self.titles = {r["item_index"]: r["norm_title"] for r in rows}
+        self.history = I.binary_matrix(positives)
+        self.side = ItemSide(catalog, S.popularity(self.history, catalog))
+        self.weights = linear.fit(self.history, self.side, regularization)
         self.genres = [r[0] for r in vocabulary(catalog).collect()]
 
     def recommend_users(self, history: DataFrame, k: int = 10, **how) -> DataFrame:
         """Lists of users by the scorer that the engine was given (see operators.neural.score_users)."""
         if self.scorer is None:
             raise ValueError("the engine has no scorer")
-        return neural.score_users(history, self.scorer, self.side.items, k, **how)
+        return neural.score_users(history, self.scorer, self.side.ids(), k, **how)
 
     def recommend_texts(self, requests: DataFrame, embeddings: DataFrame, k: int = 12) -> DataFrame:
         """query_id, rank, rank_label, item_index, title and score by vectors of texts, with boosts of liked titles.
@@ -55,12 +56,12 @@ class Engine:
         return named.select("query_id", "rank", F.concat(F.lit("Rank #"), F.col("rank").cast("string")).alias("rank_label"), F.col("item_id").alias("item_index"), "title", "score")
 
     def describe(self) -> dict:
-        return {"status": "ok", "model": "linear autoencoder with genre control", "catalog_size": len(self.side.items)}
+        return {"status": "ok", "model": "linear autoencoder with genre control", "catalog_size": self.side.items.n}
 
     def recommend(self, requests: DataFrame) -> DataFrame:
         """request_id and the ranked items of each request (see operators.requests)."""
         rows = Q.prepared(requests, self.catalog, self.genres)
-        return Q.described(Q.answer(rows, self.side, self.titles, self.genres), self.catalog)
+        return Q.described(Q.answer(rows, self.side, self.weights), self.catalog)
 
     def summarize(self, requests: DataFrame) -> DataFrame:
         """request_id and summary of liked, disliked and context."""

@@ -1,14 +1,15 @@
 """Scoring models: popularity, genre content, item similarity, hybrid, linear autoencoder, embedding cosine.
 
-Models that relate items to items are tables. Scores of all items for a user are made in Arrow batches of users: the
-item side (similar items, genres, popularity, weights) is sent to every task once, after its size is checked, and a
-batch is one matrix product. Users are never gathered, so the work grows with users over tasks.
+Models that relate items to items are tables. Lists of users are made in Arrow batches of users against the item side,
+whose files in the shared folder tasks read; neither users nor items are gathered, and the work grows with users over
+tasks.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,19 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from . import linear
+from .itemside import Items, ItemSide, similar_to
+from .ranking import DIGITS, best_of, best_of_rows, top_k
 
-DIGITS = 9  # scores are rounded to so many places before they are ranked, so that ties are ties on every machine
-MOST_ITEMS = 50_000
-MOST_PAIRS = 40_000_000
 MOST_QUERIES = 20_000  # embedding queries sent at once, about
-MOST_DENSE = 4500  # items of a dense inverse on the driver
 HEAVY = 2000  # items of a user that meet under one key
 
 
-class TooLarge(ValueError):
-    """The item side is too large to send to every task."""
-
-
 def min_max(column: str, window: Window) -> F.Column:
     low, high = F.min(column).over(window), F.max(column).over(window)
     return F.when(high - low > 1e-12, (F.col(column) - low) / (high - low)).otherwise(F.lit(0.0))
@@ -48,16 +44,18 @@ def cooccurrence(history: DataFrame) -> DataFrame:
     """item_i < item_j and the number of users who have both.
 
     A user with over HEAVY items is cut into parts by a hash of the item, and each pair of parts meets under a key of
-    its own, so no key holds more than about HEAVY items of either side.
+    its own, so no key holds more than about HEAVY items of either side. Other users meet by their id alone.
     """
-    heavy = history.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("user_id", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts"))
-    rows = history.select("user_id", "item_index").join(heavy, "user_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_index"), F.col("parts")).cast("int"))
+    rows = history.select("user_id", "item_index")
+    heavy = rows.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("user_id", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts"))
+    light = rows.join(heavy, "user_id", "left_anti")
+    met = light.withColumnRenamed("item_index", "item_i").join(light.withColumnRenamed("item_index", "item_j"), "user_id").where("item_i < item_j").select("item_i", "item_j")
+    dealt = rows.join(heavy, "user_id").withColumn("part", F.pmod(F.xxhash64("item_index"), F.col("parts")).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    a = rows.select("user_id", F.col("part").alias("row"), each.alias("col"), F.col("item_index").alias("item_i"))
-    b = rows.select("user_id", each.alias("row"), F.col("part").alias("col"), F.col("item_index").alias("item_j"))
-    met = a.join(b, ["user_id", "row", "col"]).where("item_i < item_j")
-    return met.groupBy("item_i", "item_j").agg(F.count("*").alias("n"))
+    x = dealt.select("user_id", F.col("part").alias("row"), each.alias("col"), F.col("item_index").alias("item_i"))
+    y = dealt.select("user_id", each.alias("row"), F.col("part").alias("col"), F.col("item_index").alias("item_j"))
+    cut = x.join(y, ["user_id", "row", "col"]).where("item_i < item_j").select("item_i", "item_j")
+    return met.unionByName(cut).groupBy("item_i", "item_j").agg(F.count("*").alias("n"))
 
 
 def item_similarity(history: DataFrame, alpha: float = 0.5, shrinkage: float = 0.0) -> DataFrame:
@@ -77,15 +75,6 @@ def item_similarity(history: DataFrame, alpha: float = 0.5, shrinkage: float = 0
     return both.join(ni, "item_i").join(nj, "item_j").select("item_i", "item_j", sim.alias("sim"))
 
 
-def content_scores(history: DataFrame, catalog: DataFrame) -> DataFrame:
-    """For each user and item: the item's genres that the user's items have, over how many genres the user's have."""
-    own = history.join(catalog.select("item_index", "genres"), "item_index").select("user_id", F.explode("genres").alias("genre")).distinct()
-    size = own.groupBy("user_id").agg(F.count("*").cast("double").alias("size"))
-    items = catalog.select("item_index", F.explode(F.array_distinct("genres")).alias("genre"))
-    hits = own.join(items, "genre").groupBy("user_id", "item_index").agg(F.count("*").alias("hits"))
-    return hits.join(size, "user_id").select("user_id", "item_index", (F.col("hits") / F.greatest("size", F.lit(1.0))).alias("content"))
-
-
 def genre_proportions(history: DataFrame, catalog: DataFrame) -> DataFrame:
     """user_id, genre and its share of the genres of the user's items; users without genres have no row."""
     rows = history.join(catalog.select("item_index", "genres"), "item_index").select("user_id", F.explode("genres").alias("genre"))
@@ -117,199 +106,134 @@ class Weights:
 GRID = [Weights(a, b, c) for a in (0.6, 0.8, 1.0) for b in (0.0, 0.15, 0.3) for c in (0.0, 0.05, 0.1)]
 
 
-@dataclass
-class ItemSide:
-    """What scoring knows of the items, as arrays over the catalog's order; bounded by MOST_ITEMS and MOST_PAIRS."""
-
-    items: np.ndarray
-    popularity: np.ndarray
-    genres: np.ndarray  # items x genres, 0 or 1
-    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of the similar items of each item
-    others: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
-    sims: np.ndarray = field(default_factory=lambda: np.empty(0))
-    weights: np.ndarray | None = None  # of the linear autoencoder, fitted x fitted
-    fitted: np.ndarray | None = None  # places of the items that weights cover; all items if None
-
-    def locate(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.items, ids)
-
-    def collaborative(self, profiles: list[np.ndarray]) -> np.ndarray:
-        """The sparse product of profiles and similarities: one sum over all similar items of all profiles."""
-        own = np.concatenate([*profiles, np.empty(0, np.int64)]).astype(np.int64)
-        n = self.starts[own + 1] - self.starts[own]
-        rows = np.repeat(self.starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        user = np.repeat(np.repeat(np.arange(len(profiles)), [len(p) for p in profiles]), n)
-        size = len(profiles) * len(self.items)
-        return np.bincount(user * len(self.items) + self.others[rows], self.sims[rows], minlength=size).astype(np.float64, copy=False).reshape(len(profiles), -1)
-
-    def content(self, profiles: list[np.ndarray]) -> np.ndarray:
-        own = np.stack([self.genres[p].any(axis=0) for p in profiles]).astype(np.float64)
-        return own @ self.genres.T / np.maximum(own.sum(axis=1, keepdims=True), 1)
-
-    def linear(self, profiles: list[np.ndarray]) -> np.ndarray:
-        """Scores of the linear autoencoder; an item without weights neither gives nor gets any."""
-        fitted = np.arange(len(self.items)) if self.fitted is None else self.fitted
-        place = np.full(len(self.items), -1)
-        place[fitted] = np.arange(len(fitted))
-        x = np.zeros((len(profiles), len(fitted)))
-        for row, own in enumerate(profiles):
-            at = place[own]
-            x[row, at[at >= 0]] = 1
-        used = np.flatnonzero(x.any(axis=0))  # a product with the rows of weights that any profile has
-        known = x[:, used] @ self.weights[used]
-        if self.fitted is None:
-            return known
-        out = np.zeros((len(profiles), len(self.items)))
-        out[:, fitted] = known
-        return out
-
-
-def rows_min_max(x: np.ndarray) -> np.ndarray:
-    low, span = x.min(axis=1, keepdims=True), np.ptp(x, axis=1, keepdims=True)
-    return np.divide(x - low, span, out=np.zeros_like(x), where=span > 1e-12)
-
-
-def item_side(catalog: DataFrame, popular: DataFrame | None = None, similarity: DataFrame | None = None, weights: np.ndarray | None = None, fitted: np.ndarray | None = None) -> ItemSide:
-    """Gathers the item side; raises where it is too large to send to every task.
-
-    fitted: the sorted items that weights cover, if not the whole catalog.
-    """
-    rows = catalog.select("item_index", "genres")
-    if popular is not None:
-        rows = rows.join(popular.select("item_index", "popularity"), "item_index")
-    n = rows.count()
-    if n > MOST_ITEMS:
-        raise TooLarge(f"{n} items are too many to send; use recommend_relational(), or frequent_items() first")
-    table = rows.toPandas().sort_values("item_index", ignore_index=True)
-    names = sorted({g for gs in table.genres for g in gs})
-    at = {g: k for k, g in enumerate(names)}
-    genres = np.zeros((n, len(names)))
-    for i, gs in enumerate(table.genres):
-        genres[i, [at[g] for g in gs]] = 1
-    side = ItemSide(table.item_index.to_numpy(), table.popularity.to_numpy(float) if popular is not None else np.zeros(n), genres, weights=weights)
-    if fitted is not None:
-        side.fitted = side.locate(fitted)
-    if similarity is not None:
-        sims = similarity.limit(MOST_PAIRS + 1).toPandas()  # made once, and one row more than may be sent
-        if len(sims) > MOST_PAIRS:
-            raise TooLarge(f"over {MOST_PAIRS} similar pairs are too many to send; use recommend_relational()")
-        i, j = side.locate(sims.item_i.to_numpy()), side.locate(sims.item_j.to_numpy())
-        order = np.lexsort((j, i))
-        side.others, side.sims = j[order].astype(np.int32), sims.sim.to_numpy()[order]
-        side.starts = np.searchsorted(i[order], np.arange(n + 1))
-    return side
-
-
-def best_of_rows(scores: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """_best() of every row, with one partition for all rows; rows that tie at the border or have few finite entries go singly."""
-    n = scores.shape[1]
-    if n <= k:
-        return [_best(line, k) for line in scores]
-    cols = np.argpartition(-scores, k, axis=1)[:, : k + 1]
-    cols.sort(axis=1)
-    own = np.take_along_axis(scores, cols, axis=1)
-    order = np.argsort(-own, axis=1, kind="stable")
-    cols, own = np.take_along_axis(cols, order, axis=1), np.take_along_axis(own, order, axis=1)
-    clear = np.isfinite(own[:, k - 1]) & (own[:, k - 1] > own[:, k])
-    return [(cols[i, :k], own[i, :k]) if clear[i] else _best(scores[i], k) for i in range(len(scores))]
-
-
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and scores of the k best finite entries, by score and then by column."""
-    finite = int(np.isfinite(scores).sum())
-    k = min(k, finite)
-    if k == 0:
-        return np.empty(0, np.int64), np.empty(0)
-    border = -np.partition(-scores, k - 1)[k - 1]
-    above = np.flatnonzero(scores >= border)
-    order = np.lexsort((above, -scores[above]))[:k]
-    return above[order], scores[above[order]]
-
-
-def recommend_users(history: DataFrame, side: ItemSide, models: dict[str, Weights | str], k: int = 10) -> DataFrame:
+@dataclass(frozen=True)
+class Blend:
+    """Raw content (the share of the user's genres that an item has) and popularity, over items that share a genre."""
+
+    content: float
+    popularity: float
+
+
+class _Lists:
+    """The catalog as lists of a genre signature's items, by popularity and by id; read from the item side's files."""
+
+    def __init__(self, items: Items):
+        has = items.whole("has").reshape(items.n, len(items.genres))
+        self.items, self.popularity = items.whole("items"), items.whole("popularity")
+        # Places are in the order of signatures, so that a signature's items lie together.
+        new = np.append(True, (has[1:] != has[:-1]).any(axis=1)) if items.n else np.empty(0, bool)
+        self.starts = np.flatnonzero(new)
+        self.ends = np.append(self.starts[1:], items.n).astype(np.int64)
+        self.of = np.cumsum(new) - 1
+        self.has = has[self.starts].astype(np.float64)
+        self.by_item = np.lexsort((self.items, self.of))
+        self.seen = np.zeros(items.n, bool)
+
+    def best(self, const: np.ndarray, weight: float, lists: np.ndarray, own: np.ndarray, first: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best: const of the signature and weight times popularity, for items but own.
+
+        The threshold algorithm: signatures' lists (those of lists) are read k items at a time, best first, as long as
+        the next item of a list could still be among the k best; first has places and scores that are known already.
+        """
+        places, scores = [first[0]], [first[1]]
+        order = None if weight else self.by_item
+        at, taken, need = self.starts[lists].copy(), np.zeros(len(lists), np.int64), -np.inf
+        self.seen[own] = True
+        open_ = np.arange(len(lists))
+        while len(open_):
+            rows = at[open_, None] + np.arange(k)
+            there = rows < self.ends[lists[open_], None]
+            rows = np.minimum(rows, len(self.items) - 1)
+            rows = rows if order is None else order[rows]
+            fine = there & ~self.seen[rows]
+            total = np.round(const[lists[open_], None] + weight * self.popularity[rows], DIGITS) + 0.0
+            places.append(rows[fine])
+            scores.append(total[fine])
+            taken[open_] += fine.sum(axis=1)
+            at[open_] += k
+            every = np.concatenate(scores)
+            need = -np.partition(-every, k - 1)[k - 1] if len(every) >= k else -np.inf
+            left = (at < self.ends[lists]) & (taken < k)
+            head = np.minimum(at, len(self.items) - 1)
+            head = head if order is None else order[head]
+            open_ = np.flatnonzero(left & (np.round(const[lists] + weight * self.popularity[head], DIGITS) >= need))
+        self.seen[own] = False
+        place, score = np.concatenate(places).astype(np.int64), np.concatenate(scores)
+        near = np.flatnonzero(score >= need)
+        pick = near[np.lexsort((self.items[place[near]], -score[near]))[:k]]
+        return place[pick], score[pick]
+
+
+_lists: dict[str, _Lists] = {}
+
+
+def _lists_of(items: Items) -> _Lists:
+    if items.folder not in _lists:
+        _lists.clear()  # a worker keeps one
+        _lists[items.folder] = _Lists(items)
+    return _lists[items.folder]
+
+
+def _scaled(values: np.ndarray, low: float, high: float) -> np.ndarray:
+    return (values - low) / (high - low) if high - low > 1e-12 else np.zeros(len(values))
+
+
+def recommend_users(history: DataFrame, side: ItemSide, models: dict[str, Weights | Blend | str], k: int = 10, weights: linear.Weights | None = None) -> DataFrame:
     """model, user_id, rank, item_index and score: the k best unseen items of each user under each model.
 
-    A model is weights of the hybrid, or "ease" for the linear autoencoder. Components are scored once for all models.
+    A model is weights of the hybrid, a blend, or "ease" for the linear autoencoder, whose weights are given. A user's
+    scores are made for the items that its items are similar to, and for as much of the signatures' lists as the k
+    best can come from; no user meets the whole catalog. Those of the linear autoencoder, which no item is without, are
+    made by blocks of items, and the k best of each block meet.
     """
-    spark = history.sparkSession
+    spark, parts = history.sparkSession, []
     ship(spark)
-    sent = spark.sparkContext.broadcast((side, {name: w if isinstance(w, str) else w.normalized() for name, w in models.items()}))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, wanted = sent.value
-        hybrid = any(not isinstance(w, str) for w in wanted.values())
-        for batch in batches:
-            for at in range(0, len(batch), 128):
-                users = batch.user_id.to_numpy()[at : at + 128]
-                profiles = [s.locate(np.asarray(x)) for x in batch["items"].iloc[at : at + 128]]
-                parts = (rows_min_max(s.collaborative(profiles)), rows_min_max(s.content(profiles))) if hybrid else None
-                out: list[tuple[str, int, np.ndarray, np.ndarray]] = []
-                for name, w in wanted.items():
-                    total = s.linear(profiles) if isinstance(w, str) else w.collaborative * parts[0] + w.content * parts[1] + w.popularity * s.popularity
-                    total = np.round(total, DIGITS)
-                    total[np.repeat(np.arange(len(profiles)), [len(p) for p in profiles]), np.concatenate(profiles)] = -np.inf
-                    out += [(name, users[row], cols, best) for row, (cols, best) in enumerate(best_of_rows(total, k))]
-                n = [len(o[2]) for o in out]
-                yield pd.DataFrame({
-                    "model": np.repeat(np.array([o[0] for o in out], dtype=object), n), "user_id": np.repeat(np.array([o[1] for o in out]), n), "rank": np.concatenate([np.arange(1, k + 1, dtype=np.int32) for k in n]),
-                    "item_index": s.items[np.concatenate([o[2] for o in out])], "score": np.concatenate([o[3] for o in out]) + 0.0,
-                })
-
-    profiles = history.groupBy("user_id").agg(F.collect_list("item_index").alias("items"))  # of one user
-    return profiles.mapInPandas(run, "model string, user_id long, rank int, item_index long, score double")
-
-
-def recommend_relational(history: DataFrame, catalog: DataFrame, popular: DataFrame, similarity: DataFrame, models: dict[str, Weights], k: int = 10) -> DataFrame:
-    """recommend_users() for hybrid weights as joins alone: every user meets every item, and nothing is gathered."""
-    if any(isinstance(w, str) for w in models.values()):
-        raise ValueError("the relational form has the hybrid's components only")
-    both = ["user_id", "item_index"]
-    pairs = history.select("user_id").distinct().crossJoin(popular.select("item_index", "popularity"))
-    pairs = pairs.join(collaborative(history, similarity).withColumnRenamed("score", "cf"), both, "left").join(content_scores(history, catalog), both, "left")
-    pairs = pairs.select(*both, "popularity", F.coalesce("cf", F.lit(0.0)).alias("cf"), F.coalesce("content", F.lit(0.0)).alias("content"))
-    own = Window.partitionBy("user_id")
-    parts = pairs.select(*both, "popularity", min_max("cf", own).alias("cf"), min_max("content", own).alias("content")).join(history.select(*both), both, "left_anti")
-    scores = []
-    for name, w in ((name, w.normalized()) for name, w in models.items()):
-        total = F.lit(w.collaborative) * F.col("cf") + F.lit(w.content) * F.col("content") + F.lit(w.popularity) * F.col("popularity")
-        scores.append(F.struct(F.lit(name).alias("model"), (F.round(total, DIGITS) + 0.0).alias("score")))
-    scored = parts.select(*both, F.explode(F.array(*scores)).alias("s")).select("s.model", *both, "s.score")
-    rank = F.row_number().over(Window.partitionBy("model", "user_id").orderBy(F.desc("score"), "item_index"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("model", "user_id", "rank", "item_index", "score")
-
-
-def gram(history: DataFrame) -> DataFrame:
-    """item_i, item_j and shared users, both orders and the diagonal."""
-    half = cooccurrence(history)
-    own = history.groupBy("item_index").agg(F.count("*").alias("n")).select(F.col("item_index").alias("item_i"), F.col("item_index").alias("item_j"), "n")
-    return half.unionByName(half.select(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), "n")).unionByName(own)
-
-
-def fit_ease(history: DataFrame, items: np.ndarray, regularization: float = 500.0, most_items: int = MOST_DENSE) -> np.ndarray:
-    """Weights B = P / -diag(P), diagonal 0, with P the inverse of the Gram matrix plus regularization.
-
-    The Gram matrix is made in the cluster; its inverse is dense and made on the driver, for most_items at most.
-    """
-    if regularization <= 0:
-        raise ValueError("regularization must be positive")
-    if len(items) > most_items:
-        raise ValueError(f"a dense inverse of {len(items)} items is too large; take frequent_items() first")
-    g = np.zeros((len(items), len(items)))
-    rows = gram(history).toPandas()  # most_items squared at most
-    g[np.searchsorted(items, rows.item_i), np.searchsorted(items, rows.item_j)] = rows.n
-    g[np.diag_indices(len(items))] += regularization
-    p = np.linalg.inv(g)
-    b = p / -np.diag(p)
-    np.fill_diagonal(b, 0)
-    return b
-
-
-def ease_side(history: DataFrame, catalog: DataFrame, regularization: float = 500.0) -> ItemSide:
-    """The whole catalog, with weights of the linear autoencoder for its MOST_DENSE most rated items."""
-    counts = catalog.select("item_index").join(history.groupBy("item_index").agg(F.count("*").alias("n")), "item_index", "left")
-    items = np.sort(np.array([r[0] for r in counts.orderBy(F.desc_nulls_last("n"), "item_index").limit(MOST_DENSE).select("item_index").collect()], dtype=np.int64))
-    within = history.join(catalog.sparkSession.createDataFrame([(int(i),) for i in items], "item_index long"), "item_index", "left_semi")
-    return item_side(catalog, popularity(history, catalog), weights=fit_ease(within, items, regularization), fitted=items)
+    mixed = {name: m.normalized() if isinstance(m, Weights) else m for name, m in models.items() if not isinstance(m, str)}
+    if mixed:
+        items = side.items
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            lists = _lists_of(items)
+            similar = any(isinstance(m, Weights) and m.collaborative for m in mixed.values())
+            for batch in batches:
+                for begin in range(0, len(batch), 256):
+                    users = batch.user_id.to_numpy()[begin : begin + 256]
+                    profiles = [np.asarray(p) for p in batch["places"].iloc[begin : begin + 256]]
+                    owner, place, sums = similar_to(items, profiles if similar else [])
+                    cuts = np.searchsorted(owner, np.arange(len(profiles) + 1))
+                    genres = np.stack([lists.has[np.unique(lists.of[p])].any(axis=0) for p in profiles]).astype(np.float64)
+                    raw = genres @ lists.has.T / np.maximum(genres.sum(axis=1, keepdims=True), 1)
+                    out: list[tuple[str, int, np.ndarray, np.ndarray]] = []
+                    for u, own in enumerate(profiles):
+                        near, sim = place[cuts[u] : cuts[u + 1]], sums[cuts[u] : cuts[u + 1]]
+                        rest = [0.0] if len(near) < items.n else []
+                        low, high = min([*sim[:1], *rest, *([sim.min()] if len(sim) else [])]), max([*rest, *([sim.max()] if len(sim) else [])])
+                        cf, none = _scaled(sim, low, high), float(_scaled(np.zeros(1), low, high)[0])
+                        content = _scaled(raw[u], raw[u].min(), raw[u].max())
+                        unseen = ~np.isin(near, own)
+                        for name, m in mixed.items():
+                            if isinstance(m, Blend):
+                                const, some, first, known = m.content * raw[u], np.flatnonzero(raw[u] > 0), (near[:0], sim[:0]), own
+                            elif m.collaborative:
+                                scored = np.round(m.collaborative * cf + m.content * content[lists.of[near]] + m.popularity * lists.popularity[near], DIGITS) + 0.0
+                                const, some = m.collaborative * none + m.content * content, np.arange(len(content))
+                                first, known = (near[unseen], scored[unseen]), np.concatenate([own, near])
+                            else:
+                                const, some, first, known = m.content * content, np.arange(len(content)), (near[:0], sim[:0]), own
+                            out.append((name, users[u], *lists.best(const, m.popularity, some, known, first, k)))
+                    n = [len(o[2]) for o in out]
+                    yield pd.DataFrame({
+                        "model": np.repeat(np.array([o[0] for o in out], dtype=object), n), "user_id": np.repeat(np.array([o[1] for o in out]), n), "rank": np.concatenate([np.arange(1, c + 1, dtype=np.int32) for c in n]),
+                        "item_index": lists.items[np.concatenate([o[2] for o in out])], "score": np.concatenate([o[3] for o in out]),
+                    })
+
+        parts.append(side.profiles(history).mapInPandas(run, "model string, user_id long, rank int, item_index long, score double"))
+    for name in (name for name, m in models.items() if isinstance(m, str)):
+        if weights is None:
+            raise ValueError("a model of the linear autoencoder needs its weights")
+        best = top_k(linear.recommend(history, side, weights, k), k)
+        parts.append(best.select(F.lit(name).alias("model"), "user_id", "rank", "item_index", "score"))
+    return functools.reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def embedding_top_k(queries: DataFrame, items: DataFrame, k: int = 10, boost: DataFrame | None = None, amount: float = 0.15, banned: DataFrame | None = None) -> DataFrame:
@@ -371,7 +295,7 @@ def _near(queries: DataFrame, items: DataFrame, k: int, boost: DataFrame | None,
                             line[where[item]] += amount * n
                     for g in out.get(int(query), ()):
                         line[of_genre.get(g, [])] = -np.inf
-                    cols, best = _best(np.round(line, DIGITS), k)
+                    cols, best = best_of(np.round(line, DIGITS), k)
                     yield pd.DataFrame({"query_id": query, "item_id": names[cols], "score": best})
 
     columns = ["item_id", "embedding"] + ["genres"] * (banned is not None)

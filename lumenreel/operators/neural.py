@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..shipping import ship
-from .models import DIGITS, best_of_rows
+from .ranking import DIGITS, best_of_rows
 
 Layer = tuple[np.ndarray, np.ndarray]
 

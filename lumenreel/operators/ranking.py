@@ -13,6 +13,35 @@ from ..functions.text import clean_title_legacy, normalize_title
 from ..shipping import ship
 
 
+DIGITS = 9  # scores are rounded to so many places before they are ranked, so that ties are ties on every machine
+
+
+def best_of_rows(scores: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """best_of() of every row, with one partition for all rows; rows that tie at the border or have few finite entries go singly."""
+    n = scores.shape[1]
+    if n <= k:
+        return [best_of(line, k) for line in scores]
+    cols = np.argpartition(-scores, k, axis=1)[:, : k + 1]
+    cols.sort(axis=1)
+    own = np.take_along_axis(scores, cols, axis=1)
+    order = np.argsort(-own, axis=1, kind="stable")
+    cols, own = np.take_along_axis(cols, order, axis=1), np.take_along_axis(own, order, axis=1)
+    clear = np.isfinite(own[:, k - 1]) & (own[:, k - 1] > own[:, k])
+    return [(cols[i, :k], own[i, :k]) if clear[i] else best_of(scores[i], k) for i in range(len(scores))]
+
+
+def best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and scores of the k best finite entries, by score and then by column."""
+    finite = int(np.isfinite(scores).sum())
+    k = min(k, finite)
+    if k == 0:
+        return np.empty(0, np.int64), np.empty(0)
+    border = -np.partition(-scores, k - 1)[k - 1]
+    above = np.flatnonzero(scores >= border)
+    order = np.lexsort((above, -scores[above]))[:k]
+    return above[order], scores[above[order]]
+
+
 def top_k(scores: DataFrame, k: int, by: str = "user_id", item: str = "item_index", score: str = "score") -> DataFrame:
     """The k best rows of each group with their rank; ties go to the smaller item. Partial limits run before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), item))

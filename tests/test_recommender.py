@@ -11,11 +11,13 @@ from lumenreel.engine import Engine
 from lumenreel.functions import text as X
 from lumenreel.functions import vectors as V
 from lumenreel.operators import interactions as I
+from lumenreel.operators import linear
 from lumenreel.operators import metrics as M
 from lumenreel.operators import models as S
 from lumenreel.operators import neural
 from lumenreel.operators import ranking as R
 from lumenreel.operators import requests as Q
+from lumenreel.operators.itemside import ItemSide, similar_to
 from lumenreel.sources import adapter as A
 
 
@@ -59,12 +61,48 @@ def test_similarity_golden(history):
         S.item_similarity(history, 0.5, -1)
 
 
-def test_linear_autoencoder_golden(history):
-    b = S.fit_ease(history, np.arange(4), 10)
+def whole_weights(weights, side):
+    """The weights as a matrix in the order of items."""
+    n = side.items.n_blocks
+    b = np.vstack([np.hstack([weights.block(i, j) for j in range(n)]) for i in range(n)])
+    order = np.argsort(side.items.whole("items"))
+    return b[np.ix_(order, order)]
+
+
+@pytest.mark.parametrize("width", [1024, 3, 1])
+def test_linear_autoencoder_golden(history, catalog, width):
+    side = ItemSide(catalog, S.popularity(history, catalog), width)
     want = [[0, 0.160794, -0.006024, 0.071429], [0.160794, 0, -0.006024, 0.071429], [-0.006406, -0.006406, 0, 0.090909], [0.070468, 0.070468, 0.084337, 0]]
-    assert np.allclose(b, want, atol=1e-6)
+    assert np.allclose(whole_weights(linear.fit(history, side, 10), side), want, atol=1e-6)
     with pytest.raises(ValueError):
-        S.fit_ease(history, np.arange(4), 0)
+        linear.fit(history, side, 0)
+
+
+@pytest.mark.parametrize(("width", "strip"), [(1024, 128 << 20), (70, 128 << 20), (33, 100_000)])
+def test_weights_by_blocks_equal_the_dense_inverse(spark, sf_dir, monkeypatch, width, strip):
+    monkeypatch.setattr(linear, "STRIP", strip)
+    history, catalog = I.binary_matrix(A.positives(spark, sf_dir)), A.catalog(spark, sf_dir)
+    side = ItemSide(catalog, S.popularity(history, catalog), width)
+    weights = linear.fit(history, side, 50.0)
+    ids = sorted(r[0] for r in catalog.select("item_index").collect())
+    rows = history.toPandas()
+    x = np.zeros((rows.user_id.nunique(), len(ids)))
+    x[np.unique(rows.user_id, return_inverse=True)[1], np.searchsorted(ids, rows.item_index)] = 1
+    p = np.linalg.inv(x.T @ x + 50 * np.eye(len(ids)))
+    b = p / -np.diag(p)
+    np.fill_diagonal(b, 0)
+    assert np.allclose(whole_weights(weights, side), b, atol=1e-12)
+    checked = linear.check(history, side, weights, 50.0).toPandas().sort_values("item_index")
+    assert checked.deviation.max() < 1e-10 and np.allclose(checked.own_inverse, np.diag(p)) and np.allclose(checked.weight_sum, b.sum(axis=0)) and (checked.own_weight == 0).all()
+    want = np.where(x > 0, -np.inf, np.round(x @ b, 9))
+    users = {u: k for k, u in enumerate(np.unique(rows.user_id))}
+    got = {}
+    for r in S.recommend_users(history, side, {"ease": "ease"}, 5, weights).orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append(ids.index(r.item_index))
+    assert len(got) == len(users)
+    for user, row in users.items():
+        assert got[user] == sorted(range(len(ids)), key=lambda i: (-want[row, i], i))[:5]
+    side.release()
 
 
 def test_request_golden(spark, engine):
@@ -72,10 +110,23 @@ def test_request_golden(spark, engine):
 
 
 def test_older_hybrid_golden(spark, engine, history, catalog):
-    side = S.item_side(catalog, S.popularity(history, catalog), S.item_similarity(history))
     rows = Q.prepared(request(spark, ["Space One (2000)"], "science fiction"), catalog, engine.genres)
-    got = [(r.item_index, round(r.score, 6)) for r in Q.answer(rows, side, engine.titles, engine.genres, S.Weights()).orderBy("rank").collect()]
-    assert got == [(1, 1.0), (3, 0.68), (2, 0.0)]
+    for width in (1024, 2, 1):
+        side = ItemSide(catalog, S.popularity(history, catalog), width).with_similar(S.item_similarity(history))
+        got = [(r.item_index, round(r.score, 6)) for r in Q.answer(rows, side, hybrid=S.Weights()).orderBy("rank").collect()]
+        assert got == [(1, 1.0), (3, 0.68), (2, 0.0)]
+
+
+def test_requests_in_bulk_equal_single_ones(spark, engine, history, catalog):
+    """Many requests at once, of equal and different signatures, over one block and several, as each alone."""
+    rows = [(i, ["science fiction", "romance", ""][i % 3], "", "", [["Space One (2000)"], ["Mix (2003)", "?", "mix"], []][i // 3 % 3] or ([] if i % 3 < 2 else ["Love One (2002)"]), ["Romance"] if i % 4 == 3 else [], [], ["space two (2001)"] if i % 5 == 4 else [], 1 + i % 4, 1.0) for i in range(60)]
+    whole = Q.prepared(spark.createDataFrame(rows, Q.SCHEMA), catalog, engine.genres)
+    key = lambda df: sorted((r.request_id, r["rank"], r.item_index, round(r.score, 9), round(r.ease, 9), round(r.content, 9)) for r in df.collect())
+    bulk = key(Q.answer(whole, engine.side, engine.weights))
+    narrow = ItemSide(catalog, S.popularity(history, catalog), 1)
+    assert key(Q.answer(whole, narrow, linear.fit(history, narrow, 10))) == bulk
+    for i in (0, 4, 11, 34):
+        assert key(Q.answer(whole.where(F.col("request_id") == i), engine.side, engine.weights)) == [b for b in bulk if b[0] == i] != []
 
 
 def test_exclusions(spark, engine):
@@ -227,35 +278,69 @@ def test_weights():
         S.Weights(0, 0, 0).normalized()
 
 
-def test_whole_catalog_beyond_the_dense_bound(spark, monkeypatch):
-    """At the 0.1 scale the catalog has 20,000 items, of which 300 have weights here; cold requests agree with the joins over all."""
-    from lumenreel.plans import queries as plans
-
-    monkeypatch.setattr(plans.S, "MOST_DENSE", 300, raising=False)
-    d = "/root/testdata/sf0.1"
-    asked = "request_id % 4 = 0"
-    key = lambda df: sorted((r.request_id, r["rank"], r.item_index, round(r.score, 6)) for r in df.where(asked).collect())
-    got = plans.recommend_requests(spark, d)
-    assert key(got) == key(plans.cold_start_requests(spark, d)) != []
-
-
-def test_linear_scores_of_part_of_the_items():
-    b = np.array([[0.0, 2.0], [3.0, 0.0]])
-    side = S.ItemSide(np.array([5, 6, 7, 8]), np.zeros(4), np.zeros((4, 1)), weights=b, fitted=np.array([1, 3]))
-    assert side.linear([np.array([1]), np.array([0, 3]), np.array([0, 2])]).tolist() == [[0, 0, 0, 2], [0, 3, 0, 0], [0, 0, 0, 0]]
+def dense_lists(history, catalog, popular, similarity, models, k):
+    """Lists by plain matrices of users and items."""
+    items = catalog.select("item_index", "genres").join(popular.select("item_index", "popularity"), "item_index").toPandas().sort_values("item_index", ignore_index=True)
+    ids, names = items.item_index.to_numpy(), sorted({g for gs in items.genres for g in gs})
+    has = np.array([[float(g in gs) for g in names] for gs in items.genres]).reshape(len(ids), len(names))
+    rows, sims = history.toPandas(), similarity.toPandas()
+    users = np.unique(rows.user_id)
+    x = np.zeros((len(users), len(ids)))
+    x[np.searchsorted(users, rows.user_id), np.searchsorted(ids, rows.item_index)] = 1
+    s = np.zeros((len(ids), len(ids)))
+    s[np.searchsorted(ids, sims.item_i), np.searchsorted(ids, sims.item_j)] = sims.sim
+    own = (x @ has > 0).astype(float)
+    raw = own @ has.T / np.maximum(own.sum(axis=1, keepdims=True), 1)
+    scale = lambda m: np.divide(m - m.min(axis=1, keepdims=True), np.ptp(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.ptp(m, axis=1, keepdims=True) > 1e-12)
+    cf, content, out = scale(x @ s), scale(raw), {}
+    for name, m in models.items():
+        if isinstance(m, S.Blend):
+            total = np.where(raw > 0, m.content * raw + m.popularity * items.popularity.to_numpy(), -np.inf)
+        else:
+            w = m.normalized()
+            total = w.collaborative * cf + w.content * content + w.popularity * items.popularity.to_numpy()
+        total = np.where(x > 0, -np.inf, np.round(total, 9))
+        for u, line in zip(users, total, strict=True):
+            best = sorted((i for i in range(len(ids)) if np.isfinite(line[i])), key=lambda i: (-line[i], i))[:k]
+            out[name, u] = [(int(ids[i]), round(float(line[i]), 6)) for i in best]
+    return {key: v for key, v in out.items() if v}
+
+
+@pytest.mark.parametrize("k", [1, 10, 150])
+def test_lists_by_thresholds_equal_plain_matrices(spark, sf_dir, k):
+    """Whole lists of all models, for users with few and with nearly all items, lists longer than signatures and the catalog."""
+    catalog = A.catalog(spark, sf_dir).where("item_index % 2 = 0")
+    history = I.binary_matrix(A.positives(spark, sf_dir).join(catalog.select("item_index"), "item_index", "left_semi")).where("user_id % 3 = 0")
+    most = catalog.where("item_index % 20 <> 4").select(F.lit(3).cast("long").alias("user_id"), "item_index")
+    history = history.unionByName(most).distinct()
+    popular, similarity = S.popularity(history, catalog), S.item_similarity(history)
+    models = {"hybrid": S.Weights(), "cf": S.Weights(1, 0, 0), "cf_content": S.Weights(1, 1, 0), "content": S.Weights(0, 1, 0), "popularity": S.Weights(0, 0, 1), "mixed": S.Weights(0, 0.5, 0.5), "raw": S.Blend(1.0, 0.0), "blend": S.Blend(0.3, 0.7)}
+    side = ItemSide(catalog, popular, 16).with_similar(similarity)
+    got = {}
+    for r in S.recommend_users(history, side, models, k).orderBy("model", "user_id", "rank").collect():
+        got.setdefault((r.model, r.user_id), []).append((r.item_index, round(r.score, 6)))
+    assert got == dense_lists(history, catalog, popular, similarity, models, k)
 
 
-@pytest.mark.parametrize("bound", ["MOST_ITEMS", "MOST_PAIRS"])
-def test_protocol_lists_agree_on_both_sides_of_the_bound(bound, spark, sf_dir, monkeypatch):
-    from lumenreel.plans import evaluate
+def test_lists_read_few_items(spark):
+    """Where popularity falls, a list of ten reads the heads of the signatures' lists, not the catalog."""
+    n = 4000
+    catalog = spark.range(n).select(F.col("id").alias("item_index"), F.array(F.concat(F.lit("g"), (F.col("id") % 20).cast("string"))).alias("genres"))
+    popular = catalog.select("item_index", (F.lit(1.0) - F.col("item_index") / n).alias("popularity"))
+    lists = S._Lists(ItemSide(catalog, popular).items)
+    read = 0
 
-    def rows():
-        lists = evaluate.Protocol(A.positives(spark, sf_dir), A.catalog(spark, sf_dir)).lists(evaluate.BASE, None, 10)
-        return sorted((r.model, r.user_id, r["rank"], r.item_index, round(r.score, 6)) for r in lists.collect())
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            nonlocal read
+            out = super().__getitem__(at)
+            read += np.size(out)
+            return out
 
-    sent = rows()
-    monkeypatch.setattr(S, bound, 10)
-    assert rows() == sent != []
+    lists.popularity = lists.popularity.view(Counted)
+    none = (np.empty(0, np.int64), np.empty(0))
+    places, scores = lists.best(np.zeros(20), 1.0, np.arange(20), np.arange(5), none, 10)
+    assert len(places) == 10 and read < n / 4 and (np.diff(scores) <= 0).all()
 
 
 def test_embedding_queries_in_blocks(spark, sf_dir, monkeypatch):
@@ -290,18 +375,21 @@ def test_best_of_rows_is_best_of_each():
     x[rng.random(x.shape) < 0.5] = -np.inf
     x[0], x[1, 3:] = -np.inf, -np.inf
     for k in (1, 5, 39, 40, 50):
-        for (a, b), line in zip(S.best_of_rows(x, k), x, strict=True):
-            c, d = S._best(line, k)
+        for (a, b), line in zip(R.best_of_rows(x, k), x, strict=True):
+            c, d = R.best_of(line, k)
             assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
 
 
-def test_products_equal_plain_sums():
-    rng = np.random.default_rng(1)
-    w = rng.random((6, 6))
-    side = S.ItemSide(np.arange(6), np.zeros(6), np.zeros((6, 1)), starts=np.array([0, 2, 2, 3, 5, 5, 6]), others=np.array([1, 4, 0, 2, 5, 0], np.int32), sims=np.arange(1.0, 7.0), weights=w)
-    profiles = [np.array([0, 3]), np.array([], np.int64), np.array([2, 5, 1])]
-    assert side.collaborative(profiles).tolist() == [[0, 1, 4, 0, 2, 5], [0] * 6, [9, 0, 0, 0, 0, 0]]
-    assert np.allclose(side.linear(profiles), [w[p].sum(axis=0) for p in profiles])
+def test_sparse_products_equal_plain_sums(spark):
+    catalog = spark.createDataFrame([(i, ["a", "b"][: i % 3]) for i in range(6)], "item_index long, genres array<string>")
+    popular = catalog.select("item_index", F.lit(0.5).alias("popularity"))
+    rows = [(0, 1, 1.0), (0, 4, 2.0), (2, 0, 3.0), (3, 2, 4.0), (3, 5, 5.0), (5, 0, 6.0)]
+    for width in (1024, 2):
+        side = ItemSide(catalog, popular, width).with_similar(spark.createDataFrame(rows, "item_i long, item_j long, sim double"))
+        ids = side.items.whole("items")
+        at = np.argsort(ids)
+        owner, place, total = similar_to(side.items, [np.sort(at[p]) for p in (np.array([0, 3]), np.array([], np.int64), np.array([2, 5, 1]))])
+        assert {(u, int(ids[p]), t) for u, p, t in zip(owner.tolist(), place.tolist(), total.tolist(), strict=True)} == {(0, 1, 1.0), (0, 2, 4.0), (0, 4, 2.0), (0, 5, 5.0), (2, 0, 9.0)}
 
 
 def test_skip_encoder_by_hand():
