@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .functions import vectors as V
 from .operators import interactions as I
-from .operators import linear
+from .operators import linear, nearest, neural
 from .operators import models as S
-from .operators import neural
 from .operators import ranking as R
 from .operators import requests as Q
 from .operators.itemside import ItemSide
@@ -51,7 +50,7 @@ class Engine:
         items = embeddings.join(titles, "item_index").withColumnRenamed("item_index", "item_id")
         liked = R.liked_boost(titles, requests.select("query_id", F.explode("liked").alias("title")))
         banned = requests.select("query_id", F.explode("disliked_genres").alias("genre"))
-        found = S.embedding_top_k(queries, items, k, liked, 0.15, banned)
+        found = nearest.top_k(queries, items, k, liked, 0.15, banned)
         named = found.join(titles.select(F.col("item_index").alias("item_id"), "title"), "item_id")
         return named.select("query_id", "rank", F.concat(F.lit("Rank #"), F.col("rank").cast("string")).alias("rank_label"), F.col("item_id").alias("item_index"), "title", "score")
 

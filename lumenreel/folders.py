@@ -78,6 +78,23 @@ def write_arrays(folder: str, **arrays: np.ndarray) -> str:
     return f"{folder}/{name}"
 
 
+def write_bytes(folder: str, data) -> str:
+    """Writes a file of raw bytes for read_range(); returns its path."""
+    fs, at = file_system(folder)
+    fs.create_dir(at, recursive=True)
+    name = f"{uuid.uuid4().hex}.raw"
+    with fs.open_output_stream(f"{at}/{name}") as out:
+        out.write(data)
+    return f"{folder}/{name}"
+
+
+def read_range(path: str, start: int, size: int) -> bytes:
+    fs, at = file_system(path)
+    with fs.open_input_file(at) as f:
+        f.seek(start)
+        return f.read(size)
+
+
 def read_arrays(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file; those read last stay in memory, up to MOST_KEPT bytes."""
     if path in _kept:

@@ -1,10 +1,10 @@
-"""Text, array and map functions as Column expressions; all of them stay in the JVM."""
+"""Text, array and map functions as Column expressions, and texts made of tables; all of them stay in the JVM."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _WHITE_ENDS = r"(?U)^\s+|\s+$"
@@ -208,3 +208,19 @@ def favourite_genres(text: Column) -> tuple[Column, Column]:
 def rank_change(before: Column, now: Column) -> Column:
     d = before - now
     return F.when(d > 0, F.concat(F.lit("⬆ +"), d.cast("string"))).when(d < 0, F.concat(F.lit("⬇ "), d.cast("string"))).when(d == 0, "–")
+
+
+def describe_histories(history: DataFrame, catalog: DataFrame, genres: int = 5, titles: int = 12) -> DataFrame:
+    """user_id and description: a user's most frequent genres and evenly spaced titles of its items (user_id, item_index).
+
+    Genres are ordered by count, then by name; titles by item, all of them where the user has no more than titles.
+    """
+    counts = history.join(catalog.select("item_index", "genres"), "item_index").select("user_id", F.explode("genres").alias("genre")).groupBy("user_id", "genre").agg(F.count("*").alias("n"))
+    few = counts.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "genre"))).where(F.col("k") <= genres)
+    named = few.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", "genre")))["genre"], ", ").alias("genres"))
+    placed = history.withColumns({"p": F.row_number().over(Window.partitionBy("user_id").orderBy("item_index")) - 1, "n": F.count("*").over(Window.partitionBy("user_id"))})
+    spread = F.transform(F.sequence(F.lit(0), F.lit(titles - 1)), lambda i: F.floor(i * (F.col("n") - 1) / max(titles - 1, 1)))
+    kept = placed.where((F.col("n") <= titles) | F.array_contains(spread, F.col("p").cast("long"))).join(catalog.select("item_index", "title"), "item_index")
+    listed = kept.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("p", "title")))["title"], "; ").alias("titles"))
+    text = F.concat(F.lit("The user enjoys "), "genres", F.lit(" movies. Movies they liked include: "), "titles", F.lit("."))
+    return named.join(listed, "user_id").select("user_id", text.alias("description"))

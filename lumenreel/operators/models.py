@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from . import linear
 from .itemside import Items, ItemSide, similar_to
-from .ranking import DIGITS, best_of, best_of_rows, top_k
+from .ranking import DIGITS, top_k
 
-MOST_QUERIES = 20_000  # embedding queries sent at once, about
 HEAVY = 2000  # items of a user that meet under one key
 
 
@@ -234,69 +233,3 @@ def recommend_users(history: DataFrame, side: ItemSide, models: dict[str, Weight
         best = top_k(linear.recommend(history, side, weights, k), k)
         parts.append(best.select(F.lit(name).alias("model"), "user_id", "rank", "item_index", "score"))
     return functools.reduce(lambda x, y: x.unionByName(y), parts)
-
-
-def embedding_top_k(queries: DataFrame, items: DataFrame, k: int = 10, boost: DataFrame | None = None, amount: float = 0.15, banned: DataFrame | None = None) -> DataFrame:
-    """query_id, item_id, score and rank by cosine; boost (query_id, item_id, one row a liked title) adds amount each.
-
-    banned (query_id, genre) leaves out items (which have genres then) of these genres, whatever their case.
-
-    Queries (query_id, embedding) are sent to the item side in blocks, and a task keeps the k best of its items.
-    """
-    ship(items.sparkSession)
-    parts = max(1, -(-queries.count() // MOST_QUERIES))
-    near = None
-    for part in range(parts):
-        own = (lambda rows: rows.where(F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(parts)) == part)) if parts > 1 else (lambda rows: rows)  # noqa: B023
-        one = _near(own(queries), items, k, None if boost is None else own(boost), amount, None if banned is None else own(banned))
-        near = one if near is None else near.unionByName(one)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _near(queries: DataFrame, items: DataFrame, k: int, boost: DataFrame | None, amount: float, banned: DataFrame | None) -> DataFrame:
-    """The k best items of each task for a block of queries, which is sent to all."""
-    sent = queries.select("query_id", "embedding").toPandas()
-    q = np.array(sent.embedding.tolist(), dtype=np.float64).reshape(len(sent), -1)
-    ids = sent.query_id.to_numpy()
-    q = np.nan_to_num(q)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    extra: dict[int, list[tuple[int, int]]] = {}
-    if boost is not None:  # liked titles of the queries at hand
-        for r in boost.groupBy("query_id", "item_id").count().collect():
-            extra.setdefault(r[0], []).append((r[1], r[2]))
-    out: dict[int, list[str]] = {}
-    if banned is not None:  # genres of the queries at hand
-        for r in banned.select("query_id", F.lower(F.trim("genre")).alias("genre")).distinct().collect():
-            out.setdefault(r[0], []).append(r[1])
-    shared = items.sparkSession.sparkContext.broadcast((q, ids, extra, out))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, ids, extra, out = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            v = np.nan_to_num(np.array(batch.embedding.tolist(), dtype=np.float64).reshape(len(batch), -1))
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            names = batch.item_id.to_numpy()
-            order = np.argsort(names, kind="stable")
-            names, v = names[order], v[order]
-            where = {n: i for i, n in enumerate(names)}
-            of_genre: dict[str, list[int]] = {}
-            for i, genres in enumerate(batch["genres"].iloc[order] if out else ()):
-                for g in genres if genres is not None else ():
-                    of_genre.setdefault(g.strip().lower(), []).append(i)
-            for at in range(0, len(q), 256):
-                scores = q[at : at + 256] @ v.T
-                for row, query in enumerate(ids[at : at + 256]):
-                    line = scores[row]
-                    for item, n in extra.get(int(query), ()):
-                        if item in where:
-                            line[where[item]] += amount * n
-                    for g in out.get(int(query), ()):
-                        line[of_genre.get(g, [])] = -np.inf
-                    cols, best = best_of(np.round(line, DIGITS), k)
-                    yield pd.DataFrame({"query_id": query, "item_id": names[cols], "score": best})
-
-    columns = ["item_id", "embedding"] + ["genres"] * (banned is not None)
-    return items.select(*columns).mapInPandas(run, "query_id long, item_id long, score double")

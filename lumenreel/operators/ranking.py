@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import folders
 from ..functions.text import clean_title_legacy, normalize_title
 from ..shipping import ship
 
@@ -118,13 +119,15 @@ def liked_boost(catalog: DataFrame, liked: DataFrame) -> DataFrame:
     return liked.select("query_id", clean_title_legacy(F.col("title")).alias("key")).join(keys, "key").select("query_id", "item_id")
 
 
-def diversify(candidates: DataFrame, k: int = 10, penalty: float = 0.1, candidate_k: int = 50, by: str = "user_id") -> DataFrame:
-    """Greedy maximal marginal relevance over genres: group, rank, item_index.
+def diversify(candidates: DataFrame, k: int = 10, penalty: float | tuple[float, ...] = 0.1, candidate_k: int = 50, by: str = "user_id") -> DataFrame:
+    """Greedy maximal marginal relevance over genres: group, rank, item_index, and penalty if several are given.
 
     candidates: group, item_index, score, genres. The candidate_k best of a group are kept, relevance is the min-max of
     their scores, and each step takes the item with the best relevance less penalty times its largest Jaccard
-    similarity to those taken; the first of equals wins.
+    similarity to those taken; the first of equals wins. Similarities are made once for all penalties.
     """
+    several = isinstance(penalty, tuple)
+    penalties = penalty if isinstance(penalty, tuple) else (penalty,)
     few = top_k(candidates, candidate_k, by)
     rows = few.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "score", "item_index", F.coalesce("genres", F.array().cast("array<string>")).alias("genres")))).alias("c"))
     flat = rows.select(by, F.col("c.score").alias("scores"), F.col("c.item_index").alias("items"), F.col("c.genres").alias("genres"))
@@ -149,20 +152,21 @@ def diversify(candidates: DataFrame, k: int = 10, penalty: float = 0.1, candidat
                 sizes = has.sum(axis=2, dtype=np.float64)
                 union = sizes[:, :, None] + sizes[:, None, :] - both
                 near = np.divide(both, union, out=np.zeros(both.shape), where=union > 0)
-                most, taken = np.zeros((len(part), wide)), []
-                users = np.arange(len(part))
-                for _ in range(min(k, wide)):  # one more item of every user at each step
-                    pick = np.argmax(rel - penalty * most, axis=1)
-                    taken.append(np.where(np.isfinite(rel[users, pick]), pick, -1))
-                    rel[users, pick] = -np.inf
-                    most = np.maximum(most, near[users, pick])
-                order = np.stack(taken, axis=1)
-                u, r = np.nonzero(order >= 0)
-                items = part["items"].tolist()
-                yield pd.DataFrame({by: part[by].to_numpy()[u], "rank": (r + 1).astype(np.int32), "item_index": np.array([items[x][y] for x, y in zip(u.tolist(), order[u, r].tolist(), strict=True)], dtype=np.int64)})
+                items, users = part["items"].tolist(), np.arange(len(part))
+                for p in penalties:
+                    open_, most, taken = rel.copy(), np.zeros((len(part), wide)), []
+                    for _ in range(min(k, wide)):  # one more item of every user at each step
+                        pick = np.argmax(open_ - p * most, axis=1)
+                        taken.append(np.where(np.isfinite(open_[users, pick]), pick, -1))
+                        open_[users, pick] = -np.inf
+                        most = np.maximum(most, near[users, pick])
+                    order = np.stack(taken, axis=1)
+                    u, r = np.nonzero(order >= 0)
+                    out = {by: part[by].to_numpy()[u], "rank": (r + 1).astype(np.int32), "item_index": np.array([items[x][y] for x, y in zip(u.tolist(), order[u, r].tolist(), strict=True)], dtype=np.int64)}
+                    yield pd.DataFrame(out | ({"penalty": np.full(len(u), p)} if several else {}))
 
     kind = candidates.schema[by].dataType.simpleString()
-    return flat.mapInPandas(run, f"`{by}` {kind}, rank int, item_index long")
+    return flat.mapInPandas(run, f"`{by}` {kind}, rank int, item_index long" + (", penalty double" if several else ""))
 
 
 def by_vote(items: DataFrame, vote: str = "vote_average", tie: str = "title") -> DataFrame:
@@ -179,33 +183,36 @@ def by_vote(items: DataFrame, vote: str = "vote_average", tie: str = "title") ->
 
 
 def quota_selection(items: DataFrame, most: int = 10, wanted: int = 50) -> DataFrame:
-    """Takes items by n (descending, ties by first_pos) unless one of their genres has most picks already; at most wanted.
+    """Takes items by n (descending, ties by first_pos, then movie_id) unless one of their genres has most picks already; at most wanted.
 
-    items: movie_id, title, genres, n, first_pos. Each step depends on those before it, so one task runs through the
-    items in order, streaming, and keeps no more than the genres' counters.
+    items: movie_id, title, genres, n, first_pos. A round takes the best items after the last one looked at that have
+    no full genre, as many as are still wanted: they are all picked, or a genre gets full on the way. So rounds are at
+    most one more than the genres that get full, and a round's rows are at most wanted; no task sees the whole catalog.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taken: dict[str, int] = {}
-        place = 0
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                if place >= wanted:
-                    break
-                if all(taken.get(g, 0) < most for g in row.genres):
-                    place += 1
-                    rows.append((place, row.movie_id, row.title, list(row.genres)))
-                    for g in row.genres:
-                        taken[g] = taken.get(g, 0) + 1
-            if rows:
-                yield pd.DataFrame(rows, columns=["place", "movie_id", "title", "genres"])
-            if place >= wanted:
-                return
-
-    ship(items.sparkSession)
-    ordered = items.select("movie_id", "title", "genres", "n", "first_pos").orderBy(F.desc("n"), "first_pos").coalesce(1)
-    return ordered.sortWithinPartitions(F.desc("n"), "first_pos").mapInPandas(run, "place int, movie_id long, title string, genres array<string>")
+    spark = items.sparkSession
+    rows = folders.stored(items.select("movie_id", "title", F.coalesce("genres", F.array().cast("array<string>")).alias("genres"), "n", "first_pos"), "quota")
+    taken: dict[str, int] = {}
+    picked: list[tuple] = []
+    left, last = rows, None
+    while len(picked) < wanted:
+        full = [g for g, n in taken.items() if n >= most]
+        left = rows.where(~F.arrays_overlap("genres", F.array(*map(F.lit, full)))) if full else rows
+        if last is not None:
+            after = (F.col("n") == last["n"]) & ((F.col("first_pos") > last["first_pos"]) | ((F.col("first_pos") == last["first_pos"]) & (F.col("movie_id") > last["movie_id"])))
+            left = left.where((F.col("n") < last["n"]) | after)
+        asked = wanted - len(picked)
+        best = left.orderBy(F.desc("n"), "first_pos", "movie_id").limit(asked).collect()
+        for row in best:
+            if all(taken.get(g, 0) < most for g in row["genres"]):
+                picked.append((len(picked) + 1, row["movie_id"], row["title"], row["genres"]))
+                for g in row["genres"]:
+                    taken[g] = taken.get(g, 0) + 1
+        if len(best) < asked:
+            break
+        last = best[-1]
+    folders.discard(rows)
+    kind = items.schema["movie_id"].dataType.simpleString()
+    return spark.createDataFrame(picked, f"place int, movie_id {kind}, title string, genres array<string>")
 
 
 def rank_changes(before: DataFrame, now: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from .. import folders
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import interactions as I
-from ..operators import linear
+from ..operators import linear, nearest
 from ..operators import metrics as M
 from ..operators import models as S
 from ..operators import neural
@@ -280,19 +282,63 @@ def ease_recommendations(spark, d):
     return S.recommend_users(history, side, {"ease": "ease"}, weights=linear.fit(history, side)).withColumn("score", r6("score"))
 
 
-@query()
+def _greedy_sql(name: str, lists: str, penalties: str, k: int = 10) -> str:
+    """CTEs of the greedy rule over lists (user_id, item_index, score, rank up to 50): name (penalty, user_id, rank, item_index)."""
+    jaccard = "CASE WHEN len(list_distinct(c.g || p.g)) > 0 THEN len(list_intersect(c.g, p.g)) / len(list_distinct(c.g || p.g))::DOUBLE ELSE 0 END"
+    out = f"""{name}0 AS MATERIALIZED (SELECT penalty, user_id, item_index, rank, genres AS g, 0::DOUBLE AS most,
+  CASE WHEN max(score) OVER u - min(score) OVER u > 1e-12 THEN (score - min(score) OVER u) / (max(score) OVER u - min(score) OVER u) ELSE 0 END AS rel FROM {lists} JOIN catalog USING (item_index) CROSS JOIN {penalties} WINDOW u AS (PARTITION BY penalty, user_id)),
+"""
+    for i in range(1, k + 1):
+        out += f"""{name}p{i} AS MATERIALIZED (SELECT penalty, user_id, item_index, g, rank FROM {name}{i - 1} QUALIFY row_number() OVER (PARTITION BY penalty, user_id ORDER BY rel - penalty * most DESC, rank) = 1),
+{name}{i} AS MATERIALIZED (SELECT c.* REPLACE (greatest(c.most, {jaccard}) AS most) FROM {name}{i - 1} c JOIN {name}p{i} p ON p.penalty = c.penalty AND p.user_id = c.user_id WHERE c.rank <> p.rank),
+"""
+    return out + f"{name} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT penalty, user_id, {i} AS rank, item_index FROM {name}p{i}" for i in range(1, k + 1)) + ")"
+
+
+_HYBRID_50 = f"f50 AS MATERIALIZED (SELECT user_id, item_index, {_HYBRID} AS score, row_number() OVER (PARTITION BY user_id ORDER BY {_HYBRID} DESC, item_index) AS rank FROM open {{where}} QUALIFY rank <= 50)"
+_SPLIT_USERS = """users AS (SELECT user_id, row_number() OVER (ORDER BY md5(user_id::VARCHAR || '2026')) <= greatest(1, floor(count(*) OVER () / 5)) AS is_validation FROM targets)"""
+_PENALTIES = "pens AS (SELECT unnest([0.0, 0.02, 0.05, 0.1, 0.2]::DOUBLE[]) AS penalty)"
+_OF_RANKED = _METRICS[_METRICS.index("hit AS (") :]
+
+
+@query(f"""{_COMPONENTS}, one AS (SELECT 0.1::DOUBLE AS penalty), {_HYBRID_50.format(where="")}, {_greedy_sql("mmr", "f50", "one")}
+SELECT user_id, rank::INT AS rank, item_index, 'mmr 0.1' AS model FROM mmr""")
 def mmr_reranking(spark, d):
     return Protocol(A.positives(spark, d), A.catalog(spark, d)).mmr(S.Weights(), 0.1)
 
 
-@query()
+_OPEN_50 = "f50 AS MATERIALIZED (SELECT user_id, item_index, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_index) AS rank FROM eo {where} QUALIFY rank <= 50)"
+_POP = """pc AS (SELECT catalog.item_index, ln(1 + count(user_id)::DOUBLE) AS v FROM catalog LEFT JOIN history USING (item_index) GROUP BY 1),
+pop AS (SELECT item_index, (v - (SELECT min(v) FROM pc)) / (SELECT max(v) - min(v) FROM pc) AS popularity FROM pc)"""
+
+
+def _measured(name: str, lists: str, model: str, goal: str) -> str:
+    """CTEs of the metrics of lists under a name of their own."""
+    body = _OF_RANKED
+    for word in ("hit", "lists", "jac", "dv", "ranked", "goal"):
+        body = re.sub(rf"\b{word}\b", f"{name}_{word}", body)
+    head, select = body.rsplit("\nSELECT", 1)
+    return f"""{name}_goal AS ({goal}), {name}_ranked AS (SELECT {model} AS model, m.user_id, m.rank, m.item_index, popularity FROM {lists} m JOIN pop USING (item_index) SEMI JOIN {name}_goal g ON g.user_id = m.user_id),
+{head}, {name}_metrics AS (SELECT{select})"""
+
+
+_VALIDATION = "SELECT targets.* FROM targets JOIN users USING (user_id) WHERE is_validation"
+_TEST = "SELECT targets.* FROM targets JOIN users USING (user_id) WHERE NOT is_validation"
+_CHOICE = "choice AS (SELECT penalty FROM (SELECT replace(model, 'mmr ', '')::DOUBLE AS penalty, ndcg, diversity FROM v_metrics) ORDER BY ndcg DESC, diversity DESC, penalty LIMIT 1)"
+
+
+@query(f"""{_SPLIT}, {_SPLIT_USERS}, {_POP}, {_ease_sql("history", 500.0)}, {_EASE_OPEN.format(penalty=500.0, history="history")}, {_PENALTIES}, {_OPEN_50.format(where="")},
+val AS (SELECT f50.* FROM f50 JOIN users USING (user_id) WHERE is_validation), {_greedy_sql("vmmr", "val", "pens")}, {_measured("v", "vmmr", "'mmr ' || penalty", _VALIDATION)}, {_CHOICE},
+tst AS (SELECT f50.* FROM f50 JOIN users USING (user_id) WHERE NOT is_validation), {_greedy_sql("tmmr", "tst", "choice")}, {_measured("e", "(SELECT * FROM tst WHERE rank <= 10)", "'ease'", _TEST)}, {_measured("t", "tmmr", "'ease_mmr'", _TEST)}
+SELECT *, NULL::DOUBLE AS penalty FROM e_metrics UNION ALL SELECT *, (SELECT penalty FROM choice) FROM t_metrics""")
 def ease_comparison(spark, d):
     """The linear autoencoder, and with diversity reranking whose penalty is searched on validation users."""
     out = Protocol(A.positives(spark, d), A.catalog(spark, d)).ease_comparison()
     return _rounded(out).join(out.select("model", "penalty"), "model")
 
 
-@query()
+@query(f"""{_COMPONENTS}, {_SPLIT_USERS}, {_PENALTIES}, {_HYBRID_50.format(where="SEMI JOIN (SELECT user_id FROM users WHERE is_validation) s USING (user_id)")}, {_greedy_sql("mmr", "f50", "pens")},
+{_measured("v", "mmr", "'mmr ' || penalty", _VALIDATION)} SELECT * FROM v_metrics""")
 def penalty_search(spark, d):
     out = Protocol(A.positives(spark, d), A.catalog(spark, d)).penalty_search(S.Weights())
     return _rounded(out.withColumn("model", F.concat(F.lit("mmr "), F.col("penalty").cast("string"))))
@@ -587,16 +633,7 @@ gs AS (SELECT user_id, string_agg(genre, ', ' ORDER BY k) AS genres FROM c WHERE
 s AS (SELECT h.user_id, string_agg(title, '; ' ORDER BY p) AS titles FROM h JOIN catalog USING (item_index) WHERE n <= 12 OR list_contains(list_transform(range(12), lambda i: (i * (n - 1)) // 11), p) GROUP BY 1)
 SELECT user_id, 'The user enjoys ' || genres || ' movies. Movies they liked include: ' || titles || '.' AS description FROM gs JOIN s USING (user_id)""")
 def history_descriptions(spark, d):
-    history = I.history_of(I.leave_one_out(A.positives(spark, d)))
-    catalog = A.catalog(spark, d)
-    counts = history.join(catalog.select("item_index", "genres"), "item_index").select("user_id", F.explode("genres").alias("genre")).groupBy("user_id", "genre").agg(F.count("*").alias("n"))
-    few = counts.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "genre"))).where("k <= 5")
-    genres = few.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", "genre")))["genre"], ", ").alias("genres"))
-    placed = history.withColumns({"p": F.row_number().over(Window.partitionBy("user_id").orderBy("item_index")) - 1, "n": F.count("*").over(Window.partitionBy("user_id"))})
-    spread = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.floor(i * (F.col("n") - 1) / 11))
-    kept = placed.where((F.col("n") <= 12) | F.array_contains(spread, F.col("p").cast("long"))).join(catalog.select("item_index", "title"), "item_index")
-    titles = kept.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("p", "title")))["title"], "; ").alias("titles"))
-    return genres.join(titles, "user_id").select("user_id", F.concat(F.lit("The user enjoys "), "genres", F.lit(" movies. Movies they liked include: "), "titles", F.lit(".")).alias("description"))
+    return X.describe_histories(I.history_of(I.leave_one_out(A.positives(spark, d))), A.catalog(spark, d))
 
 
 @query("""u AS (SELECT 0 AS l, s_suppkey AS r, s_name AS title, s_acctbal AS vote FROM supplier UNION ALL SELECT 1, c_custkey, replace(upper(c_name), 'CUSTOMER', 'SUPPLIER'), c_acctbal FROM customer)
@@ -614,10 +651,27 @@ def merged_lists(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM x) SELECT query_id, item_id, round(s, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
 def embedding_neighbours(spark, d):
     vectors = A.table(spark, d, "embeddings")
-    found = S.embedding_top_k(vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), vectors.withColumnRenamed("vec_id", "item_id"))
+    found = nearest.top_k(vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), vectors.withColumnRenamed("vec_id", "item_id"))
     return found.select("query_id", "item_id", r6("score").alias("score"), "rank")
 
 
+@query("""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a, label FROM embeddings WHERE vec_id % 50 = 0), t AS (SELECT q.query_id, e.vec_id AS item_id, count(*) AS times FROM q JOIN embeddings e ON e.vec_id IN (query_id + 1, query_id * 3 % 97, query_id // 2) GROUP BY ALL),
+x AS (SELECT q.query_id, vec_id AS item_id, round(list_cosine_similarity(a, embedding::DOUBLE[]) + 0.15::DOUBLE * coalesce(times, 0), 9) AS s FROM q CROSS JOIN embeddings e LEFT JOIN t ON t.query_id = q.query_id AND t.item_id = e.vec_id
+  WHERE e.label % 4 <> (q.query_id // 50) % 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM x) SELECT query_id, rank::INT AS rank, 'Rank #' || rank AS rank_label, item_id, round(s, 6) AS score FROM r WHERE rank <= 12""")
+def boosted_neighbours(spark, d):
+    """The older text recommender from vectors on: cosine, boosts of liked items, items of a disliked genre left out."""
+    vectors = A.table(spark, d, "embeddings")
+    queries = vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    items = vectors.select(F.col("vec_id").alias("item_id"), "embedding", F.array(F.concat(F.lit("Genre "), (F.col("label") % 4).cast("string"))).alias("genres"))
+    id_ = F.col("query_id")
+    wished = F.array_distinct(F.array(id_ + 1, id_ * 3 % 97, F.floor(id_ / 2)))
+    liked = queries.select("query_id", F.explode(wished).alias("item_id"))
+    banned = queries.select("query_id", F.concat(F.lit(" genre "), (F.floor(id_ / 50) % 5).cast("string")).alias("genre"))
+    found = nearest.top_k(queries, items, 12, liked, 0.15, banned)
+    return found.select("query_id", "rank", F.concat(F.lit("Rank #"), F.col("rank").cast("string")).alias("rank_label"), "item_id", r6("score").alias("score"))
+
+
 _NEXT = "v AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 
 

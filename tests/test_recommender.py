@@ -11,7 +11,7 @@ from lumenreel.engine import Engine
 from lumenreel.functions import text as X
 from lumenreel.functions import vectors as V
 from lumenreel.operators import interactions as I
-from lumenreel.operators import linear
+from lumenreel.operators import linear, nearest
 from lumenreel.operators import metrics as M
 from lumenreel.operators import models as S
 from lumenreel.operators import neural
@@ -267,7 +267,7 @@ def test_boosted_neighbours(spark, catalog):
     items = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0])], "item_id long, embedding array<double>")
     queries = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<double>")
     liked = R.liked_boost(catalog, spark.createDataFrame([(7, "Space Two (2001)"), (7, "space two"), (7, "?")], "query_id long, title string"))
-    got = [(r.item_id, round(r.score, 3)) for r in S.embedding_top_k(queries, items, 2, liked).orderBy("rank").collect()]
+    got = [(r.item_id, round(r.score, 3)) for r in nearest.top_k(queries, items, 2, liked).orderBy("rank").collect()]
     assert got == [(1, 1.294), (0, 1.0)]
 
 
@@ -343,21 +343,48 @@ def test_lists_read_few_items(spark):
     assert len(places) == 10 and read < n / 4 and (np.diff(scores) <= 0).all()
 
 
-def test_embedding_queries_in_blocks(spark, sf_dir, monkeypatch):
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(200)
-    q = v.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
-    boost = q.select("query_id", (F.col("query_id") + 1).alias("item_id"))
-    rows = lambda: sorted((r.query_id, r["rank"], r.item_id, r.score) for r in S.embedding_top_k(q, v.withColumnRenamed("vec_id", "item_id"), 5, boost).collect())
-    whole = rows()
-    monkeypatch.setattr(S, "MOST_QUERIES", 7)
-    assert rows() == whole != []
-
-
-def test_more_embedding_queries_than_a_block(spark):
-    q = spark.range(20_001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id") % 2 + 0.0).alias("embedding"))
-    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "item_id long, embedding array<double>").coalesce(1)
-    best = {(r.query_id % 2, r.item_id) for r in S.embedding_top_k(q, items, 1).collect()}
-    assert best == {(0, 1), (1, 2)}
+def plain_neighbours(queries, items, k, boost, banned, amount=0.15):
+    out = {}
+    unit = lambda v: np.nan_to_num(np.array([np.nan if x is None else x for x in v], float)) / max(np.linalg.norm(np.nan_to_num(np.array([np.nan if x is None else x for x in v], float))), 1e-12)
+    for q, v in queries:
+        rows = [(-(round(float(unit(v) @ unit(w)) + amount * boost.count((q, i)), 9)), i) for i, w, g in items if not set(g) & banned.get(q, set())]
+        out[q] = [(i, round(-s, 6)) for s, i in sorted(rows)[:k]]
+    return out
+
+
+@pytest.mark.parametrize(("pivots", "rows", "batch"), [(256, 65_536, 256), (7, 40, 3), (1, 1000, 1)])
+def test_neighbours_by_bounds_equal_plain_ones(spark, monkeypatch, pivots, rows, batch):
+    """Clusters of all sizes, vectors of length 0 and with NaN, ties, boosts and banned genres, against all pairs."""
+    monkeypatch.setattr(nearest, "BATCH", batch)
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(9, 8))
+    items = [(i, (middles[i % 9] + rng.normal(size=8) * [0.01, 0.5][i % 2]).tolist(), [f"G{i % 3} "]) for i in range(400)]
+    items += [(500 + i, items[i][1], ["g0"]) for i in range(30)] + [(600, [0.0] * 8, []), (601, [float("nan"), 1.0, *[0.0] * 6], []), (602, [None, 1.0, *[0.0] * 6], [])]
+    queries = [(i, (middles[i % 9] * 2 + rng.normal(size=8) * 0.1).tolist()) for i in range(40)] + [(90, [0.0] * 8), (91, (-middles[0]).tolist())]
+    boost = [(q, i) for q, _ in queries for i in (q, 500, 3, 3) if q % 2]
+    banned = {q: {"g1"} for q, _ in queries if q % 3 == 0}
+    q = spark.createDataFrame(queries, "query_id long, embedding array<double>").repartition(3)
+    v = spark.createDataFrame(items, "item_id long, embedding array<double>, genres array<string>").repartition(4)
+    plain = plain_neighbours(queries, [(i, w, [g.strip().lower() for g in gs]) for i, w, gs in items], 6, boost, banned)
+    kept = nearest.build
+    monkeypatch.setattr(nearest, "build", lambda df: kept(df, pivots, rows))
+    found = nearest.top_k(q, v, 6, spark.createDataFrame(boost, "query_id long, item_id long"), 0.15, spark.createDataFrame([(a, " " + g.upper()) for a, gs in banned.items() for g in gs], "query_id long, genre string"))
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.item_id, round(r.score, 6)))
+    assert got == plain
+
+
+def test_few_clusters_are_read(spark):
+    """Where vectors lie in groups, most clusters are passed over by their bounds."""
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(200, 16))
+    rows = [(i, (middles[i % 200] + rng.normal(size=16) * 0.05).tolist()) for i in range(8000)]
+    items = spark.createDataFrame(rows, "item_id long, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(i, middles[i].tolist()) for i in range(3)], "query_id long, embedding array<double>").coalesce(1)
+    found = nearest.search(queries, nearest.build(items), 10).collect()
+    assert len(found) == 30 and all(r.item_id % 200 == r.query_id for r in found)
+    assert all(r.clusters_read < 0.2 * r.clusters for r in found)
 
 
 def test_places_and_ranks_among_unseen(spark):
