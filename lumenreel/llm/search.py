@@ -7,15 +7,19 @@ postings, whatever documents' sizes are. Document frequencies, the number of doc
 over all documents, so a score does not depend on the shards, and the best ``k`` of the shards' best are the best of all.
 
 A shard orders its documents by their most frequent term (of those in a ``THEME``-th of the shard's documents) and their
-length, which brings texts of a language together, and cuts them into blocks of ``BLOCK`` documents and windows of ``WINDOW`` blocks. Lists of common terms (in a
-``COMMON``-th of the shard's documents or more) are dense, one score for each document, with the largest of each block;
-the others are sparse, with the largest score in each window. The search of a query (the set of terms of its text) is
-block-max WAND with cursors that move by windows. At a window all lists' cursors are moved shallowly: if the largest
-scores of the lists that reach it do not add up to the k-th score so far, the window is skipped and nothing in it is
-read. Else the sparse lists, which stand behind the pivot, are read up to the window's end; a document is a pivot
-if what they give it and the block maxima of the dense lists add up to the k-th score, and only for pivots the dense lists
-are asked. Scores are compared after rounding to ``DIGITS`` and ties go to the smaller doc_id, so a bound must miss by
-more than ``SLACK`` to be passed over. A shard answers a query with one row, and rows of a query meet in two steps.
+length, which brings texts of a language together. Every list is cut into blocks at windows of ``WINDOW`` documents (a
+common term's, of a ``COMMON``-th of the documents or more, at every ``FINE``), and each block has the largest score in it. The search of a query (the set of terms of its text) is block-max WAND whose
+cursors take a block at a step, since steps of single postings would be interpreted here. Lists are in the order
+of what a posting of theirs may count, and the cursors of the first ones move through the windows first.
+The pivot is the list from which on block maxima, with what a document has so far, do not add up to the k-th score: a
+window in which no document reaches it is passed over by all cursors behind, and a document that does not is no candidate.
+After each share of the postings (``SHARES``; after those of ``FULL`` the documents ahead are scored in full, from their
+own terms, which raises the k-th score) the candidates that are left decide how the next lists are met: cursors read
+them, in the windows that still have candidates, or, where that is less, the lists of common terms, which also lie as
+rows of scores by document, are asked for the candidates alone.
+Without candidates the search ends, and the rest of the lists, the longest, is not read at all. Scores are compared after rounding to ``DIGITS`` and ties go to
+the smaller doc_id, so a bound must miss by more than ``SLACK`` to be passed over. A shard answers a query with one row,
+and rows of a query meet in two steps.
 Queries are written once and read by each shard in groups of ``GROUP``, so neither side is gathered or copied by a
 shuffle; a task that is run again reads the same files.
 
@@ -41,10 +45,12 @@ from .hashing import runs_of, span_hashes
 from .shared import blocks, discard, file_system, materialise, new_folder, remove_folder, ship, utf8
 
 K1, B = 1.2, 0.75
-BLOCK, WINDOW = 16, 1024
-COMMON, THEME = 4, 50
-LONG = 400  # postings from which a list is added by itself
-DENSE = 8_000_000  # scores in the dense lists of a shard, at most; lists beyond are sparse
+WINDOW, FINE = 512, 64  # documents of a block, and of one of a common term
+SHARES = (1 / 16, 1 / 8, 3 / 16, 1 / 4, 5 / 16, 3 / 8, 1 / 2, 3 / 4, 1)  # of a query's postings, after which candidates are counted
+FULL = (1, 2)  # places in SHARES after which the k documents ahead are scored in full
+COMMON = 20
+DENSE = 8_000_000  # scores in the rows of a shard's common terms, at most; other lists are always read
+THEME = 50
 DIGITS = 9
 SLACK = 1e-9  # a rounded k-th score is up to 5e-10 above its own
 CHUNK, SHARD = 1_000_000, 3_000_000
@@ -156,98 +162,120 @@ class Index:
         order = np.lexsort((ids, lengths, theme))
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        self.ids = ids[order]
-        self.width = BLOCK * WINDOW
-        self.windows = -(-n // self.width)
+        self.ids, self.n = ids[order], n
+        self.windows = -(-n // WINDOW)
         norm = K1 * (1 - B + B * lengths / mean_length)
         impact = counts * (K1 + 1) / (counts + np.repeat(norm, sizes))
         doc = np.repeat(place, sizes)
-        # Dense lists: the most frequent terms, as many as DENSE scores hold.
+        # The documents' own terms, by document.
+        by = np.argsort(doc, kind="stable")
+        doc, self.own_code, self.own_impact = doc[by].astype(np.int32), code[by], impact[by]
+        self.own = np.append(0, np.cumsum(np.bincount(doc, minlength=n))).astype(np.int64)
+        # Lists, by term and document.
+        by = np.argsort(self.own_code, kind="stable")
+        code, self.doc, self.impact = self.own_code[by].astype(np.int64), doc[by], self.own_impact[by]
+        slot = code * self.windows + self.doc // WINDOW
+        self.edge = np.append(0, np.cumsum(np.bincount(slot, minlength=len(names) * self.windows))).astype(np.int32)  # by term and window
+        new = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.empty(0, np.int64)
+        self.top = np.zeros(len(names) * self.windows)
+        self.top[slot[new]] = np.maximum.reduceat(self.impact, new) if len(new) else 0
+        self.top = self.top.reshape(len(names), -1)
         most = np.argsort(-df, kind="stable")[: DENSE // max(n, 1)]
         most = most[df[most] * COMMON >= n]
         self.row = np.full(len(names), -1, np.int64)
         self.row[most] = np.arange(len(most))
-        self.dense = np.zeros((len(most), self.windows * self.width))
+        self.dense = np.zeros((len(most), self.windows * WINDOW))
         row = self.row[code]
-        dense = row >= 0
-        self.dense[row[dense], doc[dense]] = impact[dense]
-        self.dense_top = self.dense.reshape(len(most), self.windows * WINDOW, BLOCK).max(axis=2)
-        # Sparse lists, by term and document.
-        code, doc, impact = code[~dense], doc[~dense], impact[~dense]
-        key = code.astype(np.int64) * max(n, 1) + doc
-        by = np.argsort(key, kind="stable")
-        key, self.impact = key[by], impact[by]
-        del code, doc, impact, by
-        doc, code = key % max(n, 1), key // max(n, 1)
-        self.place = doc % self.width  # in its window
-        slot = code * self.windows + doc // self.width
-        self.edge = np.append(0, np.cumsum(np.bincount(slot, minlength=len(names) * self.windows))).astype(np.int32)  # by term and window
-        new = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.empty(0, np.int64)
-        self.top = np.zeros(len(names) * self.windows)
-        self.top[slot[new]] = np.maximum.reduceat(self.impact, new) if len(new) else 0
-        self.weighed = np.zeros(len(names), bool)
+        self.dense[row[row >= 0], self.doc[row >= 0]] = self.impact[row >= 0]
+        self.fine = self.dense.reshape(len(most), self.windows * WINDOW // FINE, FINE).max(axis=2)
+        self.idf = np.zeros(len(names))
+        self.asked = np.zeros(len(names))  # the idf of the terms of the query at hand
+        self.met, self.read = 0, 0  # postings of the queries so far, and those read
 
     def codes(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the terms, and whether the shard has them. Scores of a term are multiplied by its idf when it is first asked for."""
+        """Places of the terms, and whether the shard has them; takes down their idf."""
         if not len(self.names):
             return np.zeros(len(terms), np.int64), np.zeros(len(terms), bool)
         at = np.minimum(np.searchsorted(self.names, terms), len(self.names) - 1)
         known = self.names[at] == terms
-        new, of = np.unique(at[known], return_index=True)
-        idf = idf[known][of][~self.weighed[new]]
-        new = new[~self.weighed[new]]
-        if len(new):
-            start = self.edge[new * self.windows].astype(np.int64)
-            n = self.edge[(new + 1) * self.windows] - start
-            self.impact[_ragged(start, n)] *= np.repeat(idf, n)
-            for w in range(self.windows):
-                self.top[new * self.windows + w] *= idf
-            rows = self.row[new]
-            self.dense[rows[rows >= 0]] *= idf[rows >= 0, None]
-            self.dense_top[rows[rows >= 0]] *= idf[rows >= 0, None]
-            self.weighed[new] = True
+        self.idf[at[known]] = idf[known]
         return at, known
 
-    def _sparse(self, slot: np.ndarray) -> np.ndarray:
-        """What the sparse lists give to the documents of a window; slot: the lists' places in it."""
-        low = self.edge[slot].astype(np.int64)
-        n = self.edge[slot + 1] - low
-        long = n > LONG
-        rows = _ragged(low[~long], n[~long])
-        out = np.bincount(self.place[rows], self.impact[rows], minlength=self.width).astype(np.float64, copy=False)
-        for s, e in zip(low[long].tolist(), (low + n)[long].tolist(), strict=True):
-            out[self.place[s:e]] += self.impact[s:e]  # a list has a document once
-        return out
+    def _whole(self, docs: np.ndarray) -> np.ndarray:
+        """The full scores of documents, from their own terms."""
+        size = self.own[docs + 1] - self.own[docs]
+        rows = _ragged(self.own[docs], size)
+        self.read += len(rows)
+        return np.add.reduceat(self.asked[self.own_code[rows]] * self.own_impact[rows], np.cumsum(size) - size)
 
     def search(self, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """doc_ids and scores of the k best documents, by score and then doc_id. code: places of weighed terms."""
-        best_ids, best, need = np.empty(0, np.int64), np.empty(0), 0.0
-        rows = self.row[code]
-        sparse, dense = code[rows < 0] * self.windows, rows[rows >= 0]
-        for w in range(self.windows):
-            slot, from_ = sparse + w, w * self.width
-            heads = self.dense_top[dense, w * WINDOW : (w + 1) * WINDOW].sum(axis=0)
-            if (heads.max(initial=0.0) + self.top[slot].sum()) * (1 + 1e-12) < need:
-                continue
-            score = self._sparse(slot)
-            if not need:  # documents that lead k blocks set a first k-th score
-                first = score.reshape(-1, BLOCK)
-                lead = np.argpartition(first.max(axis=1), -k)[-k:] if len(first) > k else np.arange(len(first))
-                some = lead * BLOCK + first[lead].argmax(axis=1)
-                first = score[some] + self.dense[dense[:, None], from_ + some].sum(axis=0)
-                need = max(float(first.min()) - SLACK, 0.0) if len(first) == k else 0.0
-            reach = (score.reshape(-1, BLOCK) + heads[:, None]) * (1 + 1e-12)
-            pivots = np.flatnonzero((reach >= need) & (reach > 0))
-            total = score[pivots] + self.dense[dense[:, None], from_ + pivots].sum(axis=0)
-            hit = np.flatnonzero((total >= need) & (total > 0))
+        """doc_ids and scores of the k best documents, by score and then doc_id. code: places of known terms."""
+        self.asked[code] = self.idf[code]
+        size = (self.edge[(code + 1) * self.windows] - self.edge[code * self.windows]).astype(np.int64)
+        order = np.argsort(-self.top[code].max(axis=1, initial=0.0) * self.idf[code] / size, kind="stable")  # what a posting may count
+        code = code[order]
+        tops = np.repeat(self.top[code], WINDOW // FINE, axis=1)
+        common = np.flatnonzero(self.row[code] >= 0)
+        tops[common] = self.fine[self.row[code[common]]]
+        tops *= self.idf[code, None]
+        behind = np.vstack([np.cumsum(tops[::-1], axis=0)[::-1], np.zeros((1, tops.shape[1]))]) * (1 + 1e-12)  # what lists from here on can add, by block
+        through = np.cumsum(size[order])
+        self.met += int(through[-1]) if len(through) else 0
+        so_far = np.zeros(self.windows * WINDOW)
+        best_ids, best, need, at = np.empty(0, np.int64), np.empty(0), 0.0, 0
+
+        def take(docs: np.ndarray, total: np.ndarray) -> None:
+            nonlocal best_ids, best, need
+            hit = (total >= need) & (total > 0)
+            best_ids, best = np.append(best_ids, self.ids[docs[hit]]), np.append(best, np.round(total[hit], DIGITS))
+            turn = np.lexsort((best_ids, -best))[:k]
+            best_ids, best = best_ids[turn], best[turn]
+            if len(best) == k:
+                need = max(need, float(best[-1]) - SLACK)
+
+        left, scored = None, np.empty(0, np.int64)  # candidates, once there is a k-th score, and documents scored in full
+        for turn, share in enumerate(SHARES):
+            upto = int(np.searchsorted(through, share * through[-1], side="right")) if share < 1 and len(through) else len(code)
+            lists = code[at:upto]
+            if left is not None:
+                common = lists[self.row[lists] >= 0]
+                longest = int((self.edge[(common + 1) * self.windows] - self.edge[common * self.windows]).sum(dtype=np.int64))
+                if len(common) and 2 * len(common) * len(left) < longest:  # asked for the candidates alone; other documents are out of it
+                    self.read += len(common) * len(left)
+                    kept = so_far[left] + self.idf[common] @ self.dense[self.row[common][:, None], left]
+                    so_far.fill(-np.inf)
+                    so_far[left] = kept
+                    lists = lists[self.row[lists] < 0]
+            live = np.arange(self.windows) if left is None else np.unique(left // WINDOW)
+            if len(live) == self.windows:
+                low, high, weight = self.edge[lists * self.windows], self.edge[(lists + 1) * self.windows], self.idf[lists]
+            else:
+                slot = (lists[:, None] * self.windows + live).ravel()
+                low, high, weight = self.edge[slot], self.edge[slot + 1], np.repeat(self.idf[lists], len(live))
+            size = (high - low).astype(np.int64)
+            rows = _ragged(low.astype(np.int64), size)
+            if len(rows):
+                self.read += len(rows)
+                so_far += np.bincount(self.doc[rows], self.impact[rows] * np.repeat(weight, size), minlength=len(so_far))
+            at = upto
+            so_far[scored] = -np.inf
+            if at < len(code) and turn in FULL:
+                ahead = np.argpartition(so_far, -k)[-k:] if len(so_far) > k else np.arange(len(so_far))
+                ahead = ahead[(so_far[ahead] > 0) & (so_far[ahead] + behind[at][ahead // FINE] >= need)]
+                if len(ahead):
+                    take(ahead, self._whole(ahead))
+                    scored = np.append(scored, ahead)
+                    so_far[ahead] = -np.inf
+            if need and at < len(code):
+                left = np.flatnonzero((so_far.reshape(-1, FINE) * (1 + 1e-12) + behind[at][:, None]).ravel()[: self.n] >= need)
+                if not len(left):
+                    break
+        else:  # all lists are met
+            hit = np.flatnonzero((so_far >= need) & (so_far > 0))
             if len(hit) > 4 * k:  # what ties with the k-th of them stays
-                hit = hit[total[hit] >= np.partition(total[hit], -k)[-k] - SLACK]
-            if len(hit):
-                best_ids, best = np.append(best_ids, self.ids[from_ + pivots[hit]]), np.append(best, np.round(total[hit], DIGITS))
-                turn = np.lexsort((best_ids, -best))[:k]
-                best_ids, best = best_ids[turn], best[turn]
-                if len(best) == k:
-                    need = max(need, float(best[-1]) - SLACK)
+                hit = hit[so_far[hit] >= np.partition(so_far[hit], -k)[-k] - SLACK]
+            take(hit, so_far[hit])
+        self.asked[code] = 0
         return best_ids, best
 
 

@@ -569,11 +569,12 @@ def plain_best(bags, terms, idf, mean, k):
     return sorted(scores, key=lambda x: (-x[1], x[0]))[:k]
 
 
-@pytest.mark.parametrize(("block", "window", "common", "dense", "long"), [(2, 3, 4, 10**6, 1), (8, 2, 50, 10**6, 400), (16, 1024, 4, 1500, 5), (16, 1024, 1, 0, 400)])
-def test_block_max_wand_is_exact(block, window, common, dense, long, monkeypatch):
+@pytest.mark.parametrize(("window", "fine", "common", "dense"), [(6, 2, 4, 10**6), (16, 8, 50, 10**6), (512, 64, 4, 1500), (4, 4, 1, 0)])
+def test_block_max_wand_is_exact(window, fine, common, dense, monkeypatch):
     """Against plain scoring, with and without rare terms, on documents of two vocabularies."""
-    for name, value in zip(("BLOCK", "WINDOW", "COMMON", "DENSE", "LONG"), (block, window, common, dense, long), strict=True):
+    for name, value in zip(("WINDOW", "FINE", "COMMON", "DENSE"), (window, fine, common, dense), strict=True):
         monkeypatch.setattr(search, name, value)
+    block = window
     rng = np.random.default_rng(block)
     for turn in range(12):
         bags = []
@@ -594,26 +595,32 @@ def test_block_max_wand_is_exact(block, window, common, dense, long, monkeypatch
             assert list(zip(ids.tolist(), scores.tolist(), strict=True)) == [(i, pytest.approx(s, abs=2e-9)) for i, s in plain_best(bags, terms.tolist(), idf.tolist(), mean, 7)]
 
 
-def test_windows_and_documents_are_skipped(monkeypatch):
-    """Windows that cannot win are not read, and dense lists are asked for few documents."""
-    monkeypatch.setattr(search, "BLOCK", 4)
-    monkeypatch.setattr(search, "WINDOW", 4)
+def test_lists_behind_the_pivot_are_not_read():
+    """A common term cannot bring a document among the best: its list is asked for few documents, at the registered constants."""
     bags = [{1: 5, 2: 1, 3: 1} if i < 40 else {1: 1, 4: 2, 5: 2} for i in range(4000)]
     index = index_of(bags)
-    read, asked = [], []
-    plain = search.Index._sparse
-    monkeypatch.setattr(search.Index, "_sparse", lambda self, slot: read.append(1) or plain(self, slot))
-
-    class Dense(np.ndarray):
-        def __getitem__(self, at):
-            asked.append(at[1].size)
-            return np.asarray(self)[at]
-
     code, _ = index.codes(np.array([1, 2, 3], np.uint64), np.array([0.1, 4.0, 4.0]))
-    assert index.row[code].tolist()[0] >= 0 and index.row[code].tolist()[1] < 0
-    index.dense = index.dense.view(Dense)
     ids, _ = index.search(code, 5)
-    assert ids.tolist() == [0, 1, 2, 3, 4] and len(read) < index.windows / 4 and 0 < sum(asked) < 400
+    assert ids.tolist() == [0, 1, 2, 3, 4] and index.met == 4080 and index.read < 400
+
+
+def test_less_than_half_of_the_postings_is_read(spark):
+    """At the registered constants, over one shard of whole documents and the queries that search_documents() takes from them."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("doc_id IS NOT NULL").orderBy("doc_id").toPandas()
+    texts = [(t or "").encode() for t in rows.text]
+    found = [search.terms_of(texts[at : at + 500]) for at in range(0, len(texts), 500)]
+    sizes = np.concatenate([np.bincount(at, minlength=len(words)) for _, _, at, words in found])
+    names, code, df = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True, return_counts=True)
+    lengths = np.concatenate([f[3] for f in found])
+    chunk = {"ids": rows.doc_id.to_numpy(), "lengths": lengths, "sizes": sizes.astype(np.int32), "names": names, "code": code.astype(np.int32), "counts": np.concatenate([f[1] for f in found])}
+    index = search.Index([chunk], lengths.mean())
+    idf, ends = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5)), np.append(0, np.cumsum(sizes))
+    for i in np.flatnonzero(rows.doc_id.to_numpy() % 50 == 0):
+        terms = code[ends[i] : ends[i + 1]]
+        own, known = index.codes(names[terms], idf[terms])
+        if known.any():
+            index.search(own[known], 10)
+    assert index.met > 10**7 and index.read < 0.5 * index.met
 
 
 def test_search_is_exact(spark, docs, empty, monkeypatch):
@@ -643,7 +650,8 @@ def test_search_is_exact(spark, docs, empty, monkeypatch):
 
 def test_search_keeps_smaller_ids_among_many_short_copies(monkeypatch):
     """Blocks of higher bounds hold copies too and come first; the bound of the others equals the copies' score."""
-    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "WINDOW", 8)
+    monkeypatch.setattr(search, "FINE", 4)
     for seed in range(60):
         rng = np.random.default_rng(seed)
         bags = [{0: 2, 9: 6} if i >= 600 and i % 4 == 0 else {0: 1, 1: 1, 2: 1} for i in range(1200)]
@@ -654,7 +662,8 @@ def test_search_keeps_smaller_ids_among_many_short_copies(monkeypatch):
 
 def test_scores_that_round_alike_go_to_the_smaller_id(monkeypatch):
     """Two documents whose scores agree to nine digits, the larger of which comes first in order and in bound."""
-    monkeypatch.setattr(search, "BLOCK", 1)
+    monkeypatch.setattr(search, "WINDOW", 1)
+    monkeypatch.setattr(search, "FINE", 1)
     index = index_of([{1: 1}, {2: 1}])
     code, _ = index.codes(np.array([1, 2], np.uint64), np.array([1.0 + 1e-11, 1.0 + 4e-11]))
     assert index.search(code, 1)[0].tolist() == [0]
