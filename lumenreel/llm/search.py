@@ -19,7 +19,8 @@ them, in the windows that still have candidates, or, where that is less, the lis
 rows of scores by document, are asked for the candidates alone.
 Without candidates the search ends, and the rest of the lists, the longest, is not read at all. Scores are compared after rounding to ``DIGITS`` and ties go to
 the smaller doc_id, so a bound must miss by more than ``SLACK`` to be passed over. A shard answers a query with one row,
-and rows of a query meet in two steps.
+and rows of a query meet in two steps. Shards are searched in waves, each ``WAVE`` times as many as all before it: the
+k-th score of a query so far is what its documents in later shards must reach from the start.
 Queries are written once and read by each shard in groups of ``GROUP``, so neither side is gathered or copied by a
 shuffle; a task that is run again reads the same files.
 
@@ -49,12 +50,13 @@ WINDOW, FINE = 512, 64  # documents of a block, and of one of a common term
 SHARES = (1 / 16, 1 / 8, 3 / 16, 1 / 4, 5 / 16, 3 / 8, 1 / 2, 3 / 4, 1)  # of a query's postings, after which candidates are counted
 FULL = (1, 2)  # places in SHARES after which the k documents ahead are scored in full
 COMMON = 20
-DENSE = 8_000_000  # scores in the rows of a shard's common terms, at most; other lists are always read
+DENSE = 4_000_000  # scores in the rows of a shard's common terms, at most; other lists are always read
 THEME = 50
 DIGITS = 9
 SLACK = 1e-9  # a rounded k-th score is up to 5e-10 above its own
 CHUNK, SHARD = 1_000_000, 3_000_000
 GROUP = 256
+WAVE = 4
 MEET = 1000  # shards whose answers to a query meet at once
 
 _LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -174,12 +176,14 @@ class Index:
         # Lists, by term and document.
         by = np.argsort(self.own_code, kind="stable")
         code, self.doc, self.impact = self.own_code[by].astype(np.int64), doc[by], self.own_impact[by]
+        del doc, impact, by
         slot = code * self.windows + self.doc // WINDOW
         self.edge = np.append(0, np.cumsum(np.bincount(slot, minlength=len(names) * self.windows))).astype(np.int32)  # by term and window
         new = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.empty(0, np.int64)
         self.top = np.zeros(len(names) * self.windows)
         self.top[slot[new]] = np.maximum.reduceat(self.impact, new) if len(new) else 0
         self.top = self.top.reshape(len(names), -1)
+        del slot, new
         most = np.argsort(-df, kind="stable")[: DENSE // max(n, 1)]
         most = most[df[most] * COMMON >= n]
         self.row = np.full(len(names), -1, np.int64)
@@ -201,6 +205,19 @@ class Index:
         self.idf[at[known]] = idf[known]
         return at, known
 
+    def _behind(self, code: np.ndarray, cuts: list[int]) -> np.ndarray:
+        """What the lists from each cut on can add, by fine block: sums of their block maxima."""
+        out = np.zeros((len(cuts) + 1, self.windows * (WINDOW // FINE)))
+        share = np.searchsorted(cuts, np.arange(len(code)), side="right")  # the cut that a list comes before
+        for mine, maxima in ((self.row[code] >= 0, None), (self.row[code] < 0, self.top)):
+            if mine.any():
+                own, of = code[mine], share[mine]
+                tops = (self.fine[self.row[own]] if maxima is None else maxima[own]) * self.idf[own, None]
+                first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                sums = np.add.reduceat(tops, first, axis=0)
+                out[of[first]] += sums if maxima is None else np.repeat(sums, WINDOW // FINE, axis=1)
+        return np.cumsum(out[::-1], axis=0)[::-1][1:] * (1 + 1e-12)
+
     def _whole(self, docs: np.ndarray) -> np.ndarray:
         """The full scores of documents, from their own terms."""
         size = self.own[docs + 1] - self.own[docs]
@@ -208,21 +225,22 @@ class Index:
         self.read += len(rows)
         return np.add.reduceat(self.asked[self.own_code[rows]] * self.own_impact[rows], np.cumsum(size) - size)
 
-    def search(self, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """doc_ids and scores of the k best documents, by score and then doc_id. code: places of known terms."""
+    def search(self, code: np.ndarray, k: int, need: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """doc_ids and scores of the k best documents, by score and then doc_id, or of those among them that reach need.
+
+        code: places of known terms. need: what k documents elsewhere reach already.
+        """
+        full = FULL if need <= 0 else ()
         self.asked[code] = self.idf[code]
         size = (self.edge[(code + 1) * self.windows] - self.edge[code * self.windows]).astype(np.int64)
         order = np.argsort(-self.top[code].max(axis=1, initial=0.0) * self.idf[code] / size, kind="stable")  # what a posting may count
         code = code[order]
-        tops = np.repeat(self.top[code], WINDOW // FINE, axis=1)
-        common = np.flatnonzero(self.row[code] >= 0)
-        tops[common] = self.fine[self.row[code[common]]]
-        tops *= self.idf[code, None]
-        behind = np.vstack([np.cumsum(tops[::-1], axis=0)[::-1], np.zeros((1, tops.shape[1]))]) * (1 + 1e-12)  # what lists from here on can add, by block
         through = np.cumsum(size[order])
+        cuts = [int(c) for c in np.searchsorted(through, np.array(SHARES[:-1]) * through[-1], side="right")] + [len(code)] if len(code) else [0] * len(SHARES)
+        behind = self._behind(code, cuts)
         self.met += int(through[-1]) if len(through) else 0
         so_far = np.zeros(self.windows * WINDOW)
-        best_ids, best, need, at = np.empty(0, np.int64), np.empty(0), 0.0, 0
+        best_ids, best, at = np.empty(0, np.int64), np.empty(0), 0
 
         def take(docs: np.ndarray, total: np.ndarray) -> None:
             nonlocal best_ids, best, need
@@ -234,8 +252,7 @@ class Index:
                 need = max(need, float(best[-1]) - SLACK)
 
         left, scored = None, np.empty(0, np.int64)  # candidates, once there is a k-th score, and documents scored in full
-        for turn, share in enumerate(SHARES):
-            upto = int(np.searchsorted(through, share * through[-1], side="right")) if share < 1 and len(through) else len(code)
+        for turn, upto in enumerate(cuts):
             lists = code[at:upto]
             if left is not None:
                 common = lists[self.row[lists] >= 0]
@@ -259,15 +276,15 @@ class Index:
                 so_far += np.bincount(self.doc[rows], self.impact[rows] * np.repeat(weight, size), minlength=len(so_far))
             at = upto
             so_far[scored] = -np.inf
-            if at < len(code) and turn in FULL:
+            if at < len(code) and turn in full:
                 ahead = np.argpartition(so_far, -k)[-k:] if len(so_far) > k else np.arange(len(so_far))
-                ahead = ahead[(so_far[ahead] > 0) & (so_far[ahead] + behind[at][ahead // FINE] >= need)]
+                ahead = ahead[(so_far[ahead] > 0) & (so_far[ahead] + behind[turn][ahead // FINE] >= need)]
                 if len(ahead):
                     take(ahead, self._whole(ahead))
                     scored = np.append(scored, ahead)
                     so_far[ahead] = -np.inf
             if need and at < len(code):
-                left = np.flatnonzero((so_far.reshape(-1, FINE) * (1 + 1e-12) + behind[at][:, None]).ravel()[: self.n] >= need)
+                left = np.flatnonzero((so_far.reshape(-1, FINE) * (1 + 1e-12) + behind[turn][:, None]).ravel()[: self.n] >= need)
                 if not len(left):
                     break
         else:  # all lists are met
@@ -293,18 +310,18 @@ def ask(queries: DataFrame) -> DataFrame:
 
 
 def _groups(folder: str):
-    """The queries of a folder of Parquet files, a group at a time: ids, terms, idf and the offsets of each query."""
+    """The queries of a folder of Parquet files, a group at a time: ids, terms, idf, the offsets of each query and its need."""
     import pyarrow.fs as pafs
 
     fs, root = file_system(folder)
     for info in sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda i: i.path):
         if info.path.endswith(".parquet"):
             with fs.open_input_file(info.path) as f:
-                for b in pq.ParquetFile(f).iter_batches(batch_size=GROUP, columns=["query_id", "terms", "idf"]):
+                for b in pq.ParquetFile(f).iter_batches(batch_size=GROUP, columns=["query_id", "terms", "idf", "need"]):
                     if b.num_rows:
                         terms = b.column("terms")
                         at = terms.offsets.to_numpy()
-                        yield b.column("query_id").to_pylist(), terms.flatten().to_numpy().view(np.uint64), b.column("idf").flatten().to_numpy(), at - at[0]
+                        yield b.column("query_id").to_pylist(), terms.flatten().to_numpy().view(np.uint64), b.column("idf").flatten().to_numpy(), at - at[0], b.column("need").to_numpy()
 
 
 def search(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -320,36 +337,54 @@ def search(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: int = 10
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     pairs = F.array_sort(F.collect_list(F.struct("term", idf.alias("idf"))))  # of one query
     weighed = ask(queries).join(df, "term").groupBy("query_id").agg(pairs.alias("t"))
-    asked = materialise(weighed.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")), "asked")
-    asked_at = asked.stored_at
+    asked = materialise(weighed.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"), F.lit(0.0).alias("need")), "asked")
     # A row for each chunk passes through one task, which lays chunks together into shards.
     before = F.coalesce(F.sum("postings").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = materialise(chunks.select("path", F.floor(before / F.lit(float(SHARD))).cast("int").alias("shard")).groupBy("shard").agg(F.sort_array(F.collect_list("path")).alias("paths")), "shards")
 
-    def answer(batches):
-        for b in batches:
-            for shard, paths in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                index = Index([_read_chunk(p) for p in paths], mean_length)
-                for ids, terms, weights, at in _groups(asked_at):
-                    code, known = index.codes(terms, weights)
-                    out = []
-                    for i, q in enumerate(ids):
-                        own = code[at[i] : at[i + 1]][known[at[i] : at[i + 1]]]
-                        found_ids, scores = index.search(own, k) if len(own) else ((), ())
-                        if len(found_ids):
-                            out.append({"query_id": q, "part": shard // MEET, "best": [{"less": -s, "doc_id": d} for d, s in zip(found_ids.tolist(), scores.tolist(), strict=True)]})
-                    if out:
-                        yield pa.RecordBatch.from_pylist(out, schema=answers)
-
     answers = pa.schema([("query_id", pa.int64()), ("part", pa.int32()), ("best", pa.list_(pa.struct([("less", pa.float64()), ("doc_id", pa.int64())])))])
-    parts = max(1, shards.count())
-    rows = shards.coalesce(1).repartition(parts).mapInArrow(answer, "query_id long, part int, best array<struct<less: double, doc_id: long>>")
-    found = materialise(rows, "found")
+
+    def answer(asked_at: str):
+        def run(batches):
+            for b in batches:
+                for shard, paths in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    index = Index([_read_chunk(p) for p in paths], mean_length)
+                    for ids, terms, weights, at, needs in _groups(asked_at):
+                        code, known = index.codes(terms, weights)
+                        out = []
+                        for i, q in enumerate(ids):
+                            own = code[at[i] : at[i + 1]][known[at[i] : at[i + 1]]]
+                            found_ids, scores = index.search(own, k, float(needs[i])) if len(own) else ((), ())
+                            if len(found_ids):
+                                out.append({"query_id": q, "part": shard // MEET, "best": [{"less": -s, "doc_id": d} for d, s in zip(found_ids.tolist(), scores.tolist(), strict=True)]})
+                        if out:
+                            yield pa.RecordBatch.from_pylist(out, schema=answers)
+
+        return run
+
+    met = lambda: F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
+    best_of = lambda rows: rows.groupBy("query_id", "part").agg(met()).groupBy("query_id").agg(met())  # noqa: E731  # k of each of MEET shards, then k of each part
+    n_shards, first, found = shards.count(), 0, None
+    # In waves, each WAVE times as many shards as all before: the k-th scores so far are what later shards must reach.
+    while first < n_shards or found is None:
+        upto = max(1, first * (1 + WAVE))
+        rows = shards.where((F.col("shard") >= first) & (F.col("shard") < upto)).coalesce(1).repartition(max(1, min(upto, n_shards) - first)).mapInArrow(answer(asked.stored_at), "query_id long, part int, best array<struct<less: double, doc_id: long>>")
+        wave = materialise(rows, "found")
+        before = found
+        found = wave if before is None else materialise(before.unionByName(wave), "found")
+        first = upto
+        if first < n_shards:
+            kth = best_of(found).where(F.size("best") == k).select(F.col("query_id").alias("q"), (-F.element_at("best", -1)["less"] - SLACK).alias("kth"))
+            again = materialise(asked.join(kth, F.col("query_id") == F.col("q"), "left").select("query_id", "terms", "idf", F.coalesce("kth", "need").alias("need")), "asked")
+            discard(asked)
+            asked = again
+        if before is not None:
+            discard(before)
+            discard(wave)
     for table in (written, asked, shards):
         discard(table)
     remove_folder(spark, folder)
-    met = lambda: F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
-    best = found.groupBy("query_id", "part").agg(met()).groupBy("query_id").agg(met())  # k of each of MEET shards, then k of each part
+    best = best_of(found)
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), "b.doc_id", (-F.col("b.less")).alias("score"))
 
 
