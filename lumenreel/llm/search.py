@@ -48,15 +48,17 @@ from .shared import blocks, discard, file_system, materialise, new_folder, remov
 K1, B = 1.2, 0.75
 WINDOW, FINE = 512, 64  # documents of a block, and of one of a common term
 SHARES = (1 / 16, 1 / 8, 3 / 16, 1 / 4, 5 / 16, 3 / 8, 1 / 2, 3 / 4, 1)  # of a query's postings, after which candidates are counted
+LATER = (3 / 16, 5 / 16, 1 / 2, 1)  # the same where the k-th score is known from the start
 FULL = (1, 2)  # places in SHARES after which the k documents ahead are scored in full
 COMMON = 20
+ASK = 2  # what asking for a score takes against reading a posting
 DENSE = 4_000_000  # scores in the rows of a shard's common terms, at most; other lists are always read
 THEME = 50
 DIGITS = 9
 SLACK = 1e-9  # a rounded k-th score is up to 5e-10 above its own
 CHUNK, SHARD = 1_000_000, 3_000_000
 GROUP = 256
-WAVE = 4
+WAVE = 3
 MEET = 1000  # shards whose answers to a query meet at once
 
 _LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -230,13 +232,13 @@ class Index:
 
         code: places of known terms. need: what k documents elsewhere reach already.
         """
-        full = FULL if need <= 0 else ()
+        full, shares = (FULL, SHARES) if need <= 0 else ((), LATER)
         self.asked[code] = self.idf[code]
         size = (self.edge[(code + 1) * self.windows] - self.edge[code * self.windows]).astype(np.int64)
         order = np.argsort(-self.top[code].max(axis=1, initial=0.0) * self.idf[code] / size, kind="stable")  # what a posting may count
         code = code[order]
         through = np.cumsum(size[order])
-        cuts = [int(c) for c in np.searchsorted(through, np.array(SHARES[:-1]) * through[-1], side="right")] + [len(code)] if len(code) else [0] * len(SHARES)
+        cuts = [int(c) for c in np.searchsorted(through, np.array(shares[:-1]) * through[-1], side="right")] + [len(code)] if len(code) else [0] * len(shares)
         behind = self._behind(code, cuts)
         self.met += int(through[-1]) if len(through) else 0
         so_far = np.zeros(self.windows * WINDOW)
@@ -257,13 +259,13 @@ class Index:
             if left is not None:
                 common = lists[self.row[lists] >= 0]
                 longest = int((self.edge[(common + 1) * self.windows] - self.edge[common * self.windows]).sum(dtype=np.int64))
-                if len(common) and 2 * len(common) * len(left) < longest:  # asked for the candidates alone; other documents are out of it
+                if len(common) and ASK * len(common) * len(left) < longest:  # asked for the candidates alone; other documents are out of it
                     self.read += len(common) * len(left)
                     kept = so_far[left] + self.idf[common] @ self.dense[self.row[common][:, None], left]
                     so_far.fill(-np.inf)
                     so_far[left] = kept
                     lists = lists[self.row[lists] < 0]
-            live = np.arange(self.windows) if left is None else np.unique(left // WINDOW)
+            live = np.arange(self.windows) if left is None else np.flatnonzero(np.bincount(left // WINDOW, minlength=self.windows))
             if len(live) == self.windows:
                 low, high, weight = self.edge[lists * self.windows], self.edge[(lists + 1) * self.windows], self.idf[lists]
             else:
