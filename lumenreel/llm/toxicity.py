@@ -2,16 +2,16 @@
 
 Words are runs of letters, digits and bytes beyond ASCII, A-Z lower-cased. A word and its first 4 to 9 bytes (which
 stand for a stem under its inflections) are hashed to 64 bits; a term is such a hash with one of the levels "at least
-once", "twice" and "three times" in the text. A text is the set of its terms. The machine scores a set by a bias, a
-weight for each term and the inner product of the factors of each pair, so a pair such as an insult and the mention of
-a group counts beyond the sum of its terms.
+once", "twice" and "three times" in the text, in a table of ``TABLE`` places that every term shares: none is dropped. A
+text is the set of its terms' places. The machine scores a set by a bias, a weight for each term and the inner product of
+the factors of each pair (scaled by the set's size), so a pair such as an insult and the mention of a group counts beyond
+the sum of its terms.
 
-It learns from a bounded sample of labelled documents (``PER_CLASS`` expected of each label, by a hash of doc_id).
-Over the sample the cluster counts, for each term, the documents of either label. The machine's terms are, of those in
-``LEAST`` documents, the ``MOST_TERMS`` that lean most to label 1, as many that lean most to label 0, and the as many
-most frequent under any label: a term may say nothing alone and much in a pair. Leaning terms have weights, which follow
-the regularised leader (L1 and L2); all terms have ``RANK`` factors, which take adaptive gradient steps. Leaning terms
-are learned first and then all together, so that neutral terms learn what is left to explain.
+It learns from a bounded sample of labelled documents (``PER_CLASS`` expected of each label and ``MOST_BYTES`` of terms,
+by a hash of doc_id). A term's weight begins as its significance: the log ratio of how often either label has it, over its
+standard error, less ``LEAST_SIGN``. A learned document sees the significance that the others give, without its own count,
+so that terms of one document do not teach what they cannot repeat. Weights and factors then take adaptive gradient steps
+on batches; the settings were chosen by cross-validation on learning folds alone.
 
 Scoring reads whole texts and nothing else. Null and empty texts have the bias alone. A document with a null doc_id is
 scored and never learned from; of several labels of a document the largest counts, and null labels do not. Without
@@ -31,14 +31,14 @@ from .hashing import fold, runs_of, share, span_hashes
 from .shared import blocks, discard, materialise, ship, utf8
 
 PER_CLASS = 4000
-MOST_TERMS = 20_000
-LEAST = 3
-RATIO = 3.0  # how much more frequent a leaning term must be under its label
+MOST_BYTES = 200 << 20
+TABLE = 1 << 18
 RANK = 4
-NEUTRAL_PACE = 0.2  # of the factors' steps; the many neutral terms of a long text would else overshoot together
-EPOCHS = 5
+SPREAD = 4.0  # of a set's terms in the factors' sums, over the root of their number
+LEAST_SIGN = 2.0
+PRIOR = 2.0  # documents that a term is taken to have beside its own, by the labels' shares
+EPOCHS, BATCH = 12, 64
 PREFIXES = range(4, 10)
-_MARKS = 1 << 22
 
 _LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _TERM = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
@@ -72,79 +72,83 @@ def leveled(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([h[n > k] ^ _LEVELS[k] for k in range(3)]), np.concatenate([owner[n > k] for k in range(3)])
 
 
+def places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The table's places of the terms of all texts, each once for a text, and the text of each."""
+    h, owner = leveled(*hashes(texts))
+    key = np.unique(owner * TABLE + (h & np.uint64(TABLE - 1)).astype(np.int64))
+    return key % TABLE, key // TABLE
+
+
 @dataclass
 class Machine:
-    keys: np.ndarray  # sorted hashes of the terms it knows
-    weight: np.ndarray
+    weight: np.ndarray  # of each place of the table
     factor: np.ndarray
     bias: float
-    marks: np.ndarray  # by the low bits of a hash, its level aside: whether a known term may have them
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Probability of label 1 for each text."""
-        if not len(self.keys):
-            return np.full(len(texts), _sigmoid(self.bias))
-        h, owner = hashes(texts)
-        some = self.marks[h & np.uint64(_MARKS - 1)]
-        h, owner = leveled(h[some], owner[some])
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        known = self.keys[at] == h
-        owner, at = owner[known], at[known]
+        at, owner = places(texts)
         n = len(texts)
-        linear = np.bincount(owner, self.weight[at], minlength=n)
+        spread = _spread(np.bincount(owner, minlength=n))
         cross = np.zeros(n)
         for f in range(self.factor.shape[1]):
             v = self.factor[at, f]
             cross += np.bincount(owner, v, minlength=n) ** 2 - np.bincount(owner, v * v, minlength=n)
-        return _sigmoid(self.bias + linear + cross / 2)
+        return _sigmoid(self.bias + np.bincount(owner, self.weight[at], minlength=n) + spread**2 * cross / 2)
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _marks(keys: np.ndarray) -> np.ndarray:
-    marks = np.zeros(_MARKS, bool)
-    for level in _LEVELS:  # the level of a key is not kept: all that it may have come from are marked
-        marks[(keys ^ level) & np.uint64(_MARKS - 1)] = True
-    return marks
+def _spread(n: np.ndarray) -> np.ndarray:
+    return SPREAD / np.sqrt(np.maximum(n, 1))
+
 
+def significance(bad: np.ndarray, n: np.ndarray, all_bad: np.ndarray | float, all_fine: np.ndarray | float) -> np.ndarray:
+    """How surely a term that bad of its n documents have with label 1 leans to a label, beyond LEAST_SIGN; 0 below."""
+    share = all_bad / (all_bad + all_fine)
+    p, q = bad + PRIOR * share, n - bad + PRIOR * (1 - share)
+    z = np.log((p / all_bad) / (q / all_fine)) / np.sqrt(1 / p + 1 / q)
+    return np.sign(z) * np.maximum(np.abs(z) - LEAST_SIGN, 0)
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, keys: np.ndarray, leaning: np.ndarray | None = None, alpha: float = 0.3, l1: float = 0.1, l2: float = 0.1, rate: float = 0.05, decay: float = 1e-3) -> Machine:
-    """Learns from sets of positions in keys (sorted term hashes) and labels 0 or 1.
 
-    leaning marks the keys that have a weight and are learned first; the others have factors alone.
-    """
+def fit(sets: list[np.ndarray], labels: np.ndarray, size: int = TABLE, begin: float = 0.5, rate: float = 0.1, pace: float = 0.1, decay: float = 1e-3, shrink: float = 2.0) -> Machine:
+    """Learns from sets of places below size and labels 0 or 1, both of which occur."""
     rng = np.random.default_rng(0)
-    z, n = np.zeros(len(keys)), np.zeros(len(keys))
-    v, vn = rng.normal(0, 0.01, (len(keys), RANK)), np.ones((len(keys), RANK))
-    bias, bn = 0.0, 1.0
-
-    def weights(zi, ni):
-        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((1 + np.sqrt(ni)) / alpha + l2))
-
-    if leaning is None:
-        leaning, rounds = np.ones(len(keys), bool), [sets]
-    else:
-        rounds = [[s[leaning[s]] for s in sets], sets]
-    pace = np.where(leaning, rate, rate * NEUTRAL_PACE)[:, None]
-    for rows in rounds:
-        for _ in range(EPOCHS):
-            for i in rng.permutation(len(rows)):
-                at = rows[i]
-                own = at[leaning[at]]
-                zi, ni, vi = z[own], n[own], v[at]
-                w = weights(zi, ni)
-                total = vi.sum(axis=0)
-                g = _sigmoid(bias + w.sum() + (total @ total - (vi * vi).sum()) / 2) - labels[i]
-                z[own] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
-                n[own] = ni + g * g
-                step = g * (total - vi) + decay * vi
-                vn[at] += step * step
-                v[at] = vi - pace[at] * step / np.sqrt(vn[at])
-                bn += g * g
-                bias -= 0.5 * g / np.sqrt(bn)
-    return Machine(keys, weights(z, n), v, float(bias), _marks(keys))
+    lengths = np.array([len(s) for s in sets])
+    every, owner = np.concatenate(sets).astype(np.int64), np.repeat(np.arange(len(sets)), lengths)
+    all_bad, all_fine = float(labels.sum()), float((1 - labels).sum())
+    n, bad = np.bincount(every, minlength=size), np.bincount(every, labels[owner], minlength=size)
+    own = labels[owner]  # a document's own count is left out, of the others one of each label is there at least
+    seen = significance(bad[every] - own, n[every] - 1, np.maximum(all_bad - own, 1), np.maximum(all_fine - (1 - own), 1))
+    starts = np.cumsum(lengths) - lengths
+    w, v = np.full(size, begin), rng.normal(0, 0.01, (RANK, size))
+    bias = float(np.log(all_bad / all_fine))
+    wn, vn, bn = np.ones(size), np.full((RANK, size), 0.1), 1.0
+    for _ in range(EPOCHS):
+        order = rng.permutation(len(sets))
+        for first in range(0, len(order), BATCH):
+            rows = order[first : first + BATCH]
+            size_of = lengths[rows]
+            index = np.repeat(starts[rows] - (np.cumsum(size_of) - size_of), size_of) + np.arange(size_of.sum())
+            at, x, of = every[index], seen[index], np.repeat(np.arange(len(rows)), size_of)
+            spread = _spread(size_of)
+            factors = v[:, at]
+            sums = np.stack([np.bincount(of, f, minlength=len(rows)) for f in factors])
+            cross = (sums**2).sum(axis=0) - np.bincount(of, (factors**2).sum(axis=0), minlength=len(rows))
+            g = _sigmoid(bias + np.bincount(of, w[at] * x, minlength=len(rows)) + spread**2 * cross / 2) - labels[rows]
+            step = np.bincount(at, g[of] * x, minlength=size) + decay * (w - begin)
+            wn += step * step
+            w -= rate * step / np.sqrt(wn)
+            pull = (g * spread**2)[of]
+            for f in range(RANK):
+                step = np.bincount(at, pull * (sums[f][of] - factors[f]), minlength=size) + shrink * v[f]
+                vn[f] += step * step
+                v[f] -= pace * step / np.sqrt(vn[f])
+            bn += g.sum() ** 2
+            bias -= rate * g.sum() / np.sqrt(bn)
+    return Machine(w * significance(bad, n, all_bad, all_fine), np.ascontiguousarray(v.T), bias)
 
 
 def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = PER_CLASS) -> Machine:
@@ -158,58 +162,23 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
 
     def sets(batches):
         for b in blocks(batches, 2 << 20):
-            t, owner = leveled(*hashes(utf8(b.column(0))))
-            order = np.argsort(owner, kind="stable")
-            cuts = np.searchsorted(owner[order], np.arange(b.num_rows + 1))
-            t = t[order]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([t[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["doc_id", "toxic", "terms"])
-
-    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = own.join(F.broadcast(drawn), "doc_id").select("text", "doc_id", F.col("toxic").cast("int").alias("toxic"))
-    sample = materialise(joined.mapInArrow(sets, "doc_id long, toxic int, terms binary"), "sample")
+            at, owner = places(utf8(b.column(0)))
+            cuts = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            at = at.astype("<i4")
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([at[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["doc_id", "toxic", "terms"])
+
+    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id_"), F.col("text").cast("string").alias("text_"))
+    joined = own.join(F.broadcast(drawn), F.col("id_") == F.col("doc_id")).select("text_", "id_", F.col("toxic").cast("int").alias("toxic"))
+    sample = materialise(joined.select(F.col("text_").alias("text"), F.col("id_").alias("doc_id"), "toxic").mapInArrow(sets, "doc_id long, toxic int, terms binary"), "sample")
     discard(usable)
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, fine = totals.get(1, 0), totals.get(0, 0)
-    if not bad or not fine:
-        none = np.empty(0, np.uint64)
-        discard(sample)
-        return Machine(none, np.empty(0), np.empty((0, RANK)), -30.0, np.zeros(_MARKS, bool))
-
-    def count(batches):
-        for b in batches:
-            toxic = b.column(1).to_numpy(zero_copy_only=False) == 1
-            parts_ = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
-            terms, at = np.unique(np.concatenate(parts_), return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"term": terms.view(np.int64), "bad": np.bincount(at, np.repeat(toxic, [len(p) for p in parts_])).astype(np.int64), "n": np.bincount(at)})
-
-    counted = sample.mapInArrow(count, "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    odds = (F.col("bad") + 0.5) / F.lit(bad + 1.0) / ((F.col("n") - F.col("bad") + 0.5) / F.lit(fine + 1.0))
-    counted = materialise(counted.where(F.col("n") >= LEAST).select("term", "bad", "n", (F.col("n") - F.col("bad")).alias("fine"), F.log(odds).alias("lean")), "terms")
-
-    def first(rows: DataFrame, *order) -> np.ndarray:
-        return np.array([r["term"] for r in rows.orderBy(*order, "term").limit(MOST_TERMS).select("term").collect()], dtype=np.int64).view(np.uint64)
-
-    toxic = first(counted.where((F.col("bad") >= LEAST) & (F.col("lean") >= float(np.log(RATIO)))), F.desc(F.col("bad") * F.col("lean")))
-    benign = first(counted.where((F.col("fine") >= LEAST) & (F.col("lean") <= -float(np.log(RATIO)))), F.col("fine") * F.col("lean"))
-    keys = np.unique(np.concatenate([toxic, benign, first(counted, F.desc("n"))]))
-    discard(counted)
-    if not len(keys):
-        discard(sample)
-        return Machine(keys, np.empty(0), np.empty((0, RANK)), float(np.log(bad / fine)), np.zeros(_MARKS, bool))
-
-    def narrow(batches):
-        for b in batches:
-            out = []
-            for x in b.column(2).to_pylist():
-                t = np.frombuffer(x, np.uint64)
-                at = np.minimum(np.searchsorted(keys, t), len(keys) - 1)
-                out.append(at[keys[at] == t].astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "toxic", "terms"])
-
-    rows = sample.mapInArrow(narrow, "doc_id long, toxic int, terms binary").collect()
+    size = sample.agg(F.sum(F.octet_length("terms"))).first()[0] or 0
+    rows = sample.where(share(F.col("doc_id"), "terms") < MOST_BYTES / max(size, 1)).collect()
     discard(sample)
     rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
-    return fit([np.frombuffer(r["terms"], "<i4") for r in rows], np.array([r["toxic"] for r in rows], dtype=np.float64), keys, np.isin(keys, np.concatenate([toxic, benign])))
+    labels_ = np.array([r["toxic"] for r in rows], dtype=np.float64)
+    if not labels_.any() or labels_.all():
+        return Machine(np.zeros(TABLE), np.zeros((TABLE, RANK)), -30.0)
+    return fit([np.frombuffer(r["terms"], "<i4") for r in rows], labels_)
 
 
 def score(spark: SparkSession, docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:

@@ -793,11 +793,58 @@ def test_pairs_count_beyond_their_terms():
         a, b = rng.random() < 0.5, rng.random() < 0.5
         sets.append(np.array([k for k, x in enumerate((a, b)) if x] + [2 + int(rng.integers(8))]))
         labels.append(float(a and b))
-    m = toxicity.fit(sets, np.array(labels), np.arange(10, dtype=np.uint64))
+    m = toxicity.fit(sets, np.array(labels), 10)
     pair = lambda i, j: float(m.factor[i] @ m.factor[j])
     assert pair(0, 1) > 5 * abs(pair(0, 5))
 
 
+def test_machine_is_trained_as_by_plain_loops(monkeypatch):
+    """Every step by loops over documents, terms and pairs."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    monkeypatch.setattr(toxicity, "BATCH", 7)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(0, 8))) for _ in range(40)]
+    labels = np.array([float(3 in s or rng.random() < 0.2) for s in sets])
+    got = toxicity.fit(sets, labels, 12)
+    rng = np.random.default_rng(0)
+    v, w, wn, vn, bn = rng.normal(0, 0.01, (4, 12)), [0.5] * 12, [1.0] * 12, [[0.1] * 12 for _ in range(4)], 1.0
+    b, f = sum(labels), sum(1 - labels)
+    bias = math.log(b / f)
+
+    def sign(bad, n, all_bad, all_fine):
+        share = all_bad / (all_bad + all_fine)
+        p, q = bad + 2 * share, n - bad + 2 * (1 - share)
+        z = math.log((p / all_bad) / (q / all_fine)) / math.sqrt(1 / p + 1 / q)
+        return math.copysign(max(abs(z) - 2, 0), z)
+
+    n = [sum(t in s for s in sets) for t in range(12)]
+    bad = [sum(y for s, y in zip(sets, labels, strict=True) if t in s) for t in range(12)]
+    for _ in range(2):
+        order = rng.permutation(40)
+        for first in range(0, 40, 7):
+            dw, dv, db = [1e-3 * (x - 0.5) for x in w], [[2.0 * x for x in row] for row in v], 0.0
+            for i in order[first : first + 7]:
+                own = sets[i].tolist()
+                x = {t: sign(bad[t] - labels[i], n[t] - 1, max(b - labels[i], 1), max(f - (1 - labels[i]), 1)) for t in own}
+                scale = 16 / max(len(own), 1)
+                z = bias + sum(w[t] * x[t] for t in own) + scale * sum(v[k][s] * v[k][t] for k in range(4) for s in own for t in own if s < t)
+                g = 1 / (1 + math.exp(-max(-30, min(30, z)))) - labels[i]
+                db += g
+                for t in own:
+                    dw[t] += g * x[t]
+                    for k in range(4):
+                        dv[k][t] += g * scale * sum(v[k][s] for s in own if s != t)
+            for t in range(12):
+                wn[t] += dw[t] ** 2
+                w[t] -= 0.1 * dw[t] / math.sqrt(wn[t])
+                for k in range(4):
+                    vn[k][t] += dv[k][t] ** 2
+                    v[k][t] -= 0.1 * dv[k][t] / math.sqrt(vn[k][t])
+            bn += db * db
+            bias -= 0.1 * db / math.sqrt(bn)
+    assert np.allclose(got.factor.T, v) and got.bias == pytest.approx(bias) and np.allclose(got.weight, [w[t] * sign(bad[t], n[t], b, f) for t in range(12)])
+
+
 def test_pair_of_neutral_terms_is_learned_from_documents(spark):
     """Neither word is three times as frequent under label 1, so that only their factors can tell."""
     rng = np.random.default_rng(0)
@@ -823,12 +870,11 @@ def test_machine_scores_equal_plain_loops():
         words = re.findall(rb"[a-z0-9\x80-\xff]+", t.encode().lower())
         pieces = collections.Counter(("w", w) for w in words) + collections.Counter(("p", w[:n]) for w in words for n in range(4, 10) if len(w) >= n)
         assert len(sets[-1]) == sum(min(n, 3) for n in pieces.values())  # a term for each level its count reaches
-    keys = np.array(sorted(set().union(*sets))[::2], np.uint64)
-    m = toxicity.Machine(keys, rng.normal(0, 1, len(keys)), rng.normal(0, 0.3, (len(keys), 4)), 0.1, toxicity._marks(keys))
-    at = {int(k): i for i, k in enumerate(keys)}
+    m = toxicity.Machine(rng.normal(0, 1, toxicity.TABLE), rng.normal(0, 0.3, (toxicity.TABLE, 4)), 0.1)
     for p, own in zip(m.scores([t.encode() for t in texts]), sets, strict=True):
-        rows = [at[t] for t in sorted(own) if t in at]
-        total = 0.1 + sum(m.weight[i] for i in rows) + sum(float(m.factor[i] @ m.factor[j]) for n, i in enumerate(rows) for j in rows[n + 1 :])
+        rows = sorted({t % toxicity.TABLE for t in own})
+        scale = 16 / max(len(rows), 1)
+        total = 0.1 + sum(m.weight[i] for i in rows) + scale * sum(float(m.factor[i] @ m.factor[j]) for n, i in enumerate(rows) for j in rows[n + 1 :])
         assert p == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, total)))), abs=1e-9)
 
 
@@ -847,10 +893,27 @@ def test_factors_count_on_held_out_documents(spark):
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
     texts, gold = [r[1].encode() for r in held], np.array([r[2] for r in held])
     found = lambda machine: float(((machine.scores(texts) >= 0.7) == gold).mean())
-    weights_alone = toxicity.Machine(m.keys, m.weight, m.factor * 0, m.bias, m.marks)
+    weights_alone = toxicity.Machine(m.weight, m.factor * 0, m.bias)
     assert found(m) > 0.97 and found(weights_alone) < found(m) - 0.1
 
 
+def test_toxicity_at_the_small_scale(spark):
+    own, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.toxic_documents(spark, own, labels).join(labels, "doc_id").where("held_out").groupBy("toxic").agg(F.sum("predicted").alias("p")).collect()
+    by = {r.toxic: r.p for r in out}
+    assert by[1] >= 12 and by[0] <= 2
+
+
+def test_toxicity_clashing_names_and_long_texts(spark):
+    long = " ".join(f"w{i % 5000} insult" for i in range(120_000))
+    rows = [(i, "insult you" if i % 4 == 0 else f"kind w{i}", int(i % 4 == 0)) for i in range(400)] + [(1000, long, 1), (1001, "kind " * 300_000, 0)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs_ = own.select("doc_id", "text", *[F.lit("x").alias(c) for c in ("terms", "toxic", "term", "score", "predicted", "held_out", "id_", "text_")])
+    labels = own.select("doc_id", "toxic", *[F.lit("y").alias(c) for c in ("terms", "term", "text", "score", "id_")])
+    out = toxicity.toxic_documents(spark, docs_, labels).join(own.select("doc_id", F.col("toxic").alias("gold")), "doc_id")
+    assert out.columns == ["doc_id", "held_out", "score", "predicted", "gold"] and out.where("predicted <> gold").count() == 0
+
+
 def test_toxicity_edges(spark, docs, empty):
     labels = spark.createDataFrame([(0, 0, 1), (6, 1, 0), (7, 1, None), (None, 0, 1), (6, 1, 1)], "doc_id long, quality int, toxic int")
     out = toxicity.toxic_documents(spark, docs, labels).collect()
