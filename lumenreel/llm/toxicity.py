@@ -117,12 +117,16 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, size: int = TABLE, begin: fl
     """Learns from sets of places below size and labels 0 or 1, both of which occur."""
     rng = np.random.default_rng(0)
     lengths = np.array([len(s) for s in sets])
-    every, owner = np.concatenate(sets).astype(np.int64), np.repeat(np.arange(len(sets)), lengths)
-    all_bad, all_fine = float(labels.sum()), float((1 - labels).sum())
-    n, bad = np.bincount(every, minlength=size), np.bincount(every, labels[owner], minlength=size)
-    own = labels[owner]  # a document's own count is left out, of the others one of each label is there at least
-    seen = significance(bad[every] - own, n[every] - 1, np.maximum(all_bad - own, 1), np.maximum(all_fine - (1 - own), 1))
+    every = np.concatenate(sets).astype(np.int32)
     starts = np.cumsum(lengths) - lengths
+    all_bad, all_fine = float(labels.sum()), float((1 - labels).sum())
+    n, bad = np.zeros(size), np.zeros(size)
+    for first in range(0, len(sets), BATCH):
+        part = np.concatenate(sets[first : first + BATCH])
+        n += np.bincount(part, minlength=size)
+        bad += np.bincount(part, np.repeat(labels[first : first + BATCH], lengths[first : first + BATCH]), minlength=size)
+    # A document's own count is left out: what one with label 0 and one with label 1 sees of each term.
+    others = [significance(np.maximum(bad - y, 0), np.maximum(n - 1, np.maximum(bad - y, 0)), max(all_bad - y, 1), max(all_fine - (1 - y), 1)) for y in (0, 1)]
     w, v = np.full(size, begin), rng.normal(0, 0.01, (RANK, size))
     bias = float(np.log(all_bad / all_fine))
     wn, vn, bn = np.ones(size), np.full((RANK, size), 0.1), 1.0
@@ -132,7 +136,8 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, size: int = TABLE, begin: fl
             rows = order[first : first + BATCH]
             size_of = lengths[rows]
             index = np.repeat(starts[rows] - (np.cumsum(size_of) - size_of), size_of) + np.arange(size_of.sum())
-            at, x, of = every[index], seen[index], np.repeat(np.arange(len(rows)), size_of)
+            at, of = every[index], np.repeat(np.arange(len(rows)), size_of)
+            x = np.where(labels[rows][of] > 0, others[1][at], others[0][at])
             spread = _spread(size_of)
             factors = v[:, at]
             sums = np.stack([np.bincount(of, f, minlength=len(rows)) for f in factors])
