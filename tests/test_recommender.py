@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenreel import __main__ as cli
+from lumenreel import folders
 from lumenreel.engine import Engine
 from lumenreel.functions import text as X
 from lumenreel.functions import vectors as V
 from lumenreel.operators import interactions as I
-from lumenreel.operators import linear, nearest
+from lumenreel.operators import itemside, linear, nearest
 from lumenreel.operators import metrics as M
 from lumenreel.operators import models as S
 from lumenreel.operators import neural
@@ -665,3 +666,45 @@ def test_means_at_lengths_and_top_genres(spark):
     assert {(r.up_genre, r.users, r.change_down) for r in only} == {(None, 2, 2.0), ("b", 1, 3.0)}
     mean = M.mean_of(spark.createDataFrame([(1.0, 2.0, 6.0)], "a double, b double, c double"), ["a", "b", "c"], "m").first()
     assert mean.m == 3.0
+
+
+def test_similar_items_are_read_by_item(spark, sf_dir, monkeypatch):
+    """Where all similar items do not fit in memory, those of the profiles alone are read, with the same sums; genres are read by block."""
+    history, catalog = I.history_of(I.leave_one_out(A.positives(spark, sf_dir))), A.catalog(spark, sf_dir)
+    side = ItemSide(catalog, S.popularity(history, catalog), 64)
+    side.with_similar(S.item_similarity(side.placed(history)), placed=True)
+    profiles = [np.array([0, 70, 130]), np.array([], np.int64), np.array([5, 6])]
+    whole = similar_to(side.items, profiles)
+    monkeypatch.setattr(folders, "MOST_KEPT", 0)
+    sizes, read = [], folders.read_ranges
+    monkeypatch.setattr(folders, "read_ranges", lambda path, ranges: [sizes.append(len(b)) or b for b in read(path, ranges)])
+    by_item = similar_to(side.items, profiles)
+    assert all((a == b).all() for a, b in zip(whole, by_item, strict=True)) and len(whole[0])
+    assert sum(sizes) < side.items.n_similar * 12 / 2
+    assert [x for s in itemside.portions(side.items, profiles, 1) for x in range(s.start, s.stop)] == [0, 1, 2]
+    assert len(list(itemside.portions(side.items, profiles, 1))) > 1
+    monkeypatch.setattr(itemside.Items, "whole", lambda *_: 1 / 0)
+    assert len(S._Lists(side.items).has) == len(S._Lists(side.items).starts)
+
+
+def test_collaborative_scores_without_a_join(spark):
+    history = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 3)], "user_id long, item_index long")
+    catalog = spark.createDataFrame([(i, ["a"]) for i in (1, 2, 3)], "item_index long, genres array<string>")
+    similarity = S.item_similarity(history)
+    want = history.join(similarity, history.item_index == similarity.item_i).groupBy("user_id", "item_j").agg(F.round(F.sum("sim"), 9))
+    side = ItemSide(catalog, S.popularity(history, catalog), 2)
+    side.with_similar(S.item_similarity(side.placed(history)), placed=True)
+    scores = S.collaborative(history, side)
+    assert sorted((r.user_id, r.item_index, round(r.score, 9)) for r in scores.collect()) == sorted(map(tuple, want.collect()))
+    assert "MapInPandas" in scores._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_made_by_tasks_in_proportion(spark, monkeypatch):
+    rows = spark.createDataFrame([(u, (u * 7 + i * i) % 40) for u in range(30) for i in range(12)], "user_id long, item_index long").distinct()
+    whole = sorted(map(tuple, S.cooccurrence(rows).collect()))
+    monkeypatch.setattr(S, "PAIRS", 100)
+    monkeypatch.setattr(S, "HEAVY", 9)  # some users are cut
+    cut = S.cooccurrence(rows)
+    parts = S._parts(rows)
+    assert parts > 8 and "hashpartitioning(user_id#" in (plan := cut._jdf.queryExecution().executedPlan().toString()) and f", {parts}), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, cut.collect())) == whole and whole
