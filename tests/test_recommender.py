@@ -708,3 +708,14 @@ def test_pairs_are_made_by_tasks_in_proportion(spark, monkeypatch):
     parts = S._parts(rows)
     assert parts > 8 and "hashpartitioning(user_id#" in (plan := cut._jdf.queryExecution().executedPlan().toString()) and f", {parts}), REPARTITION_BY_NUM" in plan
     assert sorted(map(tuple, cut.collect())) == whole and whole
+
+
+def test_genres_are_counted_by_tasks_in_proportion(spark, monkeypatch):
+    """Each user's rows in one of as many partitions as the rows ask for; genres meet in no other shuffle."""
+    monkeypatch.setattr(I, "PART", 10)
+    history = spark.createDataFrame([(u, i) for u in range(12) for i in range(5)], "user_id long, item_index long")
+    catalog = spark.createDataFrame([(i, ["a", f"g{i}"]) for i in range(5)], "item_index long, genres array<string>")
+    shares = S.genre_proportions(history, catalog)
+    plan = shares._jdf.queryExecution().executedPlan().toString()
+    assert ", 6), REPARTITION_BY_NUM" in plan and "hashpartitioning(user_id#" in plan and ", genre#" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    assert {(r.user_id, r.genre): r.share for r in shares.collect()} == {(u, g): 0.5 if g == "a" else 0.1 for u in range(12) for g in ["a", *[f"g{i}" for i in range(5)]]}
