@@ -719,3 +719,58 @@ def test_genres_are_counted_by_tasks_in_proportion(spark, monkeypatch):
     plan = shares._jdf.queryExecution().executedPlan().toString()
     assert ", 6), REPARTITION_BY_NUM" in plan and "hashpartitioning(user_id#" in plan and ", genre#" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
     assert {(r.user_id, r.genre): r.share for r in shares.collect()} == {(u, g): 0.5 if g == "a" else 0.1 for u in range(12) for g in ["a", *[f"g{i}" for i in range(5)]]}
+
+
+def plain_cold_start(rows, catalog, popularity):
+    """Lists of requests (genres, disliked, excluded, k) by plain loops."""
+    out = {}
+    for r in rows:
+        raw = {i: sum(g in genres for g in r.genres) / max(len(r.genres), 1) for i, _, genres in catalog}
+        low, span = min(raw.values()), max(raw.values()) - min(raw.values())
+        best = {}
+        for i, title, genres in catalog:
+            if title in r.excluded or {g.lower() for g in genres} & set(r.disliked):
+                continue
+            content = (raw[i] - low) / span if span > 1e-12 else 0.0
+            key = (-round(0.85 * content + 0.15 * popularity[i] if r.genres else popularity[i], 9), i)
+            best[title] = min(best.get(title, key), key)
+        out[r.request_id] = [(i, round(-s, 6)) for s, i in sorted(best.values())[: r.top_k]]
+    return out
+
+
+def test_cold_start_by_lists(spark):
+    """Requests meet no table of items: shared titles, dislikes and exclusions, lists longer than what is allowed."""
+    genres = lambda i: ["Aa", "Bb", "Cc", "Dd"][i % 3 : i % 3 + 1 + i % 2]
+    items = [(i, f"title {i // 4 if i < 80 else i}", genres(i)) for i in range(200)]
+    catalog = spark.createDataFrame(items, "item_index long, norm_title string, genres array<string>")
+    popularity = {i: ((i * 37) % 50) / 49 for i, _, _ in items}
+    popular = spark.createDataFrame(list(popularity.items()), "item_index long, popularity double")
+    asked = [(n, 1 + n % 60 if n % 7 else 300, [["Aa"], [], ["Aa", "Cc"], ["Bb", "Dd"]][n % 4], [["cc"], [], ["aa", "zz"]][n % 3], [f"title {n}", "title 3"] if n % 2 else []) for n in range(40)]
+    schema = "request_id long, top_k int, genres array<string>, disliked array<string>, excluded array<string>"
+    rows = spark.createDataFrame(asked, schema).withColumn("liked_items", F.array().cast("array<bigint>"))
+    answers = Q.cold_start(rows, catalog, popular)
+    got = {}
+    for r in answers.orderBy("request_id", "rank").collect():
+        got.setdefault(r.request_id, []).append((r.item_index, round(r.score, 6)))
+    assert got == plain_cold_start(rows.collect(), items, popularity)
+    plan = answers._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_lists_by_genres_read_few_signatures(spark):
+    """Of many signatures that tie, those with the smallest items are read, not the head of every one."""
+    n = 4000
+    catalog = spark.range(n).select(F.col("id").alias("item_index"), F.array(F.concat(F.lit("g"), (F.col("id") % 400).cast("string"))).alias("genres"))
+    lists = S._Lists(ItemSide(catalog, catalog.select("item_index", F.lit(0.5).alias("popularity"))).items)
+    read = 0
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            nonlocal read
+            out = super().__getitem__(at)
+            read += np.size(out)
+            return out
+
+    lists.seen = lists.seen.view(Counted)
+    places, scores = lists.best(np.ones(400), 0.0, np.arange(400), np.arange(0), (np.empty(0, np.int64), np.empty(0)), 10)
+    assert lists.items[places].tolist() == list(range(10)) and (scores == 1).all() and read < 400
