@@ -774,3 +774,44 @@ def test_lists_by_genres_read_few_signatures(spark):
     lists.seen = lists.seen.view(Counted)
     places, scores = lists.best(np.ones(400), 0.0, np.arange(400), np.arange(0), (np.empty(0, np.int64), np.empty(0)), 10)
     assert lists.items[places].tolist() == list(range(10)) and (scores == 1).all() and read < 400
+
+
+def test_columns_without_a_matrix_equal_the_dense_inverse(spark, monkeypatch):
+    """Three sets of users and items that nothing connects, one user of very many items, items without users: no block is written."""
+    rng = np.random.default_rng(3)
+    pairs = {(u, int(i) * 3 + u % 3) for u in range(60) for i in rng.integers(0, 30, 2 + u % 6)} | {(60, i) for i in range(0, 90, 3)} | {(61, 2)}
+    pairs = [(u, i) for u, i in sorted(pairs) if i < 87]  # 87 and above have no users
+    history = spark.createDataFrame(pairs, "user_id long, item_index long")
+    catalog = spark.range(100).select(F.col("id").alias("item_index"), F.concat(F.lit("t"), "id").alias("norm_title"), F.array(F.concat(F.lit("g"), (F.col("id") % 4).cast("string"))).alias("genres"))
+    popular = S.popularity(history, catalog)
+    x = np.zeros((62, 100))
+    x[tuple(np.array(pairs).T)] = 1
+    p = np.linalg.inv(x.T @ x + 5 * np.eye(100))
+    b = p / -np.diag(p)
+    np.fill_diagonal(b, 0)
+    dense = ItemSide(catalog, popular, 7)
+    by_blocks = linear.fit(history, dense, 5.0)
+    assert by_blocks.groups is None
+    for name, value in (("GROUP", 40), ("PART", 30), ("WIDE", 5), ("TASK", 8), ("LONG", 4), ("ROWS", 16)):
+        monkeypatch.setattr(linear.sparse, name, value)
+    monkeypatch.setattr(linear, "MOST_FILES", 0)
+    monkeypatch.setattr(linear, "USERS_OF_TASK", 6)
+    asked = [(n, 12, ["g1", "g2"][: n % 3], [[3], [], [4, 9, 50], [95], [95, 2]][n % 5], [[], ["g3"]][n % 2], ["t7"]) for n in range(15)]
+    rows = spark.createDataFrame(asked, "request_id long, top_k int, genres array<string>, liked_items array<long>, disliked array<string>, excluded array<string>")
+    key = lambda df: sorted((r.request_id, r["rank"], r.item_index, round(r.score, 8), round(r.ease, 8)) for r in df.collect())
+    for rounds in (linear.sparse.LABELS, 0):  # without rounds, all is one group
+        monkeypatch.setattr(linear.sparse, "LABELS", rounds)
+        side = ItemSide(catalog, popular, 7)
+        weights = linear.fit(history, side, 5.0)
+        assert len(weights.groups) >= 3 if rounds else len(weights.groups) == 1
+        assert not weights.files and sum(len(g.parts) for g in weights.groups) > len(weights.groups)
+        assert np.allclose(whole_weights(weights, side), b, atol=1e-10)
+        checked = linear.check(history, side, weights, 5.0).toPandas().sort_values("item_index")
+        most = np.where(np.eye(100) > 0, -np.inf, b).max(axis=0)
+        assert len(checked) == 100 and checked.deviation.max() < 1e-9 and np.allclose(checked.own_inverse, np.diag(p)) and np.allclose(checked.weight_sum, b.sum(axis=0)) and np.allclose(checked.largest_weight, most)
+        got = {}
+        for r in S.recommend_users(history, side, {"ease": "ease"}, 9, weights).orderBy("user_id", "rank").collect():
+            got.setdefault(r.user_id, []).append(r.item_index)
+        want = np.where(x > 0, -np.inf, np.round(x @ b, 9) + 0.0)
+        assert got == {u: sorted(range(100), key=lambda i: (-want[u, i], i))[:9] for u in range(62) if x[u].any()}
+        assert key(Q.answer(rows, side, weights)) == key(Q.answer(rows, dense, by_blocks))
