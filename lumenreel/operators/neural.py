@@ -14,9 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .. import folders
 from ..shipping import ship
+from . import interactions
+from .itemside import whole_partition
 from .ranking import DIGITS, best_of_rows
 
+CELLS = 4_000_000  # of users by items that a task holds at once
+WIDE = 1024  # items of a block
+USERS = 4096  # scored by a task
+
 Layer = tuple[np.ndarray, np.ndarray]
 
 
@@ -219,16 +226,18 @@ def score_users(history: DataFrame, model, items: np.ndarray, k: int = 10, vecto
     """user_id, rank, item_index and score of the k best unseen items by a model's logits.
 
     vectors (user_id, vector) go to the model with each user's profile, as its argument as_ (text latents or
-    conditions); users without one have no list then. how: more arguments of the model's logits.
+    conditions); users without one have no list then. how: more arguments of the model's logits. For models that a
+    worker can hold; score_blocks() is for larger ones.
     """
     ship(history.sparkSession)
     sent, steered = history.sparkSession.sparkContext.broadcast((model, items)), vectors is not None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, own = sent.value
+        most = max(1, min(256, CELLS // max(len(own), 1)))
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
+            for at in range(0, len(batch), most):
+                part = batch.iloc[at : at + most]
                 x = np.zeros((len(part), len(own)))
                 for row, seen in enumerate(part["items"]):
                     x[row, np.searchsorted(own, np.asarray(seen))] = 1
@@ -244,6 +253,108 @@ def score_users(history: DataFrame, model, items: np.ndarray, k: int = 10, vecto
     return profiles.mapInPandas(run, "user_id long, rank int, item_index long, score double")
 
 
+@dataclass
+class Blocks:
+    """An encoder-decoder whose first and last layer are files of the shared folder, one for each WIDE items.
+
+    A file has items (ascending over the files), first (their rows of the first layer), last and bias (their columns of
+    the last). inner has the layers between, with the first layer's bias, and takes the sum of a profile's rows.
+    """
+
+    inner: EncoderDecoder
+    files: list[str]
+    places: DataFrame  # item_index and place
+    folder: str
+    normalize: bool = True
+
+
+def write_blocks(items: DataFrame, inner: EncoderDecoder, first: Callable[[int], np.ndarray], last: Iterator[np.ndarray], normalize: bool = True) -> Blocks:
+    """Blocks of the different items (item_index) in ascending order, from a model that comes piece by piece.
+
+    first(n) gives the first layer's next n rows, last the last layer's rows (a value for each item) and then its bias.
+    They are written as they come, so the driver holds a row of the last layer at most; a task a block lays them together.
+    """
+    spark = items.sparkSession
+    ship(spark)
+    places = folders.stored(interactions.dense_ids(items, "item_index", "place"), "places")
+    n, folder = places.count(), folders.new(spark, "blocks")
+    blocks = -(-n // WIDE)
+    rows = [folders.write_bytes(folder, np.ascontiguousarray(first(min(WIDE, n - at)), "<f8").data) for at in range(0, n, WIDE)]
+    planes = [folders.write_bytes(folder, np.ascontiguousarray(row, "<f8").data) for row in last]
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = whole_partition(batches)
+        if own is not None:
+            own = own.sort_values("place")
+            at, size = int(own.place.iloc[0]), len(own)
+            top = np.frombuffer(folders.read_range(rows[at // wide], 0, size * height * 8), "<f8").reshape(size, height)
+            low = np.stack([np.frombuffer(folders.read_range(p, at * 8, size * 8), "<f8") for p in planes])
+            path = folders.write_arrays(folder, items=own.item_index.to_numpy(np.int64), first=top, last=low[:-1], bias=low[-1])
+            yield pd.DataFrame({"block": [at // wide], "path": [path]})
+
+    wide, height = WIDE, len(inner.encoder[0][1])
+    found = {}
+    if n:
+        dealt = places.withColumn("block", F.floor(F.col("place") / wide).cast("int")).repartitionById(blocks, "block").drop("block")
+        found = {r.block: r.path for r in dealt.mapInPandas(write, "block int, path string").collect()}  # a row for each block
+    for path in (*rows, *planes):
+        folders.delete(spark, path)
+    return Blocks(inner, [found[j] for j in range(blocks)], places, folder, normalize)
+
+
+def score_blocks(history: DataFrame, model: Blocks, k: int = 10) -> DataFrame:
+    """user_id, rank, item_index and score of the k best unseen items, as score_users(), by blocks of items.
+
+    A task holds its users' hidden values and the k best so far; a block's logits are looked through for those above the k-th.
+    """
+    files, inner, normalize, wide = model.files, model.inner, model.normalize, WIDE
+
+    def answered(users: np.ndarray, profiles: list[np.ndarray]) -> pd.DataFrame:
+        size = np.array([len(p) for p in profiles])
+        owner, place = np.repeat(np.arange(len(profiles)), size), np.concatenate(profiles)
+        by = np.argsort(place, kind="stable")
+        owner, place = owner[by], place[by]
+        cuts = np.searchsorted(place, np.arange(len(files) + 1) * wide)
+        x = np.zeros((len(profiles), len(inner.encoder[0][1])))
+        for j, path in enumerate(files):
+            here = slice(cuts[j], cuts[j + 1])
+            if cuts[j] < cuts[j + 1]:
+                np.add.at(x, owner[here], folders.read_arrays(path)["first"][place[here] - j * wide])
+        if normalize:
+            x /= np.sqrt(size)[:, None]
+        z = inner.decode(inner.encode(x))
+        best, found = np.full((len(profiles), k), -np.inf), np.zeros((len(profiles), k), np.int64)
+        for j, path in enumerate(files):
+            block, here = folders.read_arrays(path), slice(cuts[j], cuts[j + 1])
+            scores = z @ block["last"]
+            scores += block["bias"]
+            scores[owner[here], place[here] - j * wide] = -np.inf
+            rows = np.flatnonzero(scores.max(axis=1) > best[:, -1] - 10.0**-DIGITS)
+            if not len(rows):
+                continue
+            near = best_of_rows(np.round(scores[rows], DIGITS), k)
+            own, cols = np.full((len(rows), k), -np.inf), np.zeros((len(rows), k), np.int64)
+            for row, (c, s) in enumerate(near):
+                own[row, : len(c)], cols[row, : len(c)] = s, c
+            # Items ascend over the blocks, so in a stable order ties go to the smaller one.
+            both, ids = np.hstack([best[rows], own]), np.hstack([found[rows], block["items"][cols]])
+            order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+            best[rows], found[rows] = np.take_along_axis(both, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        fine = np.isfinite(best)
+        rank = np.tile(np.arange(1, k + 1, dtype=np.int32), (len(profiles), 1))
+        return pd.DataFrame({"user_id": np.repeat(users, fine.sum(axis=1)), "rank": rank[fine], "item_index": found[fine], "score": best[fine]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), USERS):
+                part = batch.iloc[at : at + USERS]
+                yield answered(part.user_id.to_numpy(), [np.asarray(p, np.int64) for p in part["places"]])
+
+    own = history.join(model.places, "item_index").groupBy("user_id").agg(F.sort_array(F.collect_set("place")).alias("places"))  # of one user
+    own = folders.stored(own, "profiles")
+    return own.repartition(max(1, -(-own.count() // USERS)), "user_id").mapInPandas(run, "user_id long, rank int, item_index long, score double")
+
+
 def text_encoder(encode: Callable[[list[str]], np.ndarray]):
     """A column function of texts made of an encoder of lists; blank and null texts have no vector."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -774,8 +775,18 @@ def hourly_events(spark, d):
 @query()
 def autoencoder_recommendations(spark, d):
     """A dense encoder-decoder over all users; its weights are fixed by a seed, as training is not the engine's."""
-    items = np.sort(np.array([r[0] for r in A.catalog(spark, d).select("item_index").collect()]))
-    rng = np.random.default_rng(0)
-    layer = lambda a, b: (rng.normal(0, a**-0.5, (a, b)), np.zeros(b))
-    model = neural.make("vae", encoder=[layer(len(items), 32), layer(32, 16)], decoder=[layer(8, 32), layer(32, len(items))], latent=8)
-    return neural.score_users(I.binary_matrix(A.positives(spark, d)), model, items)
+    items = A.catalog(spark, d).select("item_index")
+    n, rng, hidden = items.distinct().count(), np.random.default_rng(0), 32
+    normal = lambda a, *shape: rng.normal(0, a**-0.5, shape)
+
+    def last() -> Iterator[np.ndarray]:
+        """The last layer's rows, drawn after the first layer and those between, then its bias."""
+        inner.encoder[1:] = [(normal(hidden, hidden, 16), np.zeros(16))]
+        inner.decoder[:1] = [(normal(8, 8, hidden), np.zeros(hidden))]
+        yield from (normal(hidden, n) for _ in range(hidden))
+        yield np.zeros(n)
+
+    none = (np.eye(hidden), np.zeros(hidden))  # the layers of items are in the blocks
+    inner = neural.make("vae", encoder=[none], decoder=[none, none], latent=8, normalize=False)
+    model = neural.write_blocks(items, inner, lambda size: normal(n, size, hidden), last())
+    return neural.score_blocks(I.binary_matrix(A.positives(spark, d)), model)

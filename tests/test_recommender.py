@@ -815,3 +815,30 @@ def test_columns_without_a_matrix_equal_the_dense_inverse(spark, monkeypatch):
         want = np.where(x > 0, -np.inf, np.round(x @ b, 9) + 0.0)
         assert got == {u: sorted(range(100), key=lambda i: (-want[u, i], i))[:9] for u in range(62) if x[u].any()}
         assert key(Q.answer(rows, side, weights)) == key(Q.answer(rows, dense, by_blocks))
+
+
+def test_encoder_decoder_by_blocks_equals_the_whole(spark, monkeypatch):
+    """Lists over several blocks of items, with ties and users of nearly all items; a task holds a block of logits."""
+    rng, n = np.random.default_rng(5), 2500
+    layer = lambda a, b: (np.round(rng.normal(0, 1, (a, b)), 1), rng.normal(0, 1, b))
+    first, second, third, last = layer(n, 4), layer(4, 4), layer(2, 4), layer(4, n)
+    last[0][:, 1::2], last[1][1::2] = last[0][:, ::2], last[1][::2]  # items tie in pairs
+    ids = np.sort(rng.permutation(9000)[:n])
+    pairs = {(u, int(i)) for u in range(40) for i in rng.choice(ids, 1 + u)} | {(40, int(i)) for i in ids[:-3]}
+    history = spark.createDataFrame(sorted(pairs), "user_id long, item_index long")
+    whole = neural.make("vae", encoder=[first, second], decoder=[third, last], latent=2)
+    none = (np.eye(4), np.zeros(4))
+    inner = neural.make("vae", encoder=[(np.eye(4), first[1]), second], decoder=[third, none], latent=2, normalize=False)
+    at = iter(range(0, n, neural.WIDE))
+
+    def rows(size):
+        begin = next(at)
+        return first[0][begin : begin + size]
+
+    blocks = neural.write_blocks(spark.createDataFrame([(int(i),) for i in ids], "item_index long"), inner, rows, iter([*last[0], last[1]]))
+    assert len(blocks.files) == 3
+    key = lambda df: sorted((r.user_id, r["rank"], r.item_index, round(r.score, 7)) for r in df.collect())
+    got = key(neural.score_blocks(history, blocks, 7))
+    assert got == key(neural.score_users(history, whole, ids, 7)) and len(got) == 40 * 7 + 3
+    monkeypatch.setattr(neural, "CELLS", 5 * n)
+    assert key(neural.score_users(history, whole, ids, 7)) == got
