@@ -6,8 +6,8 @@ places in it with their counts. Chunks meet in shards of about ``SHARD`` posting
 postings, whatever documents' sizes are. Document frequencies, the number of documents and their mean length are counted
 over all documents, so a score does not depend on the shards, and the best ``k`` of the shards' best are the best of all.
 
-A shard orders its documents by their most frequent term (of those in a ``THEME``-th of the shard's documents) and their
-length, which brings texts of a language together. Every list is cut into blocks at windows of ``WINDOW`` documents (a
+A shard orders its documents by theme (the nearest of the groups that share a most frequent term, by common terms; groups
+alike are one) and their length, which brings texts of a language together. Every list is cut into blocks at windows of ``WINDOW`` documents (a
 common term's, of a ``COMMON``-th of the documents or more, at every ``FINE``), and each block has the largest score in it. The search of a query (the set of terms of its text) is block-max WAND whose
 cursors take a block at a step, since steps of single postings would be interpreted here. Lists are in the order
 of what a posting of theirs may count, and the cursors of the first ones move through the windows first.
@@ -21,7 +21,14 @@ Without candidates the search ends, and the rest of the lists, the longest, is n
 the smaller doc_id, so a bound must miss by more than ``SLACK`` to be passed over. A shard answers a query with one row,
 and rows of a query meet in two steps. Shards are searched in waves, each ``WAVE`` times as many as all before it: the
 k-th score of a query so far is what its documents in later shards must reach from the start.
-Queries are written once and read by each shard in groups of ``GROUP``, so neither side is gathered or copied by a
+There the queries of a group are searched together (``search_many``): a query's cursors pass over the windows whose block
+maxima miss its need, those of the lists that are not common in a run of windows of one theme move through the others, and
+blocks of ``FINE`` documents that cannot reach the need with the common terms' maxima are passed over. In the blocks that
+any query of the group still needs, the common terms, kept as rows of scores by document, are added for all its queries by
+one matrix product in single precision, whose error the bounds allow for; documents that may reach the need are scored in
+full. In texts of one theme block maxima miss few needs, so there most documents are met: work stays queries times documents.
+A task answers ``SLICE`` queries on one shard at most, so its time does not grow with the tables.
+Queries are written once and read by each task in groups of ``GROUP``, so neither side is gathered or copied by a
 shuffle; a task that is run again reads the same files.
 
 Terms are runs of anything but ASCII white space, A-Z lower-cased, without the ASCII punctuation around them, known by a
@@ -43,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashing import runs_of, span_hashes
-from .shared import blocks, discard, file_system, materialise, new_folder, remove_folder, ship, utf8
+from .shared import blocks, discard, file_system, give_back, materialise, new_folder, remove_folder, ship, utf8
 
 K1, B = 1.2, 0.75
 WINDOW, FINE = 512, 64  # documents of a block, and of one of a common term
@@ -54,13 +61,18 @@ COMMON = 20
 ASK = 2  # what asking for a score takes against reading a posting
 DENSE = 4_000_000  # scores in the rows of a shard's common terms, at most; other lists are always read
 THEME = 50
+THEMES, ALIKE = 64, 0.5  # themes that are told apart at most, and the cosine from which two are one
+USUAL = 15  # a run's common terms are those of a USUAL-th of its documents or more
+CELLS = 4_000_000  # scores of queries by documents that are held at once
 DIGITS = 9
 SLACK = 1e-9  # a rounded k-th score is up to 5e-10 above its own
 CHUNK, SHARD = 1_000_000, 3_000_000
 GROUP = 256
 WAVE = 3
+SLICE, LEAST_SLICE = 16384, 1024  # queries of a task at most, and those from which a wave of few shards is dealt to more tasks
 MEET = 1000  # shards whose answers to a query meet at once
 
+_PAIR = np.dtype([("doc", "<i4"), ("impact", "<f4")])
 _LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WHITE = np.array([b in b" \t\n\x0b\x0c\r" for b in range(256)])
 _SOLID = np.array([not (b in b" \t\n\x0b\x0c\r" or 33 <= b < 127 and not chr(b).isalnum()) for b in range(256)])
@@ -147,6 +159,43 @@ def write_chunks(docs: DataFrame, folder: str) -> DataFrame:
     return rows.mapInArrow(run, _CHUNKS)
 
 
+def _up(x: np.ndarray) -> np.ndarray:
+    """In single precision, no number below its own."""
+    return np.nextafter(x.astype(np.float32), np.float32(np.inf))
+
+
+def _spans(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different numbers of x, which is in order, and where each begins and ends."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+    return x[first], first, np.append(first, len(x))[1:]
+
+
+def _themes(first: np.ndarray, doc: np.ndarray, code: np.ndarray, counts: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """A theme of each document: the nearest of the most frequent first themes by common terms, those alike as one."""
+    n = len(first)
+    most = np.argsort(-df, kind="stable")[: min(256, DENSE // max(n, 1))]
+    if not n or not len(most):
+        return first
+    place = np.full(len(df), -1, np.int64)
+    place[most] = np.arange(len(most))
+    mine = place[code] >= 0
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    rows = np.zeros((n, len(most)), np.float32)
+    rows[doc[mine], place[code[mine]]] = np.sqrt(counts[mine])
+    rows = unit(rows)
+    names, theme, size = np.unique(first, return_inverse=True, return_counts=True)
+    kept = np.argsort(-size, kind="stable")[:THEMES]
+    theme = np.where(np.isin(theme, kept), theme, -1)
+    for turn in range(3):
+        centres = np.array([rows[theme == t].sum(axis=0) for t in (kept if not turn else range(len(kept)))])
+        theme = np.argmax(rows @ unit(centres).T, axis=1)
+    centres = unit(np.array([rows[theme == t].sum(axis=0) for t in range(len(kept))]))
+    one = np.arange(len(kept))
+    for i, j in np.argwhere(centres @ centres.T >= ALIKE).tolist():
+        one[one == one[j]] = one[i]
+    return one[theme]
+
+
 class Index:
     """The inverted index of a shard, made of chunks."""
 
@@ -163,7 +212,10 @@ class Index:
         # Documents in the order of their most frequent common term, then of their length.
         shown = np.where(df[code] * THEME >= n, counts.astype(np.int64) << 32 | code, 0)
         theme = np.maximum.reduceat(shown, np.cumsum(sizes) - sizes) & 0xFFFFFFFF if n else np.empty(0, np.int64)
+        del shown
+        theme = _themes(theme, np.repeat(np.arange(n), sizes), code, counts, df)
         order = np.lexsort((ids, lengths, theme))
+        self.theme = theme[order]
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         self.ids, self.n = ids[order], n
@@ -182,28 +234,55 @@ class Index:
         slot = code * self.windows + self.doc // WINDOW
         self.edge = np.append(0, np.cumsum(np.bincount(slot, minlength=len(names) * self.windows))).astype(np.int32)  # by term and window
         new = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.empty(0, np.int64)
-        self.top = np.zeros(len(names) * self.windows)
-        self.top[slot[new]] = np.maximum.reduceat(self.impact, new) if len(new) else 0
+        self.top = np.zeros(len(names) * self.windows, np.float32)
+        self.top[slot[new]] = _up(np.maximum.reduceat(self.impact, new)) if len(new) else 0
         self.top = self.top.reshape(len(names), -1)
-        del slot, new
-        most = np.argsort(-df, kind="stable")[: DENSE // max(n, 1)]
-        most = most[df[most] * COMMON >= n]
-        self.row = np.full(len(names), -1, np.int64)
-        self.row[most] = np.arange(len(most))
-        self.dense = np.zeros((len(most), self.windows * WINDOW))
-        row = self.row[code]
-        self.dense[row[row >= 0], self.doc[row >= 0]] = self.impact[row >= 0]
-        self.fine = self.dense.reshape(len(most), self.windows * WINDOW // FINE, FINE).max(axis=2)
+        del slot, new, code
+        self.df, self.row, self.runs = df, None, None  # rows are made when a search first needs them
         self.idf = np.zeros(len(names))
         self.asked = np.zeros(len(names))  # the idf of the terms of the query at hand
         self.met, self.read = 0, 0  # postings of the queries so far, and those read
 
+    def _rows(self) -> None:
+        """The lists of common terms as rows of scores by document, for search()."""
+        most = np.argsort(-self.df, kind="stable")[: DENSE // max(self.n, 1)]
+        most = most[self.df[most] * COMMON >= self.n]
+        self.row = np.full(len(self.names), -1, np.int64)
+        self.row[most] = np.arange(len(most))
+        self.dense = np.zeros((len(most), self.windows * WINDOW))
+        first, size = self.edge[most * self.windows].astype(np.int64), self.df[most]
+        rows = _ragged(first, size)
+        self.dense[np.repeat(np.arange(len(most)), size), self.doc[rows]] = self.impact[rows]
+        self.fine = self.dense.reshape(len(most), self.windows * WINDOW // FINE, FINE).max(axis=2)
+
+    def _runs(self) -> None:
+        """Runs of windows of a theme, and of each the lists of its common terms as rows of scores by document, for search_many()."""
+        self.pairs = np.empty(len(self.doc), _PAIR)  # document and score side by side, which are read at once
+        self.pairs["doc"], self.pairs["impact"] = self.doc, self.impact
+        theme = self.theme[::WINDOW]
+        cuts = [*np.flatnonzero(np.append(True, theme[1:] != theme[:-1])).tolist(), self.windows] if self.windows else [0]
+        every = np.arange(len(self.names)) * self.windows
+        self.runs, self.run_of = [], np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        self.place = np.full((len(cuts) - 1, len(self.names)), -1, np.int32)  # of a term among a run's common ones
+        for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            low = self.edge[every + a]
+            df = self.edge[every + b] - low
+            most = np.flatnonzero(df * USUAL >= min(b * WINDOW, self.n) - a * WINDOW)
+            most = most[np.argsort(-df[most], kind="stable")[: DENSE // max(self.n, 1)]]
+            self.place[r, most] = np.arange(len(most))
+            scores = np.zeros((len(most), (b - a) * WINDOW), np.float32)
+            rows = _ragged(low[most].astype(np.int64), df[most].astype(np.int64))
+            scores[np.repeat(np.arange(len(most)), df[most]), self.doc[rows] - a * WINDOW] = self.impact[rows]
+            self.runs.append((a, b, scores, scores.reshape(len(most), (b - a) * WINDOW // FINE, FINE).max(axis=2)))
+
     def codes(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the terms, and whether the shard has them; takes down their idf."""
         if not len(self.names):
             return np.zeros(len(terms), np.int64), np.zeros(len(terms), bool)
-        at = np.minimum(np.searchsorted(self.names, terms), len(self.names) - 1)
-        known = self.names[at] == terms
+        once, back = np.unique(terms, return_inverse=True)  # in order, which is faster to look up
+        at = np.minimum(np.searchsorted(self.names, once), len(self.names) - 1)
+        known = (self.names[at] == once)[back]
+        at = at[back]
         self.idf[at[known]] = idf[known]
         return at, known
 
@@ -232,6 +311,8 @@ class Index:
 
         code: places of known terms. need: what k documents elsewhere reach already.
         """
+        if self.row is None:
+            self._rows()
         full, shares = (FULL, SHARES) if need <= 0 else ((), LATER)
         self.asked[code] = self.idf[code]
         size = (self.edge[(code + 1) * self.windows] - self.edge[code * self.windows]).astype(np.int64)
@@ -297,6 +378,106 @@ class Index:
         self.asked[code] = 0
         return best_ids, best
 
+    def search_many(self, code: np.ndarray, at: np.ndarray, k: int, need: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What search() returns, for queries at once whose need is known. code[at[i] : at[i + 1]]: places of query i's terms."""
+        if self.runs is None:
+            self._runs()
+        step, out = max(1, min(GROUP, CELLS // max(self.windows * WINDOW, 1))), []
+        for a in range(0, len(need), step):
+            b = min(a + step, len(need))
+            out += self._search_some(code[at[a] : at[b]], at[a : b + 1] - at[a], k, need[a:b])
+        return out
+
+    def answers(self, terms: np.ndarray, idf: np.ndarray, at: np.ndarray, k: int, need: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """search() of each query; those whose need is known together. terms[at[i] : at[i + 1]]: the terms of query i."""
+        code, known = self.codes(terms, idf)
+        at = np.append(0, np.cumsum(known))[at]
+        code = code[known]
+        out = [(np.empty(0, np.int64), np.empty(0))] * len(need)
+        for i in np.flatnonzero((need <= 0) & (np.diff(at) > 0)).tolist():
+            out[i] = self.search(code[at[i] : at[i + 1]], k)
+        some = np.flatnonzero(need > 0)
+        size = np.diff(at)[some]
+        for i, found in zip(some.tolist(), self.search_many(code[_ragged(at[some], size)], np.append(0, np.cumsum(size)), k, need[some]), strict=True):
+            out[i] = found
+        return out
+
+    def _search_some(self, code: np.ndarray, at: np.ndarray, k: int, need: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        size, weight, per = np.diff(at), self.idf[code], WINDOW // FINE
+        some = size > 0
+        of = np.repeat(np.arange(len(need)), size)
+        self.met += int(self.df[code].sum())
+        least = np.nextafter(need.astype(np.float32), np.float32(-np.inf))[:, None]
+        # Windows in which a query's block maxima do not add up to its need are passed over by all its cursors.
+        bound = np.zeros((len(need), self.windows))
+        if len(code):
+            bound[some] = np.add.reduceat(self.top[code] * weight[:, None], at[:-1][some])
+        live = bound * (1 + 1e-9) >= need[:, None]
+        # What the common terms, which come last, can add to a block. Single precision errs by less than off in all.
+        off = np.float32(1 + (max((len(r[2]) for r in self.runs), default=0) + 16) * 2.0**-22)
+        behind = np.zeros((len(need), self.windows * per), np.float32)
+        places, asks = self.place[:, code], []
+        for (a, b, _, fine), place in zip(self.runs, places, strict=True):
+            mine = place >= 0
+            ask = np.zeros((len(need), len(fine)), np.float32)
+            ask[of[mine], place[mine]] = weight[mine]
+            asks.append(ask)
+            behind[:, a * per : b * per] = ask @ fine
+        # The cursors of the other lists move through the windows that are left.
+        so_far = np.zeros((len(need), self.windows * WINDOW), np.float32)
+        rare = places < 0
+        turn = np.append(True, self.run_of[1:] != self.run_of[:-1])
+        for q in np.flatnonzero(live.any(axis=1)).tolist():
+            own, windows = slice(at[q], at[q + 1]), np.flatnonzero(live[q])
+            new = np.append(True, (np.diff(windows) > 1) | turn[windows[1:]])  # windows side by side are one step
+            start, end = windows[new], windows[np.append(new[1:], True)] + 1
+            i, j = np.nonzero(rare[:, own].T[:, self.run_of[start]])
+            first = code[own][i] * self.windows
+            low = self.edge[first + start[j]]
+            n = self.edge[first + end[j]] - low
+            met = np.flatnonzero(n)
+            low, n = low[met], n[met]
+            rows = self.pairs.view(np.int64)[_ragged(low, n)].view(_PAIR)
+            self.read += len(rows)
+            so_far[q] = np.bincount(rows["doc"], rows["impact"] * np.repeat(weight[own][i[met]].astype(np.float32), n), minlength=so_far.shape[1])
+        # The pivot: blocks where the best document so far and the common terms' maxima miss the need are passed over.
+        open_ = ((so_far.reshape(len(need), self.windows * per, FINE).max(axis=2) + behind) * off >= least) & np.repeat(live, per, axis=1)
+        found = []
+        for (a, b, scores, fine), ask in zip(self.runs, asks, strict=True):
+            mine = open_[:, a * per : b * per]
+            q = np.flatnonzero(mine.any(axis=1))
+            if not len(q):
+                continue
+            block = np.flatnonzero(mine.any(axis=0))
+            first = so_far[q, a * WINDOW : b * WINDOW]
+            if 4 * len(block) < 3 * mine.shape[1]:
+                scores = scores.reshape(len(scores), mine.shape[1], FINE)[:, block].reshape(len(scores), len(block) * FINE)
+                first = first.reshape(len(q), mine.shape[1], FINE)[:, block].reshape(len(q), len(block) * FINE)
+            else:
+                block = np.arange(mine.shape[1])
+            self.read += int(np.count_nonzero(ask[q])) * first.shape[1]
+            i, j = np.nonzero((ask[q] @ scores + first) * off >= least[q])
+            found.append((q[i], a * WINDOW + block[j // FINE] * FINE + j % FINE))
+        # Documents that may reach the need are scored in full.
+        out = [(np.empty(0, np.int64), np.empty(0))] * len(need)
+        if not found:
+            return out
+        q, docs = (np.concatenate(x) for x in zip(*found, strict=True))
+        inside = docs < self.n
+        q, docs = q[inside], docs[inside]
+        order = np.argsort(q, kind="stable")
+        q, docs = q[order], docs[order]
+        for i, a, b in zip(*(x.tolist() for x in _spans(q)), strict=True):
+            own = slice(at[i], at[i + 1])
+            self.asked[code[own]] = weight[own]
+            total = self._whole(docs[a:b])
+            self.asked[code[own]] = 0
+            hit = (total >= need[i]) & (total > 0)
+            ids, total = self.ids[docs[a:b][hit]], np.round(total[hit], DIGITS)
+            turn = np.lexsort((ids, -total))[:k]
+            out[i] = ids[turn], total[turn]
+        return out
+
 
 def ask(queries: DataFrame) -> DataFrame:
     """query_id and term of each query (query_id, text), each pair once."""
@@ -311,19 +492,19 @@ def ask(queries: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "query_id long, term long").distinct()
 
 
-def _groups(folder: str):
-    """The queries of a folder of Parquet files, a group at a time: ids, terms, idf, the offsets of each query and its need."""
+def _groups(folder: str, part: int = 0, parts: int = 1):
+    """The queries of every parts-th file of a folder of Parquet files, a group at a time: ids, terms, idf, the offsets of each query and its need."""
     import pyarrow.fs as pafs
 
     fs, root = file_system(folder)
-    for info in sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda i: i.path):
-        if info.path.endswith(".parquet"):
-            with fs.open_input_file(info.path) as f:
-                for b in pq.ParquetFile(f).iter_batches(batch_size=GROUP, columns=["query_id", "terms", "idf", "need"]):
-                    if b.num_rows:
-                        terms = b.column("terms")
-                        at = terms.offsets.to_numpy()
-                        yield b.column("query_id").to_pylist(), terms.flatten().to_numpy().view(np.uint64), b.column("idf").flatten().to_numpy(), at - at[0], b.column("need").to_numpy()
+    files = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(root)) if i.path.endswith(".parquet"))
+    for path in files[part::parts]:
+        with fs.open_input_file(path) as f:
+            for b in pq.ParquetFile(f).iter_batches(batch_size=GROUP, columns=["query_id", "terms", "idf", "need"]):
+                if b.num_rows:
+                    terms = b.column("terms")
+                    at = terms.offsets.to_numpy()
+                    yield b.column("query_id").to_numpy(), terms.flatten().to_numpy().view(np.uint64), b.column("idf").flatten().to_numpy(), at - at[0], b.column("need").to_numpy()
 
 
 def search(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -339,45 +520,47 @@ def search(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: int = 10
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     pairs = F.array_sort(F.collect_list(F.struct("term", idf.alias("idf"))))  # of one query
     weighed = ask(queries).join(df, "term").groupBy("query_id").agg(pairs.alias("t"))
-    asked = materialise(weighed.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"), F.lit(0.0).alias("need")), "asked")
+    # Queries lie in files of about LEAST_SLICE; a task answers those of some files.
+    files = max(1, queries.count() // LEAST_SLICE)
+    asked = materialise(weighed.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"), F.lit(0.0).alias("need")).repartition(files), "asked")
     # A row for each chunk passes through one task, which lays chunks together into shards.
     before = F.coalesce(F.sum("postings").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = materialise(chunks.select("path", F.floor(before / F.lit(float(SHARD))).cast("int").alias("shard")).groupBy("shard").agg(F.sort_array(F.collect_list("path")).alias("paths")), "shards")
 
     answers = pa.schema([("query_id", pa.int64()), ("part", pa.int32()), ("best", pa.list_(pa.struct([("less", pa.float64()), ("doc_id", pa.int64())])))])
 
-    def answer(asked_at: str):
+    def answer(asked_at: str, parts: int):
         def run(batches):
             for b in batches:
-                for shard, paths in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for shard, paths, part in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     index = Index([_read_chunk(p) for p in paths], mean_length)
-                    for ids, terms, weights, at, needs in _groups(asked_at):
-                        code, known = index.codes(terms, weights)
-                        out = []
-                        for i, q in enumerate(ids):
-                            own = code[at[i] : at[i + 1]][known[at[i] : at[i + 1]]]
-                            found_ids, scores = index.search(own, k, float(needs[i])) if len(own) else ((), ())
-                            if len(found_ids):
-                                out.append({"query_id": q, "part": shard // MEET, "best": [{"less": -s, "doc_id": d} for d, s in zip(found_ids.tolist(), scores.tolist(), strict=True)]})
+                    for ids, terms, weights, at, needs in _groups(asked_at, part, parts):
+                        out = [{"query_id": q, "part": shard // MEET, "best": [{"less": -s, "doc_id": d} for d, s in zip(found.tolist(), scores.tolist(), strict=True)]} for q, (found, scores) in zip(ids.tolist(), index.answers(terms, weights, at, k, needs), strict=True) if len(found)]
                         if out:
                             yield pa.RecordBatch.from_pylist(out, schema=answers)
+            give_back()
 
         return run
 
     met = lambda: F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
     best_of = lambda rows: rows.groupBy("query_id", "part").agg(met()).groupBy("query_id").agg(met())  # noqa: E731  # k of each of MEET shards, then k of each part
-    n_shards, first, found = shards.count(), 0, None
+    last = shards.agg(F.max("shard")).first()[0]  # a chunk larger than a shard leaves numbers out
+    n_shards, first, found = 0 if last is None else last + 1, 0, None
+    n_asked, tasks = asked.count(), spark.sparkContext.defaultParallelism
     # In waves, each WAVE times as many shards as all before: the k-th scores so far are what later shards must reach.
     while first < n_shards or found is None:
         upto = max(1, first * (1 + WAVE))
-        rows = shards.where((F.col("shard") >= first) & (F.col("shard") < upto)).coalesce(1).repartition(max(1, min(upto, n_shards) - first)).mapInArrow(answer(asked.stored_at), "query_id long, part int, best array<struct<less: double, doc_id: long>>")
+        n_wave = max(1, min(upto, n_shards) - first)
+        parts = max(1, -(-n_asked // SLICE), min(n_asked // LEAST_SLICE, files, tasks // n_wave))
+        each = shards.where((F.col("shard") >= first) & (F.col("shard") < upto)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        rows = each.coalesce(1).repartition(n_wave * parts).mapInArrow(answer(asked.stored_at, parts), "query_id long, part int, best array<struct<less: double, doc_id: long>>")
         wave = materialise(rows, "found")
         before = found
         found = wave if before is None else materialise(before.unionByName(wave), "found")
         first = upto
         if first < n_shards:
             kth = best_of(found).where(F.size("best") == k).select(F.col("query_id").alias("q"), (-F.element_at("best", -1)["less"] - SLACK).alias("kth"))
-            again = materialise(asked.join(kth, F.col("query_id") == F.col("q"), "left").select("query_id", "terms", "idf", F.coalesce("kth", "need").alias("need")), "asked")
+            again = materialise(asked.join(kth, F.col("query_id") == F.col("q"), "left").select("query_id", "terms", "idf", F.coalesce("kth", "need").alias("need")).repartition(files), "asked")
             discard(asked)
             asked = again
         if before is not None:

@@ -599,6 +599,51 @@ def test_block_max_wand_is_exact(window, fine, common, dense, monkeypatch):
                 assert {i for i, s in want if s >= need} <= set(found) <= {i for i, _ in want} and all(s >= need - 2e-9 for s in found.values())
 
 
+@pytest.mark.parametrize(("window", "fine", "usual", "cells"), [(6, 2, 3, 10**6), (16, 8, 40, 1000), (512, 64, 5, 10**6), (4, 4, 1, 1)])
+def test_queries_at_once_get_what_each_gets(window, fine, usual, cells, monkeypatch):
+    """Queries with a need, empty ones among them, against plain scoring; blocks that miss the need are passed over."""
+    for name, value in zip(("WINDOW", "FINE", "USUAL", "CELLS"), (window, fine, usual, cells), strict=True):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(window)
+    bags = []
+    for _ in range(400):
+        base = 100 * int(rng.integers(3))
+        words = [base + int(x) for x in rng.zipf(1.3, int(rng.integers(0, 40))) % 90] + ([1000 + int(rng.integers(30))] if rng.random() < 0.2 else [])
+        bags.append(dict(collections.Counter(words)))
+    bags += [dict(bags[0]) for _ in range(40)] + [dict(bags[1]) for _ in range(5)]
+    mean = max(np.mean([sum(b.values()) for b in bags]), 1e-9)
+    weight = rng.random(1100) * 6 + 0.01
+    asked = [sorted(bags[q]) for q in range(0, 400, 7)] + [[], [1099]]
+    want = [plain_best(bags, terms, weight[terms].tolist(), mean, 7) for terms in asked]
+    for place, more in ((0, 1), (3, 1), (6, 1), (0, 1 + 1e-7), (0, 1.01), (0, 1.3), (0, 1e9)):  # what is met a little above all scores, too
+        need = np.array([w[place][1] * more - search.SLACK if len(w) > place else 0.0 for w in want])
+        index = index_of(bags, mean)
+        flat, at = np.array([t for terms in asked for t in terms], np.uint64), np.append(0, np.cumsum([len(t) for t in asked]))
+        got = index.answers(flat, weight[flat.astype(int)], at, 7, need)
+        for (ids, scores), w, least in zip(got, want, need.tolist(), strict=True):
+            assert list(zip(ids.tolist(), scores.tolist(), strict=True)) == [(i, pytest.approx(s, abs=2e-9)) for i, s in w if s >= least]
+    assert index.read == 0  # no block reaches the last need
+
+
+def test_a_task_answers_a_bounded_number_of_queries(spark, monkeypatch):
+    """One shard, many queries: they are dealt to several tasks, each query to one of them."""
+    monkeypatch.setattr(search, "SLICE", 40)
+    monkeypatch.setattr(search, "LEAST_SLICE", 10)
+    found, read = [], search._groups
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} all") for i in range(300)], "doc_id long, text string")
+    asked = shared.materialise(search.ask(docs.withColumnRenamed("doc_id", "query_id")).groupBy("query_id").agg(F.collect_list("term").alias("terms")).select("query_id", "terms", F.transform("terms", lambda t: F.lit(1.0)).alias("idf"), F.lit(0.0).alias("need")).repartition(30), "asked")
+    for part in range(8):
+        ids = [int(q) for g in read(asked.stored_at.removeprefix("file://"), part, 8) for q in g[0]]
+        assert 0 < len(ids) <= 100
+        found += ids
+    assert sorted(found) == list(range(300))
+    rows = search.search(spark, docs, docs.withColumnRenamed("doc_id", "query_id"), 3).collect()
+    monkeypatch.setattr(search, "SHARD", 90)
+    monkeypatch.setattr(search, "CHUNK", 30)
+    more = search.search(spark, docs, docs.withColumnRenamed("doc_id", "query_id"), 3).collect()
+    assert len(rows) == 900 and sorted(map(tuple, rows)) == sorted(map(tuple, more))
+
+
 def test_lists_behind_the_pivot_are_not_read():
     """A common term cannot bring a document among the best: its list is asked for few documents, at the registered constants."""
     bags = [{1: 5, 2: 1, 3: 1} if i < 40 else {1: 1, 4: 2, 5: 2} for i in range(4000)]
