@@ -16,6 +16,9 @@ node, which connects groups of near copies. Where several groups remain, its nod
 and no other are as rare as a miss: once in 2e6 pairs), and a place of more than ``MOST`` there is compared tile by tile.
 Buckets of one group are done. So no task holds more than two tiles, and nothing is left out for its size.
 
+Every join is a merge join by hint: all tables grow with the documents, and a broadcast passes through the driver. By
+the size of its files Spark takes the nodes for small, whose bands, 24 rows of each, are not.
+
 Texts without words and null texts have an empty set, are linked with nothing and name themselves. Null doc_ids take part
 and never name a component unless all of its are null, whose rows then are kept. Repeated rows repeat in the result. Very
 long texts are whole. Extra columns are ignored, whatever their names; an empty table gives no rows.
@@ -123,8 +126,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS, id_col: str
             sets = [shingles(t, words) for t in utf8(b.column(0))]
             yield pa.RecordBatch.from_pydict({"digest": pa.array([_digest(s) for s in sets], pa.binary()), "hashes": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
-    rows = _keyed(docs, id_col, text_col).join(nodes.select("row_key"), "row_key", "left_semi").select("text").mapInArrow(run, "digest binary, hashes array<long>")
-    return rows.join(nodes.select("digest", "node"), "digest").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    rows = _keyed(docs, id_col, text_col).join(nodes.select("row_key").hint("merge"), "row_key", "left_semi").select("text").mapInArrow(run, "digest binary, hashes array<long>")
+    return rows.join(nodes.select("digest", "node").hint("merge"), "digest").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
 def _survivors(sig: np.ndarray, n: np.ndarray, root: np.ndarray, bands: list[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,7 +242,7 @@ def _send(members: DataFrame, least: int, exact: bool) -> DataFrame:
 def confirm(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
     """a, b and linked (100 x intersection >= least x union) of the pairs, from the nodes' full sets."""
     side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
+    met = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
     return met.select("a", "b", (F.lit(100) * F.col("both") >= F.lit(least) * (F.size("of_a") + F.size("of_b") - F.col("both"))).alias("linked"))
 
 
@@ -248,9 +251,9 @@ def _links(members: DataFrame, sets: DataFrame, least: int) -> list[DataFrame]:
     sent = materialise(_send(members, least, False), "sent")
     judged = materialise(confirm(sent.select("a", "b").distinct(), sets, least), "judged")
     found = [materialise(judged.where("linked").select("a", "b"), "links")]
-    open_ = materialise(sent.join(judged.where("NOT linked"), ["a", "b"]).select("key").distinct(), "open")
+    open_ = materialise(sent.join(judged.where("NOT linked").hint("merge"), ["a", "b"]).select("key").distinct(), "open")
     if not open_.isEmpty():
-        whole = members.join(open_, "key", "left_semi").join(sets, "node")
+        whole = members.join(open_.hint("merge"), "key", "left_semi").join(sets.hint("merge"), "node")
         found.append(materialise(_send(whole, least, True).select("a", "b").distinct(), "links"))
     for table in (sent, judged, open_):
         discard(table)
@@ -269,33 +272,33 @@ def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, least:
     tiles = F.ceil(F.greatest(F.col("size") / MOST, F.col("hashes") / MOST_HASHES)).cast("int").alias("tiles")
     sizes_of = lambda rows, *more: rows.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"), *more)
     shared = sizes_of(keys).where("size > 1").select("key", tiles)
-    met = materialise(keys.join(shared, "key").drop("n"), "buckets")
-    involved = met.select("node").distinct().join(nodes, "node")
+    met = materialise(keys.join(shared.hint("merge"), "key").drop("n"), "buckets")
+    involved = met.select("node").distinct().join(nodes.hint("merge"), "node")
     signed = nodes.select("node", F.col("node").alias("root"), "n", "signature")
     tile = F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles"))
     large = F.col("tiles") > 1
     dealt = met.select("node", F.when(large, F.xxhash64("key", tile)).otherwise(F.col("key")).alias("key"), F.when(large, F.array().cast("array<int>")).otherwise(F.array("band")).alias("bands"))
-    members = materialise(dealt.join(signed, "node"), "members")
+    members = materialise(dealt.join(signed.hint("merge"), "node"), "members")
     sets = materialise(full_sets(docs, involved, words, id_col, text_col), "sets")
     found = _links(members, sets, least)
     discard(members)
     hot = met.where(large).select("node", "band", "key")
     if not hot.isEmpty():
         roots = components(_union(found, spark))
-        rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "signature")
-        many = hot.join(roots, "node", "left").groupBy("key").agg(F.min(F.coalesce("root", "node")).alias("low"), F.max(F.coalesce("root", "node")).alias("high")).where("low < high").select("key")
-        again = hot.withColumnRenamed("band", "first").join(many, "key", "left_semi").join(nodes.select("node", "n", band), "node").where("band > first")
+        rooted = nodes.join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "signature")
+        many = hot.join(roots.hint("merge"), "node", "left").groupBy("key").agg(F.min(F.coalesce("root", "node")).alias("low"), F.max(F.coalesce("root", "node")).alias("high")).where("low < high").select("key")
+        again = hot.withColumnRenamed("band", "first").join(many.hint("merge"), "key", "left_semi").join(nodes.select("node", "n", band).hint("merge"), "node").where("band > first")
         twice = materialise(again.select("node", "n", F.array("first", "band").alias("bands"), F.xxhash64("key", "band", "minima").alias("key")), "twice")
         root = F.coalesce("root", "node")
         ends = [F.min(root).alias("low"), F.max(root).alias("high")]
-        sizes = sizes_of(twice.join(roots, "node", "left"), *ends).where("low < high").select("key", tiles)
+        sizes = sizes_of(twice.join(roots.hint("merge"), "node", "left"), *ends).where("low < high").select("key", tiles)
         own = F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("int")
         others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-        placed = twice.join(sizes, "key").select("node", "bands", "key", own.alias("tile"), others).where("other <> tile OR other = 0")
+        placed = twice.join(sizes.hint("merge"), "key").select("node", "bands", "key", own.alias("tile"), others).where("other <> tile OR other = 0")
         # With one tile, tile 0 meets itself; else each two tiles meet, which holds the pairs inside either.
         cell = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
         blocks_ = placed.select("node", "bands", F.when(F.col("tile") == F.col("other"), F.xxhash64("key", F.lit("whole"))).otherwise(cell).alias("key"))
-        members = materialise(blocks_.join(rooted, "node"), "members")
+        members = materialise(blocks_.join(rooted.hint("merge"), "node"), "members")
         found += _links(members, sets, least)
         for table in (members, roots, twice):
             discard(table)
@@ -312,11 +315,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: int = LEAST, wo
     nodes = materialise(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc_id", "first.row_key", "n", "signature"), "nodes")
     found = similar_links(spark, docs, nodes, least, words, id_col, text_col)
     roots = components(_union(found, spark))
-    rooted = nodes.join(roots, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(roots.hint("merge"), "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = materialise(rooted.join(names, "root").select(F.col("digest").alias("of"), "component_id"), "named")
+    named = materialise(rooted.join(names.hint("merge"), "root").select(F.col("digest").alias("of"), "component_id"), "named")
     for table in (*found, roots, nodes):
         discard(table)
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = own.join(named, F.col("digest") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = own.join(named.hint("merge"), F.col("digest") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -150,3 +150,25 @@ def test_pairs_of_a_bucket_are_confirmed_exactly(monkeypatch, bits):
 def test_rows_without_links_keep_their_columns(spark):
     df = M.near_duplicates(spark, frame(spark, [(1, "a b c d e f"), (2, "q r s t u v")]))
     assert df.where(F.col("kept")).count() == 2 and dict(df.dtypes) == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}
+
+
+def test_no_join_of_documents_is_broadcast(spark, monkeypatch):
+    """Tables that Spark takes for small pass through no driver: at the default threshold, no join of the plans that are written is a broadcast."""
+    plans, write = [], M.materialise
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(M, "materialise", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        docs = spark.createDataFrame([(i, " ".join(f"w{i % 20}x{j}" for j in range(40)) + (" y" * (i // 20))) for i in range(60)], "doc_id long, text string")
+        out = M.near_duplicates(spark, docs)
+        plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
+        assert out.count() == 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {"buckets", "members", "sets", "judged", "open", "named", "result"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan] == []
