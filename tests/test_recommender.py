@@ -817,6 +817,46 @@ def test_columns_without_a_matrix_equal_the_dense_inverse(spark, monkeypatch):
         assert key(Q.answer(rows, side, weights)) == key(Q.answer(rows, dense, by_blocks))
 
 
+@pytest.mark.parametrize("penalty", [500.0, 20.0, 0.05])
+def test_columns_are_solved_in_single_precision(monkeypatch, penalty):
+    """Few products are made in double precision, none of them whole for the diagonal, and both are as exact as before."""
+    sparse, rng, double = linear.sparse, np.random.default_rng(5), [0]
+    x = (rng.random((300, 200)) < 0.05).astype(float)
+    x[:, 0] = 1  # of every user
+    part = {"at": np.append(0, np.cumsum(x.sum(axis=1))).astype(np.int64), "place": np.nonzero(x)[1]}
+    monkeypatch.setattr(sparse.folders, "read_arrays", lambda path, keep=True: part)
+    product = sparse.product
+
+    def counted(group, places, d, *rest):
+        double[0] += d.dtype == np.float64
+        return product(group, places, d, *rest)
+
+    monkeypatch.setattr(sparse, "product", counted)
+    group, places, p = sparse.Group(200, 300, parts=[f"memory {penalty}"]), np.arange(200), np.linalg.inv(x.T @ x + penalty * np.eye(200))
+    assert np.allclose(sparse.own_inverse(group, places, 3, 200, penalty, 1 << 20), np.diag(p)[3:], rtol=1e-9, atol=0)
+    assert double[0] == 0 or penalty < 500
+    double[0] = 0
+    assert np.abs(sparse.solved(group, places, x[:40].T.copy(), penalty) - p @ x[:40].T).max() < 1e-11 / min(penalty, 1)
+    assert double[0] <= 3 or penalty < 1
+
+
+def test_lists_of_the_linear_autoencoder_are_made_once(spark, sf_dir, monkeypatch):
+    """Those of validation and test users, plain and reranked; and what is checked needs no diagonal beforehand."""
+    from lumenreel.plans.queries import QUERIES
+
+    asked, solved = [], []
+    recommend, by_columns = linear.recommend, linear._by_columns
+    monkeypatch.setattr(linear, "recommend", lambda *a: asked.append(a[-1]) or recommend(*a))
+    monkeypatch.setattr(linear, "_by_columns", lambda *a: solved.append(by_columns(*a)) or solved[-1])
+    monkeypatch.setattr(linear, "MOST_FILES", 0)
+    p = evaluate.Protocol(adapter.positives(spark, sf_dir), adapter.catalog(spark, sf_dir))
+    p.ease_comparison()
+    p.release()
+    assert asked == [50]
+    rows = QUERIES["ease_identity"](spark, sf_dir)
+    assert not any(g.diagonal for g in solved[-1].groups) and rows.where("deviation <> 0").isEmpty()
+
+
 def test_encoder_decoder_by_blocks_equals_the_whole(spark, monkeypatch):
     """Lists over several blocks of items, with ties and users of nearly all items; a task holds a block of logits."""
     rng, n = np.random.default_rng(5), 2500
