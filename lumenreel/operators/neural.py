@@ -305,7 +305,9 @@ def write_blocks(items: DataFrame, inner: EncoderDecoder, first: Callable[[int],
 def score_blocks(history: DataFrame, model: Blocks, k: int = 10) -> DataFrame:
     """user_id, rank, item_index and score of the k best unseen items, as score_users(), by blocks of items.
 
-    A task holds its users' hidden values and the k best so far; a block's logits are looked through for those above the k-th.
+    A task holds its users' hidden values and the k best so far; a block's logits are looked through for those above the
+    k-th. Logits are made only of items that can be above some user's: by lengths within the few axes along which hidden
+    values lie, and apart from these. Models whose hidden values lie along all axes pass over no item.
     """
     files, inner, normalize, wide = model.files, model.inner, model.normalize, WIDE
 
@@ -324,20 +326,38 @@ def score_blocks(history: DataFrame, model: Blocks, k: int = 10) -> DataFrame:
             x /= np.sqrt(size)[:, None]
         z = inner.decode(inner.encode(x))
         best, found = np.full((len(profiles), k), -np.inf), np.zeros((len(profiles), k), np.int64)
+        energy, axes = np.linalg.eigh(z.T @ z)
+        main = energy > 1e-8 * energy[-1]
+        near_z, far_z = (np.linalg.norm(z @ axes[:, m], axis=1) for m in (main, ~main))
+        some = near_z.min() > 0
+        slope, ends = (np.max(far_z / near_z), 1 / np.array([[near_z.min()], [near_z.max()]])) if some else (0.0, np.ones((2, 1)))
         for j, path in enumerate(files):
             block, here = folders.read_arrays(path), slice(cuts[j], cuts[j + 1])
-            scores = z @ block["last"]
-            scores += block["bias"]
-            scores[owner[here], place[here] - j * wide] = -np.inf
+            last, bias, own, at = block["last"], block["bias"], owner[here], place[here] - j * wide
+            items = np.arange(len(bias))
+            least = np.min((best[:, -1] - 10.0**-DIGITS) / near_z) if some else -np.inf
+            if np.isfinite(least):
+                turned = axes.T @ last
+                most = np.linalg.norm(turned[main], axis=0) + slope * np.linalg.norm(turned[~main], axis=0) + (bias * ends).max(axis=0)
+                items = np.flatnonzero(most + 1e-9 * np.abs(most) >= least)
+                if not len(items):
+                    continue
+                last, bias = last[:, items], bias[items]
+                col = np.minimum(np.searchsorted(items, at), len(items) - 1)
+                seen = items[col] == at
+                own, at = own[seen], col[seen]
+            scores = z @ last
+            scores += bias
+            scores[own, at] = -np.inf
             rows = np.flatnonzero(scores.max(axis=1) > best[:, -1] - 10.0**-DIGITS)
             if not len(rows):
                 continue
             near = best_of_rows(np.round(scores[rows], DIGITS), k)
-            own, cols = np.full((len(rows), k), -np.inf), np.zeros((len(rows), k), np.int64)
+            new, cols = np.full((len(rows), k), -np.inf), np.zeros((len(rows), k), np.int64)
             for row, (c, s) in enumerate(near):
-                own[row, : len(c)], cols[row, : len(c)] = s, c
+                new[row, : len(c)], cols[row, : len(c)] = s, c
             # Items ascend over the blocks, so in a stable order ties go to the smaller one.
-            both, ids = np.hstack([best[rows], own]), np.hstack([found[rows], block["items"][cols]])
+            both, ids = np.hstack([best[rows], new]), np.hstack([found[rows], block["items"][items[cols]]])
             order = np.argsort(-both, axis=1, kind="stable")[:, :k]
             best[rows], found[rows] = np.take_along_axis(both, order, axis=1), np.take_along_axis(ids, order, axis=1)
         fine = np.isfinite(best)

@@ -882,3 +882,28 @@ def test_encoder_decoder_by_blocks_equals_the_whole(spark, monkeypatch):
     assert got == key(neural.score_users(history, whole, ids, 7)) and len(got) == 40 * 7 + 3
     monkeypatch.setattr(neural, "CELLS", 5 * n)
     assert key(neural.score_users(history, whole, ids, 7)) == got
+
+
+def test_blocks_are_scored_for_items_that_can_be_best(spark, monkeypatch, tmp_path):
+    """Hidden values of two axes: logits are made of few items, and lists are those of all of them."""
+    rng, n = np.random.default_rng(6), 20 * neural.WIDE
+    first, last = rng.normal(0, 0.01, (n, 8)), rng.normal(0, 1, (8, n))
+    second, third = (rng.normal(0, 0.3, (8, 4)), np.zeros(4)), (rng.normal(0, 0.3, (2, 8)), np.zeros(8))
+    bias = rng.normal(0, 1e-4, n)
+    history = spark.createDataFrame([(u, int(i)) for u in range(50) for i in rng.choice(n, 6, replace=False)], "user_id long, item_index long")
+    none = (np.eye(8), np.zeros(8))
+    inner = neural.make("vae", encoder=[none, second], decoder=[third, none], latent=2, normalize=False)
+    at = iter(range(0, n, neural.WIDE))
+    blocks = neural.write_blocks(spark.range(n).withColumnRenamed("id", "item_index"), inner, lambda size: first[(b := next(at)) : b + size], iter([*last, bias]))
+    whole = neural.make("vae", encoder=[(first, np.zeros(8)), second], decoder=[third, (last, bias)], latent=2)
+    key = lambda df: sorted((r.user_id, r["rank"], r.item_index, round(r.score, 7)) for r in df.collect())
+    want, best_of_rows = key(neural.score_users(history, whole, np.arange(n), 5)), neural.best_of_rows
+
+    def counted(scores, k):
+        with open(tmp_path / "widths", "a") as f:
+            f.write(f"{scores.shape[1]}\n")
+        return best_of_rows(scores, k)
+
+    monkeypatch.setattr(neural, "best_of_rows", counted)
+    assert key(neural.score_blocks(history, blocks, 5)) == want and len(want) == 50 * 5
+    assert sum(map(int, (tmp_path / "widths").read_text().split())) < n / 4
